@@ -27,7 +27,7 @@ from .components import components
 from .shingles import chunks, mix, shingle_sets
 
 #: Buckets of the count sketch and bits of the filter of live classes: fixed sizes, whatever the input.
-SKETCH_BITS = 20
+SKETCH_BITS = 18
 LIVE_BITS = 24
 #: 64-bit words of a parity bitmap.
 PARITY_WORDS = 4
@@ -92,13 +92,13 @@ def count_levels(texts: DataFrame, k: int) -> tuple[np.ndarray, int]:
     Every order of all tokens gives right results; the counts only make it a good one.
     """
     found = texts.mapInArrow(_sketch(k), "bucket int, count int").groupBy("bucket").agg(F.sum("count").alias("count"))
-    rows = found.select(
-        "bucket", F.least(F.lit(254), F.ceil(F.log2(F.col("count") + F.lit(1.0)) * 4)).cast("int").alias("level"), "count"
-    ).toPandas()
+    found = cut(found)
+    total = found.agg(F.sum("count")).first()[0] or 0
+    level = F.least(F.lit(254), F.ceil(F.log2(F.col("count") + F.lit(1.0)) * 4)).cast("int")
+    rows = found.select("bucket", level.alias("level")).toPandas()
     levels = np.zeros(1 << SKETCH_BITS, np.uint8)
     levels[rows["bucket"].to_numpy(dtype=np.int64)] = rows["level"].to_numpy(dtype=np.uint8)
-    mean = rows["count"].sum() / len(levels)
-    return levels, min(254, int(np.ceil(np.log2(4 * mean + 64) * 4)))
+    return levels, min(254, int(np.ceil(np.log2(4 * total / len(levels) + 64) * 4)))
 
 
 def _rare_first(values: np.ndarray, levels: np.ndarray) -> np.ndarray:
