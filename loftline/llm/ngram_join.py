@@ -60,12 +60,28 @@ def _class_keys(values: np.ndarray, sizes: np.ndarray, offsets: np.ndarray) -> l
     return [raw[16 * i : 16 * i + 16] if n else None for i, n in enumerate(sizes)]
 
 
+def _parity(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """For each set the bits that an odd number of its hashes fall on, as 64-bit words."""
+    bits = PARITY_WORDS * 64
+    place = np.repeat(np.arange(len(sizes)) * bits, sizes) + ((values >> _U(3)) & _U(bits - 1)).astype(np.int64)
+    odd = (np.bincount(place, minlength=len(sizes) * bits) & 1).astype(np.uint8).reshape(len(sizes), bits)
+    return np.packbits(odd, axis=1).view(np.int64)
+
+
+_BRIEF = [f"s{w}" for w in range(PARITY_WORDS)]
+
+
 def _classes(k: int):
+    """doc_id, n, node (the class, null for empty sets) and the parity words."""
+
     def run(batches):
         for rows, sizes, offsets, values in _batches(batches, k):
             keys = _class_keys(values, sizes, offsets)
+            parity = _parity(values, sizes)
             yield pa.RecordBatch.from_arrays(
-                [rows.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary())], ["doc_id", "n", "node"]
+                [rows.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary())]
+                + [pa.array(parity[:, w]) for w in range(PARITY_WORDS)],
+                ["doc_id", "n", "node", *_BRIEF],
             )
 
     return run
@@ -141,15 +157,19 @@ def _postings(k: int, num: int, den: int, levels):
     return run
 
 
-def _candidates(k: int, num: int, den: int, live):
-    """Of classes that pass the filter: node, n, parity words, prefixes under orders 2 and 3, the whole set."""
+def _sets(texts: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """node, n, prefixes under orders 2 and 3 and the whole set of the classes in pairs (and a few more).
+
+    A filter of fixed size says which classes are wanted, so that others are not sent.
+    """
+    wanted = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node")))
+    live = texts.sparkSession.sparkContext.broadcast(_live_filter(wanted))
 
     def run(batches):
         seen: set[bytes] = set()
         for _, sizes, offsets, values in _batches(batches, k):
-            keys = _class_keys(values, sizes, offsets)
             rows = []
-            for i, key in enumerate(keys):
+            for i, key in enumerate(_class_keys(values, sizes, offsets)):
                 if key is None or key in seen:
                     continue
                 at = int.from_bytes(key[:3], "big")
@@ -158,31 +178,20 @@ def _candidates(k: int, num: int, den: int, live):
                 if len(seen) >= SEEN:
                     seen.clear()
                 seen.add(key)
-                rows.append(i)
+                rows.append((i, key))
             if not rows:
                 continue
-            bits = PARITY_WORDS * 64
-            owner = np.repeat(np.arange(len(sizes)), sizes)
-            place = owner * bits + ((values >> _U(3)) & _U(bits - 1)).astype(np.int64)
-            odd = (np.bincount(place, minlength=len(sizes) * bits) & 1).astype(np.uint8).reshape(len(sizes), bits)
-            parity = np.packbits(odd, axis=1).view(np.int64)
-            other = [
-                [
-                    _prefix(mix(values[offsets[i] : offsets[i + 1]] ^ s), int(sizes[i]), num, den).astype(np.uint32).view(np.int32)
-                    for i in rows
-                ]
-                for s in _ORDER_SALT
-            ]
-            sets = [values[offsets[i] : offsets[i + 1]].view(np.int64) for i in rows]
+            of = [values[offsets[i] : offsets[i + 1]] for i, _ in rows]
+            other = [[_prefix(mix(v ^ s), len(v), num, den).astype(np.uint32).view(np.int32) for v in of] for s in _ORDER_SALT]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([keys[i] for i in rows], pa.binary()), pa.array(sizes[rows], pa.int64())]
-                + [pa.array(parity[rows, w]) for w in range(PARITY_WORDS)]
+                [pa.array([key for _, key in rows], pa.binary()), pa.array([len(v) for v in of], pa.int64())]
                 + [pa.array(x, pa.list_(pa.int32())) for x in other]
-                + [pa.array(sets, pa.list_(pa.int64()))],
-                ["node", "n", *(f"s{w}" for w in range(PARITY_WORDS)), "p2", "p3", "tokens"],
+                + [pa.array([v.view(np.int64) for v in of], pa.list_(pa.int64()))],
+                ["node", "n", "p2", "p3", "tokens"],
             )
 
-    return run
+    found = texts.mapInArrow(run, "node binary, n bigint, p2 array<int>, p3 array<int>, tokens array<bigint>")
+    return found.dropDuplicates(["node"])
 
 
 def _light(heavy: int) -> Column:
@@ -204,9 +213,9 @@ def _live_postings(texts: DataFrame, k: int, num: int, den: int, levels, heavy:
     return several.select("token", "node").unionByName(posts.where(~_light(heavy)).distinct())
 
 
-def _live_filter(posts: DataFrame) -> list[int]:
-    """A bit for the first LIVE_BITS bits of each class with a posting, in words of a list of fixed size."""
-    at = posts.select(F.conv(F.hex(F.substring("node", 1, LIVE_BITS // 8)), 16, 10).cast("long").alias("at"))
+def _live_filter(nodes: DataFrame) -> list[int]:
+    """A bit for the first LIVE_BITS bits of each class, in words of a list of fixed size."""
+    at = nodes.select(F.conv(F.hex(F.substring("node", 1, LIVE_BITS // 8)), 16, 10).cast("long").alias("at"))
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("at") % 64).cast("int"))
     words = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toPandas()
     out = [0] * (1 << (LIVE_BITS - 6))
@@ -239,8 +248,8 @@ def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     )
 
 
-def _links(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    return cut(_verify(cut(pairs), sets, num, den))
+def _links(texts: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    return cut(_verify(pairs, cut(_sets(texts, pairs, k, num, den)), num, den))
 
 
 def _hub_pairs(posts: DataFrame, hubs: int, num: int, den: int) -> DataFrame:
@@ -289,26 +298,23 @@ def jaccard_components(
     spark = docs.sparkSession
     text = F.col(text_col)
     texts = docs.select(text)
-    rows = cut(docs.select(F.col(id_col).cast("long").alias("doc_id"), text).mapInArrow(_classes(k), "doc_id bigint, n bigint, node binary"))
+    words = "".join(f", {w} bigint" for w in _BRIEF)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text)
+    rows = cut(rows.mapInArrow(_classes(k), "doc_id bigint, n bigint, node binary" + words))
+    classes = rows.where("node is not null").groupBy("node")
+    classes = cut(classes.agg(F.min("doc_id").alias("least"), *(F.first(c).alias(c) for c in ("n", *_BRIEF))))
     levels, heavy = count_levels(texts, k)
-    shared_levels = spark.sparkContext.broadcast(levels)
-    posts = cut(_live_postings(texts, k, num, den, shared_levels, heavy))
-    live = spark.sparkContext.broadcast(_live_filter(posts))
-    fields = "node binary, n bigint, " + "".join(f"s{w} bigint, " for w in range(PARITY_WORDS))
-    sets = texts.mapInArrow(
-        _candidates(k, num, den, live), fields + "p2 array<int>, p3 array<int>, tokens array<bigint>"
-    )
-    sets = cut(sets.dropDuplicates(["node"]))
-    brief = sets.select("node", "n", *(f"s{w}" for w in range(PARITY_WORDS)))
-    posts = cut(posts.join(brief, "node"))
+    posts = _live_postings(texts, k, num, den, spark.sparkContext.broadcast(levels), heavy)
+    posts = cut(posts.join(classes.drop("least"), "node"))
 
-    links = _links(_hub_pairs(posts, hubs, num, den), sets, num, den)
+    links = _links(texts, cut(_hub_pairs(posts, hubs, num, den)), k, num, den)
     roots = cut(components(links))
-    rest = _links(_cross_pairs(posts, roots, num, den), sets, num, den)
-    roots = cut(components(links.unionByName(rest)))
+    rest = cut(_cross_pairs(posts, roots, num, den))
+    if not rest.isEmpty():
+        links = links.unionByName(_links(texts, rest, k, num, den))
+        roots = cut(components(links))
 
-    classes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
-    grouped = roots.join(classes, "node")
+    grouped = roots.join(classes.select("node", "least"), "node")
     least = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
     linked = grouped.join(least, "root").select("node", F.col("component_id").alias("wide"))
     named = classes.join(linked, "node", "left").select("node", F.coalesce("wide", "least").alias("component_id"))
