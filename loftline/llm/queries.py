@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, mixing, ngram_join, sharding, toxicity
+from . import bpe, exact_dedup, mixing, ngram_join, sharding, tiff, toxicity, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op3_byte_bpe": bpe.op3_byte_bpe,
+    "op4_tiff": tiff.op4_tiff,
     "op5_mixing": mixing.op5_mixing,
+    "op6_warc": warc.op6_warc,
     "op7_hilbert_sharding": sharding.op7_hilbert_sharding,
     "op9_ngram_jaccard_join": ngram_join.op9_ngram_jaccard_join,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 
-SQL = {name: sql for module in (bpe, exact_dedup, mixing, ngram_join, sharding, toxicity) for name, sql in module.SQL.items()}
+SQL = {name: sql for module in (bpe, exact_dedup, mixing, ngram_join, sharding, tiff, toxicity, warc) for name, sql in module.SQL.items()}
