@@ -24,7 +24,8 @@ from .common import checkpoint_dir, table
 LEAST_REVISIT = 100
 #: Bytes of an archive after which a task begins the next one.
 ARCHIVE_BYTES = 4 << 20
-#: No record is longer.
+#: Bytes that are unpacked at once; no record is longer than MOST_BYTES.
+PIECE = 1 << 14
 MOST_BYTES = 1 << 30
 
 _MAGIC = b"\x1f\x8b\x08"
@@ -88,16 +89,23 @@ def _parse(data: bytes, at: int) -> tuple[int, dict[str, str], bytes]:
     return tail.end(), fields, block
 
 
-def _member(data: bytes, at: int) -> tuple[int, dict[str, str], bytes]:
-    """End, fields and block of the gzip member that starts at a place."""
-    unpack = zlib.decompressobj(31)
-    plain = unpack.decompress(data[at:], MOST_BYTES)
+def _member(data: memoryview, at: int) -> tuple[int, dict[str, str], bytes]:
+    """End, fields and block of the gzip member that starts at a place; reads no further than a piece behind it."""
+    unpack, parts, size = zlib.decompressobj(31), [], 0
+    while not unpack.eof and at < len(data):
+        piece = data[at : at + PIECE]
+        parts.append(unpack.decompress(piece))
+        size += len(parts[-1])
+        at += len(piece)
+        if size > MOST_BYTES:
+            raise ValueError("record too long")
     if not unpack.eof:
         raise ValueError("gzip member does not end")
+    plain = b"".join(parts)
     end, fields, block = _parse(plain, 0)
     if end != len(plain):
         raise ValueError("bytes after the record of a member")
-    return len(data) - len(unpack.unused_data), fields, block
+    return at - len(unpack.unused_data), fields, block
 
 
 def salvage(data: bytes) -> Iterator[tuple[int, int, dict[str, str] | None, bytes, str | None]]:
