@@ -29,8 +29,8 @@ from .shingles import chunks, mix, shingle_sets
 #: Buckets of the count sketch and bits of the filter of live classes: fixed sizes, whatever the input.
 SKETCH_BITS = 18
 LIVE_BITS = 24
-#: 64-bit words of a parity bitmap.
-PARITY_WORDS = 4
+#: 64-bit words of a parity bitmap, and of the folded one that goes with postings.
+PARITY_WORDS, FOLDED_WORDS = 16, 4
 HUBS = 16
 #: Classes that a task remembers, so that it sends each of them once; forgotten beyond.
 SEEN = 200_000
@@ -69,6 +69,7 @@ def _parity(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 _BRIEF = [f"s{w}" for w in range(PARITY_WORDS)]
+_FOLDED = [f"f{w}" for w in range(FOLDED_WORDS)]
 
 
 def _classes(k: int):
@@ -224,16 +225,26 @@ def _live_filter(nodes: DataFrame) -> list[int]:
     return out
 
 
-def _may_link(num: int, den: int) -> Column:
-    """Length and parity filters between sides a and b."""
-    differ = reduce(
-        lambda x, y: x + y,
-        [F.bit_count(F.col(f"a.s{w}").bitwiseXOR(F.col(f"b.s{w}"))) for w in range(PARITY_WORDS)],
-    )
-    n, m = F.col("a.n"), F.col("b.n")
+def _folded() -> list[Column]:
+    """Words f of a shorter bitmap: parities of fewer, larger buckets."""
+    words = [[F.col(f"s{i}") for i in range(w, PARITY_WORDS, FOLDED_WORDS)] for w in range(FOLDED_WORDS)]
+    return [reduce(lambda x, y: x.bitwiseXOR(y), part).alias(f"f{w}") for w, part in enumerate(words)]
+
+
+def _may_link(num: int, den: int, a: str, b: str, words: list[str]) -> Column:
+    """Length and parity filters between two sides."""
+    differ = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{a}.{w}").bitwiseXOR(F.col(f"{b}.{w}"))) for w in words])
+    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
     return (F.greatest(n, m) * num <= F.least(n, m) * den) & (differ * (den + num) <= (n + m) * (den - num))
 
 
+def _refine(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
+    """Of distinct pairs (u, v) those that the whole bitmaps let pass."""
+    brief = F.struct("n", *_BRIEF)
+    a, b = (classes.select(F.col("node").alias(name), brief.alias(side)) for name, side in (("u", "x"), ("v", "y")))
+    return pairs.join(a, "u").join(b, "v").where(_may_link(num, den, "x", "y", _BRIEF)).select("u", "v")
+
+
 def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Of distinct pairs (u, v) those that pass orders 2 and 3 and whose sets are similar."""
     a = sets.select(F.col("node").alias("u"), F.struct("n", "p2", "p3", "tokens").alias("x"))
@@ -280,7 +291,7 @@ def _cross_pairs(posts: DataFrame, roots: DataFrame, num: int, den: int) -> Data
 
 
 def _pairs(a: DataFrame, b: DataFrame, which: Column, num: int, den: int) -> DataFrame:
-    near = a.alias("a").join(b.alias("b"), (F.col("a.token") == F.col("b.token")) & which & _may_link(num, den))
+    near = a.alias("a").join(b.alias("b"), (F.col("a.token") == F.col("b.token")) & which & _may_link(num, den, "a", "b", _FOLDED))
     return near.select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")).distinct()
 
 
@@ -305,11 +316,12 @@ def jaccard_components(
     classes = cut(classes.agg(F.min("doc_id").alias("least"), *(F.first(c).alias(c) for c in ("n", *_BRIEF))))
     levels, heavy = count_levels(texts, k)
     posts = _live_postings(texts, k, num, den, spark.sparkContext.broadcast(levels), heavy)
-    posts = cut(posts.join(classes.drop("least"), "node"))
+    posts = cut(posts.join(classes.select("node", "n", *_folded()), "node"))
 
-    links = _links(texts, cut(_hub_pairs(posts, hubs, num, den)), k, num, den)
+    pairs = _refine(_hub_pairs(posts, hubs, num, den), classes, num, den)
+    links = _links(texts, cut(pairs), k, num, den)
     roots = cut(components(links))
-    rest = cut(_cross_pairs(posts, roots, num, den))
+    rest = cut(_refine(_cross_pairs(posts, roots, num, den), classes, num, den))
     if not rest.isEmpty():
         links = links.unionByName(_links(texts, rest, k, num, den))
         roots = cut(components(links))
