@@ -55,7 +55,10 @@ def rank_map(ranks: dict[bytes, int]) -> Column:
 
 def encode_word(word: Column, ranks: Column) -> Column:
     """Ids of the pieces of one pre-token: array<int>, empty for an empty or null word."""
+    return _let(ranks, lambda bound: _fold(word, bound))  # the plan holds the literal once
 
+
+def _fold(word: Column, ranks: Column) -> Column:
     def rank(name: Column) -> Column:
         return F.try_element_at(F.get(ranks, (F.crc32(name.cast("binary")) % BUCKETS).cast("int")), name)
 
