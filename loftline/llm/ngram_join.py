@@ -7,8 +7,8 @@ differing bits between parity bitmaps bounds the symmetric difference from below
 losing a pair. Pairs left are verified on their whole sets.
 
 Equal sets form a class and take part once. Only connections matter, so pairs inside a component are not
-expanded: classes of a token group are first compared with some hubs of the group, then the pairs that are
-left between different components are compared, all of them.
+expanded: small token groups are compared whole; classes of a large one are first compared with some hubs of the
+group, then the pairs that are left between different components are compared, all of them.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, small, table
 from .components import components
 from .shingles import chunks, mix, shingle_sets
 
@@ -32,6 +32,8 @@ LIVE_BITS = 24
 #: 64-bit words of a parity bitmap, and of the folded one that goes with postings.
 PARITY_WORDS, FOLDED_WORDS = 16, 4
 HUBS = 16
+#: Groups of a token of up to so many classes are compared whole; of larger ones hubs come first.
+SMALL_GROUP = 64
 #: Classes that a task remembers, so that it sends each of them once; forgotten beyond.
 SEEN = 200_000
 _U = np.uint64
@@ -202,16 +204,14 @@ def _light(heavy: int) -> Column:
 def _live_postings(texts: DataFrame, k: int, num: int, den: int, levels, heavy: int) -> DataFrame:
     """Postings whose token several classes have in their prefix.
 
-    Tokens of light buckets have few postings and are grouped by token; those of heavy buckets, whose groups
-    have no bound, are kept without looking.
+    Tokens of light buckets have few postings and are counted by token; those of heavy buckets, whose groups
+    have no bound, are kept without looking and have no count.
     """
     posts = texts.mapInArrow(_postings(k, num, den, levels), "token bigint, node binary")
     first = posts.where(_light(heavy)).repartition("token").dropDuplicates(["token", "node"])
-    group = W.partitionBy("token")
-    several = first.select(
-        "token", "node", F.min("node").over(group).alias("a"), F.max("node").over(group).alias("b")
-    ).where("a != b")
-    return several.select("token", "node").unionByName(posts.where(~_light(heavy)).distinct())
+    counted = first.select("token", "node", F.count(F.lit(1)).over(W.partitionBy("token")).alias("group"))
+    rest = posts.where(~_light(heavy)).distinct().withColumn("group", F.lit(None).cast("long"))
+    return counted.where("group > 1").unionByName(rest)
 
 
 def _live_filter(nodes: DataFrame) -> list[int]:
@@ -239,10 +239,11 @@ def _may_link(num: int, den: int, a: str, b: str, words: list[str]) -> Column:
 
 
 def _refine(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
-    """Of distinct pairs (u, v) those that the whole bitmaps let pass."""
-    brief = F.struct("n", *_BRIEF)
-    a, b = (classes.select(F.col("node").alias(name), brief.alias(side)) for name, side in (("u", "x"), ("v", "y")))
-    return pairs.join(a, "u").join(b, "v").where(_may_link(num, den, "x", "y", _BRIEF)).select("u", "v")
+    """Distinct pairs (a, b) of class numbers as pairs (u, v) of classes that the whole bitmaps let pass."""
+    brief = F.struct("node", "n", *_BRIEF)
+    x, y = (classes.select(F.col("id").alias(name), brief.alias(side)) for name, side in (("a", "x"), ("b", "y")))
+    near = pairs.distinct().join(x, "a").join(y, "b").where(_may_link(num, den, "x", "y", _BRIEF))
+    return near.select(F.col("x.node").alias("u"), F.col("y.node").alias("v"))
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -260,7 +261,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def _links(texts: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    return cut(_verify(pairs, cut(_sets(texts, pairs, k, num, den)), num, den))
+    return cut(_verify(pairs, _sets(texts, pairs, k, num, den), num, den))
 
 
 def _hub_pairs(posts: DataFrame, hubs: int, num: int, den: int) -> DataFrame:
@@ -269,35 +270,37 @@ def _hub_pairs(posts: DataFrame, hubs: int, num: int, den: int) -> DataFrame:
     The hashes do not depend on the token, so that the groups of a cluster share their hubs. row_number under
     a bound is limited before and after the shuffle, so no task sorts a hot group whole.
     """
-    order = W.partitionBy("token").orderBy(F.xxhash64("node"), "node")
+    order = W.partitionBy("token").orderBy(F.xxhash64("id"), "id")
     chosen = posts.withColumn("r", F.row_number().over(order)).where(F.col("r") <= hubs)
-    return _pairs(posts, chosen, F.col("a.node") != F.col("b.node"), num, den)
+    return _pairs(posts, chosen, F.col("a.id") != F.col("b.id"), num, den)
 
 
 def _cross_pairs(posts: DataFrame, roots: DataFrame, num: int, den: int) -> DataFrame:
-    """All pairs of a token group that lie in different components.
+    """All pairs of a token group that lie in different components (roots: id, root).
 
     Of each group the largest component stands on one side only: its members meet the others of the group,
     never each other.
     """
-    placed = posts.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    placed = posts.join(small(roots), "id", "left").withColumn("root", F.coalesce("root", "id"))
     count = placed.groupBy("token", "root").count()
     mixed = count.groupBy("token").agg(
         F.max_by("root", F.struct("count", "root")).alias("big"), F.count(F.lit(1)).alias("roots")
     )
     placed = cut(placed.join(mixed.where("roots > 1").select("token", "big"), "token"))
-    apart = (F.col("a.root") != F.col("b.root")) & ((F.col("b.root") == F.col("b.big")) | (F.col("a.node") < F.col("b.node")))
+    apart = (F.col("a.root") != F.col("b.root")) & ((F.col("b.root") == F.col("b.big")) | (F.col("a.id") < F.col("b.id")))
     return _pairs(placed.where("root != big"), placed, apart, num, den)
 
 
 def _pairs(a: DataFrame, b: DataFrame, which: Column, num: int, den: int) -> DataFrame:
+    """Class numbers (a, b) of postings that share a token and pass the filters of length and short bitmap."""
     near = a.alias("a").join(b.alias("b"), (F.col("a.token") == F.col("b.token")) & which & _may_link(num, den, "a", "b", _FOLDED))
-    return near.select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")).distinct()
+    return near.select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b")).distinct()
 
 
 def jaccard_components(
-    docs: DataFrame, k: int, num: int, den: int, id_col: str = "doc_id", text_col: str = "text", hubs: int = HUBS
-) -> DataFrame:
+    docs: DataFrame, k: int, num: int, den: int, id_col: str = "doc_id", text_col: str = "text",
+    hubs: int = HUBS, whole: int = SMALL_GROUP,
+) -> DataFrame:
     """One row per document: id, n_shingles, component_id.
 
     Two documents link when den * |intersection| >= num * |union| of their sets of distinct k-word shingles;
@@ -313,15 +316,22 @@ def jaccard_components(
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text)
     rows = cut(rows.mapInArrow(_classes(k), "doc_id bigint, n bigint, node binary" + words))
     classes = rows.where("node is not null").groupBy("node")
-    classes = cut(classes.agg(F.min("doc_id").alias("least"), *(F.first(c).alias(c) for c in ("n", *_BRIEF))))
+    classes = classes.agg(F.min("doc_id").alias("least"), *(F.first(c).alias(c) for c in ("n", *_BRIEF)))
+    classes = cut(classes.withColumn("id", F.monotonically_increasing_id()))
     levels, heavy = count_levels(texts, k)
     posts = _live_postings(texts, k, num, den, spark.sparkContext.broadcast(levels), heavy)
-    posts = cut(posts.join(classes.select("node", "n", *_folded()), "node"))
+    posts = cut(posts.join(classes.select("node", "id", "n", *_folded()), "node").drop("node"))
+    few, many = posts.where(F.col("group") <= whole), posts.where(F.col("group").isNull() | (F.col("group") > whole))
 
-    pairs = _refine(_hub_pairs(posts, hubs, num, den), classes, num, den)
-    links = _links(texts, cut(pairs), k, num, den)
+    pairs = _pairs(few, few, F.col("a.id") < F.col("b.id"), num, den).unionByName(_hub_pairs(many, hubs, num, den))
+    links = _links(texts, cut(_refine(pairs, classes, num, den)), k, num, den)
     roots = cut(components(links))
-    rest = cut(_refine(_cross_pairs(posts, roots, num, den), classes, num, den))
+    numbers = classes.select("id", "node")
+    named = roots.join(numbers, "node").select("id", F.col("root").alias("node")).join(
+        numbers.withColumnRenamed("id", "of_root"), "node"
+    )
+    rest = _cross_pairs(many, cut(named.select("id", F.col("of_root").alias("root"))), num, den)
+    rest = cut(_refine(rest, classes, num, den))
     if not rest.isEmpty():
         links = links.unionByName(_links(texts, rest, k, num, den))
         roots = cut(components(links))

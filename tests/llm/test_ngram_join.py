@@ -57,7 +57,7 @@ def corpus(seed=1):
 def test_components_match_brute_force(spark, k, num, den):
     rows = corpus()
     df = spark.createDataFrame([(d, t, t) for d, t in rows], "doc_id long, text string, node string").repartition(5)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_components(df, k, num, den, hubs=2).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_components(df, k, num, den, hubs=2, whole=3).collect()}
     assert got == brute(rows, k, num, den)
 
 
