@@ -12,6 +12,7 @@ from __future__ import annotations
 import base64
 import heapq
 import json
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -27,6 +28,11 @@ from .common import table
 
 #: Distinct words that are encoded first and broadcast.
 TABLE_WORDS = 1 << 17
+#: White space as the vocabulary's pattern means it.
+_WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+#: Pieces that no match of the pattern crosses: a run of other characters with the blank before it, and white space
+#: as the pattern takes it. Distinct pieces are few, so the pattern itself runs on each of them once.
+PIECES = re.compile(f" ?[^{_WHITE}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+")
 #: Words that a task counts or remembers before it starts anew.
 MEMO = 200_000
 BUCKETS = 8192
@@ -92,11 +98,16 @@ def merge_bytes(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
         return [ranks[piece]]
     parts = [piece[i : i + 1] for i in range(len(piece))]
     if len(parts) < LONG:
-        while len(parts) > 1:
-            best, at = min((ranks.get(parts[i] + parts[i + 1], 1 << 40), i) for i in range(len(parts) - 1))
-            if best == 1 << 40:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        get, none = ranks.get, 1 << 40
+        found = [get(x + y, none) for x, y in zip(parts, parts[1:], strict=False)]
+        while found and (best := min(found)) != none:
+            i = found.index(best)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del found[i]
+            if i:
+                found[i - 1] = get(parts[i - 1] + parts[i], none)
+            if i < len(found):
+                found[i] = get(parts[i] + parts[i + 1], none)
         return [ranks[p] for p in parts]
     after, before = [*range(1, len(parts)), -1], [*range(-1, len(parts) - 1)]
     heap = [(r, i, 2) for i in range(len(parts) - 1) if (r := ranks.get(parts[i] + parts[i + 1])) is not None]
@@ -121,16 +132,20 @@ def merge_bytes(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 def _count(pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, counts = regex.compile(pattern).findall, Counter()
+        find, pieces = regex.compile(pattern).findall, Counter()
 
         def drain():
+            counts: Counter[str] = Counter()
+            for piece, n in pieces.items():
+                for word in find(piece):
+                    counts[word] += n
+            pieces.clear()
             yield pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], ["word", "n"])
-            counts.clear()
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                counts.update(find(text or ""))
-                if len(counts) > MEMO:
+                pieces.update(PIECES.findall(text or ""))
+                if len(pieces) > MEMO:
                     yield from drain()
         yield from drain()
 
@@ -147,7 +162,8 @@ def frequent_words(docs: DataFrame, pattern: str, text_col: str = "text", n: int
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str = "text", n: int = TABLE_WORDS) -> DataFrame:
     """docs with ids array<int>: each match of the pattern encoded for itself, without special tokens.
 
-    Null and empty texts have no ids; whole texts are encoded, however long. Rows keep their columns (one of the
+    The pattern must not match across PIECES, as that of the byte-level vocabularies does not. Null and empty
+    texts have no ids; whole texts are encoded, however long. Rows keep their columns (one of the
     name ids is replaced) and are encoded each for itself, so ties and repeated rows change nothing.
     """
     spark = docs.sparkSession
@@ -159,21 +175,28 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str
     kept = [c for c in docs.columns if c != "ids"]
     docs = docs.select(*[F.col(f"`{c}`") for c in kept])
 
-    class Words(dict):
-        def __missing__(self, word: str) -> list[int]:
-            found = known.value.get(word)
-            if found is None:
-                found = merge_bytes(word.encode(), all_ranks.value)
+    class Pieces(dict):
+        """Ids of any piece; remembers pieces, up to a bound."""
+
+        def __init__(self):
+            super().__init__()
+            self.find, self.known, self.ranks = regex.compile(pattern).findall, known.value, all_ranks.value
+
+        def __missing__(self, piece: str) -> list[int]:
+            ids = []
+            for word in self.find(piece):
+                found = self.known.get(word)
+                ids += merge_bytes(word.encode(), self.ranks) if found is None else found
             if len(self) >= MEMO:
                 self.clear()
-            self[word] = found
-            return found
+            self[piece] = ids
+            return ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, ids_of = regex.compile(pattern).findall, Words()
+        ids_of = Pieces().__getitem__
         for batch in batches:
             ids = [
-                pa.array(chain.from_iterable(map(ids_of.__getitem__, find(t or ""))), pa.int32())
+                pa.array(list(chain.from_iterable(map(ids_of, PIECES.findall(t or "")))), pa.int32())
                 for t in batch.column(kept.index(text_col)).to_pylist()
             ]
             offsets = [0]
