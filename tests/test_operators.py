@@ -29,10 +29,23 @@ def test_forward_and_inverse_prediction_return(spark):
     assert np.allclose(spark.range(1).select(*back).first(), (3.0, -2.0, 0.1, 0.1, 0.4), atol=1e-9)
 
 
-def test_utm_known_point(spark):
-    x, y = geo.utm_xy(F.lit(50.0), F.lit(30.0), geo.utm_zone(F.lit(30.0)))
-    got = spark.range(1).select(x, y).first()
-    assert abs(got[0] - 284_929.2) < 2.0 and abs(got[1] - 5_542_944.0) < 60.0
+def test_utm_against_the_meridian_arc_and_conformality(spark):
+    """On the central meridian the northing is the scaled arc; elsewhere the map keeps angles."""
+    e2, a = geo.FLATTENING * (2 - geo.FLATTENING), geo.MERCATOR_M
+    phi = np.linspace(0, math.radians(50), 200_001)
+    meridian = a * (1 - e2) / (1 - e2 * np.sin(phi) ** 2) ** 1.5
+    arc = np.trapezoid(meridian, phi) * geo.UTM_SCALE
+    step = 1e-4
+
+    def at(lat, lon):
+        x, y = geo.utm_xy(F.lit(lat), F.lit(lon), F.lit(36))
+        return np.array(spark.range(1).select(x, y).first())
+
+    assert np.allclose(at(50.0, 33.0), (500_000.0, arc), atol=2e-3)
+    north = (at(50.0 + step, 30.0) - at(50.0 - step, 30.0)) / (2 * math.radians(step)) / meridian[-1]
+    radius = a / math.sqrt(1 - e2 * math.sin(math.radians(50)) ** 2) * math.cos(math.radians(50))
+    east = (at(50.0, 30.0 + step) - at(50.0, 30.0 - step)) / (2 * math.radians(step)) / radius
+    assert np.allclose(north, (-east[1], east[0]), atol=1e-6)
 
 
 def test_pchip_is_monotone_and_hits_nodes():
