@@ -4,7 +4,8 @@ Two sets with Jaccard similarity t share a token among the first n - ceil(t n) +
 order of all tokens. Order 1 is by the counts of a sketch (rare first) and makes the candidates; orders 2 and
 3 are pseudo-random, and a candidate pair must share a prefix token under each of them too. The number of
 differing bits between parity bitmaps bounds the symmetric difference from below and prunes more, without
-losing a pair. Pairs left are verified on their whole sets.
+losing a pair; its length grows with the set, so that long sets are told apart as well as short ones. Pairs
+left are verified on their whole sets.
 
 Equal sets form a class and take part once. Only connections matter, so pairs inside a component are not
 expanded: small token groups are compared whole; classes of a large one are first compared with some hubs of the
@@ -70,12 +71,25 @@ def _parity(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.packbits(odd, axis=1).view(np.int64)
 
 
+def _wide(values: np.ndarray, offsets: np.ndarray) -> list[np.ndarray | None]:
+    """Parity words of at least as many bits as the set has hashes; None where the fixed bitmap has as many."""
+    out: list[np.ndarray | None] = []
+    for a, b in zip(offsets[:-1], offsets[1:], strict=True):
+        if b - a <= PARITY_WORDS * 64:
+            out.append(None)
+            continue
+        bits = 1 << int(b - a - 1).bit_length()
+        place = ((values[a:b] >> _U(3)) & _U(bits - 1)).astype(np.int64)
+        out.append(np.packbits((np.bincount(place, minlength=bits) & 1).astype(np.uint8)).view(np.int64))
+    return out
+
+
 _BRIEF = [f"s{w}" for w in range(PARITY_WORDS)]
 _FOLDED = [f"f{w}" for w in range(FOLDED_WORDS)]
 
 
 def _classes(k: int):
-    """doc_id, n, node (the class, null for empty sets) and the parity words."""
+    """doc_id, n, node (the class, null for empty sets), the parity words and the wide bitmap."""
 
     def run(batches):
         for rows, sizes, offsets, values in _batches(batches, k):
@@ -83,8 +97,9 @@ def _classes(k: int):
             parity = _parity(values, sizes)
             yield pa.RecordBatch.from_arrays(
                 [rows.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary())]
-                + [pa.array(parity[:, w]) for w in range(PARITY_WORDS)],
-                ["doc_id", "n", "node", *_BRIEF],
+                + [pa.array(parity[:, w]) for w in range(PARITY_WORDS)]
+                + [pa.array(_wide(values, offsets), pa.list_(pa.int64()))],
+                ["doc_id", "n", "node", *_BRIEF, "wide"],
             )
 
     return run
@@ -238,11 +253,29 @@ def _may_link(num: int, den: int, a: str, b: str, words: list[str]) -> Column:
     return (F.greatest(n, m) * num <= F.least(n, m) * den) & (differ * (den + num) <= (n + m) * (den - num))
 
 
+def _wide_may_link(num: int, den: int) -> Column:
+    """The parity filter between x and y by their wide bitmaps, the longer one folded to half; without them, true."""
+    xor = lambda a, b: a.bitwiseXOR(b)
+    size = F.least(F.size("x.wide"), F.size("y.wide"))
+
+    def fitted(words: str) -> Column:
+        halves = F.zip_with(F.slice(words, F.lit(1), size), F.slice(words, size + 1, size), xor)
+        return F.when(F.size(words) == size, F.col(words)).otherwise(halves)
+
+    counts = F.zip_with(fitted("x.wide"), fitted("y.wide"), lambda a, b: F.bit_count(xor(a, b)).cast("long"))
+    differ = F.aggregate(counts, F.lit(0).cast("long"), lambda a, b: a + b)
+    comparable = F.col("x.wide").isNotNull() & F.col("y.wide").isNotNull()
+    comparable = comparable & (F.greatest(F.size("x.wide"), F.size("y.wide")) <= 2 * size)
+    within = differ * (den + num) <= (F.col("x.n") + F.col("y.n")) * (den - num)
+    return F.when(comparable, within).otherwise(True)
+
+
 def _refine(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
     """Distinct pairs (a, b) of class numbers as pairs (u, v) of classes that the whole bitmaps let pass."""
-    brief = F.struct("node", "n", *_BRIEF)
+    brief = F.struct("node", "n", *_BRIEF, "wide")
     x, y = (classes.select(F.col("id").alias(name), brief.alias(side)) for name, side in (("a", "x"), ("b", "y")))
     near = pairs.distinct().join(x, "a").join(y, "b").where(_may_link(num, den, "x", "y", _BRIEF))
+    near = near.where(_wide_may_link(num, den))
     return near.select(F.col("x.node").alias("u"), F.col("y.node").alias("v"))
 
 
@@ -314,9 +347,9 @@ def jaccard_components(
     texts = docs.select(text)
     words = "".join(f", {w} bigint" for w in _BRIEF)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text)
-    rows = cut(rows.mapInArrow(_classes(k), "doc_id bigint, n bigint, node binary" + words))
+    rows = cut(rows.mapInArrow(_classes(k), "doc_id bigint, n bigint, node binary" + words + ", wide array<bigint>"))
     classes = rows.where("node is not null").groupBy("node")
-    classes = classes.agg(F.min("doc_id").alias("least"), *(F.first(c).alias(c) for c in ("n", *_BRIEF)))
+    classes = classes.agg(F.min("doc_id").alias("least"), *(F.first(c).alias(c) for c in ("n", *_BRIEF, "wide")))
     classes = cut(classes.withColumn("id", F.monotonically_increasing_id()))
     levels, heavy = count_levels(texts, k)
     posts = _live_postings(texts, k, num, den, spark.sparkContext.broadcast(levels), heavy)
@@ -338,8 +371,8 @@ def jaccard_components(
 
     grouped = roots.join(classes.select("node", "least"), "node")
     least = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
-    linked = grouped.join(least, "root").select("node", F.col("component_id").alias("wide"))
-    named = classes.join(linked, "node", "left").select("node", F.coalesce("wide", "least").alias("component_id"))
+    linked = grouped.join(least, "root").select("node", F.col("component_id").alias("joined"))
+    named = classes.join(linked, "node", "left").select("node", F.coalesce("joined", "least").alias("component_id"))
     return rows.join(named, "node", "left").select(
         F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")
     )
