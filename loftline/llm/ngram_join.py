@@ -84,22 +84,27 @@ def _wide(values: np.ndarray, offsets: np.ndarray) -> list[np.ndarray | None]:
     return out
 
 
+def _short(key: bytes | None) -> int | None:
+    """The first 64 bits of a class, which stand for it in postings."""
+    return None if key is None else int.from_bytes(key[:8], "big", signed=True)
+
+
 _BRIEF = [f"s{w}" for w in range(PARITY_WORDS)]
 _FOLDED = [f"f{w}" for w in range(FOLDED_WORDS)]
 
 
 def _classes(k: int):
-    """doc_id, n, node (the class, null for empty sets), the parity words and the wide bitmap."""
+    """doc_id, n, node (the class, null for empty sets), its short form, the parity words and the wide bitmap."""
 
     def run(batches):
         for rows, sizes, offsets, values in _batches(batches, k):
             keys = _class_keys(values, sizes, offsets)
             parity = _parity(values, sizes)
             yield pa.RecordBatch.from_arrays(
-                [rows.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary())]
+                [rows.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(map(_short, keys), pa.int64())]
                 + [pa.array(parity[:, w]) for w in range(PARITY_WORDS)]
                 + [pa.array(_wide(values, offsets), pa.list_(pa.int64()))],
-                ["doc_id", "n", "node", *_BRIEF, "wide"],
+                ["doc_id", "n", "node", "short", *_BRIEF, "wide"],
             )
 
     return run
@@ -160,16 +165,16 @@ def _postings(k: int, num: int, den: int, levels):
                     seen.add(key)
                     part = _prefix(order[offsets[i] : offsets[i + 1]], int(sizes[i]), num, den)
                     tokens.append(part)
-                    nodes.append(key)
+                    nodes.append(_short(key))
                     counts.append(len(part))
             if tokens:
                 at = np.repeat(np.arange(len(nodes)), counts)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.concatenate(tokens).view(np.int64)),
-                        pa.array(nodes, pa.binary()).take(pa.array(at)),
+                        pa.array(np.array(nodes, np.int64)[at]),
                     ],
-                    ["token", "node"],
+                    ["token", "short"],
                 )
 
     return run
@@ -222,9 +227,9 @@ def _live_postings(texts: DataFrame, k: int, num: int, den: int, levels, heavy:
     Tokens of light buckets have few postings and are counted by token; those of heavy buckets, whose groups
     have no bound, are kept without looking and have no count.
     """
-    posts = texts.mapInArrow(_postings(k, num, den, levels), "token bigint, node binary")
-    first = posts.where(_light(heavy)).repartition("token").dropDuplicates(["token", "node"])
-    counted = first.select("token", "node", F.count(F.lit(1)).over(W.partitionBy("token")).alias("group"))
+    posts = texts.mapInArrow(_postings(k, num, den, levels), "token bigint, short bigint")
+    first = posts.where(_light(heavy)).repartition("token").dropDuplicates(["token", "short"])
+    counted = first.select("token", "short", F.count(F.lit(1)).over(W.partitionBy("token")).alias("group"))
     rest = posts.where(~_light(heavy)).distinct().withColumn("group", F.lit(None).cast("long"))
     return counted.where("group > 1").unionByName(rest)
 
@@ -347,13 +352,13 @@ def jaccard_components(
     texts = docs.select(text)
     words = "".join(f", {w} bigint" for w in _BRIEF)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text)
-    rows = cut(rows.mapInArrow(_classes(k), "doc_id bigint, n bigint, node binary" + words + ", wide array<bigint>"))
+    rows = cut(rows.mapInArrow(_classes(k), "doc_id bigint, n bigint, node binary, short bigint" + words + ", wide array<bigint>"))
     classes = rows.where("node is not null").groupBy("node")
-    classes = classes.agg(F.min("doc_id").alias("least"), *(F.first(c).alias(c) for c in ("n", *_BRIEF, "wide")))
+    classes = classes.agg(F.min("doc_id").alias("least"), *(F.first(c).alias(c) for c in ("n", "short", *_BRIEF, "wide")))
     classes = cut(classes.withColumn("id", F.monotonically_increasing_id()))
     levels, heavy = count_levels(texts, k)
     posts = _live_postings(texts, k, num, den, spark.sparkContext.broadcast(levels), heavy)
-    posts = cut(posts.join(classes.select("node", "id", "n", *_folded()), "node").drop("node"))
+    posts = cut(posts.join(classes.select("short", "id", "n", *_folded()), "short").drop("short"))
     few, many = posts.where(F.col("group") <= whole), posts.where(F.col("group").isNull() | (F.col("group") > whole))
 
     pairs = _pairs(few, few, F.col("a.id") < F.col("b.id"), num, den).unionByName(_hub_pairs(many, hubs, num, den))
