@@ -8,7 +8,7 @@ losing a pair; its length grows with the set, so that long sets are told apart a
 left are verified on their whole sets.
 
 Equal sets form a class and take part once. Only connections matter, so pairs inside a component are not
-expanded: small token groups are compared whole; classes of a large one are first compared with some hubs of the
+expanded: a forest of the pairs is verified first, and others only between the components that it leaves. Small token groups are compared whole; classes of a large one are first compared with some hubs of the
 group, then the pairs that are left between different components are compared, all of them.
 """
 
@@ -298,6 +298,20 @@ def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     )
 
 
+def _forest(pairs: DataFrame) -> DataFrame:
+    """Of the pairs (u, v) one of each v: at most as many as there are classes, and enough where all are links."""
+    return pairs.groupBy("v").agg(F.min("u").alias("u")).select("u", "v")
+
+
+def _between(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs (u, v) whose ends lie in different components, or in none; roots: node, root."""
+    for side in ("u", "v"):
+        of = roots.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root"))
+        pairs = pairs.join(of, side, "left")
+    apart = ~F.coalesce(F.col("u_root") == F.col("v_root"), F.lit(False))
+    return pairs.where(apart).select("u", "v")
+
+
 def _links(texts: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     return cut(_verify(pairs, _sets(texts, pairs, k, num, den), num, den))
 
@@ -362,14 +376,15 @@ def jaccard_components(
     few, many = posts.where(F.col("group") <= whole), posts.where(F.col("group").isNull() | (F.col("group") > whole))
 
     pairs = _pairs(few, few, F.col("a.id") < F.col("b.id"), num, den).unionByName(_hub_pairs(many, hubs, num, den))
-    links = _links(texts, cut(_refine(pairs, classes, num, den)), k, num, den)
+    pairs = cut(_refine(pairs, classes, num, den))
+    links = _links(texts, _forest(pairs), k, num, den)
     roots = cut(components(links))
     numbers = classes.select("id", "node")
     named = roots.join(numbers, "node").select("id", F.col("root").alias("node")).join(
         numbers.withColumnRenamed("id", "of_root"), "node"
     )
     rest = _cross_pairs(many, cut(named.select("id", F.col("of_root").alias("root"))), num, den)
-    rest = cut(_refine(rest, classes, num, den))
+    rest = cut(_refine(rest, classes, num, den).unionByName(_between(pairs, roots)).distinct())
     if not rest.isEmpty():
         links = links.unionByName(_links(texts, rest, k, num, den))
         roots = cut(components(links))
