@@ -14,9 +14,10 @@ import heapq
 import json
 import re
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
+from itertools import accumulate
 
 import pyarrow as pa
 import regex
@@ -176,33 +177,28 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str
     docs = docs.select(*[F.col(f"`{c}`") for c in kept])
 
     class Pieces(dict):
-        """Ids of any piece; remembers pieces, up to a bound."""
+        """Ids of any piece, as the bytes of 32-bit numbers; remembers pieces, up to a bound."""
 
         def __init__(self):
             super().__init__()
             self.find, self.known, self.ranks = regex.compile(pattern).findall, known.value, all_ranks.value
 
-        def __missing__(self, piece: str) -> list[int]:
+        def __missing__(self, piece: str) -> bytes:
             ids = []
             for word in self.find(piece):
                 found = self.known.get(word)
                 ids += merge_bytes(word.encode(), self.ranks) if found is None else found
             if len(self) >= MEMO:
                 self.clear()
-            self[piece] = ids
-            return ids
+            self[piece] = packed = array("i", ids).tobytes()
+            return packed
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = Pieces().__getitem__
         for batch in batches:
-            ids = [
-                pa.array(list(chain.from_iterable(map(ids_of, PIECES.findall(t or "")))), pa.int32())
-                for t in batch.column(kept.index(text_col)).to_pylist()
-            ]
-            offsets = [0]
-            for x in ids:
-                offsets.append(offsets[-1] + len(x))
-            flat = pa.concat_arrays(ids) if ids else pa.array([], pa.int32())
+            packed = [b"".join(map(ids_of, PIECES.findall(t or ""))) for t in batch.column(kept.index(text_col)).to_pylist()]
+            offsets = list(accumulate((len(x) // 4 for x in packed), initial=0))
+            flat = pa.Array.from_buffers(pa.int32(), offsets[-1], [None, pa.py_buffer(b"".join(packed))])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat)], [*kept, "ids"])
 
     return docs.mapInArrow(run, docs.limit(0).withColumn("ids", F.array().cast("array<int>")).schema)
