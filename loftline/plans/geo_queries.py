@@ -8,37 +8,36 @@ from pyspark.sql import functions as F
 from ..functions import affine, geo
 from ..operators import spatial
 from ..session import table
-from .views import FRAME_H, FRAME_W, SQL_FIXES, SQL_MATRICES, M, fixes, matrices, r6
+from .views import FRAME_H, FRAME_W, SQL_FIXES, SQL_MATRICES, fixes, matrices, matrix, r6
 
-LAT, LON = F.col("lat"), F.col("lon")
 
 
 def geo_mercator_roundtrip(spark, sf_dir):
-    x, y = geo.mercator_x(LON), geo.mercator_y(LAT)
+    x, y = geo.mercator_x(F.col("lon")), geo.mercator_y(F.col("lat"))
     return fixes(spark, sf_dir).select(
         "event_id", r6(x, 3).alias("mx"), r6(y, 3).alias("my"), r6(geo.mercator_lat(y)).alias("lat"), r6(geo.mercator_lon(x)).alias("lon"),
-        r6(geo.mercator_scale_factor(LAT)).alias("scale"), geo.utm_zone(LON).alias("zone"),
+        r6(geo.mercator_scale_factor(F.col("lat"))).alias("scale"), geo.utm_zone(F.col("lon")).alias("zone"),
     )
 
 
 def geo_utm_roundtrip(spark, sf_dir):
     """Degrees of error of the way to UTM and back; below 1e-8."""
-    zone = geo.utm_zone(LON)
-    x, y = geo.utm_xy(LAT, LON, zone)
+    zone = geo.utm_zone(F.col("lon"))
+    x, y = geo.utm_xy(F.col("lat"), F.col("lon"), zone)
     rows = fixes(spark, sf_dir).select("event_id", "lat", "lon", zone.alias("zone"), x.alias("ux"), y.alias("uy"))
     lat, lon = geo.utm_latlon(F.col("ux"), F.col("uy"), F.col("zone"))
-    return rows.select("event_id", ((F.abs(lat - LAT) < 1e-8) & (F.abs(lon - LON) < 1e-8)).alias("returns"))
+    return rows.select("event_id", ((F.abs(lat - F.col("lat")) < 1e-8) & (F.abs(lon - F.col("lon")) < 1e-8)).alias("returns"))
 
 
 def geo_haversine(spark, sf_dir):
     w = W.partitionBy("track_id").orderBy("seq")
     rows = fixes(spark, sf_dir).withColumns({"lat0": F.lag("lat").over(w), "lon0": F.lag("lon").over(w)}).where("lat0 is not null")
-    args = (F.col("lat0"), F.col("lon0"), LAT, LON)
+    args = (F.col("lat0"), F.col("lon0"), F.col("lat"), F.col("lon"))
     return rows.select("event_id", r6(geo.haversine(*args), 4).alias("metres"), r6(geo.haversine_asin(*args), 4).alias("metres_asin"))
 
 
 def geo_tiles(spark, sf_dir):
-    rows = fixes(spark, sf_dir).select(geo.tile(LAT - 48.2).alias("tile_lat"), geo.tile(LON - 25.0).alias("tile_lon"))
+    rows = fixes(spark, sf_dir).select(geo.tile(F.col("lat") - 48.2).alias("tile_lat"), geo.tile(F.col("lon") - 25.0).alias("tile_lon"))
     return rows.groupBy("tile_lat", "tile_lon").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -73,17 +72,17 @@ def geo_bbox_active(spark, sf_dir):
 
 def affine_decompose_compose(spark, sf_dir):
     rows = matrices(spark, sf_dir)
-    p = affine.to_pose(M, FRAME_W / 2, FRAME_H / 2)
-    sx, sy = affine.scales(M)
+    p = affine.to_pose(matrix(), FRAME_W / 2, FRAME_H / 2)
+    sx, sy = affine.scales(matrix())
     return rows.select(
-        "event_id", r6(affine.det(M)).alias("det"), r6(sx).alias("sx"), r6(sy).alias("sy"), r6(affine.angle(M)).alias("angle"),
-        r6(affine.mean_scale(M)).alias("scale"), r6(affine.isotropic_scale(M)).alias("iso"), r6(p.x, 4).alias("px"), r6(p.y, 4).alias("py"),
+        "event_id", r6(affine.det(matrix())).alias("det"), r6(sx).alias("sx"), r6(sy).alias("sy"), r6(affine.angle(matrix())).alias("angle"),
+        r6(affine.mean_scale(matrix())).alias("scale"), r6(affine.isotropic_scale(matrix())).alias("iso"), r6(p.x, 4).alias("px"), r6(p.y, 4).alias("py"),
     )
 
 
 def matrix_valid(spark, sf_dir):
     return matrices(spark, sf_dir).select(
-        "event_id", affine.is_valid(M).alias("valid"), affine.significant_motion(M, 960.0, 540.0).alias("moves")
+        "event_id", affine.is_valid(matrix()).alias("valid"), affine.significant_motion(matrix(), 960.0, 540.0).alias("moves")
     )
 
 

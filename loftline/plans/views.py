@@ -59,7 +59,10 @@ def matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-M = Affine(*[F.col(n) for n in ("a", "b", "tx", "c", "d", "ty")])
+def matrix() -> Affine:
+    """The matrix of a row; Columns need a session, so none is made on import."""
+    return Affine(*[F.col(n) for n in ("a", "b", "tx", "c", "d", "ty")])
+
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
