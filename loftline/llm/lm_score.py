@@ -1,8 +1,8 @@
 """Cross-entropy difference of two n-gram models that share one vocabulary.
 
-Tokens are the bytes of a text, so the shared vocabulary is whole: no token is unknown, and no count is cut.
-A target and a background model, both trigram models of the same smoothing, give each token a loss; the mean
-difference scores the document.
+A target and a background model of the same smoothing give each token a loss; the mean difference scores the
+document. `word_scores` has words as tokens: all words of the corpus are the vocabulary, and the counts of word
+pairs are Spark tables that grow with it. `train` and `score` are small trigram models of bytes, for the driver.
 """
 
 from __future__ import annotations
@@ -15,12 +15,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, table
+from .shingles import chunks, mix, word_hashes
 
 #: Pseudo-counts that the next lower order gets, for each context.
 ALPHA = 8.0
 CHUNK = 1 << 20
 #: Distinct n-grams that a task merges at once.
 HELD = 1 << 20
+#: Pairs that are at least this part of all tokens, so that many at most, are scored inside the tasks.
+HOT = 1 << 16
+#: Losses are summed as whole numbers of this part of a nat, so that their order does not matter.
+UNITS = 1e8
 
 
 def _codes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -149,13 +154,134 @@ def score(docs: DataFrame, models: Models, text_col: str = "text") -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
+def _pairs(texts: list[bytes]) -> tuple[np.ndarray, ...]:
+    """Of each word of all texts: a hash of it with the word before, both hashes (0 at a start), and its text."""
+    word, doc = word_hashes(texts)
+    before = np.zeros_like(word)
+    if len(word):
+        before[1:] = np.where(doc[1:] == doc[:-1], word[:-1], 0)
+    return mix(mix(before + np.uint64(1)) + word), before, word, doc
+
+
+def _texts(batch: pa.RecordBatch, column: int) -> list[bytes]:
+    return [t or b"" for t in batch.column(column).cast(pa.binary()).to_pylist()]
+
+
+def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of (is_target, text): how often all texts and how often target texts have them."""
+    held: list[tuple[np.ndarray, ...]] = []
+
+    def merge(parts):
+        pair, before, word, background, target = (np.concatenate(x) for x in zip(*parts, strict=True))
+        values, first, place = np.unique(pair, return_index=True, return_inverse=True)
+        return values, before[first], word[first], *(np.bincount(place, x, len(values)) for x in (background, target))
+
+    def drain():
+        merged = merge(held)
+        held.clear()
+        for at in range(0, len(merged[0]), 100_000):
+            part = [pa.array(x[at : at + 100_000].view(np.int64)) for x in merged[:3]]
+            part += [pa.array(x[at : at + 100_000].astype(np.int64)) for x in merged[3:]]
+            yield pa.RecordBatch.from_arrays(part, ["pair", "before", "word", "background", "target"])
+
+    for batch in batches:
+        flags, texts = np.array(batch.column(0).to_pylist(), float), _texts(batch, 1)
+        for start, end in chunks(texts):
+            pair, before, word, doc = _pairs(texts[start:end])
+            held.append(merge([(pair, before, word, np.ones(len(pair)), flags[start:end][doc])]))
+            if sum(len(h[0]) for h in held) > HELD:
+                yield from drain()
+    if held:
+        yield from drain()
+
+
+def word_losses(docs: DataFrame, is_target, text_col: str = "text") -> tuple[DataFrame, int]:
+    """(pair, background, target_loss, background_loss) of each pair of words that docs has, and the tokens of docs.
+
+    Losses count in UNITS. A pair is smoothed by its second word, a word by equal shares of the vocabulary, which is
+    all words of docs and one for unknown ones. No count is cut, and all tables stay in Spark.
+    """
+    rows = docs.select(F.coalesce(is_target, F.lit(False)).alias("is_target"), F.col(text_col).alias("text"))
+    counts = rows.mapInArrow(_count_pairs, "pair bigint, before bigint, word bigint, background bigint, target bigint")
+    sums = lambda prefix: [F.sum(c).alias(prefix + c) for c in ("background", "target")]
+    counts = cut(counts.groupBy("pair", "before", "word").agg(*sums("")))
+    words = counts.groupBy("word").agg(*sums("word_"))
+    before = counts.groupBy("before").agg(*sums("before_"))
+    total = words.agg(F.count(F.lit(1)).alias("size"), F.sum("word_background").alias("background"), F.sum("word_target").alias("target")).first()
+    # Frequent words have many pairs; a sort-merge join is split where it is skewed.
+    rows = counts.join(words.hint("merge"), "word").join(before.hint("merge"), "before")
+
+    def loss(name: str):
+        one = (F.col("word_" + name) + ALPHA / (total["size"] + 1)) / ((total[name] or 0) + ALPHA)
+        two = (F.col(name) + one * ALPHA) / (F.col("before_" + name) + ALPHA)
+        return F.round(-F.log(two) * UNITS).cast("long").alias(name + "_loss")
+
+    return cut(rows.select("pair", "background", loss("target"), loss("background"))), total["background"] or 0
+
+
+def word_scores(docs: DataFrame, is_target, hot: int = HOT) -> DataFrame:
+    """doc_id, n_tokens, target_loss, background_loss (mean nats of a word) and score, their difference.
+
+    docs (doc_id, text, and what is_target reads) is what both models are made of and what is scored. A lower score is
+    nearer to the target. Words are runs of anything but ASCII white space, a to z like A to Z. Null and empty texts
+    have no tokens and null losses; ids may be null or repeat. Each distinct pair of a text meets its losses once:
+    frequent pairs inside the task, at most `hot` of them, all others by a join.
+    """
+    losses, tokens = word_losses(docs, is_target)
+    often = losses.where(F.col("background") * hot >= tokens).toPandas().sort_values("pair")
+    shared = docs.sparkSession.sparkContext.broadcast(
+        [often[c].to_numpy(np.int64) for c in ("pair", "target_loss", "background_loss")]
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        listed, *known = shared.value
+        for batch in batches:
+            texts = _texts(batch, 2)
+            for start, end in chunks(texts):
+                pair, _, _, doc = _pairs(texts[start:end])
+                pair, size = pair.view(np.int64), np.bincount(doc, minlength=end - start)
+                order = np.lexsort((pair, doc))
+                pair, doc = pair[order], doc[order]
+                new = np.flatnonzero(np.r_[True, (pair[1:] != pair[:-1]) | (doc[1:] != doc[:-1])][: len(pair)])
+                times = np.diff(np.r_[new, len(pair)])
+                pair, doc = pair[new], doc[new]
+                at = np.minimum(np.searchsorted(listed, pair), max(len(listed) - 1, 0))
+                found = listed[at] == pair if len(listed) else np.zeros(len(pair), bool)
+                sums = [np.zeros(end - start, np.int64) for _ in known]
+                for total, loss in zip(sums, known, strict=True):
+                    np.add.at(total, doc[found], loss[at[found]] * times[found])
+                rest = ~found
+                of = np.concatenate([doc[rest], np.arange(end - start)])  # the pairs to join, then a row for each text
+                part, n = batch.slice(start, end - start), int(rest.sum())
+                none = np.arange(len(of)) < n
+                wide = lambda x: pa.array(np.concatenate([np.zeros(n, np.int64), x]), mask=none)
+                key = part.column(1).take(pa.array(of))
+                meet = np.concatenate([pair[rest], part.column(1).to_numpy()])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0).take(pa.array(of)), key, pa.array(meet), pa.array(np.concatenate([times[rest], np.zeros(end - start, np.int64)])),
+                     wide(size), wide(sums[0]), wide(sums[1])],
+                    ["doc_id", "key", "pair", "times", "n", "target", "background"],
+                )
+
+    rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "text")
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, key bigint, pair bigint, times bigint, n bigint, target bigint, background bigint"
+    # Pairs that are left are rare by the bound above, and the pair of a text's own row is its hash: no key is hot.
+    rows = rows.mapInArrow(run, schema).join(losses.drop("background").hint("merge"), "pair", "left")
+    add = lambda c: F.sum(F.coalesce(F.col(c), F.col("times") * F.col(c + "_loss"))).alias(c)
+    sums = rows.groupBy("doc_id", "key").agg(F.count("n").alias("copies"), F.sum("n").alias("n"), add("target"), add("background"))
+    mean = [F.when(F.col("n") > 0, F.col(c) / F.col("n") / UNITS).alias(c + "_loss") for c in ("target", "background")]
+    # Rows that repeat id and text are one group, whose sums are all multiples.
+    each = sums.withColumn("copy", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))))
+    out = each.select("doc_id", (F.col("n") / F.col("copies")).cast("long").alias("n_tokens"), *mean)
+    return out.withColumn("score", F.col("target_loss") - F.col("background_loss"))
+
+
 def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target: texts labelled of good quality. Background: all texts."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     good = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max(F.col("quality") == 1).alias("good"))
     # Labels grow with the documents: the same join whatever their size.
-    models = train(docs.join(good.hint("merge"), "doc_id", "left"), F.col("good"))
-    return score(docs, models).drop("text")
+    return word_scores(docs.join(good.hint("merge"), "doc_id", "left"), F.col("good"))
 
 
 SQL: dict[str, str] = {}

@@ -1,7 +1,10 @@
 import math
 import random
+import re
 from collections import Counter
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from loftline.llm import lm_score as L
@@ -72,3 +75,55 @@ def test_scores_match_brute_force(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert L.score(df, L.train(df, F.col("good"))).collect() == []
+
+
+def word_brute(rows):
+    """(doc_id, words, target loss, background loss) of rows (doc_id, text, good)."""
+    split = lambda t: [w.lower() for w in re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode())]
+    counts = [[Counter(), Counter(), Counter()] for _ in range(2)]
+    for _, text, good in rows:
+        words = split(text)
+        for a, b in zip([None, *words], words, strict=False):
+            for pairs, before, single in counts[: 1 + bool(good)]:
+                pairs[a, b] += 1
+                before[a] += 1
+                single[b] += 1
+    size = len(counts[0][2]) + 1
+
+    def loss(model, a, b):
+        pairs, before, single = model
+        one = (single[b] + L.ALPHA / size) / (sum(single.values()) + L.ALPHA)
+        return -math.log((pairs[a, b] + L.ALPHA * one) / (before[a] + L.ALPHA))
+
+    background, target = ({p: loss(m, *p) for p in counts[0][0]} for m in counts)
+    out = []
+    for d, text, _ in rows:
+        words = split(text)
+        pairs = list(zip([None, *words], words, strict=False))
+        out.append((d, len(words), *(sum(m[p] for p in pairs) / len(pairs) if pairs else None for m in (target, background))))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("hot", [1, 20, L.HOT])
+def test_word_models_match_brute_force(spark, hot):
+    rng = random.Random(5)
+    word = lambda n: rng.choice(["the", "The", "of", "é", *(f"w{i}" for i in range(n))])
+    rows = [(i, " ".join(word(20 + i % 2 * 40) for _ in range(rng.randint(1, 80))), i % 2 == 0 or None) for i in range(60)]
+    rows += [(100, None, None), (101, " \n", True), (102, "the of " * 30_000, None), (103, "a b", None), (103, "a b", None), (None, "w1 w2", True)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, good boolean").repartition(4)
+    got = sorted([tuple(r) for r in L.word_scores(df, F.col("good"), hot).collect()], key=str)
+    for g, w in zip(got, word_brute(rows), strict=True):
+        assert g[:2] == w[:2]
+        assert g[2:] == (None,) * 3 if not w[1] else np.allclose(g[2:], (w[2], w[3], w[2] - w[3]), atol=1e-6)
+    by = {g[0]: g[4] for g in got}
+    assert sum(by[i] for i in range(0, 60, 2)) < sum(by[i] for i in range(1, 60, 2))
+    assert L.word_scores(df.limit(0), F.col("good")).collect() == []
+
+
+def test_query_has_words_as_tokens(spark):
+    folder = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{folder}/documents.parquet").collect()
+    good = {r.doc_id for r in spark.read.parquet(f"{folder}/labels.parquet").collect() if r.quality == 1}
+    got = sorted([tuple(r)[:4] for r in L.op8_lm_score(spark, folder).collect()], key=str)
+    for g, w in zip(got, word_brute([(r.doc_id, r.text, r.doc_id in good) for r in docs]), strict=True):
+        assert g[:2] == w[:2] and (not w[1] or np.allclose(g[2:], w[2:], atol=1e-6))
