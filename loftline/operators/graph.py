@@ -19,6 +19,11 @@ from ..session import cut
 
 POSE = ["x", "y", "log_sx", "log_sy", "theta"]
 STEP = ["dx", "dy", "log_dsx", "log_dsy", "dtheta"]
+START, TRIAL = ([f"{prefix}_{n}" for n in POSE] for prefix in ("start", "to"))
+#: Nodes that a task solves at once.
+BLOCK = 256
+#: Parts of a step that are tried.
+STEPS = (1.0, 0.5, 0.25, 0.1, 0.03, 0.01)
 
 
 def pose(prefix: str = "", names: list[str] = POSE) -> Pose:
@@ -185,65 +190,165 @@ def chain_gaps(edges: DataFrame, anchors: DataFrame, tolerance: float) -> DataFr
 
 
 def solve_component(nodes: pd.DataFrame, edges: pd.DataFrame, cx: float, sign: float = 1.0, anchor_weight: float = 100.0, rounds: int = 20, robust: float | None = None) -> pd.DataFrame:
-    """Damped least squares of one component; robust: scale of Geman-McClure weights. Returns poses and cost."""
+    """Damped least squares of one component; robust: scale of Geman-McClure weights. Returns poses and cost.
+
+    Where nodes say so (is_free) the others keep their poses; anchors are drawn to where nodes have them (START).
+    """
     at = {n: i for i, n in enumerate(nodes["node"])}
     p = nodes[POSE].to_numpy(float)
-    fixed, start = nodes["is_anchor"].to_numpy(bool), p.copy()
-    i, j = edges["from_id"].map(at).to_numpy(), edges["to_id"].map(at).to_numpy()
+    fixed = nodes["is_anchor"].to_numpy(bool)
+    free = nodes["is_free"].to_numpy(bool) if "is_free" in nodes else np.ones(len(nodes), bool)
+    start = nodes[START].to_numpy(float) if START[0] in nodes else p.copy()
+    i, j = (edges[c].map(at).to_numpy(int) for c in ("from_id", "to_id"))
     e, base = edges[STEP].to_numpy(float), edges["weight"].to_numpy(float)
     scale = np.array([1.0, 1.0, cx, cx, cx])
+    pull = np.where(fixed[:, None], (scale * anchor_weight) ** 2, 0.0)
 
-    def edge_rows(p):
+    def parts(p):
         a, b = p[i], p[j]
-        sx, sy, c, s = np.exp(a[:, 2]), np.exp(a[:, 3]), np.cos(a[:, 4]), np.sin(a[:, 4])
-        x = a[:, 0] + c * sx * e[:, 0] - sign * s * sy * e[:, 1]
-        y = a[:, 1] + s * sx * e[:, 0] + sign * c * sy * e[:, 1]
+        ratio, c, s = np.exp(a[:, 3] - a[:, 2]), np.cos(a[:, 4]), sign * np.sin(a[:, 4])
+        return a, b, np.exp(-a[:, 2]), np.exp(-a[:, 3]), ratio, c, s
+
+    def edge_rows(p):
+        a, b, ux, uy, ratio, c, s = parts(p)
         turn = b[:, 4] - a[:, 4] - sign * e[:, 4]
-        r = np.stack([(b[:, 0] - x) / sx, (b[:, 1] - y) / sy, b[:, 2] - a[:, 2] - e[:, 2], b[:, 3] - a[:, 3] - e[:, 3], np.arctan2(np.sin(turn), np.cos(turn))], 1)
+        r = np.stack(
+            [
+                (b[:, 0] - a[:, 0]) * ux - c * e[:, 0] + s * ratio * e[:, 1],
+                (b[:, 1] - a[:, 1]) * uy - sign * s / ratio * e[:, 0] - sign * c * e[:, 1],
+                b[:, 2] - a[:, 2] - e[:, 2],
+                b[:, 3] - a[:, 3] - e[:, 3],
+                np.arctan2(np.sin(turn), np.cos(turn)),
+            ],
+            1,
+        )
         return r * scale
 
-    weight = base.copy()
-
-    def all_rows(flat):
-        p = flat.reshape(-1, 5)
-        return np.concatenate([(edge_rows(p) * weight[:, None]).ravel(), ((p - start)[fixed] * scale * anchor_weight).ravel()])
-
-    flat, damp = p.ravel().copy(), 1e-3
-    for _ in range(rounds):
+    def slopes(p):
+        """Derivatives of the rows of each edge by the pose of its start and of its end."""
+        a, b, ux, uy, ratio, c, s = parts(p)
+        by_a, by_b = np.zeros((2, len(e), 5, 5))
+        by_a[:, 0, 0], by_b[:, 0, 0], by_a[:, 1, 1], by_b[:, 1, 1] = -ux, ux, -uy, uy
+        by_a[:, 0, 3] = s * ratio * e[:, 1]
+        by_a[:, 0, 2] = -(b[:, 0] - a[:, 0]) * ux - by_a[:, 0, 3]
+        by_a[:, 0, 4] = sign * s * e[:, 0] + sign * c * ratio * e[:, 1]
+        by_a[:, 1, 2] = -sign * s / ratio * e[:, 0]
+        by_a[:, 1, 3] = -(b[:, 1] - a[:, 1]) * uy - by_a[:, 1, 2]
+        by_a[:, 1, 4] = -c / ratio * e[:, 0] + s * e[:, 1]
+        for k in (2, 3, 4):
+            by_a[:, k, k], by_b[:, k, k] = -1.0, 1.0
+        return by_a * scale[:, None], by_b * scale[:, None]
+
+    def cost(p, weight):
+        return ((edge_rows(p) * weight[:, None]) ** 2).sum() + (pull * (p - start) ** 2).sum()
+
+    n, weight, damp = len(p), base.copy(), 1e-3
+    for _ in range(rounds if free.any() else 0):
+        r = edge_rows(p)
         if robust:
-            r2 = (edge_rows(flat.reshape(-1, 5)) ** 2).sum(1)
-            weight = base * (robust**2 / (robust**2 + r2))
-        r = all_rows(flat)
-        jac = np.empty((len(r), len(flat)))
-        for k in range(len(flat)):
-            step = 1e-6 * max(1.0, abs(flat[k]))
-            moved = flat.copy()
-            moved[k] += step
-            jac[:, k] = (all_rows(moved) - r) / step
-        normal, right = jac.T @ jac, jac.T @ r
+            weight = base * (robust**2 / (robust**2 + (r**2).sum(1)))
+        w2, sides = (weight**2)[:, None, None], list(zip((i, j), slopes(p), strict=True))
+        normal, right = np.zeros((n, n, 5, 5)), pull * (p - start)
+        normal[np.arange(n), np.arange(n)] += pull[:, :, None] * np.eye(5)
+        for u, x in sides:
+            np.add.at(right, u, (w2 * x * r[:, :, None]).sum(1))
+            for v, y in sides:
+                np.add.at(normal, (u, v), w2 * np.einsum("eki,ekj->eij", x, y))
+        k = np.flatnonzero(np.repeat(free, 5))
+        normal, right = normal.transpose(0, 2, 1, 3).reshape(5 * n, 5 * n)[np.ix_(k, k)], right.ravel()[k]
+        before = cost(p, weight)
         for _ in range(8):
-            trial = flat - np.linalg.solve(normal + damp * np.diag(np.diag(normal) + 1e-9), right)
-            if (all_rows(trial) ** 2).sum() <= (r**2).sum():
-                gain, flat, damp = (r**2).sum() - (all_rows(trial) ** 2).sum(), trial, damp / 3
+            trial = p.copy().ravel()
+            trial[k] -= np.linalg.solve(normal + damp * np.diag(np.diag(normal) + 1e-9), right)
+            after = cost(trial.reshape(-1, 5), weight)
+            if after <= before:
+                gain, p, damp = before - after, trial.reshape(-1, 5), damp / 3
                 break
             damp *= 4
         else:
             break
-        if gain < 1e-9 * (1 + (r**2).sum()):
+        if gain < 1e-9 * (1 + before):
             break
     out = nodes[["component", "node"]].copy()
-    out[POSE] = flat.reshape(-1, 5)
-    return out.assign(cost=float((all_rows(flat) ** 2).sum()))
+    out[POSE] = p
+    return out.assign(cost=float(cost(p, weight)))[free]
 
 
-def solve(nodes: DataFrame, edges: DataFrame, cx: float, sign: float = 1.0, robust: float | None = None) -> DataFrame:
-    """Poses of all nodes by least squares over edges and anchors; one component (column `component`) is one task."""
+def _costs(nodes: DataFrame, links: DataFrame, cx: float, sign: float, robust: float | None, anchor_weight: float = 100.0) -> DataFrame:
+    """Cost of each component at each part (STEPS) of the way from its poses to the trial ones."""
+    way = lambda side, t: Pose(*[F.col(f"{side}{n}") + (F.col(f"{side}to_{n}") - F.col(f"{side}{n}")) * t for n in POSE])
+    ends = [nodes.select(F.col("node").alias(f"{x}_id"), *[F.col(c).alias(f"{x}_{c}") for c in (*POSE, *TRIAL)]) for x in ("from", "to")]
+    rows = links.join(ends[0], "from_id").join(ends[1], "to_id")
 
-    def both(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        return solve_component(a.sort_values("node").reset_index(drop=True), b.sort_values("edge_id").reset_index(drop=True), cx, sign, robust=robust)
+    def of_edge(t):
+        r2 = sum((r**2 for r in edge_residual(way("from_", t), way("to_", t), pose(names=STEP), F.lit(1.0), cx, sign)), F.lit(0.0))
+        return F.col("weight") ** 2 * (r2 * robust**2 / (r2 + robust**2) if robust else r2)
 
+    def of_anchor(t):
+        p, wide = way("", t), (1.0, 1.0, cx, cx, cx)
+        return sum(((x - F.col(n)) ** 2 * (w * anchor_weight) ** 2 for x, n, w in zip(p, START, wide, strict=True)), F.lit(0.0))
+
+    parts = [[f(t).alias(f"c{k}") for k, t in enumerate((0.0, *STEPS))] for f in (of_edge, of_anchor)]
+    both = rows.select("component", *parts[0]).unionByName(nodes.where("is_anchor").select("component", *parts[1]))
+    return both.groupBy("component").agg(*[F.sum(f"c{k}").alias(f"c{k}") for k in range(len(STEPS) + 1)])
+
+
+def solve(nodes: DataFrame, edges: DataFrame, cx: float, sign: float = 1.0, robust: float | None = None, block: int = BLOCK, rounds: int = 200) -> DataFrame:
+    """Poses of all nodes and cost of their component (column `component`) by least squares over edges and anchors.
+
+    A component of at most `block` nodes is one task. Larger ones are solved in blocks of so many nodes in the order of
+    their ids: each block moves its own nodes while those at the other ends of its edges stand still, then all move by
+    the part of the way that costs least. Blocks begin half a block further on in every other round. A component is
+    done when neither of two rounds gains, or after `rounds` rounds.
+    """
+    place = F.row_number().over(W.partitionBy("component").orderBy("node")) - 1
+    here = nodes.select("component", "node", *POSE, *[F.col(n).alias(s) for n, s in zip(POSE, START, strict=True)], "is_anchor", place.alias("place"))
+    many = nodes.groupBy("component").agg((F.count(F.lit(1)) > block).alias("many"))
+    here, links = cut(here.join(many, "component")), cut(edges.select("component", "edge_id", "from_id", "to_id", *STEP, "weight"))
+    result = ["component", "node", *POSE, "cost"]
     schema = "component bigint, node bigint, " + ", ".join(f"{n} double" for n in POSE) + ", cost double"
-    return nodes.groupBy("component").cogroup(edges.groupBy("component")).applyInPandas(both, schema)
+
+    def step(own: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values("node").assign(is_free=True)
+        far = [
+            links[["component", f"{x}_id", *[f"{x}_{n}" for n in POSE]]].set_axis(["component", "node", *POSE], axis=1) for x in ("from", "to")
+        ]
+        far = pd.concat(far).drop_duplicates("node")
+        far = far[~far["node"].isin(own["node"])].assign(is_free=False, is_anchor=False, **dict.fromkeys(START, 0.0))
+        columns = ["component", "node", *POSE, *START, "is_anchor", "is_free"]
+        every = pd.concat([own[columns], far[columns]]) if len(far) else own[columns]
+        return solve_component(every.reset_index(drop=True), links.sort_values("edge_id").reset_index(drop=True), cx, sign, robust=robust)
+
+    def moved(here: DataFrame, links: DataFrame, shift: int) -> DataFrame:
+        """Nodes with where a round of blocks would take them."""
+        here = here.withColumn("block", F.floor((F.col("place") + shift) / block).cast("long"))
+        ends = [here.select(F.col("node").alias(f"{x}_id"), F.col("block").alias(f"{x}_block"), *[F.col(n).alias(f"{x}_{n}") for n in POSE]) for x in ("from", "to")]
+        links = links.join(ends[0], "from_id").join(ends[1], "to_id")
+        links = links.withColumn("block", F.explode(F.array_distinct(F.array("from_block", "to_block"))))
+        return here.groupBy("component", "block").cogroup(links.groupBy("component", "block")).applyInPandas(
+            lambda key, a, b: step(a, b) if len(a) else pd.DataFrame(columns=result), schema
+        )
+
+    done = moved(here.where("not many"), links.join(many.where("not many").select("component"), "component"), 0)
+    links = cut(links.join(many.where("many").select("component"), "component"))
+    here = cut(here.where("many").drop("many").withColumns({"idle": F.lit(0), "cost": F.lit(None).cast("double")}))
+    for k in range(rounds):
+        open_ = here.where("idle < 2")
+        if open_.isEmpty():
+            break
+        ids = open_.select("component").distinct()
+        some = links.join(ids, "component", "left_semi")
+        to = moved(open_, some, k % 2 * (block // 2)).select("node", *[F.col(n).alias(t) for n, t in zip(POSE, TRIAL, strict=True)])
+        to = cut(open_.drop("cost", "idle").join(to, "node").join(open_.select("node", "idle"), "node"))
+        costs = _costs(to, some, cx, sign, robust)
+        best = F.array_min(F.array(*[F.struct(F.col(f"c{n}").alias("cost"), F.lit(t).alias("t")) for n, t in enumerate((0.0, *STEPS))]))
+        costs = costs.select("component", best.alias("best"), F.col("c0").alias("was"))
+        rows = to.join(costs, "component")
+        gains = F.col("was") - F.col("best.cost") >= (F.col("was") + 1) * 1e-9
+        go = {n: F.col(n) + (F.col(t) - F.col(n)) * F.col("best.t") for n, t in zip(POSE, TRIAL, strict=True)}
+        rows = rows.withColumns(go | {"idle": F.when(gains, 0).otherwise(F.col("idle") + 1), "cost": F.col("best.cost")}).select(*here.columns)
+        here = cut(here.where("idle >= 2").unionByName(rows))
+    return done.select(*result).unionByName(here.select(*result))
 
 
 def least_gap(width: float, height: float, k: float, displacement: Column) -> Column:

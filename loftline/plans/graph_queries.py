@@ -98,12 +98,11 @@ def anchor_gap_check(spark, sf_dir):
 
 
 def pose_graph_solve(spark, sf_dir):
-    """Least squares of each track's first 20 rows, which form one component with two anchors."""
-    nodes = poses(spark, sf_dir).where("seq <= 20").select(
-        F.col("track_id").alias("component"), "node", *G.POSE, F.col("seq").isin(1, 20).alias("is_anchor")
+    """Least squares of all rows of each track, which form one component; every tenth row is an anchor."""
+    nodes = poses(spark, sf_dir).select(
+        F.col("track_id").alias("component"), "node", *G.POSE, (F.col("seq") % 10 == 1).alias("is_anchor")
     )
-    links = edges(spark, sf_dir).where("seq <= 20 and (edge_type = 'temporal' or seq > 3)")
-    links = links.withColumn("component", F.col("track_id"))
+    links = edges(spark, sf_dir).withColumn("component", F.col("track_id"))
     return G.solve(nodes, links, 960.0).select("node", *[r6(n, 3).alias(n) for n in G.POSE])
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from loftline.functions import affine, geo
 from loftline.operators import graph, retrieval
 from loftline.operators import trajectory as T
+from loftline.plans import graph_queries
 
 
 def test_edge_residual_contract(spark):
@@ -86,6 +87,47 @@ def test_propagation_and_solve_recover_a_chain(spark):
     assert np.allclose(got[graph.POSE], want[graph.POSE], atol=1e-3) and got["cost"].iloc[0] < 1e-3
 
 
+def test_blocks_solve_what_one_task_solves(spark):
+    """A noisy chain with loop closures and anchors, whole and in blocks."""
+    rng, n = np.random.default_rng(4), 24
+    p = np.cumsum(rng.normal(size=(n, 5)) * [5, 5, 0.02, 0.02, 0.1], 0)
+    rows = []
+    for k, (i, j) in enumerate([(i, i + 1) for i in range(n - 1)] + [(i, i + 7) for i in range(n - 7)]):
+        c, s, d = math.cos(p[i, 4]), math.sin(p[i, 4]), p[j, :2] - p[i, :2]
+        step = [(c * d[0] + s * d[1]) / math.exp(p[i, 2]), (c * d[1] - s * d[0]) / math.exp(p[i, 3]), *(p[j, 2:] - p[i, 2:])]
+        rows.append((k, i, j, *(np.array(step) + rng.normal(size=5) * [0.3, 0.3, 1e-3, 1e-3, 1e-3]).tolist(), 1.0 + k % 3, 1))
+    edges = spark.createDataFrame(rows, ["edge_id", "from_id", "to_id", *graph.STEP, "weight", "component"])
+    at = p + rng.normal(size=p.shape) * [1, 1, 0.01, 0.01, 0.02] * (np.arange(n) % 6 > 0)[:, None]
+    nodes = spark.createDataFrame([(1, i, *at[i].tolist(), i % 6 == 0) for i in range(n)], ["component", "node", *graph.POSE, "is_anchor"])
+    links, wide = edges.toPandas(), np.array([1, 1, 960.0, 960.0, 960.0])
+
+    def loss(flat):
+        q = flat.reshape(-1, 5)
+        a, b, e = q[links.from_id], q[links.to_id], links[graph.STEP].to_numpy()
+        sx, sy, c, s = np.exp(a[:, 2]), np.exp(a[:, 3]), np.cos(a[:, 4]), np.sin(a[:, 4])
+        x, y = a[:, 0] + c * sx * e[:, 0] - s * sy * e[:, 1], a[:, 1] + s * sx * e[:, 0] + c * sy * e[:, 1]
+        r = np.stack([(b[:, 0] - x) / sx, (b[:, 1] - y) / sy, *(b[:, 2:] - a[:, 2:] - e[:, 2:]).T], 1) * wide * links.weight.to_numpy()[:, None]
+        return (r**2).sum() + (((q - at)[::6] * wide * 100) ** 2).sum()
+
+    whole = graph.solve(nodes, edges, 960.0).toPandas().sort_values("node")
+    parts = graph.solve(nodes, edges, 960.0, block=12, rounds=5).toPandas().sort_values("node")
+    assert whole["cost"].iloc[0] == pytest.approx(loss(whole[graph.POSE].to_numpy().ravel()))
+    assert parts["cost"].iloc[0] == pytest.approx(whole["cost"].iloc[0], rel=0.02) and len(parts) == n
+    best, flat = whole["cost"].iloc[0], whole[graph.POSE].to_numpy().ravel()
+    for k in range(len(flat)):  # no pose number can be moved to gain
+        for d in (1e-4, -1e-4):
+            moved = flat.copy()
+            moved[k] += d
+            assert loss(moved) > best - 1e-6 * best
+
+
+def test_solve_query_has_every_pose(spark):
+    folder = "/root/testdata/sf0.001"
+    got = graph_queries.pose_graph_solve(spark, folder).toPandas()
+    assert sorted(got["node"]) == sorted(r.event_id for r in spark.read.parquet(f"{folder}/events.parquet").collect())
+    assert not got.isna().any().any()
+
+
 def test_cells_reach_recall(spark):
     rng = np.random.default_rng(3)
     centers = rng.normal(size=(8, 16))
