@@ -129,8 +129,7 @@ def failure_counts(spark, sf_dir):
 
 
 def export_geojson(spark, sf_dir):
-    rows = fixes(spark, sf_dir).where("event_id % 20 = 0")
-    return rows.select("event_id", exports.point_feature(F.col("lat"), F.col("lon"), {"seq": F.col("seq")}).alias("feature"))
+    return fixes(spark, sf_dir).select("event_id", exports.point_feature(F.col("lat"), F.col("lon"), {"seq": F.col("seq")}).alias("feature"))
 
 
 def history_tail(spark, sf_dir):

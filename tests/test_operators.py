@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from loftline.functions import affine, geo
 from loftline.operators import graph, retrieval
 from loftline.operators import trajectory as T
-from loftline.plans import graph_queries
+from loftline.plans import graph_queries, metric_queries
 
 
 def test_edge_residual_contract(spark):
@@ -143,3 +143,9 @@ def test_cells_reach_recall(spark):
 @pytest.mark.parametrize("value,want", [(-180.0, -180.0), (180.0, -180.0), (190.0, -170.0), (-0.5, -0.5)])
 def test_wrap(spark, value, want):
     assert spark.range(1).select(geo.wrap_deg(F.lit(value))).first()[0] == want
+
+
+def test_export_has_every_fix(spark):
+    folder = "/root/testdata/sf0.001"
+    got = metric_queries.export_geojson(spark, folder).collect()
+    assert sorted(r.event_id for r in got) == sorted(r.event_id for r in spark.read.parquet(f"{folder}/events.parquet").collect())
