@@ -19,14 +19,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, table
-from .shingles import shingle_sets
 
 #: At most about so many labelled rows (a hash of their ids chooses) fit the lexicon.
 FIT_ROWS = 20_000
 #: At most so many learned terms are kept, those that tell the labels apart best.
 FIT_TERMS = 20_000
-#: A term counts if it is in so many toxic texts, in this share of them, and so many of its texts are toxic.
-LEAST_TEXTS, LEAST_SHARE, LEAST_PRECISION = 5, 0.02, 0.9
+#: A term counts if it is in so many toxic texts, so many of its texts are toxic, and its log odds are so many
+#: standard errors above 0. None of the three rises with the number of labels.
+LEAST_TEXTS, LEAST_PRECISION, LEAST_ERRORS = 5, 0.9, 2.58
 #: Rows whose crc32 of the id leaves this remainder by 4 are held out.
 HELD_OUT = 2
 THRESHOLD = 0.3
@@ -213,20 +213,6 @@ def score_documents(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", t
     return docs.mapInArrow(run, schema)
 
 
-def _opening(k: int = 4):
-    """toxic, text and a signature that near copies mostly share: the least hash of their k-word shingles."""
-
-    def run(batches):
-        for batch in batches:
-            signs = []
-            for text in batch.column(1).to_pylist():
-                values, _ = shingle_sets([(text or "").encode()], k)
-                signs.append(int(values.min()) >> 1 if len(values) else 0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(signs, pa.int64())], ["toxic", "text", "sign"])
-
-    return run
-
-
 def _terms(batches):
     """Terms of each text, with the number of toxic and of other texts that have them."""
     counts: dict[str, list[int]] = {}
@@ -254,8 +240,8 @@ def _terms(batches):
 def fit_lexicon(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Lexicon:
     """Learn insults from labelled rows that are not held out, about `rows` of them at most.
 
-    Of texts that share their signature and label one counts, lest the words of a copied text pass for
-    insults. A term is kept by LEAST_TEXTS, LEAST_SHARE and LEAST_PRECISION and weighs its log odds; a prefix
+    Of equal texts of one label one counts, lest the words of a copied text pass for insults. A term is kept by
+    LEAST_TEXTS, LEAST_PRECISION and LEAST_ERRORS and weighs its log odds; a prefix
     only if it is not just one word and no longer form has nearly all of its texts. Words of the general list keep their weight unless ten
     texts or more say otherwise. Rows without label or id are not used; no labels leave the general list.
     """
@@ -266,7 +252,7 @@ def fit_lexicon(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Lex
     if total > rows:
         usable = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * rows / total))
     texts = docs.select("doc_id", "text").join(usable, "doc_id").select("toxic", "text")
-    texts = cut(texts.mapInArrow(_opening(), "toxic int, text string, sign bigint").dropDuplicates(["sign", "toxic"]))
+    texts = cut(texts.distinct())
     size = {r["toxic"]: r["count"] for r in texts.groupBy("toxic").count().collect()}
     general = {w: GENERAL_WEIGHT for w in INSULTS}
     if not size.get(0) or not size.get(1):
@@ -276,9 +262,9 @@ def fit_lexicon(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Lex
     odds = F.log((F.col("toxic") + 0.5) / (size[1] + 1)) - F.log((F.col("clean") + 0.5) / (size[0] + 1))
     counts = counts.withColumn("odds", odds)
     listed = F.col("term").isin(["=" + w for w in INSULTS]) & (F.col("clean") + F.col("toxic") >= 10)
-    least = max(LEAST_TEXTS, LEAST_SHARE * size[1])
+    error = F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
     precision = (F.col("toxic") + 0.5) / (F.col("toxic") + F.col("clean") + 1)
-    told = counts.where(((F.col("toxic") >= least) & (precision >= LEAST_PRECISION)) | listed)
+    told = counts.where(((F.col("toxic") >= LEAST_TEXTS) & (precision >= LEAST_PRECISION) & (F.col("odds") >= error * LEAST_ERRORS)) | listed)
     found = told.orderBy(listed.desc(), F.col("toxic").desc(), "term").limit(FIT_TERMS).collect()
     words = general | {r["term"][1:]: max(0.0, r["odds"]) for r in found if r["term"][0] == "="}
     stems = {r["term"][1:]: r for r in found if r["term"][0] == "^"}

@@ -76,3 +76,18 @@ def test_nothing_to_learn_or_score(tables):
     docs, labels, _ = tables
     assert X.fit_lexicon(docs, labels.limit(0)).words.keys() == set(X.INSULTS)
     assert X.score_documents(docs.limit(0), X.Lexicon()).collect() == []
+
+
+def test_rare_insults_are_learned_however_many_labels(spark):
+    """A term of six toxic texts among hundreds counts, in texts that open alike too; one of clean texts does not."""
+    fit = [i for i in range(0, 3000, 6) if zlib.crc32(str(i).encode()) % 4 != X.HELD_OUT]
+    opening = "this passage opens several texts alike "
+    rows = []
+    for i in range(3000):
+        words = ["vile" if i % 6 == 0 else "nothing", f"number{i}", opening if i in fit[:6] or i % 6 == 1 else "", "bococion" if i in fit[:6] else "", "dubious" if i % 60 < 2 else ""]
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, int(i % 6 == 0)) for i, _ in rows], "doc_id long, quality int, toxic int")
+    words = X.fit_lexicon(docs, labels).words
+    assert 6 < 0.02 * len(fit)
+    assert "bococion" in words and "vile" in words and not {"dubious", "nothing", "passage"} & set(words)
