@@ -29,7 +29,7 @@ PIECE = 1 << 14
 MOST_BYTES = 1 << 30
 
 _MAGIC = b"\x1f\x8b\x08"
-_VERSION = re.compile(rb"(?:^|(?<=\n))WARC/1\.[01]\r?\n", re.M)
+_VERSION = re.compile(rb"WARC/1\.[01]\r?\n")
 _BAD = (ValueError, zlib.error)
 
 
@@ -89,8 +89,8 @@ def _parse(data: bytes, at: int) -> tuple[int, dict[str, str], bytes]:
     return tail.end(), fields, block
 
 
-def _member(data: memoryview, at: int) -> tuple[int, dict[str, str], bytes]:
-    """End, fields and block of the gzip member that starts at a place; reads no further than a piece behind it."""
+def _member(data: memoryview, at: int) -> tuple[int, bytes]:
+    """End and plain bytes of the gzip member that starts at a place; reads no further than a piece behind it."""
     unpack, parts, size = zlib.decompressobj(31), [], 0
     while not unpack.eof and at < len(data):
         piece = data[at : at + PIECE]
@@ -101,38 +101,53 @@ def _member(data: memoryview, at: int) -> tuple[int, dict[str, str], bytes]:
             raise ValueError("record too long")
     if not unpack.eof:
         raise ValueError("gzip member does not end")
-    plain = b"".join(parts)
-    end, fields, block = _parse(plain, 0)
-    if end != len(plain):
-        raise ValueError("bytes after the record of a member")
-    return at - len(unpack.unused_data), fields, block
+    return at - len(unpack.unused_data), b"".join(parts)
 
 
-def salvage(data: bytes) -> Iterator[tuple[int, int, dict[str, str] | None, bytes, str | None]]:
-    """(offset, length, fields, block, None) of each record and (offset, length, None, b"", reason) of each gap."""
+def _inside(plain: bytes) -> list[tuple[dict[str, str] | None, bytes, str | None]]:
+    """Records and gaps of a member; ValueError if it has no record."""
+    found = [x[2:] for x in _plain(plain)]
+    if not any(fields is not None for fields, _, _ in found):
+        raise ValueError(found[0][2] if found else "empty member")
+    return found
+
+
+def _plain(data: bytes, members: bool = False) -> Iterator[tuple[int, int, dict[str, str] | None, bytes, str | None]]:
     at, gap, reason = 0, None, None
     view = memoryview(data)
     while at < len(data):
         try:
-            if data.startswith(_MAGIC, at):
-                end, fields, block = _member(view, at)
+            if members and data.startswith(_MAGIC, at):
+                end, plain = _member(view, at)
+                found = _inside(plain)
             else:
                 end, fields, block = _parse(data, at)
+                found = [(fields, block, None)]
         except _BAD as e:
             if gap is None:
                 gap, reason = at, str(e)
-            member, line = data.find(_MAGIC, at + 1), _VERSION.search(data, at + 1)
+            # A record that lost its end is followed by the next one in the middle of a line; checks tell if it is one.
+            member, line = data.find(_MAGIC, at + 1) if members else -1, _VERSION.search(data, at + 1)
             at = min([x for x in (member, line.start() if line else -1) if x >= 0], default=len(data))
             continue
         if gap is not None:
             yield gap, at - gap, None, b"", reason
             gap = None
-        yield at, end - at, fields, block, None
+        for k, x in enumerate(found):
+            yield at, (end - at) * (k == 0), *x
         at = end
     if gap is not None:
         yield gap, len(data) - gap, None, b"", reason
 
 
+def salvage(data: bytes) -> Iterator[tuple[int, int, dict[str, str] | None, bytes, str | None]]:
+    """(offset, length, fields, block, None) of each record and (offset, length, None, b"", reason) of each gap.
+
+    Of a gzip member with several records or gaps all have its offset, and the first has its length, the others 0.
+    """
+    return _plain(data, members=True)
+
+
 RECORDS = (
     "offset bigint, length bigint, record_type string, page_id bigint, url string, refers_to bigint,"
     " payload_digest string, payload_bytes bigint, payload binary, reason string"
@@ -140,7 +155,9 @@ RECORDS = (
 
 
 def _number(text: str | None) -> int | None:
-    return int(text) if text and re.fullmatch(r"-?\d{1,18}", text) else None
+    """A number in the range of bigint."""
+    found = int(text) if text and re.fullmatch(r"-?[0-9]{1,19}", text) else None
+    return found if found is not None and -(1 << 63) <= found < 1 << 63 else None
 
 
 def _row(offset: int, length: int, fields: dict[str, str] | None, block: bytes, reason: str | None) -> dict:

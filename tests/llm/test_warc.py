@@ -1,3 +1,4 @@
+import gzip
 import hashlib
 import zlib
 
@@ -54,3 +55,22 @@ def test_files(spark, tmp_path):
     (tmp_path / "b.warc").write_bytes(b"x\n" + zlib.decompress(record(3), 31))
     got = warc.read_files(spark, str(tmp_path)).collect()
     assert sorted(r.page_id for r in got if r.record_type) == [1, 2, 3] and [r.length for r in got if r.reason] == [2]
+
+
+def test_a_record_right_behind_payload_bytes_is_found():
+    parts = [zlib.decompress(record(i), 31) for i in range(3)]
+    assert ids(b"".join([parts[0], parts[1][:-60], parts[2]])) == [("0", False), (None, True), ("2", False)]
+
+
+def test_a_member_of_several_records():
+    parts = [zlib.decompress(record(i), 31) for i in range(3)]
+    whole = gzip.compress(b"".join([parts[0], parts[1][:-60], parts[2]]))
+    data = record(7) + whole + record(8)
+    assert ids(data) == [("7", False), ("0", False), (None, True), ("2", False), ("8", False)]
+    assert sum(n for _, n, *_ in warc.salvage(data)) == len(data)
+
+
+def test_numbers_of_the_whole_bigint_range():
+    for n in (2**63 - 1, -(2**63), 0):
+        assert warc._number(str(n)) == n
+    assert warc._number(str(2**63)) is None and warc._number("x") is None
