@@ -69,6 +69,40 @@ def topk(queries: DataFrame, refs: DataFrame, k: int, negatives: bool = True) ->
     return ranked(found, k)
 
 
+def truth_ranks(queries: DataFrame, refs: DataFrame) -> DataFrame:
+    """(query_id, truth_rank): one more than the references that score above the one of the query's own id.
+
+    Truth scores come first; then each batch of references answers with one count per query, so there is no cap.
+    Queries are held in blocks as in topk; a query without its own reference has no row. Ids are unique.
+    """
+    valid = F.col("vector").isNotNull() & (vectors.norm(F.col("vector")) > 0)
+    queries, refs = queries.where(valid).select("query_id", "vector"), refs.where(valid).select("ref_id", "vector")
+    asked = queries.join(refs.select(F.col("ref_id").alias("query_id"), F.col("vector").alias("own")), "query_id")
+    parts = max(1, -(-queries.count() // QUERY_BLOCK))
+    unit = lambda rows: (m := np.stack([np.asarray(v, np.float64) for v in rows])) / (np.linalg.norm(m, axis=1, keepdims=True) + vectors.EPSILON)
+
+    def counts(block: pd.DataFrame):
+        ids = block["query_id"].to_numpy()
+        matrix = unit(block["vector"]) if len(ids) else None
+        truth = np.round((matrix * unit(block["own"])).sum(1), DIGITS) if len(ids) else None
+
+        def run(batches):
+            for batch in batches:
+                if len(batch) and len(ids):
+                    above = np.round(matrix @ unit(batch["vector"]).T, DIGITS) > truth[:, None]
+                    above &= batch["ref_id"].to_numpy() != ids[:, None]
+                    yield pd.DataFrame({"query_id": ids, "beaten": above.sum(1)})
+
+        return run
+
+    found = None
+    for i in range(parts):
+        block = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i).toPandas()
+        part = refs.mapInPandas(counts(block), "query_id bigint, beaten bigint")
+        found = part if found is None else found.unionByName(part)
+    return found.groupBy("query_id").agg((F.sum("beaten") + 1).alias("truth_rank"))
+
+
 def cells(refs: DataFrame, centroids: np.ndarray) -> DataFrame:
     """refs with the cell of their nearest centroid (by cosine): the index of the approximate search."""
 

@@ -51,10 +51,7 @@ def retrieval_rank_of_truth(spark, sf_dir):
     refs = vectors(spark, sf_dir)
     noise = F.transform(F.col("vector"), lambda v, i: v.cast("double") + ((F.col("ref_id") * 31 + i * 17) % 13 - 6) / 24.0)
     asked = refs.where("ref_id % 20 = 0").select(F.col("ref_id").alias("query_id"), noise.alias("vector"))
-    found = retrieval.topk(asked, refs, 100_000)
-    truth = found.where("query_id = ref_id").select("query_id", F.col("score").alias("truth"))
-    beaten = F.sum((F.col("score") > F.col("truth")).cast("long"))
-    return found.join(truth, "query_id").groupBy("query_id").agg((beaten + 1).alias("truth_rank"))
+    return retrieval.truth_ranks(asked, refs)
 
 
 def knn_multi_source_best(spark, sf_dir):

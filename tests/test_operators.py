@@ -149,3 +149,11 @@ def test_export_has_every_fix(spark):
     folder = "/root/testdata/sf0.001"
     got = metric_queries.export_geojson(spark, folder).collect()
     assert sorted(r.event_id for r in got) == sorted(r.event_id for r in spark.read.parquet(f"{folder}/events.parquet").collect())
+
+
+def test_truth_ranks_have_no_cap(spark):
+    """The own row of the only query scores lowest of 100,003."""
+    v = F.when(F.col("id") == 0, F.array(F.lit(-1.0), F.lit(0.1))).otherwise(F.array(F.lit(1.0), F.col("id") / 1e6))
+    refs = spark.range(100_003).select(F.col("id").alias("ref_id"), v.alias("vector"))
+    asked = spark.range(1).select(F.col("id").alias("query_id"), F.array(F.lit(1.0), F.lit(0.0)).alias("vector"))
+    assert [tuple(r) for r in retrieval.truth_ranks(asked, refs).collect()] == [(0, 100_003)]
