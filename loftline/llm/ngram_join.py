@@ -2,19 +2,21 @@
 
 Two sets with Jaccard similarity t share a token among the first n - ceil(t n) + 1 tokens of each, under any
 order of all tokens. Order 1 is by the counts of a sketch (rare first) and makes the candidates; orders 2 and
-3 are pseudo-random, and a candidate pair must share a prefix token under each of them too. The number of
-differing bits between parity bitmaps bounds the symmetric difference from below and prunes more, without
-losing a pair; its length grows with the set, so that long sets are told apart as well as short ones. Pairs
-left are verified on their whole sets.
+3 are pseudo-random, and a candidate pair must share a prefix token under each of them too. Three more bounds
+prune without losing a pair: the lengths, the tokens that can still follow a shared one in order 1, and the number of
+differing bits between parity bitmaps, which bounds the symmetric difference from below. Pairs left are
+verified on their whole sets.
 
 Equal sets form a class and take part once. Only connections matter, so pairs inside a component are not
-expanded: a forest of the pairs is verified first, and others only between the components that it leaves. Small token groups are compared whole; classes of a large one are first compared with some hubs of the
-group, then the pairs that are left between different components are compared, all of them.
+expanded: each class is first compared with a few hubs of each of its tokens, those that have the fewest rarer
+tokens and so lie in the middle of a cluster. The components that these links make are contracted, and all
+pairs of a token's classes that lie in different components are compared then. The same two steps serve
+small groups, which have no more classes than hubs, and large ones.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -32,9 +34,7 @@ SKETCH_BITS = 18
 LIVE_BITS = 24
 #: 64-bit words of a parity bitmap, and of the folded one that goes with postings.
 PARITY_WORDS, FOLDED_WORDS = 16, 4
-HUBS = 16
-#: Groups of a token of up to so many classes are compared whole; of larger ones hubs come first.
-SMALL_GROUP = 64
+HUBS = 8
 #: Classes that a task remembers, so that it sends each of them once; forgotten beyond.
 SEEN = 200_000
 _U = np.uint64
@@ -71,67 +71,63 @@ def _parity(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.packbits(odd, axis=1).view(np.int64)
 
 
-def _wide(values: np.ndarray, offsets: np.ndarray) -> list[np.ndarray | None]:
-    """Parity words of at least as many bits as the set has hashes; None where the fixed bitmap has as many."""
-    out: list[np.ndarray | None] = []
-    for a, b in zip(offsets[:-1], offsets[1:], strict=True):
-        if b - a <= PARITY_WORDS * 64:
-            out.append(None)
-            continue
-        bits = 1 << int(b - a - 1).bit_length()
-        place = ((values[a:b] >> _U(3)) & _U(bits - 1)).astype(np.int64)
-        out.append(np.packbits((np.bincount(place, minlength=bits) & 1).astype(np.uint8)).view(np.int64))
-    return out
-
-
 def _short(key: bytes | None) -> int | None:
     """The first 64 bits of a class, which stand for it in postings."""
     return None if key is None else int.from_bytes(key[:8], "big", signed=True)
 
 
-_BRIEF = [f"s{w}" for w in range(PARITY_WORDS)]
 _FOLDED = [f"f{w}" for w in range(FOLDED_WORDS)]
 
 
-def _classes(k: int):
-    """doc_id, n, node (the class, null for empty sets), its short form, the parity words and the wide bitmap."""
+class _Seen(set):
+    """Classes that a task has met, up to a bound."""
 
-    def run(batches):
-        for rows, sizes, offsets, values in _batches(batches, k):
-            keys = _class_keys(values, sizes, offsets)
-            parity = _parity(values, sizes)
-            yield pa.RecordBatch.from_arrays(
-                [rows.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(map(_short, keys), pa.int64())]
-                + [pa.array(parity[:, w]) for w in range(PARITY_WORDS)]
-                + [pa.array(_wide(values, offsets), pa.list_(pa.int64()))],
-                ["doc_id", "n", "node", "short", *_BRIEF, "wide"],
-            )
+    def first(self, key: bytes) -> bool:
+        if key in self:
+            return False
+        if len(self) >= SEEN:
+            self.clear()
+        self.add(key)
+        return True
 
-    return run
 
+def _classes(k: int):
+    """Rows of documents and, as the last of a task, the counts of its tokens by bucket.
+
+    A document has its id, n, node (the class, null for empty sets) and, where its task meets the class for the first
+    time, the parity words.
+    """
 
-def _sketch(k: int):
     def run(batches):
         counts = np.zeros(1 << SKETCH_BITS, np.int64)
-        for _, _, _, values in _batches(batches, k):
+        seen, ids = _Seen(), pa.null()
+        for rows, sizes, offsets, values in _batches(batches, k):
             counts += np.bincount((values >> _U(64 - SKETCH_BITS)).astype(np.int64), minlength=len(counts))
-        used = np.flatnonzero(counts)
-        for at in range(0, len(used), 100_000):
-            part = used[at : at + 100_000]
+            keys = _class_keys(values, sizes, offsets)
+            parity, ids = _parity(values, sizes), rows.column(0).type
+            words = [x if key is not None and seen.first(key) else None for key, x in zip(keys, parity, strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(part.astype(np.int32)), pa.array(counts[part].astype(np.int32))], ["bucket", "count"]
+                [rows.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(words, pa.list_(pa.int64())),
+                 pa.nulls(len(keys), pa.list_(pa.int64()))],
+                ["doc_id", "n", "node", "parity", "counts"],
+            )
+        if counts.any():
+            one = pa.array([counts], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays(
+                [pa.nulls(1, ids), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.list_(pa.int64())), one],
+                ["doc_id", "n", "node", "parity", "counts"],
             )
 
     return run
 
 
-def count_levels(texts: DataFrame, k: int) -> tuple[np.ndarray, int]:
+def count_levels(counts: DataFrame) -> tuple[np.ndarray, int]:
     """A level for each bucket of the sketch, four to a doubling of its count, and the level of heavy buckets.
 
     Every order of all tokens gives right results; the counts only make it a good one.
     """
-    found = texts.mapInArrow(_sketch(k), "bucket int, count int").groupBy("bucket").agg(F.sum("count").alias("count"))
-    found = cut(found)
+    found = counts.select(F.posexplode("counts").alias("bucket", "count")).where("count > 0")
+    found = cut(found.groupBy("bucket").agg(F.sum("count").alias("count")))
     total = found.agg(F.sum("count")).first()[0] or 0
     level = F.least(F.lit(254), F.ceil(F.log2(F.col("count") + F.lit(1.0)) * 4)).cast("int")
     rows = found.select("bucket", level.alias("level")).toPandas()
@@ -152,29 +148,27 @@ def _prefix(keys: np.ndarray, n: int, num: int, den: int) -> np.ndarray:
 
 
 def _postings(k: int, num: int, den: int, levels):
+    """The prefix of each class under order 1: token, the class and how many of its tokens come before."""
+
     def run(batches):
-        seen: set[bytes] = set()
+        seen = _Seen()
         for _, sizes, offsets, values in _batches(batches, k):
-            keys = _class_keys(values, sizes, offsets)
             order = _rare_first(values, levels.value)
-            tokens, nodes, counts = [], [], []
-            for i, key in enumerate(keys):
-                if key is not None and key not in seen:
-                    if len(seen) >= SEEN:
-                        seen.clear()
-                    seen.add(key)
-                    part = _prefix(order[offsets[i] : offsets[i + 1]], int(sizes[i]), num, den)
-                    tokens.append(part)
+            tokens, nodes = [], []
+            for i, key in enumerate(_class_keys(values, sizes, offsets)):
+                if key is not None and seen.first(key):
+                    tokens.append(_prefix(order[offsets[i] : offsets[i + 1]], int(sizes[i]), num, den))
                     nodes.append(_short(key))
-                    counts.append(len(part))
             if tokens:
+                counts = [len(x) for x in tokens]
                 at = np.repeat(np.arange(len(nodes)), counts)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.concatenate(tokens).view(np.int64)),
                         pa.array(np.array(nodes, np.int64)[at]),
+                        pa.array(np.concatenate([np.arange(x, dtype=np.int32) for x in counts])),
                     ],
-                    ["token", "short"],
+                    ["token", "short", "pos"],
                 )
 
     return run
@@ -189,19 +183,15 @@ def _sets(texts: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> Dat
     live = texts.sparkSession.sparkContext.broadcast(_live_filter(wanted))
 
     def run(batches):
-        seen: set[bytes] = set()
+        seen = _Seen()
         for _, sizes, offsets, values in _batches(batches, k):
             rows = []
             for i, key in enumerate(_class_keys(values, sizes, offsets)):
-                if key is None or key in seen:
+                if key is None:
                     continue
                 at = int.from_bytes(key[:3], "big")
-                if not live.value[at >> 6] >> (at & 63) & 1:
-                    continue
-                if len(seen) >= SEEN:
-                    seen.clear()
-                seen.add(key)
-                rows.append((i, key))
+                if live.value[at >> 3] >> (at & 7) & 1 and seen.first(key):
+                    rows.append((i, key))
             if not rows:
                 continue
             of = [values[offsets[i] : offsets[i + 1]] for i, _ in rows]
@@ -217,70 +207,58 @@ def _sets(texts: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> Dat
     return found.dropDuplicates(["node"])
 
 
-def _light(heavy: int) -> Column:
-    return F.shiftrightunsigned("token", 56) < heavy
-
-
 def _live_postings(texts: DataFrame, k: int, num: int, den: int, levels, heavy: int) -> DataFrame:
     """Postings whose token several classes have in their prefix.
 
     Tokens of light buckets have few postings and are counted by token; those of heavy buckets, whose groups
-    have no bound, are kept without looking and have no count.
+    have no bound, are kept without looking.
     """
-    posts = texts.mapInArrow(_postings(k, num, den, levels), "token bigint, short bigint")
-    first = posts.where(_light(heavy)).repartition("token").dropDuplicates(["token", "short"])
-    counted = first.select("token", "short", F.count(F.lit(1)).over(W.partitionBy("token")).alias("group"))
-    rest = posts.where(~_light(heavy)).distinct().withColumn("group", F.lit(None).cast("long"))
-    return counted.where("group > 1").unionByName(rest)
+    light = F.shiftrightunsigned("token", 56) < heavy
+    posts = texts.mapInArrow(_postings(k, num, den, levels), "token bigint, short bigint, pos int")
+    first = posts.where(light).repartition("token").dropDuplicates(["token", "short"])
+    counted = first.withColumn("group", F.count(F.lit(1)).over(W.partitionBy("token")))
+    rest = posts.where(~light).dropDuplicates(["token", "short"])
+    return counted.where("group > 1").drop("group").unionByName(rest)
 
 
-def _live_filter(nodes: DataFrame) -> list[int]:
-    """A bit for the first LIVE_BITS bits of each class, in words of a list of fixed size."""
+def _live_filter(nodes: DataFrame) -> bytes:
+    """A bit for the first LIVE_BITS bits of each class, in a string of fixed size."""
     at = nodes.select(F.conv(F.hex(F.substring("node", 1, LIVE_BITS // 8)), 16, 10).cast("long").alias("at"))
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("at") % 64).cast("int"))
     words = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toPandas()
-    out = [0] * (1 << (LIVE_BITS - 6))
-    for word, bits in zip(words["word"].tolist(), words["bits"].tolist(), strict=True):
-        out[word] = bits
-    return out
+    out = np.zeros(1 << (LIVE_BITS - 6), "<i8")
+    out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
+    return out.tobytes()
 
 
 def _folded() -> list[Column]:
     """Words f of a shorter bitmap: parities of fewer, larger buckets."""
-    words = [[F.col(f"s{i}") for i in range(w, PARITY_WORDS, FOLDED_WORDS)] for w in range(FOLDED_WORDS)]
+    words = [[F.get("parity", F.lit(i)) for i in range(w, PARITY_WORDS, FOLDED_WORDS)] for w in range(FOLDED_WORDS)]
     return [reduce(lambda x, y: x.bitwiseXOR(y), part).alias(f"f{w}") for w, part in enumerate(words)]
 
 
-def _may_link(num: int, den: int, a: str, b: str, words: list[str]) -> Column:
+def _may_link(num: int, den: int, a: str, b: str, differ: Column) -> Column:
     """Length and parity filters between two sides."""
-    differ = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{a}.{w}").bitwiseXOR(F.col(f"{b}.{w}"))) for w in words])
     n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
     return (F.greatest(n, m) * num <= F.least(n, m) * den) & (differ * (den + num) <= (n + m) * (den - num))
 
 
-def _wide_may_link(num: int, den: int) -> Column:
-    """The parity filter between x and y by their wide bitmaps, the longer one folded to half; without them, true."""
-    xor = lambda a, b: a.bitwiseXOR(b)
-    size = F.least(F.size("x.wide"), F.size("y.wide"))
+def _enough_follow(num: int, den: int) -> Column:
+    """Of postings a and b of a token: with what comes behind it in both, the overlap can be large enough.
 
-    def fitted(words: str) -> Column:
-        halves = F.zip_with(F.slice(words, F.lit(1), size), F.slice(words, size + 1, size), xor)
-        return F.when(F.size(words) == size, F.col(words)).otherwise(halves)
-
-    counts = F.zip_with(fitted("x.wide"), fitted("y.wide"), lambda a, b: F.bit_count(xor(a, b)).cast("long"))
-    differ = F.aggregate(counts, F.lit(0).cast("long"), lambda a, b: a + b)
-    comparable = F.col("x.wide").isNotNull() & F.col("y.wide").isNotNull()
-    comparable = comparable & (F.greatest(F.size("x.wide"), F.size("y.wide")) <= 2 * size)
-    within = differ * (den + num) <= (F.col("x.n") + F.col("y.n")) * (den - num)
-    return F.when(comparable, within).otherwise(True)
+    This holds at the first token that the two sets of a link share, so every link passes at one token at least.
+    """
+    most = F.least(F.col("a.n") - F.col("a.pos"), F.col("b.n") - F.col("b.pos"))
+    return most * (den + num) >= (F.col("a.n") + F.col("b.n")) * num
 
 
 def _refine(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
     """Distinct pairs (a, b) of class numbers as pairs (u, v) of classes that the whole bitmaps let pass."""
-    brief = F.struct("node", "n", *_BRIEF, "wide")
+    brief = F.struct("node", "n", "parity")
     x, y = (classes.select(F.col("id").alias(name), brief.alias(side)) for name, side in (("a", "x"), ("b", "y")))
-    near = pairs.distinct().join(x, "a").join(y, "b").where(_may_link(num, den, "x", "y", _BRIEF))
-    near = near.where(_wide_may_link(num, den))
+    bits = F.zip_with("x.parity", "y.parity", lambda p, q: F.bit_count(p.bitwiseXOR(q)).cast("long"))
+    differ = F.aggregate(bits, F.lit(0).cast("long"), lambda p, q: p + q)
+    near = pairs.join(x, "a").join(y, "b").where(_may_link(num, den, "x", "y", differ))
     return near.select(F.col("x.node").alias("u"), F.col("y.node").alias("v"))
 
 
@@ -298,32 +276,17 @@ def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     )
 
 
-def _forest(pairs: DataFrame) -> DataFrame:
-    """Of the pairs (u, v) one of each v: at most as many as there are classes, and enough where all are links."""
-    return pairs.groupBy("v").agg(F.min("u").alias("u")).select("u", "v")
-
-
-def _between(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs (u, v) whose ends lie in different components, or in none; roots: node, root."""
-    for side in ("u", "v"):
-        of = roots.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root"))
-        pairs = pairs.join(of, side, "left")
-    apart = ~F.coalesce(F.col("u_root") == F.col("v_root"), F.lit(False))
-    return pairs.where(apart).select("u", "v")
-
-
 def _links(texts: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     return cut(_verify(pairs, _sets(texts, pairs, k, num, den), num, den))
 
 
 def _hub_pairs(posts: DataFrame, hubs: int, num: int, den: int) -> DataFrame:
-    """Each class with up to so many hubs of each of its tokens: those of the smallest hashes.
+    """Each class with up to so many hubs of each of its tokens: those with the smallest part of rarer tokens.
 
-    The hashes do not depend on the token, so that the groups of a cluster share their hubs. row_number under
-    a bound is limited before and after the shuffle, so no task sorts a hot group whole.
+    row_number under a bound is limited before and after the shuffle, so no task sorts a hot group whole.
     """
-    order = W.partitionBy("token").orderBy(F.xxhash64("id"), "id")
-    chosen = posts.withColumn("r", F.row_number().over(order)).where(F.col("r") <= hubs)
+    order = W.partitionBy("token").orderBy(F.col("pos") / F.col("n"), "id")
+    chosen = posts.withColumn("r", F.row_number().over(order)).where(F.col("r") <= hubs).drop("r")
     return _pairs(posts, chosen, F.col("a.id") != F.col("b.id"), num, den)
 
 
@@ -344,47 +307,50 @@ def _cross_pairs(posts: DataFrame, roots: DataFrame, num: int, den: int) -> Data
 
 
 def _pairs(a: DataFrame, b: DataFrame, which: Column, num: int, den: int) -> DataFrame:
-    """Class numbers (a, b) of postings that share a token and pass the filters of length and short bitmap."""
-    near = a.alias("a").join(b.alias("b"), (F.col("a.token") == F.col("b.token")) & which & _may_link(num, den, "a", "b", _FOLDED))
-    return near.select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b")).distinct()
+    """Distinct class numbers (a, b) of postings that share a token and pass the filters that postings allow."""
+    differ = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"a.{w}").bitwiseXOR(F.col(f"b.{w}"))) for w in _FOLDED])
+    near = (F.col("a.token") == F.col("b.token")) & which & _enough_follow(num, den) & _may_link(num, den, "a", "b", differ)
+    found = a.alias("a").join(b.alias("b"), near)
+    return found.select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b")).distinct()
 
 
 def jaccard_components(
-    docs: DataFrame, k: int, num: int, den: int, id_col: str = "doc_id", text_col: str = "text",
-    hubs: int = HUBS, whole: int = SMALL_GROUP,
-) -> DataFrame:
+    docs: DataFrame, k: int, num: int, den: int, id_col: str = "doc_id", text_col: str = "text", hubs: int = HUBS
+) -> DataFrame:
     """One row per document: id, n_shingles, component_id.
 
     Two documents link when den * |intersection| >= num * |union| of their sets of distinct k-word shingles;
-    component_id is the smallest id reachable by links. Null and empty texts and texts of white space have no
-    shingles and link with nothing, each its own component (rows that repeat such an id share it). A null id
-    loses against any other of its component. Shingles are compared by 64-bit and classes by 128-bit hashes.
-    An empty table gives an empty result.
+    component_id is the smallest id reachable by links. Ids may be of any type that has an order. Null and empty
+    texts and texts of white space have no shingles and link with nothing, each its own component (rows that
+    repeat such an id share it). A null id loses against any other of its component. Texts of any length are
+    taken whole; repeated rows belong together. Shingles are compared by 64-bit and classes by 128-bit hashes.
+    Columns other than the two are not looked at. An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    text = F.col(text_col)
-    texts = docs.select(text)
-    words = "".join(f", {w} bigint" for w in _BRIEF)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text)
-    rows = cut(rows.mapInArrow(_classes(k), "doc_id bigint, n bigint, node binary, short bigint" + words + ", wide array<bigint>"))
+    named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    texts = named.select("text")
+    kind = named.schema["doc_id"].dataType.simpleString()
+    rows = cut(
+        named.mapInArrow(_classes(k), f"doc_id {kind}, n bigint, node binary, parity array<bigint>, counts array<bigint>")
+    )
+    levels, heavy = count_levels(rows.where("counts is not null"))
+    rows = rows.where("counts is null").drop("counts")
     classes = rows.where("node is not null").groupBy("node")
-    classes = classes.agg(F.min("doc_id").alias("least"), *(F.first(c).alias(c) for c in ("n", "short", *_BRIEF, "wide")))
+    classes = classes.agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("parity", ignorenulls=True).alias("parity"))
     classes = cut(classes.withColumn("id", F.monotonically_increasing_id()))
-    levels, heavy = count_levels(texts, k)
     posts = _live_postings(texts, k, num, den, spark.sparkContext.broadcast(levels), heavy)
-    posts = cut(posts.join(classes.select("short", "id", "n", *_folded()), "short").drop("short"))
-    few, many = posts.where(F.col("group") <= whole), posts.where(F.col("group").isNull() | (F.col("group") > whole))
+    short = F.conv(F.hex(F.substring("node", 1, 8)), 16, -10).cast("long").alias("short")
+    posts = cut(posts.join(classes.select(short, "id", "n", *_folded()), "short").drop("short"))
 
-    pairs = _pairs(few, few, F.col("a.id") < F.col("b.id"), num, den).unionByName(_hub_pairs(many, hubs, num, den))
-    pairs = cut(_refine(pairs, classes, num, den))
-    links = _links(texts, _forest(pairs), k, num, den)
+    pairs = cut(_refine(_hub_pairs(posts, hubs, num, den), classes, num, den))
+    links = _links(texts, pairs, k, num, den)
     roots = cut(components(links))
     numbers = classes.select("id", "node")
-    named = roots.join(numbers, "node").select("id", F.col("root").alias("node")).join(
+    numbered = roots.join(numbers, "node").select("id", F.col("root").alias("node")).join(
         numbers.withColumnRenamed("id", "of_root"), "node"
     )
-    rest = _cross_pairs(many, cut(named.select("id", F.col("of_root").alias("root"))), num, den)
-    rest = cut(_refine(rest, classes, num, den).unionByName(_between(pairs, roots)).distinct())
+    rest = _cross_pairs(posts, cut(numbered.select("id", F.col("of_root").alias("root"))), num, den)
+    rest = cut(_refine(rest, classes, num, den).join(pairs, ["u", "v"], "left_anti"))
     if not rest.isEmpty():
         links = links.unionByName(_links(texts, rest, k, num, den))
         roots = cut(components(links))
@@ -392,8 +358,8 @@ def jaccard_components(
     grouped = roots.join(classes.select("node", "least"), "node")
     least = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
     linked = grouped.join(least, "root").select("node", F.col("component_id").alias("joined"))
-    named = classes.join(linked, "node", "left").select("node", F.coalesce("joined", "least").alias("component_id"))
-    return rows.join(named, "node", "left").select(
+    placed = classes.join(linked, "node", "left").select("node", F.coalesce("joined", "least").alias("component_id"))
+    return rows.join(placed, "node", "left").select(
         F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")
     )
 
