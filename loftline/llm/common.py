@@ -18,9 +18,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Keys that more than one in so many rows have are hot; there are fewer than so many of them.
+HOT = 4096
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a temporary one only where none is set."""
+    """The shared folder that the cluster names. Where none is set, a temporary one, if all of Spark is one machine's."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is not set; executors need a folder that all of them share")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
     return folder or spark.sparkContext.getCheckpointDir()
@@ -40,3 +46,29 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only; other letters stay."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def unused(name: str, *columns: str) -> str:
+    """The name, with underscores before it until no column has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def join_hot(rows: DataFrame, groups: DataFrame, key: str, count: str, values: list[str]) -> DataFrame:
+    """rows, left-joined with the values that groups (checkpointed, one row for each key) has for its binary key.
+
+    count says how many rows have the key. Hot keys, fewer than HOT by construction, are broadcast. The other
+    keys meet by a shuffle in which none has more than one in HOT of the rows; rows that have no key or a hot one are
+    dealt out evenly there, under 8 bytes of their own (real keys must have another length).
+    """
+    total = groups.agg(F.sum(count)).first()[0] or 0
+    is_hot, found = F.col(count) * HOT > total, F.struct(*values)
+    hot = groups.where(is_hot).select(F.col(key).alias("__key"), found.alias("__hot"))
+    cold = groups.where(~is_hot).select(F.col(key).alias("__meet"), found.alias("__cold"))
+    lone = F.unhex(F.lpad(F.hex(F.monotonically_increasing_id()), 16, "0"))
+    meet = F.when(F.col("__hot").isNull() & F.col(key).isNotNull(), F.col(key)).otherwise(lone)
+    near = rows.join(F.broadcast(hot), F.col(key) == F.col("__key"), "left").withColumn("__meet", meet)
+    value = F.coalesce("__hot", "__cold")
+    return near.join(cold, "__meet", "left").select(*rows.columns, *(value[v].alias(v) for v in values))

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, small, table
+from .common import cut, join_hot, small, table
 from .components import components
 from .shingles import chunks, mix, shingle_sets
 
@@ -253,13 +253,18 @@ def _enough_follow(num: int, den: int) -> Column:
 
 
 def _refine(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
-    """Distinct pairs (a, b) of class numbers as pairs (u, v) of classes that the whole bitmaps let pass."""
+    """Distinct pairs (a, b) of class numbers as pairs (u, v) of classes that the whole bitmaps let pass.
+
+    far is the part of their tokens that the two differ in at least.
+    """
     brief = F.struct("node", "n", "parity")
     x, y = (classes.select(F.col("id").alias(name), brief.alias(side)) for name, side in (("a", "x"), ("b", "y")))
     bits = F.zip_with("x.parity", "y.parity", lambda p, q: F.bit_count(p.bitwiseXOR(q)).cast("long"))
-    differ = F.aggregate(bits, F.lit(0).cast("long"), lambda p, q: p + q)
-    near = pairs.join(x, "a").join(y, "b").where(_may_link(num, den, "x", "y", differ))
-    return near.select(F.col("x.node").alias("u"), F.col("y.node").alias("v"))
+    near = pairs.join(x, "a").join(y, "b")
+    near = near.withColumn("differ", F.aggregate(bits, F.lit(0).cast("long"), lambda p, q: p + q))
+    near = near.where(_may_link(num, den, "x", "y", F.col("differ")))
+    far = F.col("differ") / (F.col("x.n") + F.col("y.n"))
+    return near.select(F.col("x.node").alias("u"), F.col("y.node").alias("v"), far.alias("far"))
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -276,6 +281,22 @@ def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     )
 
 
+def _nearest(pairs: DataFrame) -> DataFrame:
+    """Of each class the pair with the class that it differs from least: no more pairs than classes."""
+    pair = F.struct("far", "u", "v")
+    ends = pairs.select(F.col("u").alias("node"), pair.alias("pair")).unionByName(pairs.select(F.col("v").alias("node"), pair.alias("pair")))
+    return ends.groupBy("node").agg(F.min("pair").alias("pair")).select("pair.u", "pair.v").distinct()
+
+
+def _between(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs (u, v) whose ends lie in different components, or in none; roots: node, root."""
+    for side in ("u", "v"):
+        of = roots.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root"))
+        pairs = pairs.join(of, side, "left")
+    apart = ~F.coalesce(F.col("u_root") == F.col("v_root"), F.lit(False))
+    return pairs.where(apart).select("u", "v")
+
+
 def _links(texts: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     return cut(_verify(pairs, _sets(texts, pairs, k, num, den), num, den))
 
@@ -336,21 +357,27 @@ def jaccard_components(
     levels, heavy = count_levels(rows.where("counts is not null"))
     rows = rows.where("counts is null").drop("counts")
     classes = rows.where("node is not null").groupBy("node")
-    classes = classes.agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("parity", ignorenulls=True).alias("parity"))
+    classes = classes.agg(
+        F.min("doc_id").alias("least"), F.first("n").alias("n"), F.count(F.lit(1)).alias("copies"),
+        F.first("parity", ignorenulls=True).alias("parity"),
+    )
     classes = cut(classes.withColumn("id", F.monotonically_increasing_id()))
     posts = _live_postings(texts, k, num, den, spark.sparkContext.broadcast(levels), heavy)
     short = F.conv(F.hex(F.substring("node", 1, 8)), 16, -10).cast("long").alias("short")
     posts = cut(posts.join(classes.select(short, "id", "n", *_folded()), "short").drop("short"))
 
+    # Each class with its nearest hub first: sets are sent for no more pairs than classes, and most links are found.
     pairs = cut(_refine(_hub_pairs(posts, hubs, num, den), classes, num, den))
-    links = _links(texts, pairs, k, num, den)
+    nearest = cut(_nearest(pairs))
+    links = _links(texts, nearest, k, num, den)
     roots = cut(components(links))
     numbers = classes.select("id", "node")
     numbered = roots.join(numbers, "node").select("id", F.col("root").alias("node")).join(
         numbers.withColumnRenamed("id", "of_root"), "node"
     )
     rest = _cross_pairs(posts, cut(numbered.select("id", F.col("of_root").alias("root"))), num, den)
-    rest = cut(_refine(rest, classes, num, den).join(pairs, ["u", "v"], "left_anti"))
+    rest = _refine(rest, classes, num, den).select("u", "v").unionByName(_between(pairs, roots)).distinct()
+    rest = cut(rest.join(nearest, ["u", "v"], "left_anti"))
     if not rest.isEmpty():
         links = links.unionByName(_links(texts, rest, k, num, den))
         roots = cut(components(links))
@@ -358,8 +385,9 @@ def jaccard_components(
     grouped = roots.join(classes.select("node", "least"), "node")
     least = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
     linked = grouped.join(least, "root").select("node", F.col("component_id").alias("joined"))
-    placed = classes.join(linked, "node", "left").select("node", F.coalesce("joined", "least").alias("component_id"))
-    return rows.join(placed, "node", "left").select(
+    placed = classes.join(linked, "node", "left").select("node", "copies", F.coalesce("joined", "least").alias("component_id"))
+    found = join_hot(rows.select("doc_id", "n", "node"), cut(placed), "node", "copies", ["component_id"])
+    return found.select(
         F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")
     )
 
