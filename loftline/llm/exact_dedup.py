@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import ascii_lower, cut, table
+from .common import ascii_lower, cut, join_hot, table, unused
 
 
 def md5_128(text: Column) -> Column:
@@ -27,8 +28,8 @@ def exact_groups(
     Rows belong together when their normalised texts have the same bytes; a null text counts as empty.
     The texts are grouped by (hash, text): the map side collapses copies before the shuffle, so a group
     that holds a third of all rows leaves one row per map task, and the hash table compares bytes. Rows
-    get their group back by the hash alone; only hashes that stand for several texts (collisions) are
-    joined by their text as well.
+    get their group back by the hash alone, those of hot groups by a broadcast; only hashes that stand for several
+    texts (collisions) are joined by their text as well.
 
     keep: "min" or "max" id of the group stays. A null id never wins against another id; where all ids
     of a group are null, keep_id is null and its rows count as kept. Rows that repeat both id and text
@@ -54,7 +55,7 @@ def exact_groups(
         )
         single = groups.join(several, "h", "left_anti")
         narrow = narrow.join(several, "h", "left_anti")
-    parts.append(narrow.join(single, "h").select("doc_id", "text_sha256", "keep_id", "group_size"))
+    parts.append(join_hot(narrow, single, "h", "group_size", ["text_sha256", "keep_id", "group_size"]).drop("h"))
     out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     return out.select(
         F.col("doc_id").alias(id_col),
@@ -65,19 +66,31 @@ def exact_groups(
     )
 
 
+def _ordered(kind: T.DataType) -> bool:
+    """Whether values of the type can be compared."""
+    if isinstance(kind, T.ArrayType):
+        return _ordered(kind.elementType)
+    if isinstance(kind, T.StructType):
+        return all(_ordered(f.dataType) for f in kind.fields)
+    return not isinstance(kind, (T.MapType, T.VariantType, T.CalendarIntervalType))
+
+
 def drop_copies(docs: DataFrame, keep: str = "max", **how) -> DataFrame:
     """docs without the rows that exact_groups does not keep; of rows that repeat id and text, one stays.
 
     The kept row is found by aggregating whole rows under (hash, text), so copies collapse before the
-    shuffle and no join is needed. Ties between rows of equal id and text go to the largest other columns.
+    shuffle and no join is needed. Ties between rows of equal id and text go to the largest other columns, as far as
+    they have an order (maps have none). A null text is empty; a null id never wins against another. Columns may have
+    any names; an empty table gives an empty result.
     """
     text = how.get("normalise", ascii_lower)(F.coalesce(F.col("text"), F.lit("")))
-    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    others = [f"`{f.name}`" for f in docs.schema.fields if f.name not in ("doc_id", "text") and _ordered(f.dataType)]
     best = {"min": F.min_by, "max": F.max_by}[keep]
     order = F.struct("doc_id", *others) if keep == "max" else F.struct(F.col("doc_id").isNull(), "doc_id", *others)
-    rows = docs.select("*", text.alias("__t")).withColumn("__h", how.get("hash128", md5_128)(F.col("__t")))
-    row = F.struct(*[F.col(c) for c in docs.columns])
-    return rows.groupBy("__h", "__t").agg(best(row, order).alias("__row")).select("__row.*")
+    t, h, row = (unused(name, *docs.columns) for name in ("__t", "__h", "__row"))
+    rows = docs.select("*", text.alias(t)).withColumn(h, how.get("hash128", md5_128)(F.col(t)))
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    return rows.groupBy(h, t).agg(best(whole, order).alias(row)).select(f"{row}.*")
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
