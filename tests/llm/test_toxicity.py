@@ -25,6 +25,24 @@ def test_scope_ends_with_the_clause():
     assert score("not now, an idiot") == score("an idiot")
 
 
+def predicted(text, reader=X._Reader(X.Lexicon({w: X.GENERAL_WEIGHT for w in X.INSULTS}))):
+    return X.score_text(text, reader, MACHINE)[0] >= X.THRESHOLD
+
+
+def test_isolated_words_and_negated_threats_are_not_toxic():
+    assert not predicted("idiot") and not predicted("the clown fish. " * 3) and not predicted("we shoot photos for you. " * 2)
+    assert not predicted("you didn't kill") and not predicted("you didn\u2019t hurt anyone")
+    assert predicted("you are an idiot") and predicted("i will kill you") and predicted("du bist ein trottel")
+    assert not predicted("she said he is no idiot")
+
+
+def test_evidence_is_in_proportion_to_clauses():
+    clean, reader = "nothing is here. " * 400, X._Reader(X.Lexicon({"idiot": 4.0}, rate=0.01))
+    assert X.score_text(clean, reader, MACHINE)[0] == 0
+    assert 0 < X.score_text("you idiot. " + clean, reader, MACHINE)[0] < X.score_text("you idiot.", reader, MACHINE)[0]
+    assert predicted("you are an idiot. " + "word " * 100_000)
+
+
 def test_composition_equals_machines_in_turn():
     rng, machines = random.Random(1), (X.negation(), X.reported(), X.targeted())
     for _ in range(200):
