@@ -1,5 +1,7 @@
+import base64
 import gzip
 import hashlib
+import time
 import zlib
 
 from loftline.llm import warc
@@ -74,3 +76,34 @@ def test_numbers_of_the_whole_bigint_range():
     for n in (2**63 - 1, -(2**63), 0):
         assert warc._number(str(n)) == n
     assert warc._number(str(2**63)) is None and warc._number("x") is None
+
+
+def foreign(kind, digest, block, extra=b""):
+    head = b"WARC/1.0\r\nWARC-Type: " + kind + b"\r\nWARC-Record-ID: <urn:uuid:a>\r\nWARC-Payload-Digest: " + digest + b"\r\n" + extra
+    return head + b"Content-Type: application/http\r\nContent-Length: " + str(len(block)).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def test_digests_of_public_archives():
+    payload = b"hello there " * 20
+    block = b"HTTP/1.1 200 OK\r\nContent-Length: 240\r\n\r\n" + payload
+    sha1 = base64.b32encode(hashlib.sha1(payload).digest())
+    rows = [warc._row(*x) for x in warc.salvage(foreign(b"response", b"sha1:" + sha1, block) + foreign(b"response", b"crc9:77", block))]
+    assert [(r["record_type"], r["payload_digest"], r["payload_bytes"]) for r in rows] == [("response", hashlib.sha256(payload).hexdigest(), 240)] * 2
+    (bad,) = [warc._row(*x) for x in warc.salvage(foreign(b"response", b"sha1:" + sha1, block[:-1] + b"?"))]
+    assert bad["reason"] == "payload digest differs" and "record_type" not in bad
+    revisit = foreign(b"revisit", b"sha1:" + sha1, block[: -len(payload)], b"WARC-Refers-To: <urn:uuid:b>\r\n")
+    (got,) = [warc._row(*x) for x in warc.salvage(revisit)]
+    assert (got["payload_bytes"], got["refers_to_record"], got["payload_digest"]) == (240, "<urn:uuid:b>", "sha1:" + sha1.decode())
+
+
+def test_revisits_name_their_record_as_the_format_says():
+    data = warc.write_record("revisit", 5, "u5", b"x" * 200, "00", 1, "u1")
+    (fields,) = [f for _, _, f, _, _ in warc.salvage(data)]
+    assert fields["warc-refers-to"] == warc.record_id(1, "u1") and fields["warc-refers-to-target-uri"] == "u1" and fields["warc-refers-to-date"]
+
+
+def test_junk_is_searched_once():
+    for junk in (b"\x1f\x8b\x08" * 60_000, b"WARC/1.0\r\n" * 20_000, b"WARC/1.0\r\nno colon\r\n" * 10_000):
+        start = time.perf_counter()
+        assert ids(junk + record(1)) == [(None, True), ("1", False)]
+        assert time.perf_counter() - start < 2
