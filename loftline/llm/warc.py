@@ -25,8 +25,8 @@ from .common import checkpoint_dir, cut, join_hot, table
 LEAST_REVISIT = 100
 #: Bytes of an archive after which a task begins the next one.
 ARCHIVE_BYTES = 4 << 20
-#: Bytes that are unpacked at once.
-PIECE = 1 << 14
+#: Bytes that are unpacked at once, and at first: a member that begins here has some data by then.
+PIECE, FIRST = 1 << 14, 1 << 10
 DATE = "2024-01-01T00:00:00Z"
 
 _MAGIC = b"\x1f\x8b\x08"
@@ -123,9 +123,11 @@ def _member(data: memoryview, at: int) -> tuple[int, bytes]:
     """End and plain bytes of the gzip member that starts at a place; reads no further than a piece behind it."""
     unpack, parts = zlib.decompressobj(31), []
     while not unpack.eof and at < len(data):
-        piece = data[at : at + PIECE]
+        piece = data[at : at + (PIECE if parts else FIRST)]
         parts.append(unpack.decompress(piece))
         at += len(piece)
+        if not parts[0] and not unpack.eof:
+            raise ValueError("gzip header without data")  # so a false start costs a piece at most
     if not unpack.eof:
         raise ValueError("gzip member does not end")
     return at - len(unpack.unused_data), b"".join(parts)
