@@ -29,15 +29,16 @@ def spread_confidence(spread: Column, reference: float = 0.15, floor: float = 0.
     return F.when(spread.isNull(), F.lit(1.0)).otherwise(F.greatest(F.lit(floor), F.least(F.lit(1.0), spread / reference)))
 
 
-def spread_weight(spread: Column, reference: float = 0.15, k: float = 4.0) -> Column:
-    return F.when(spread.isNull(), F.lit(1.0)).otherwise(1.0 / (F.greatest(F.lit(0.0), F.lit(reference) - spread) * k + 1.0))
+def spread_weight(spread: Column, reference: float = 0.15, k: float = 10.0) -> Column:
+    return F.when(spread.isNull(), F.lit(1.0)).otherwise(1.0 / (1.0 + k * F.greatest(F.lit(0.0), F.lit(reference) - spread)))
 
 
 def confidence(
     inliers: Column, matches: Column, match_rmse: Column, frame_rmse: Column, disagreement: Column,
     most_inliers: float = 80.0, rmse_norm: float = 10.0, disagreement_norm: float = 5.0, ransac: float = 3.0,
+    spread: Column | None = None,
 ) -> Column:
-    """Stability of the frame, number of inliers and quality of the match, to [0.05, 1]."""
+    """Stability of the frame, number of inliers and quality of the match, to [0.05, 1]; with a spread, times its factor."""
     one, zero = F.lit(1.0), F.lit(0.0)
     stability = 1.0 - (
         F.least(frame_rmse, F.lit(rmse_norm)) / rmse_norm * 0.5
@@ -45,6 +46,8 @@ def confidence(
     )
     match = inliers / (matches + 1e-6) * 0.5 + 0.5 / (match_rmse / (ransac + 1e-6) + 1.0)
     total = F.greatest(zero, F.least(one, stability)) * 0.3 + F.least(one, inliers / most_inliers) * 0.4 + match * 0.3
+    if spread is not None:
+        total = total * spread_confidence(spread)
     return F.greatest(F.lit(0.05), F.least(one, total))
 
 

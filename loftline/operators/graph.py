@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.affine import Pose, edge_residual, predict_forward, predict_inverse
 from ..session import cut
+from .components import components
 
 POSE = ["x", "y", "log_sx", "log_sy", "theta"]
 STEP = ["dx", "dy", "log_dsx", "log_dsy", "dtheta"]
@@ -37,7 +38,7 @@ def neighbours(edges: DataFrame) -> DataFrame:
     return there.unionByName(back)
 
 
-def propagate(edges: DataFrame, anchors: DataFrame, sign: float = 1.0, most_hops: int = 10_000) -> DataFrame:
+def propagate(edges: DataFrame, anchors: DataFrame, sign: float = 1.0) -> DataFrame:
     """Poses (node, POSE, hop) of all nodes that anchors reach; the first to reach a node decides.
 
     Of several in one hop the smallest parent wins, then the smallest edge. Each hop joins the frontier with the
@@ -47,7 +48,7 @@ def propagate(edges: DataFrame, anchors: DataFrame, sign: float = 1.0, most_hops
     known = cut(anchors.select("node", *POSE, F.lit(0).alias("hop")))
     frontier, hop = known, 0
     step = pose(names=STEP)
-    while hop < most_hops:
+    while True:
         hop += 1
         ahead, back = predict_forward(pose(), step, sign), predict_inverse(pose(), step, sign)
         guess = [F.when(F.col("forward"), a).otherwise(b).alias(n) for n, a, b in zip(POSE, ahead, back, strict=True)]
@@ -153,16 +154,60 @@ def gap_downweight(edges: DataFrame, gaps: DataFrame, factor: float = 0.05) -> D
     return found.select("e.*", inside.alias("__in")).withColumn("weight", F.col("weight") * F.when(F.col("__in"), factor).otherwise(1.0)).drop("__in")
 
 
-def prune(rows: DataFrame, k: float = 3.0, most: float = 0.2) -> DataFrame:
-    """Edges with pruned: spatial ones above median + k * 1.4826 * MAD, the worst first, at most that share of all."""
+def _forest(candidates: DataFrame) -> DataFrame:
+    """edge_id of a spanning forest of candidates (edge_id, a, b, keep) with the smallest sum of ranks by keep.
+
+    Each component takes its first edge, those that are joined so are contracted, and so on: log(n) rounds.
+    """
+    kept = candidates.select("edge_id").limit(0)
+    while True:
+        edge = F.struct("keep", "edge_id", "a", "b")
+        ends = candidates.select(F.col("a").alias("node"), edge.alias("e")).unionByName(candidates.select(F.col("b").alias("node"), edge.alias("e")))
+        best = cut(ends.groupBy("node").agg(F.min("e").alias("e")).select("e.*").distinct())
+        if best.isEmpty():
+            return kept
+        kept = kept.unionByName(best.select("edge_id"))
+        candidates = cut(_contracted(candidates, components(best.select(F.col("a").alias("u"), F.col("b").alias("v")))))
+
+
+def _contracted(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """rows with a and b replaced by their roots (node, root), without those that are loops then."""
+    for side in ("a", "b"):
+        rows = rows.join(roots.select(F.col("node").alias(side), "root"), side, "left")
+        rows = rows.withColumn(side, F.coalesce("root", side)).drop("root")
+    return rows.where("a <> b")
+
+
+def prune(rows: DataFrame, anchors: DataFrame, k: float = 5.0, most: float = 0.2, least: int = 3) -> DataFrame:
+    """Edges with pruned: bad spatial ones whose removal cuts no node off the anchors.
+
+    Bad are residuals above median + k * 1.4826 * MAD, the worst first, at most the share `most` of all spatial edges
+    with a residual; with fewer than `least` of these none is. Taken worst first, an edge stays if without it a node that anchors
+    reach would lose them. That is what a spanning forest leaves out: the parts that good edges and anchors hold
+    together are contracted, and of the bad edges between parts the least bad that join them stay.
+    """
     known = rows.where("edge_type = 'spatial' and residual is not null")
     middle = known.agg(F.percentile("residual", 0.5).alias("m"))
-    mad = known.crossJoin(F.broadcast(middle)).agg(F.percentile(F.abs(F.col("residual") - F.col("m")), 0.5).alias("d"), F.first("m").alias("m"), F.count(F.lit(1)).alias("n"))
-    limit = mad.select((F.col("m") + F.col("d") * (k * 1.4826)).alias("limit"), F.floor(F.col("n") * most).alias("least"))
-    bad = known.crossJoin(F.broadcast(limit)).where("residual > limit").orderBy(F.col("residual").desc(), "edge_id")
-    take = limit.first()
-    chosen = bad.select("edge_id").limit(int(take["least"]) if take and take["least"] is not None else 0).withColumn("pruned", F.lit(True))
-    return rows.join(chosen, "edge_id", "left").withColumn("pruned", F.coalesce("pruned", F.lit(False)))
+    mad = known.crossJoin(F.broadcast(middle)).agg(F.percentile(F.abs(F.col("residual") - F.col("m")), 0.5).alias("d"), F.first("m").alias("m"), F.count(F.lit(1)).alias("n")).first()
+    bad = rows.select("edge_id").limit(0)
+    if mad["n"] >= least:
+        bad = known.where(F.col("residual") > mad["m"] + k * 1.4826 * mad["d"])
+        bad = bad.orderBy(F.col("residual").desc(), "edge_id").limit(int(mad["n"] * most)).select("edge_id")
+    bad = cut(bad.withColumn("bad", F.lit(True)))
+    marked = rows.join(bad, "edge_id", "left").withColumn("bad", F.coalesce("bad", F.lit(False)))
+    first = anchors.agg(F.min("node")).first()[0]
+    # All anchors are one part.
+    held = anchors.select(F.lit(first).cast("long").alias("u"), F.col("node").cast("long").alias("v"))
+    ends = marked.select("edge_id", F.col("from_id").cast("long").alias("a"), F.col("to_id").cast("long").alias("b"), "residual", "bad")
+    good = held.unionByName(ends.where("not bad").select(F.col("a").alias("u"), F.col("b").alias("v")))
+    loose = cut(_contracted(ends.where("bad"), components(good)))
+    kept = _forest(loose.select("edge_id", "a", "b", F.struct(F.col("residual"), -F.col("edge_id")).alias("keep")))
+    # What no anchor reaches at all need not be kept.
+    reached = components(held.unionByName(ends.select(F.col("a").alias("u"), F.col("b").alias("v"))))
+    reached = reached.join(reached.where(F.col("node") == first).select("root"), "root").select(F.col("node").alias("from_id"), F.lit(True).alias("reached"))
+    out = marked.join(kept.withColumn("kept", F.lit(True)), "edge_id", "left").join(reached, "from_id", "left")
+    held_back = F.coalesce("kept", F.lit(False)) & F.coalesce("reached", F.lit(False))
+    return out.select(*rows.columns, (F.col("bad") & ~held_back).alias("pruned"))
 
 
 def chain_gaps(edges: DataFrame, anchors: DataFrame, tolerance: float) -> DataFrame:

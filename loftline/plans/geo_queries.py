@@ -42,23 +42,23 @@ def geo_tiles(spark, sf_dir):
 
 
 def geo_tile_neighbours(spark, sf_dir):
-    """For every 200th fix the number of fixes in the tiles around it."""
+    """For every 20th fix the number of fixes in the tiles around it."""
     rows = fixes(spark, sf_dir).select("event_id", "lat", "lon")
-    asked = rows.where("event_id % 200 = 0")
+    asked = rows.where("event_id % 20 = 0")
     return spatial.tile_neighbours(asked, rows, 2).groupBy("event_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 def knn_geo_scoped(spark, sf_dir):
-    """For every 200th fix the three nearest fixes of the tiles around it, itself included."""
+    """For every 20th fix the three nearest fixes of the tiles around it, itself included."""
     rows = fixes(spark, sf_dir).select("event_id", "lat", "lon")
-    near = spatial.tile_neighbours(rows.where("event_id % 200 = 0"), rows, 1)
+    near = spatial.tile_neighbours(rows.where("event_id % 20 = 0"), rows, 1)
     d = F.round(geo.haversine(F.col("lat"), F.col("lon"), F.col("other_lat"), F.col("other_lon")), 4)
     order = W.partitionBy("event_id").orderBy("metres", "other_id")
     return near.select("event_id", "other_id", d.alias("metres")).withColumn("rank", F.row_number().over(order)).where("rank <= 3")
 
 
 def geo_bbox_active(spark, sf_dir):
-    """Boxes of nations that hold a fix of every 50th event; every fifth nation has no box and holds all."""
+    """Boxes of nations that hold a fix; every fifth nation has no box and holds all."""
     n = F.col("n_nationkey")
     known = n % 5 != 0
     box = table(spark, sf_dir, "nation").select(
@@ -66,7 +66,7 @@ def geo_bbox_active(spark, sf_dir):
         F.when(known, n * 0.02 + 48.0).alias("lat_min"), F.when(known, n * 0.03 + 25.0).alias("lon_min"),
         F.when(known, n * 0.02 + 48.1).alias("lat_max"), F.when(known, n * 0.03 + 26.0).alias("lon_max"),
     )
-    rows = fixes(spark, sf_dir).where("event_id % 50 = 0").select("event_id", "lat", "lon")
+    rows = fixes(spark, sf_dir).select("event_id", "lat", "lon")
     return spatial.active_sources(rows, box).groupBy("event_id").agg(F.count(F.lit(1)).alias("active"), F.min("source_id").alias("first_source"))
 
 
@@ -115,13 +115,13 @@ SQL = {
  select b.event_id, round(2 * 6371000.0 * atan2(sqrt({_HAV.format(a='a', b='b')}), sqrt(1 - ({_HAV.format(a='a', b='b')}))), 4) as metres,
  round(2 * 6371000.0 * asin(least(1, sqrt({_HAV.format(a='a', b='b')}))), 4) as metres_asin from p b join p a on a.track_id = b.track_id and a.seq = b.seq - 1""",
     "geo_tiles": f"with {SQL_FIXES} select cast(trunc((lat - 48.2::double) / 0.005::double) as int) as tile_lat, cast(trunc((lon - 25.0::double) / 0.005::double) as int) as tile_lon, count(*) as n from fixes group by 1, 2",
-    "geo_tile_neighbours": f"with {SQL_FIXES}, t as (select event_id, {_TILE} from fixes) select a.event_id, count(*) as n from t a join t b on abs(a.ta - b.ta) <= 2 and abs(a.tb - b.tb) <= 2 where a.event_id % 200 = 0 group by 1",
+    "geo_tile_neighbours": f"with {SQL_FIXES}, t as (select event_id, {_TILE} from fixes) select a.event_id, count(*) as n from t a join t b on abs(a.ta - b.ta) <= 2 and abs(a.tb - b.tb) <= 2 where a.event_id % 20 = 0 group by 1",
     "knn_geo_scoped": f"""with {SQL_FIXES}, t as (select event_id, lat, lon, {_TILE} from fixes),
  d as (select a.event_id, b.event_id as other_id, round(2 * 6371000.0 * atan2(sqrt({_HAV.format(a='a', b='b')}), sqrt(greatest(0, 1 - ({_HAV.format(a='a', b='b')})))), 4) as metres
-   from t a join t b on abs(a.ta - b.ta) <= 1 and abs(a.tb - b.tb) <= 1 where a.event_id % 200 = 0),
+   from t a join t b on abs(a.ta - b.ta) <= 1 and abs(a.tb - b.tb) <= 1 where a.event_id % 20 = 0),
  r as (select *, row_number() over (partition by event_id order by metres, other_id) as rank from d) select * from r where rank <= 3""",
     "geo_bbox_active": f"""with {SQL_FIXES}, b as (select n_nationkey as k, n_nationkey % 5 <> 0 as known, n_nationkey * 0.02::double + 48.0 as a, n_nationkey * 0.03::double + 25.0 as o, n_nationkey * 0.02::double + 48.1::double as a2, n_nationkey * 0.03::double + 26.0 as o2 from nation)
- select event_id, count(*) as active, min(k) as first_source from fixes join b on not known or (lat between a and a2 and lon between o and o2) where event_id % 50 = 0 group by 1""",
+ select event_id, count(*) as active, min(k) as first_source from fixes join b on not known or (lat between a and a2 and lon between o and o2) group by 1""",
     "affine_decompose_compose": f"""with {SQL_MATRICES} select event_id, round(a * d - b * c, 6) as det, round(sqrt(a * a + c * c), 6) as sx, round(sqrt(b * b + d * d), 6) as sy, round(atan2(c, a), 6) as angle,
  round(greatest((sqrt(a * a + c * c) + sqrt(b * b + d * d)) * 0.5, 1e-9), 6) as scale, round(sqrt(abs(a * d - b * c)), 6) as iso, round(a * 960 + b * 540 + tx, 4) as px, round(c * 960 + d * 540 + ty, 4) as py from matrices""",
     "matrix_valid": f"""with {SQL_MATRICES}, s as (select *, sqrt(a * a + c * c) as u, sqrt(b * b + d * d) as v, a * d - b * c as det from matrices)

@@ -11,7 +11,7 @@ from .views import FRAME_H, FRAME_W, SQL_EDGES, edges, poses, r6
 
 
 def _residuals(spark, sf_dir):
-    return G.residuals(edges(spark, sf_dir), poses(spark, sf_dir).where("node % 17 <> 0"), 960.0)
+    return G.residuals(edges(spark, sf_dir), poses(spark, sf_dir), 960.0)
 
 
 def edge_residuals(spark, sf_dir):
@@ -73,7 +73,7 @@ def frame_disagreement(spark, sf_dir):
 
 
 def prune_spatial(spark, sf_dir):
-    return G.prune(_residuals(spark, sf_dir)).select("edge_id", "pruned")
+    return G.prune(_residuals(spark, sf_dir), poses(spark, sf_dir).where("seq % 10 = 1")).select("edge_id", "pruned")
 
 
 def reachability(spark, sf_dir):
@@ -91,7 +91,7 @@ def bfs_propagation(spark, sf_dir):
 
 def anchor_gap_check(spark, sf_dir):
     rows = poses(spark, sf_dir)
-    steps = edges(spark, sf_dir).where("edge_type = 'temporal' and to_id % 23 <> 0").select(
+    steps = edges(spark, sf_dir).where("edge_type = 'temporal'").select(
         "track_id", "seq", (F.col("dx") * 10).alias("dx"), (F.col("dy") * 10 + F.when(F.col("to_id") % 19 == 0, 50.0).otherwise(0.0)).alias("dy")
     )
     return G.chain_gaps(steps, rows.where("seq % 10 = 1"), 20.0)
@@ -113,7 +113,7 @@ NAMES = [
 QUERIES = {f.__name__: f for f in NAMES}
 
 _RES = f"""{SQL_EDGES}, q as (select e.*, i.x as ix, i.y as iy, i.log_sx as ilx, i.log_sy as ily, i.theta as ith, j.x as jx, j.y as jy, j.log_sx as jlx, j.log_sy as jly, j.theta as jth
-   from edges e left join (select * from poses where node % 17 <> 0) i on i.node = e.from_id left join (select * from poses where node % 17 <> 0) j on j.node = e.to_id),
+   from edges e left join poses i on i.node = e.from_id left join poses j on j.node = e.to_id),
  r as (select *, weight / exp(ilx) * (jx - (ix + cos(ith) * exp(ilx) * dx - sin(ith) * exp(ily) * dy)) as r0,
    weight / exp(ily) * (jy - (iy + sin(ith) * exp(ilx) * dx + cos(ith) * exp(ily) * dy)) as r1,
    weight * 960 * (jlx - ilx - log_dsx) as r2, weight * 960 * (jly - ily - log_dsy) as r3,
@@ -130,7 +130,7 @@ SQL = {
  c as (select *, cos(an) * sx * 960 - sin(an) * sy * 540 + tx - 960 as ox, sin(an) * sx * 960 + cos(an) * sy * 540 + ty - 540 as oy, abs(degrees(atan2(sin(an) * sx, cos(an) * sx))) as rot from m)
  select edge_id, case when rot > 30 then 'rotation' when abs(ln(sx)) > ln(1.4) or abs(ln(sy)) > ln(1.4) then 'scale' when sqrt(ox ** 2 + oy ** 2) > 0.2 * sqrt(1920.0 ** 2 + 1080.0 ** 2) then 'shift' end as reason,
    rot <= 40 and inliers / 100.0 >= 0.25 and abs(ln(sx)) <= ln(1.2) and abs(ln(sy)) <= ln(1.2) as passes from c""",
-    "edge_weights": f"with {SQL_EDGES} select edge_id, round(weight * sqrt(greatest(inliers::double, 1)) / (rmse + 1) * (1 / (greatest(0, 0.15 - rmse / 10.0) * 4 + 1)), 6) as weight from edges",
+    "edge_weights": f"with {SQL_EDGES} select edge_id, round(weight * sqrt(greatest(inliers::double, 1)) / (rmse + 1) * (1 / (1 + 10 * greatest(0, 0.15 - rmse / 10.0))), 6) as weight from edges",
     "cluster_support": f"""with {SQL_EDGES}, p as (select edge_id, from_id as i, to_id as j from edges where edge_type = 'spatial')
  select a.edge_id, case when exists (select 1 from p b where b.edge_id <> a.edge_id and least(abs(a.i - b.i) + abs(a.j - b.j), abs(a.i - b.j) + abs(a.j - b.i)) <= 6) then 1.0::double else 0.5::double end as factor from p a""",
     "gap_downweight": f"with {SQL_EDGES} select edge_id, round(weight * case when edge_type = 'temporal' and (to_id - to_id % 3) >= (to_id // 100) * 100 and to_id % 100 <= 40 then 0.05::double else 1.0::double end, 6) as weight from edges",
@@ -143,11 +143,11 @@ SQL = {
  select h.other as node, round(avg(sqrt((px - mx) ** 2 + (py - my) ** 2)), 4) as disagreement, max(n) as n from h join m on m.other = h.other group by 1""",
     "prune_spatial": f"""with {_RES}, k as (select edge_id, residual from res where edge_type = 'spatial' and residual is not null),
  m as (select median(residual) as m, count(*) as n from k), d as (select median(abs(residual - m)) as d, any_value(m) as m, any_value(n) as n from k, m),
- b as (select edge_id, row_number() over (order by residual desc, edge_id) as r from k, d where residual > m + d * (3.0 * 1.4826))
+ b as (select edge_id, row_number() over (order by residual desc, edge_id) as r from k, d where residual > m + d * (5.0 * 1.4826))
  select e.edge_id, b.edge_id is not null as pruned from edges e left join b on b.edge_id = e.edge_id and b.r <= (select floor(n * 0.2) from d)""",
     "reachability": f"""with {SQL_EDGES}, l as (select track_id, max(seq) as n from poses group by 1)
  select node, case when ((seq - 1) // 10) * 10 + 11 <= n then least((seq - 1) % 10, 10 - (seq - 1) % 10) else (seq - 1) % 10 end as hop from poses join l on l.track_id = poses.track_id""",
-    "anchor_gap_check": f"""with {SQL_EDGES}, s as (select track_id, seq, dx * 10 as dx, dy * 10 + case when to_id % 19 = 0 then 50.0::double else 0 end as dy from edges where edge_type = 'temporal' and to_id % 23 <> 0),
+    "anchor_gap_check": f"""with {SQL_EDGES}, s as (select track_id, seq, dx * 10 as dx, dy * 10 + case when to_id % 19 = 0 then 50.0::double else 0 end as dy from edges where edge_type = 'temporal'),
  a as (select track_id, seq, x, y, lead(seq) over w as nxt, lead(x) over w as tx, lead(y) over w as ty from poses where seq % 10 = 1 window w as (partition by track_id order by seq)),
  g as (select a.track_id, a.seq, a.nxt, any_value(tx - x) as ex, any_value(ty - y) as ey, count(s.seq) as steps, sum(dx) as sx, sum(dy) as sy from a left join s on s.track_id = a.track_id and s.seq > a.seq and s.seq <= a.nxt where a.nxt is not null group by 1, 2, 3)
  select track_id, seq, nxt as to, steps, case when steps < nxt - seq then 'broken' when sqrt((ex - sx) ** 2 + (ey - sy) ** 2) > 20 then 'inconsistent' else 'ok' end as state from g""",

@@ -94,7 +94,7 @@ def only_in_b(spark, sf_dir):
 
 
 def ab_compare(spark, sf_dir):
-    """Both runs by number of fixes, mean and floor-index percentile, and the verdict on B."""
+    """Both runs by number of fixes, mean and floor-index percentile."""
     a, b = _runs(spark, sf_dir)
     both = a.withColumn("run", F.lit("a")).unionByName(b.withColumn("run", F.lit("b")))
     p = metrics.floor_index(both, "o_totalprice", 0.95, ["run"]).withColumnRenamed("value", "p95")
@@ -124,7 +124,9 @@ def log_parse_roundtrip(spark, sf_dir):
 
 
 def failure_counts(spark, sf_dir):
-    text = F.when(F.col("event_type") == "error", "no match found").when(F.col("event_type") == "view", "OUT OF COVERAGE after failures").otherwise("ok")
+    e = F.col("event_type")
+    text = F.when(e == "error", "WARN Outlier filtered: out_of_coverage").when(e == "view", "Not enough valid inliers (3)")
+    text = text.when(e == "click", "No candidates found").otherwise("not enough valid inliers")
     return logs.failure_counts(track(spark, sf_dir).select(text.alias("line")))
 
 
@@ -154,7 +156,7 @@ SQL = {
     "mad_outliers": f"""with {SQL_TRACK}, m as (select event_type, median(x) as m from track group by 1), d as (select track.event_type, any_value(m) + median(abs(x - m)) * (0.5::double * 1.4826::double) as l from track join m on m.event_type = track.event_type group by 1)
  select event_id, round(greatest(l, 1), 6) as limit, x <= greatest(l, 1) or sum(case when x <= greatest(l, 1) then 1 else 0 end) over (partition by track.event_type) < 4 as keep from track join d on d.event_type = track.event_type""",
     "spread_by_group": f"""with {SQL_TRACK}, s as (select track_id, case when count(*) >= 2 then least(stddev_pop(x), stddev_pop(y)) / 1080.0 end as s from track group by 1)
- select track_id, round(s, 6) as spread, round(case when s is null then 1.0 else greatest(0.35, least(1.0, s / 0.15::double)) end, 6) as confidence, round(case when s is null then 1.0 else 1 / (greatest(0.0, 0.15::double - s) * 4 + 1) end, 6) as weight from s""",
+ select track_id, round(s, 6) as spread, round(case when s is null then 1.0 else greatest(0.35, least(1.0, s / 0.15::double)) end, 6) as confidence, round(case when s is null then 1.0 else 1 / (1 + 10 * greatest(0.0, 0.15::double - s)) end, 6) as weight from s""",
     "confidence_score": f"""with {SQL_TRACK}, f as (select *, event_id % 120 as i, event_id % 120 + 30 as m, (event_id % 9) / 2.0 as r, greatest(0, least(1, x / 400.0::double)) * 0.35::double + 0.5 as fl from track)
  select event_id, round(greatest(0.05, least(1.0, greatest(0, least(1, 1 - (least(event_id % 12, 10) / 10.0 * 0.5 + least(event_id % 7, 5) / 5.0 * 0.5))) * 0.3::double + least(1, i / 80.0) * 0.4::double + (i / (m + 1e-6) * 0.5 + 0.5 / (r / (3 + 1e-6) + 1)) * 0.3::double)), 6) as confidence,
  round(fl, 8) as flow, round(1.5 / greatest(fl, 0.25), 6) as noise_scale from f""",
@@ -180,6 +182,7 @@ SQL = {
     "schema_diff": f"""with {_COMP}, u as (select source_id, 'dim' as field, dim as value from comp union all select source_id, 'extractor', extractor from comp union all select source_id, 'schema', schema from comp)
  select u.source_id, u.field, u.value, b.value as expected from u join u b on b.source_id = 'NATION_1' and b.field = u.field where u.value is distinct from b.value""",
     "log_parse_roundtrip": f"with {SQL_FIXES} select event_id, round(lat, 6) as lat, round(lon, 6) as lon, seq as frame, (event_id % 90)::bigint as inliers, round(confidence, 6) as confidence from fixes",
-    "failure_counts": "select case event_type when 'error' then 'no match' else 'out of coverage' end as failure, count(*) as n from events where event_type in ('error', 'view') group by 1",
+    "failure_counts": """with c as (select case event_type when 'error' then 'Outlier filtered' when 'view' then 'Not enough valid inliers' else 'No candidates found' end as failure, count(*) as n from events where event_type in ('error', 'view', 'click') group by 1)
+ select failure, n, row_number() over (order by n desc, case failure when 'Not enough valid inliers' then 1 when 'Outlier filtered' then 3 else 5 end) as place from c""",
     "history_tail": f"with {SQL_TRACK}, r as (select track_id, event_id, row_number() over (partition by track_id order by seq desc) as age from track) select * from r where age <= 5",
 }

@@ -11,6 +11,7 @@ from loftline.functions import affine, geo
 from loftline.operators import graph, retrieval
 from loftline.operators import trajectory as T
 from loftline.plans import graph_queries, metric_queries
+from loftline.sources import logs
 
 
 def test_edge_residual_contract(spark):
@@ -157,3 +158,43 @@ def test_truth_ranks_have_no_cap(spark):
     refs = spark.range(100_003).select(F.col("id").alias("ref_id"), v.alias("vector"))
     asked = spark.range(1).select(F.col("id").alias("query_id"), F.array(F.lit(1.0), F.lit(0.0)).alias("vector"))
     assert [tuple(r) for r in retrieval.truth_ranks(asked, refs).collect()] == [(0, 100_003)]
+
+
+def test_prune_keeps_the_way_to_an_anchor(spark):
+    """Bad edges go worst first, but not the last way of a node to its anchors; nodes that no anchor reaches do not count."""
+    rows = [(i, 1, 2, "spatial", 0.1 + i / 1000) for i in range(20)]
+    # 3 hangs on two bad edges, of which the less bad one stays; 4 on one; 8 and 9 have no anchor; 5 is an anchor itself.
+    rows += [(30, 1, 3, "spatial", 9.0), (31, 2, 3, "spatial", 8.0), (32, 3, 4, "spatial", 7.0), (33, 8, 9, "spatial", 6.0), (34, 2, 5, "spatial", 5.0)]
+    rows += [(40, 1, 2, "temporal", None), (41, 8, 9, "temporal", 99.0)]
+    edges = spark.createDataFrame(rows, "edge_id long, from_id long, to_id long, edge_type string, residual double")
+    anchors = spark.createDataFrame([(1,), (5,)], "node long")
+    got = {r.edge_id for r in graph.prune(edges, anchors, most=0.5).collect() if r.pruned}
+    assert got == {30, 33, 34}
+
+    def greedy(limit):
+        def reach(ids):
+            seen = {1, 5}
+            while True:
+                more = {x for e, a, b, *_ in rows if e in ids and (a in seen) != (b in seen) for x in (a, b)} - seen
+                if not more:
+                    return seen
+                seen |= more
+        left = {r[0] for r in rows}
+        for e, *_ in sorted((r for r in rows if r[3] == "spatial" and r[4] > limit), key=lambda r: -r[4]):
+            if reach(left - {e}) == reach({r[0] for r in rows}):
+                left.discard(e)
+        return {r[0] for r in rows} - left
+
+    assert got == greedy(1.0)
+    few = edges.where("edge_id in (30, 31)")
+    assert not any(r.pruned for r in graph.prune(few, anchors).collect())
+
+
+def test_failure_lines_match_the_first_key_as_written(spark):
+    lines = ["Localization failed: Not enough valid inliers", "Outlier filtered", "outlier filtered", "No candidates found | out_of_coverage",
+             "Localized (50.1, -3.25) | frame=7 | source=b | angle=90 | inliers=12 | conf=0.50", "Outlier filtered"]
+    df = spark.createDataFrame([(x,) for x in lines], "line string")
+    got = [tuple(r) for r in logs.failure_counts(df).orderBy("place").collect()]
+    assert got == [("Outlier filtered", 2, 1), ("Not enough valid inliers", 1, 2), ("out_of_coverage", 1, 3)]
+    assert [(r.lat, r.lon, r.frame, r.inliers, r.confidence) for r in logs.parse(df).collect()] == [(50.1, -3.25, 7, 12, 0.5)]
+    assert logs.temporal_prior(df.withColumn("n", F.lit(1)), "n").collect() == []
