@@ -1,283 +1,263 @@
-"""Cross-entropy difference of two n-gram models that share one vocabulary.
+"""Cross-entropy difference of two word-pair models that share one vocabulary.
 
-A target and a background model of the same smoothing give each token a loss; the mean difference scores the
-document. `word_scores` has words as tokens: all words of the corpus are the vocabulary, and the counts of word
-pairs are Spark tables that grow with it. `train` and `score` are small trigram models of bytes, for the driver.
+A target and a background model of the same smoothing give each word a loss, given the word before; the mean
+difference scores the document. All words of the corpus are the vocabulary, each by 32 bits of its hash. Every
+text is scored by models that leave it out: what it counts itself is taken off first.
+
+Each batch of texts sends the pairs of its documents, with their counts, to the buckets of the pairs' first words;
+there the counts of the whole corpus meet, and the sums of losses go back to the batch. So the pairs are
+shuffled once, packed in arrays. First words that are hot are counted before and broadcast, and their pairs dealt
+out by themselves; so are pairs that are hot, which are scored inside the batch.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, table
-from .shingles import chunks, mix, word_hashes
+from .shingles import mix, word_hashes
 
-#: Pseudo-counts that the next lower order gets, for each context.
+#: Pseudo-counts that equal shares of the vocabulary get, for each first word.
 ALPHA = 8.0
-CHUNK = 1 << 20
-#: Distinct n-grams that a task merges at once.
+#: Bytes of text and number of texts of a batch.
+BATCH, BATCH_TEXTS = 4 << 20, 1 << 15
+#: Distinct words or pairs that a task merges at once.
 HELD = 1 << 20
-#: Pairs that are at least this part of all tokens, so that many at most, are scored inside the tasks.
-HOT = 1 << 16
+#: Words that are more than this part of all words are hot, so fewer than so many; and pairs of hot words.
+HOT_WORDS, HOT_PAIRS = 1 << 12, 1 << 16
+#: Words of the corpus for each bucket.
+BUCKET_WORDS = 1 << 20
 #: Losses are summed as whole numbers of this part of a nat, so that their order does not matter.
 UNITS = 1e8
 
+ENTRY = ["code", "owner", "times", "own", "good"]
+
+
+def _batches(batch: pa.RecordBatch, good: int, text: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, tuple[np.ndarray, ...]]]:
+    """Parts of a batch: their rows, whether each is of the target, and of each word its first word, itself and its text."""
+    texts = [t or b"" for t in batch.column(text).cast(pa.binary()).to_pylist()]
+    flags = np.array(batch.column(good).to_pylist(), bool)
+    start = size = 0
+    for i, t in enumerate(texts):
+        size += len(t)
+        if size >= BATCH or i + 1 - start >= BATCH_TEXTS or i + 1 == len(texts):
+            word, doc = word_hashes(texts[start : i + 1])
+            word = np.maximum((word >> np.uint64(32)).astype(np.int64), 1)
+            before = np.zeros_like(word)  # 0: the start of a text
+            before[1:] = np.where(doc[1:] == doc[:-1], word[:-1], 0)
+            yield batch.slice(start, i + 1 - start), flags[start : i + 1], (before, word, doc)
+            start, size = i + 1, 0
+
 
-def _codes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of three bytes for each byte of all texts, with what precedes it (bytes 0 at the start), and lengths."""
-    data = np.frombuffer(b"".join(b"\0\0" + t for t in texts), np.uint8).astype(np.int32)
-    sizes = np.array([len(t) for t in texts], np.int64)
-    code = (data[:-2] << 16) | (data[1:-1] << 8) | data[2:]
-    keep = np.ones(len(code), bool)
-    ends = np.cumsum(sizes + 2)[:-1]  # the two codes that reach over a border
-    keep[ends - 1] = keep[ends - 2] = False
-    return code[keep], sizes
+class _Counts:
+    """Sums of columns by key, merged whenever they grow beyond HELD keys."""
 
+    def __init__(self, names: list[str]):
+        self.names, self.held = names, []
 
-def _chunks(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, list[bytes]]]:
-    part, size, start = [], 0, 0
-    for i, text in enumerate(batch.column(column).cast(pa.binary()).to_pylist()):
-        part.append(text or b"")
-        size += len(part[-1])
-        if size >= CHUNK:
-            yield start, part
-            part, size, start = [], 0, i + 1
-    if part:
-        yield start, part
+    def add(self, keys: np.ndarray, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.held.append(self._merge([(keys, *columns)]))
+        if sum(len(h[0]) for h in self.held) > HELD:
+            yield from self.drain()
 
+    @staticmethod
+    def _merge(parts: list[tuple]) -> tuple:
+        keys, *columns = (np.concatenate(x) for x in zip(*parts, strict=True))
+        values, place = np.unique(keys, return_inverse=True)
+        return values, *(np.bincount(place, c, len(values)) for c in columns)
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """n-grams of (is_target, text): how often all texts and how often target texts have them."""
-    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    def drain(self) -> Iterator[pa.RecordBatch]:
+        if self.held:
+            merged = self._merge(self.held)
+            self.held.clear()
+            for at in range(0, len(merged[0]), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 100_000].astype(np.int64)) for x in merged], self.names)
 
-    def merge():
-        codes = np.concatenate([h[0] for h in held])
-        values, place = np.unique(codes, return_inverse=True)
-        sums = [np.bincount(place, np.concatenate([h[i] for h in held]), len(values)) for i in (1, 2)]
-        return values, sums[0], sums[1]
 
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts = _Counts(["word", "n", "background", "target"])
     for batch in batches:
-        flags = np.array(batch.column(0).to_pylist(), bool)
-        for start, texts in _chunks(batch, 1):
-            codes, sizes = _codes(texts)
-            target = np.repeat(flags[start : start + len(texts)], sizes)
-            values, place = np.unique(codes, return_inverse=True)
-            held.append((values, np.bincount(place, minlength=len(values)), np.bincount(place, target, len(values))))
-            if sum(len(h[0]) for h in held) > HELD:
-                held[:] = [merge()]
-    if held:
-        values, background, target = merge()
-        for at in range(0, len(values), 100_000):
-            part = slice(at, at + 100_000)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(values[part], pa.int32())] + [pa.array(x[part].astype(np.int64)) for x in (background, target)],
-                ["code", "background", "target"],
-            )
-
-
-def _losses(counts: np.ndarray) -> np.ndarray:
-    """-log P(c | a, b) for counts[a, b, c]; each order is smoothed by the one below, the last by equal shares."""
-    size = counts.shape[0]
-    p = np.full(size, 1.0 / size)
-    for n in (counts.sum((0, 1)), counts.sum(0), counts):
-        p = (n + ALPHA * p) / (n.sum(-1, keepdims=True) + ALPHA)
-    return -np.log(p).astype(np.float32)
-
-
-class Models:
-    """Losses of both models by dense places of the bytes that occur."""
-
-    def __init__(self, codes: np.ndarray, background: np.ndarray, target: np.ndarray):
-        used = np.unique(np.concatenate([codes >> 16, codes >> 8 & 255, codes & 255, [0]]))
-        self.place = np.full(256, len(used), np.int32)  # bytes that no text has share one place
-        self.place[used] = np.arange(len(used))
-        self.size = len(used) + 1
-        shape, at = (self.size,) * 3, self.index(codes)
-        self.background, self.target = (
-            _losses(np.bincount(at, n, self.size**3).reshape(shape)).ravel() for n in (background, target)
-        )
-
-    def index(self, codes: np.ndarray) -> np.ndarray:
-        a, b, c = self.place[codes >> 16], self.place[codes >> 8 & 255], self.place[codes & 255]
-        return (a * self.size + b) * self.size + c
-
-
-def train(docs: DataFrame, is_target, text_col: str = "text") -> Models:
-    """Count the n-grams of all texts, those of target texts apart as well.
-
-    Each task sends a row for each of its n-grams; the sums are at most 2**24 rows, as there are so many
-    codes, and go to the driver. Null texts count as empty; without texts both models give equal losses.
-    """
-    rows = docs.select(F.coalesce(is_target, F.lit(False)).alias("is_target"), F.col(text_col).alias("text"))
-    counts = rows.mapInArrow(_count, "code int, background bigint, target bigint")
-    counts = cut(counts.groupBy("code").agg(F.sum("background").alias("background"), F.sum("target").alias("target")))
-    found = counts.toPandas()
-    return Models(*(found[c].to_numpy(dtype=np.int64) for c in ("code", "background", "target")))
+        for _, good, (before, word, doc) in _batches(batch, 0, 1):
+            one, none = np.ones(len(word)), np.zeros(len(word))
+            of = good[doc].astype(float)
+            columns = (np.r_[one, none], np.r_[none, one], np.r_[none, of])
+            yield from counts.add(np.r_[word, before], *columns)
+    yield from counts.drain()
 
 
-def score(docs: DataFrame, models: Models, text_col: str = "text") -> DataFrame:
-    """docs with n_tokens, target_loss and background_loss (mean nats) and score, their difference.
+def _code(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return before << 32 | word
 
-    A lower score is nearer to the target. Null and empty texts have no tokens and null losses. Rows keep their
-    columns and are scored each for itself; columns of the four names are replaced.
-    """
-    names = ["n_tokens", "target_loss", "background_loss", "score"]
-    kept = [c for c in docs.columns if c not in names]
-    docs = docs.select(*[F.col(f"`{c}`") for c in kept])
-    shared = docs.sparkSession.sparkContext.broadcast(models)
 
+def _first_of(code: np.ndarray) -> np.ndarray:
+    return code >> 32 & 0xFFFFFFFF
+
+
+def _index(listed: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of keys in a sorted list, and whether they are there."""
+    if not len(listed):
+        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+    at = np.minimum(np.searchsorted(listed, keys), len(listed) - 1)
+    return at, listed[at] == keys
+
+
+def _count_hot_pairs(hot) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models = shared.value
+        counts = _Counts(["code", "background", "target"])
         for batch in batches:
-            for start, texts in _chunks(batch, kept.index(text_col)):
-                codes, sizes = _codes(texts)
-                at, ends = models.index(codes), np.cumsum(sizes)
-                means = []
-                for losses in (models.target, models.background):
-                    total = np.concatenate([[0.0], np.cumsum(losses[at], dtype=np.float64)])
-                    means.append((total[ends] - total[ends - sizes]) / np.maximum(sizes, 1))
-                empty = sizes == 0
-                yield pa.RecordBatch.from_arrays(
-                    [*batch.slice(start, len(texts)).columns, pa.array(sizes)]
-                    + [pa.array(x, mask=empty) for x in (*means, means[0] - means[1])],
-                    [*kept, *names],
-                )
+            for _, good, (before, word, doc) in _batches(batch, 0, 1):
+                both = _index(hot.value[0], before)[1] & _index(hot.value[0], word)[1]
+                yield from counts.add(_code(before, word)[both], np.ones(both.sum()), good[doc][both].astype(float))
+        yield from counts.drain()
 
-    schema = docs.limit(0).withColumns(dict(zip(names, (F.lit(0).cast("long"), *[F.lit(0.0)] * 3), strict=True))).schema
-    for field in schema.fields[-3:]:
-        field.nullable = True
-    return docs.mapInArrow(run, schema)
+    return run
 
 
-def _pairs(texts: list[bytes]) -> tuple[np.ndarray, ...]:
-    """Of each word of all texts: a hash of it with the word before, both hashes (0 at a start), and its text."""
-    word, doc = word_hashes(texts)
-    before = np.zeros_like(word)
-    if len(word):
-        before[1:] = np.where(doc[1:] == doc[:-1], word[:-1], 0)
-    return mix(mix(before + np.uint64(1)) + word), before, word, doc
+def _losses(pair: np.ndarray, first: np.ndarray, size: int) -> np.ndarray:
+    """-log P of pairs by counts of them and of their first words, in whole UNITS."""
+    return np.rint(-np.log((pair + ALPHA / size) / (first + ALPHA)) * UNITS).astype(np.int64)
 
 
-def _texts(batch: pa.RecordBatch, column: int) -> list[bytes]:
-    return [t or b"" for t in batch.column(column).cast(pa.binary()).to_pylist()]
+def _sums(losses: np.ndarray, times: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    return np.add.reduceat(losses * times, starts) if len(starts) else losses[:0]
 
 
-def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of (is_target, text): how often all texts and how often target texts have them."""
-    held: list[tuple[np.ndarray, ...]] = []
+def _scored(times, own, good, pair, first, size: int) -> list[np.ndarray]:
+    """Losses of both models for pairs of documents, whose own counts are left out; pair, first: (background, target)."""
+    mine = good.astype(np.int64)
+    return [_losses(pair[1] - times * mine, first[1] - own * mine, size), _losses(pair[0] - times, first[0] - own, size)]
 
-    def merge(parts):
-        pair, before, word, background, target = (np.concatenate(x) for x in zip(*parts, strict=True))
-        values, first, place = np.unique(pair, return_index=True, return_inverse=True)
-        return values, before[first], word[first], *(np.bincount(place, x, len(values)) for x in (background, target))
 
-    def drain():
-        merged = merge(held)
-        held.clear()
-        for at in range(0, len(merged[0]), 100_000):
-            part = [pa.array(x[at : at + 100_000].view(np.int64)) for x in merged[:3]]
-            part += [pa.array(x[at : at + 100_000].astype(np.int64)) for x in merged[3:]]
-            yield pa.RecordBatch.from_arrays(part, ["pair", "before", "word", "background", "target"])
+def _send(shared, buckets: int, size: int) -> Callable:
+    """For each batch of texts a row with its ids and what is scored here, and a row of pairs for each bucket."""
 
-    for batch in batches:
-        flags, texts = np.array(batch.column(0).to_pylist(), float), _texts(batch, 1)
-        for start, end in chunks(texts):
-            pair, before, word, doc = _pairs(texts[start:end])
-            held.append(merge([(pair, before, word, np.ones(len(pair)), flags[start:end][doc])]))
-            if sum(len(h[0]) for h in held) > HELD:
-                yield from drain()
-    if held:
-        yield from drain()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (hot_words, *first), (hot_pairs, *pair) = shared.value
+        number = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            for rows, good, (before, word, doc) in _batches(batch, 1, 2):
+                code, docs = _code(before, word), rows.num_rows
+                order = np.lexsort((code, doc))
+                code, doc = code[order], doc[order]
+                new = np.flatnonzero(np.r_[True, (code[1:] != code[:-1]) | (doc[1:] != doc[:-1])][: len(code)])
+                times, total = np.diff(np.r_[new, len(code)]), np.bincount(doc, minlength=docs)
+                code, doc = code[new], doc[new]
+                context = _first_of(code)
+                opens = np.flatnonzero(np.r_[True, (context[1:] != context[:-1]) | (doc[1:] != doc[:-1])][: len(code)])
+                own = np.repeat(_sums(times, np.ones_like(times), opens), np.diff(np.r_[opens, len(code)]))
+                of = good[doc]
+
+                at, here = _index(hot_pairs, code)
+                at, ctx = at[here], _index(hot_words, context[here])[0]
+                found = _scored(times[here], own[here], of[here], [x[at] for x in pair], [x[ctx] for x in first], size)
+                sums = [np.zeros(docs, np.int64) for _ in found]
+                for s, x in zip(sums, found, strict=True):
+                    np.add.at(s, doc[here], x * times[here])
+
+                away = np.flatnonzero(~here)
+                is_hot = _index(hot_words, context[away])[1]
+                key = np.where(is_hot, code[away], context[away]).astype(np.uint64)
+                bucket = (mix(key + np.uint64(5)) % np.uint64(buckets)).astype(np.int64)
+                away, bucket = away[by := np.argsort(bucket, kind="stable")], bucket[by]
+                starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]][: len(bucket)])
+                edges = pa.array(np.r_[starts, len(bucket), len(bucket)].astype(np.int32))
+                sent = len(starts)
+                lists = [pa.ListArray.from_arrays(edges, pa.array(x[away].astype(t))) for x, t in
+                         ((code, np.int64), (doc, np.int32), (times, np.int32), (own, np.int32), (of, np.int8))]
+                whole = lambda x: pa.ListArray.from_arrays(pa.array([0] * (sent + 1) + [docs], pa.int32()), x)
+                home = int(mix(np.array([number], np.uint64))[0] % np.uint64(buckets))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.r_[bucket[starts], home]), pa.array(np.full(sent + 1, number)), *lists,
+                     whole(rows.column(0)), whole(pa.array(total.astype(np.int64))), *(whole(pa.array(s)) for s in sums)],
+                    ["bucket", "batch", *ENTRY, "ids", "n", "target", "background"],
+                )
+                number += 1
 
+    return run
 
-def word_losses(docs: DataFrame, is_target, text_col: str = "text") -> tuple[DataFrame, int]:
-    """(pair, background, target_loss, background_loss) of each pair of words that docs has, and the tokens of docs.
 
-    Losses count in UNITS. A pair is smoothed by its second word, a word by equal shares of the vocabulary, which is
-    all words of docs and one for unknown ones. No count is cut, and all tables stay in Spark.
-    """
-    rows = docs.select(F.coalesce(is_target, F.lit(False)).alias("is_target"), F.col(text_col).alias("text"))
-    counts = rows.mapInArrow(_count_pairs, "pair bigint, before bigint, word bigint, background bigint, target bigint")
-    sums = lambda prefix: [F.sum(c).alias(prefix + c) for c in ("background", "target")]
-    counts = cut(counts.groupBy("pair", "before", "word").agg(*sums("")))
-    words = counts.groupBy("word").agg(*sums("word_"))
-    before = counts.groupBy("before").agg(*sums("before_"))
-    total = words.agg(F.count(F.lit(1)).alias("size"), F.sum("word_background").alias("background"), F.sum("word_target").alias("target")).first()
-    # Frequent words have many pairs; a sort-merge join is split where it is skewed.
-    rows = counts.join(words.hint("merge"), "word").join(before.hint("merge"), "before")
+def _flat(column: pa.ChunkedArray) -> np.ndarray:
+    return column.combine_chunks().flatten().to_numpy(zero_copy_only=False)
 
-    def loss(name: str):
-        one = (F.col("word_" + name) + ALPHA / (total["size"] + 1)) / ((total[name] or 0) + ALPHA)
-        two = (F.col(name) + one * ALPHA) / (F.col("before_" + name) + ALPHA)
-        return F.round(-F.log(two) * UNITS).cast("long").alias(name + "_loss")
 
-    return cut(rows.select("pair", "background", loss("target"), loss("background"))), total["background"] or 0
+def _meet(shared, size: int) -> Callable:
+    """One bucket: counts of its pairs over all batches, and for each batch the sums of losses by document."""
 
+    def run(rows: pa.Table) -> pa.Table:
+        hot_words, *hot_first = shared.value[0]
+        code, owner, times, own, good = (_flat(rows.column(c)).astype(np.int64) for c in ENTRY)
+        of_row = np.repeat(np.arange(rows.num_rows), rows.column("code").combine_chunks().value_lengths().to_numpy())
+        values, place = np.unique(code, return_inverse=True)
+        pair = [np.bincount(place, w, len(values)) for w in (times, times * good)]
+        context, inside = np.unique(_first_of(values), return_inverse=True)
+        first = [np.bincount(inside, p, len(context)) for p in pair]
+        at, is_hot = _index(hot_words, context)
+        for f, known in zip(first, hot_first, strict=True):
+            f[is_hot] = known[at[is_hot]]
+        found = _scored(times, own, good, [p[place] for p in pair], [f[inside][place] for f in first], size)
+        starts = np.flatnonzero(np.r_[True, (of_row[1:] != of_row[:-1]) | (owner[1:] != owner[:-1])][: len(code)])
+        offsets = pa.array(np.searchsorted(of_row[starts], np.arange(rows.num_rows + 1)).astype(np.int32))
+        lists = [pa.array(owner[starts].astype(np.int32)), *(pa.array(_sums(x, times, starts)) for x in found)]
+        parts = [pa.ListArray.from_arrays(offsets, x) for x in lists]
+        kept = [rows.column(c).combine_chunks() for c in ("batch", "ids", "n", "target", "background")]
+        return pa.Table.from_arrays([*kept, *parts], ["batch", "ids", "n", "target", "background", "owner", "t", "b"])
 
-def word_scores(docs: DataFrame, is_target, hot: int = HOT) -> DataFrame:
-    """doc_id, n_tokens, target_loss, background_loss (mean nats of a word) and score, their difference.
+    return run
 
-    docs (doc_id, text, and what is_target reads) is what both models are made of and what is scored. A lower score is
-    nearer to the target. Words are runs of anything but ASCII white space, a to z like A to Z. Null and empty texts
-    have no tokens and null losses; ids may be null or repeat. Each distinct pair of a text meets its losses once:
-    frequent pairs inside the task, at most `hot` of them, all others by a join.
-    """
-    losses, tokens = word_losses(docs, is_target)
-    often = losses.where(F.col("background") * hot >= tokens).toPandas().sort_values("pair")
-    shared = docs.sparkSession.sparkContext.broadcast(
-        [often[c].to_numpy(np.int64) for c in ("pair", "target_loss", "background_loss")]
-    )
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        listed, *known = shared.value
-        for batch in batches:
-            texts = _texts(batch, 2)
-            for start, end in chunks(texts):
-                pair, _, _, doc = _pairs(texts[start:end])
-                pair, size = pair.view(np.int64), np.bincount(doc, minlength=end - start)
-                order = np.lexsort((pair, doc))
-                pair, doc = pair[order], doc[order]
-                new = np.flatnonzero(np.r_[True, (pair[1:] != pair[:-1]) | (doc[1:] != doc[:-1])][: len(pair)])
-                times = np.diff(np.r_[new, len(pair)])
-                pair, doc = pair[new], doc[new]
-                at = np.minimum(np.searchsorted(listed, pair), max(len(listed) - 1, 0))
-                found = listed[at] == pair if len(listed) else np.zeros(len(pair), bool)
-                sums = [np.zeros(end - start, np.int64) for _ in known]
-                for total, loss in zip(sums, known, strict=True):
-                    np.add.at(total, doc[found], loss[at[found]] * times[found])
-                rest = ~found
-                of = np.concatenate([doc[rest], np.arange(end - start)])  # the pairs to join, then a row for each text
-                part, n = batch.slice(start, end - start), int(rest.sum())
-                none = np.arange(len(of)) < n
-                wide = lambda x: pa.array(np.concatenate([np.zeros(n, np.int64), x]), mask=none)
-                key = part.column(1).take(pa.array(of))
-                meet = np.concatenate([pair[rest], part.column(1).to_numpy()])
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(pa.array(of)), key, pa.array(meet), pa.array(np.concatenate([times[rest], np.zeros(end - start, np.int64)])),
-                     wide(size), wide(sums[0]), wide(sums[1])],
-                    ["doc_id", "key", "pair", "times", "n", "target", "background"],
-                )
+def _gather(rows: pa.Table) -> pa.Table:
+    """One batch: the losses of each of its documents."""
+    ids = rows.column("ids").combine_chunks().flatten()
+    n, target, background = (_flat(rows.column(c)).astype(np.int64) for c in ("n", "target", "background"))
+    owner = _flat(rows.column("owner")).astype(np.int64)
+    np.add.at(target, owner, _flat(rows.column("t")).astype(np.int64))
+    np.add.at(background, owner, _flat(rows.column("b")).astype(np.int64))
+    return pa.Table.from_arrays([ids, pa.array(n), pa.array(target), pa.array(background)], ["doc_id", "n_tokens", "t", "b"])
+
 
-    rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "text")
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, key bigint, pair bigint, times bigint, n bigint, target bigint, background bigint"
-    # Pairs that are left are rare by the bound above, and the pair of a text's own row is its hash: no key is hot.
-    rows = rows.mapInArrow(run, schema).join(losses.drop("background").hint("merge"), "pair", "left")
-    add = lambda c: F.sum(F.coalesce(F.col(c), F.col("times") * F.col(c + "_loss"))).alias(c)
-    sums = rows.groupBy("doc_id", "key").agg(F.count("n").alias("copies"), F.sum("n").alias("n"), add("target"), add("background"))
-    mean = [F.when(F.col("n") > 0, F.col(c) / F.col("n") / UNITS).alias(c + "_loss") for c in ("target", "background")]
-    # Rows that repeat id and text are one group, whose sums are all multiples.
-    each = sums.withColumn("copy", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))))
-    out = each.select("doc_id", (F.col("n") / F.col("copies")).cast("long").alias("n_tokens"), *mean)
+def word_scores(docs: DataFrame, is_target, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_tokens, target_loss, background_loss (mean nats of a word) and score, their difference.
+
+    docs is what both models are made of and what is scored: the background is all texts, the target those of is_target. A
+    lower score is nearer to the target. Words are runs of anything but ASCII white space, a to z like A to Z. Null and empty
+    texts have no words and null losses; ids may be null, of any type or repeat, and every row is scored. No count is cut.
+    An empty table gives an empty result; other columns are not looked at.
+    """
+    spark = docs.sparkSession
+    good = F.coalesce(is_target, F.lit(False)).alias("good")
+    rows = docs.select(F.col(id_col).alias("doc_id"), good, F.col(text_col).alias("text"))
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    counts = rows.select("good", "text").mapInArrow(_count_words, "word bigint, n bigint, background bigint, target bigint")
+    words = cut(counts.groupBy("word").agg(*[F.sum(c).alias(c) for c in ("n", "background", "target")]))
+    total = words.agg(F.count_if(F.col("n") > 0).alias("size"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
+    size, tokens = total["size"] + 1, total["n"]
+    listed = words.where(F.greatest("n", "background") * HOT_WORDS > tokens).toPandas().sort_values("word")
+    hot = [listed[c].to_numpy(np.int64) for c in ("word", "background", "target")]
+    seen = spark.sparkContext.broadcast(hot)
+    pairs = rows.select("good", "text").mapInArrow(_count_hot_pairs(seen), "code bigint, background bigint, target bigint")
+    pairs = pairs.groupBy("code").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
+    often = pairs.where(F.col("background") * HOT_PAIRS > tokens).toPandas().sort_values("code")
+    shared = spark.sparkContext.broadcast((hot, [often[c].to_numpy(np.int64) for c in ("code", "background", "target")]))
+
+    buckets = max(tokens // BUCKET_WORDS + 1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    own = f"ids array<{kind}>, n array<bigint>, target array<bigint>, background array<bigint>"
+    entry = "code array<bigint>, owner array<int>, times array<int>, own array<int>, good array<tinyint>"
+    sent = rows.mapInArrow(_send(shared, buckets, size), f"bucket bigint, batch bigint, {entry}, {own}")
+    met = sent.groupBy("bucket").applyInArrow(_meet(shared, size), f"batch bigint, {own}, owner array<int>, t array<bigint>, b array<bigint>")
+    out = met.groupBy("batch").applyInArrow(_gather, f"doc_id {kind}, n_tokens bigint, t bigint, b bigint")
+    mean = [F.when(F.col("n_tokens") > 0, F.col(c) / F.col("n_tokens") / UNITS) for c in "tb"]
+    out = out.select(F.col("doc_id").alias(id_col), "n_tokens", mean[0].alias("target_loss"), mean[1].alias("background_loss"))
     return out.withColumn("score", F.col("target_loss") - F.col("background_loss"))
 
 
 def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Target: texts labelled of good quality. Background: all texts."""
+    """Target: texts labelled of good quality. Background: all texts. One row per document, those with nulls or repeated too."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     good = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max(F.col("quality") == 1).alias("good"))
     # Labels grow with the documents: the same join whatever their size.

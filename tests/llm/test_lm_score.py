@@ -9,121 +9,65 @@ from pyspark.sql import functions as F
 
 from loftline.llm import lm_score as L
 
-SCHEMA = "doc_id long, text string, good boolean, score string"
 
-
-def corpus():
-    rng = random.Random(2)
-    good = [" ".join(rng.choice(["alpha", "beta", "gamma"]) for _ in range(20)) for _ in range(30)]
-    bad = ["".join(rng.choice("zq#$!") for _ in range(60)) for _ in range(30)]
-    rows = [(i, t, i < 30 or None, "x") for i, t in enumerate(good + bad)]
-    return rows + [(100, None, None, "x"), (101, "", True, "x"), (102, "é" * 400_000, None, "x"), (103, "ab", None, "x"), (103, "ab", None, "x")]
-
-
-def brute(rows):
-    target, background = Counter(), Counter()
-    tri = lambda t: [bytes(p) for p in zip(b"\0\0" + t, b"\0" + t, t, strict=False)]
-    for _, t, good, _ in rows:
-        for g in tri((t or "").encode()):
-            background[g] += 1
-            target[g] += bool(good)
-    alphabet = {b for g in background for b in g} | {0}
-    size = len(alphabet) + 1
-
-    def model(counts):
-        levels = [Counter(), Counter(), Counter()]
-        for g, n in counts.items():
-            for k in range(3):
-                levels[k][g[2 - k :]] += n
-        total = [Counter(), Counter(), Counter()]
-        for k in range(3):
-            for g, n in levels[k].items():
-                total[k][g[:-1]] += n
-
-        def loss(g):
-            p = 1 / size
-            for k in range(3):
-                part = g[2 - k :]
-                p = (levels[k][part] + L.ALPHA * p) / (total[k][part[:-1]] + L.ALPHA)
-            return -math.log(p)
-
-        return loss
-
-    t, b = model(target), model(background)
+def word_brute(rows):
+    """(doc_id, words, target loss, background loss) of rows (doc_id, text, good), each by models of all other rows."""
+    split = lambda t: [w.lower() for w in re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode())]
+    texts = [split(t) for _, t, _ in rows]
+    own = [Counter(zip([None, *w], w, strict=False)) for w in texts]
+    size = len({w for t in texts for w in t}) + 1
+    whole = [sum((o for o, r in zip(own, rows, strict=True) if r[2] or not target), Counter()) for target in (True, False)]
     out = []
-    for d, text, _, _ in rows:
-        g = Counter(tri((text or "").encode()))
-        n = sum(g.values())
-        out.append((d, n, sum(t(x) * c for x, c in g.items()) / n if n else None, sum(b(x) * c for x, c in g.items()) / n if n else None))
+    for (d, _, good), mine, words in zip(rows, own, texts, strict=True):
+        losses = []
+        for counts, inside in zip(whole, (bool(good), True), strict=True):
+            pairs = counts - mine if inside else counts
+            before = Counter()
+            for (a, _), n in pairs.items():
+                before[a] += n
+            p = {x: -math.log((pairs[x] + L.ALPHA / size) / (before[x[0]] + L.ALPHA)) for x in mine}
+            losses.append(sum(p[x] * n for x, n in mine.items()) / len(words) if words else None)
+        out.append((d, len(words), *losses))
     return sorted(out, key=str)
 
 
-def test_scores_match_brute_force(spark):
-    rows = corpus()
-    df = spark.createDataFrame(rows, SCHEMA).repartition(4)
-    got = sorted([tuple(r) for r in L.score(df, L.train(df, F.col("good"))).select("doc_id", "n_tokens", "target_loss", "background_loss", "score").collect()], key=str)
-    for g, w in zip(got, brute(rows), strict=True):
+def compare(got, want):
+    for g, w in zip(sorted([tuple(r) for r in got], key=str), want, strict=True):
         assert g[:2] == w[:2]
-        if g[1]:
-            assert abs(g[2] - w[2]) < 1e-4 and abs(g[3] - w[3]) < 1e-4 and abs(g[4] - (g[2] - g[3])) < 1e-9
-        else:
-            assert g[2:] == (None, None, None)
-    by = {g[0]: g[4] for g in got}
-    assert max(by[i] for i in range(30)) < min(by[i] for i in range(30, 60))
-
-
-def test_empty_table(spark):
-    df = spark.createDataFrame([], SCHEMA)
-    assert L.score(df, L.train(df, F.col("good"))).collect() == []
-
-
-def word_brute(rows):
-    """(doc_id, words, target loss, background loss) of rows (doc_id, text, good)."""
-    split = lambda t: [w.lower() for w in re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode())]
-    counts = [[Counter(), Counter(), Counter()] for _ in range(2)]
-    for _, text, good in rows:
-        words = split(text)
-        for a, b in zip([None, *words], words, strict=False):
-            for pairs, before, single in counts[: 1 + bool(good)]:
-                pairs[a, b] += 1
-                before[a] += 1
-                single[b] += 1
-    size = len(counts[0][2]) + 1
-
-    def loss(model, a, b):
-        pairs, before, single = model
-        one = (single[b] + L.ALPHA / size) / (sum(single.values()) + L.ALPHA)
-        return -math.log((pairs[a, b] + L.ALPHA * one) / (before[a] + L.ALPHA))
-
-    background, target = ({p: loss(m, *p) for p in counts[0][0]} for m in counts)
-    out = []
-    for d, text, _ in rows:
-        words = split(text)
-        pairs = list(zip([None, *words], words, strict=False))
-        out.append((d, len(words), *(sum(m[p] for p in pairs) / len(pairs) if pairs else None for m in (target, background))))
-    return sorted(out, key=str)
+        assert g[2:] == (None,) * 3 if not w[1] else np.allclose(g[2:], (w[2], w[3], w[2] - w[3]), atol=1e-6)
 
 
-@pytest.mark.parametrize("hot", [1, 20, L.HOT])
-def test_word_models_match_brute_force(spark, hot):
+@pytest.mark.parametrize("words,pairs", [(1, 1), (20, 50), (L.HOT_WORDS, L.HOT_PAIRS)])
+def test_scores_match_brute_force(spark, monkeypatch, words, pairs):
+    monkeypatch.setattr(L, "HOT_WORDS", words)
+    monkeypatch.setattr(L, "HOT_PAIRS", pairs)
     rng = random.Random(5)
     word = lambda n: rng.choice(["the", "The", "of", "é", *(f"w{i}" for i in range(n))])
     rows = [(i, " ".join(word(20 + i % 2 * 40) for _ in range(rng.randint(1, 80))), i % 2 == 0 or None) for i in range(60)]
     rows += [(100, None, None), (101, " \n", True), (102, "the of " * 30_000, None), (103, "a b", None), (103, "a b", None), (None, "w1 w2", True)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, good boolean").repartition(4)
-    got = sorted([tuple(r) for r in L.word_scores(df, F.col("good"), hot).collect()], key=str)
-    for g, w in zip(got, word_brute(rows), strict=True):
-        assert g[:2] == w[:2]
-        assert g[2:] == (None,) * 3 if not w[1] else np.allclose(g[2:], (w[2], w[3], w[2] - w[3]), atol=1e-6)
+    df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, good boolean, n_tokens int").repartition(4)
+    got = L.word_scores(df, F.col("good")).collect()
+    compare(got, word_brute(rows))
     by = {g[0]: g[4] for g in got}
     assert sum(by[i] for i in range(0, 60, 2)) < sum(by[i] for i in range(1, 60, 2))
+
+
+def test_empty_table_and_string_ids(spark):
+    df = spark.createDataFrame([("x", "a b", True), ("y", None, None)], "doc_id string, text string, good boolean")
+    assert sorted((r.doc_id, r.n_tokens) for r in L.word_scores(df, F.col("good")).collect()) == [("x", 2), ("y", 0)]
     assert L.word_scores(df.limit(0), F.col("good")).collect() == []
 
 
-def test_query_has_words_as_tokens(spark):
+def test_a_text_that_occurs_twice_is_likelier(spark):
+    rng = random.Random(7)
+    once = [" ".join(f"v{rng.randrange(5000)}" for _ in range(50)) for _ in range(20)]
+    rows = [(i, t, None) for i, t in enumerate([*once, once[0]])]
+    got = {r.doc_id: r.background_loss for r in L.word_scores(spark.createDataFrame(rows, "doc_id long, text string, good boolean"), F.col("good")).collect()}
+    assert max(got[0], got[20]) < min(got[i] for i in range(1, 20)) - 1
+
+
+def test_query(spark):
     folder = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{folder}/documents.parquet").collect()
     good = {r.doc_id for r in spark.read.parquet(f"{folder}/labels.parquet").collect() if r.quality == 1}
-    got = sorted([tuple(r)[:4] for r in L.op8_lm_score(spark, folder).collect()], key=str)
-    for g, w in zip(got, word_brute([(r.doc_id, r.text, r.doc_id in good) for r in docs]), strict=True):
-        assert g[:2] == w[:2] and (not w[1] or np.allclose(g[2:], w[2:], atol=1e-6))
+    compare(L.op8_lm_score(spark, folder).collect(), word_brute([(r.doc_id, r.text, r.doc_id in good) for r in docs]))
