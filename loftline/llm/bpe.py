@@ -294,8 +294,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str
     An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    words = frequent_words(docs, pattern, text_col, n).repartition(parts, "word")
+    words = frequent_words(docs, pattern, text_col, n)
     rows = words.select("word", encode_word(F.col("word"), rank_map(ranks)).alias("ids")).toArrow()
     known: dict[str, bytes] = {}
     for batch in rows.to_batches():

@@ -11,7 +11,7 @@ from .common import cut
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    return both.where("v > u").join(least, "u").where("v != m").select(F.col("m").alias("u"), "v").distinct()
+    return both.where("v > u").join(least, "u").where("v != m").select(F.col("m").alias("u"), "v")
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -21,6 +21,14 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return to_least.unionByName(least.select("m", F.col("u").alias("v"))).toDF("u", "v").distinct()
 
 
+def _not_stars(edges: DataFrame) -> int:
+    """Number of nodes that hang on two others, or on one while others hang on them."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("over"), F.lit(0).alias("under"))
+    ends = ends.unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("over"), F.lit(1).alias("under")))
+    counts = ends.groupBy("node").agg(F.max("over").alias("over"), F.sum("under").alias("under"))
+    return counts.where("under > 1 or under = 1 and over = 1").count()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Rows (node, root) of every node of edges (u, v): root is the smallest node it can reach.
 
@@ -29,14 +37,7 @@ def components(edges: DataFrame) -> DataFrame:
     repeated edges change nothing; no edges give no rows.
     """
     stars = cut(edges.where("u != v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
-    state = None
-    while True:
-        new = stars.agg(
-            F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))
-        ).first()
-        if new == state or not new[0]:
-            break
-        state = new
+    while _not_stars(stars):
         stars = cut(_small_star(_large_star(stars)))
     roots = stars.select(F.col("u").alias("node"), F.col("u").alias("root")).distinct()
     return roots.unionByName(stars.select(F.col("v").alias("node"), F.col("u").alias("root")))
