@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import table
 
@@ -23,10 +24,8 @@ NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 
 #: Layout of what is written: bytes of a row, rows of a page, of a strip, and the sides of a tile.
 ROW, PAGE_ROWS, STRIP_ROWS, TILE = 64, 4096, 128, (32, 64)
-#: LZW runs byte by byte in Python; longer payloads take another codec.
-LZW_BYTES = 1 << 14
-#: No page may decode to more bytes.
-MOST_BYTES = 1 << 30
+#: No codec packs so many bytes into one: a page that says more is damaged.
+MOST_RATIO = 4096
 
 _RUN = re.compile(rb"(.)\1{2,127}", re.S)
 
@@ -218,8 +217,8 @@ def decode_page(data: bytes, order: str, tags: dict[int, list[int]]) -> np.ndarr
     width, height, bits, n = tags[WIDTH][0], tags[HEIGHT][0], one(BITS, 1), one(SAMPLES, 1)
     if bits not in (8, 16) or one(COMPRESSION, NONE) not in DECODE or one(PREDICTOR, 1) not in (1, 2):
         raise ValueError("samples, compression or predictor not supported")
-    if width * height * n * bits // 8 > MOST_BYTES:
-        raise ValueError("page too large")
+    if width * height * n * bits // 8 > MOST_RATIO * len(data):
+        raise ValueError("page larger than its data can be")
     kind = np.dtype(order + ("u1" if bits == 8 else "u2"))
     planes, per = (n, 1) if one(PLANAR, 1) == 2 else (1, n)
     tiled = TILE_OFFSETS in tags
@@ -309,8 +308,12 @@ def with_pages(files: DataFrame, content_col: str = "content") -> DataFrame:
 
 
 def pages(files: DataFrame, content_col: str = "content") -> DataFrame:
-    """One row per page: the columns of files but the content, and those of the page."""
-    found = with_pages(files, content_col)
+    """One row per page: the columns of files but the content, and those of the page, which replace columns of their names.
+
+    Rows whose content is null have no pages and go; repeated rows give repeated pages.
+    """
+    names = {f.name for f in T._parse_datatype_string(PAGE).elementType.fields} | {"__page"}
+    found = with_pages(files.drop(*[c for c in files.columns if c in names and c != content_col]), content_col)
     return found.select("*", F.explode("pages").alias("__page")).drop("pages").select("*", "__page.*").drop("__page")
 
 
@@ -328,7 +331,7 @@ def store(rows: DataFrame, payload_col: str, media_col: str = "media") -> DataFr
         data = payload or b""
         data += b"\0" * (-len(data) % ROW or (0 if data else ROW))
         crc = zlib.crc32(data)
-        codec = LZW if crc % 16 == 0 and len(data) <= LZW_BYTES else PACKBITS if crc % 16 < 6 else DEFLATE
+        codec = LZW if crc % 8 == 0 else PACKBITS if crc % 8 < 4 else DEFLATE
         return write_tiff(data, codec, tiled=bool(crc >> 8 & 1), predictor=bool(crc >> 9 & 1) and codec != PACKBITS)
 
     def run(batches):
@@ -342,11 +345,13 @@ def store(rows: DataFrame, payload_col: str, media_col: str = "media") -> DataFr
 
 
 def _payload(pages: Column) -> Column:
-    """The samples of all pages, one after the other."""
-    return F.aggregate(F.slice(pages, 2, F.size(pages)), F.get(pages, F.lit(0))["data"], lambda a, p: F.concat(a, p["data"]))
+    """The samples of all pages, one after the other; joined as text, as a fold would copy what it has for each page."""
+    joined = F.unhex(F.array_join(F.transform(pages, lambda p: F.hex(p["data"])), ""))
+    return F.when(F.size(pages) == 1, F.get(pages, F.lit(0))["data"]).otherwise(joined)
 
 
 def op4_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document, repeated ones too; a null text is an empty one, of 64 bytes 0. Texts of any length are stored whole."""
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     docs = table(spark, sf_dir, "documents").select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), text.alias("payload"))
     stored = store(docs, "payload").withColumns(
