@@ -81,23 +81,15 @@ def log_steps(size: Column, bits: int = BITS) -> Column:
     return F.least(F.floor(F.log2(F.coalesce(size, F.lit(0)) + F.lit(1.0)) * 4), F.lit((1 << bits) - 1))
 
 
-def name_code(name: Column, bits: int = BITS) -> Column:
-    """A name's place on its axis: equal names share a place; null has its own text."""
-    return F.crc32(F.coalesce(name, F.lit("\x00")).cast("binary")).bitwiseAND(F.lit((1 << bits) - 1))
+def ranked(rows: DataFrame, keys: list) -> DataFrame:
+    """rows (checkpointed) with __rank from 0 in the order of keys, and __all, their number.
 
-
-def curve_shards(rows: DataFrame, dims: list[Column], ties: list[Column], shards: int = SHARDS, bits: int = BITS) -> DataFrame:
-    """rows with curve, shard and slot: sorted by curve index and ties, cut into runs of equal row counts.
-
-    Range partitioning sorts all rows by (curve, ties); ties spread points that share an index, so a hot point
-    is cut across partitions. The ranges are checkpointed, as a second sampling could move their bounds. The
+    Range partitioning sorts all rows; the ranges are checkpointed, as a second sampling could move their bounds. The
     rank of a row is its place in its partition plus the rows before that partition; the table of partition
-    counts has one row per partition. Runs differ by one row at most; the first ones are the longer.
-    Equal rows get different slots; an empty table gives an empty result.
+    counts has one row per partition. Equal rows get different ranks; no rows give none.
     """
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    curve = rows.withColumn("curve", hilbert(dims, bits))
-    ranged = curve.repartitionByRange(n, "curve", *ties).sortWithinPartitions("curve", *ties)
+    ranged = rows.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
     place = F.monotonically_increasing_id()
     ranged = cut(
         ranged.withColumn("__part", F.shiftright(place, 33).cast("int")).withColumn(
@@ -113,7 +105,30 @@ def curve_shards(rows: DataFrame, dims: list[Column], ties: list[Column], shards
         ).alias("__before"),
         F.sum("__rows").over(one).alias("__all"),
     )
-    ranked = ranged.join(small(cut(counts)), "__part").withColumn("__rank", F.col("__before") + F.col("__pos"))
+    placed = ranged.join(small(cut(counts)), "__part").withColumn("__rank", F.col("__before") + F.col("__pos"))
+    return placed.drop("__part", "__pos", "__before")
+
+
+def with_place(rows: DataFrame, name: str, place: str, bits: int = BITS) -> DataFrame:
+    """rows with the place of a name among all distinct names, in so many bits and in their order; null comes first.
+
+    Neighbouring places are neighbouring names, so that a file's least and greatest name tell what it holds. The
+    table of distinct names is broadcast only if it was counted to be small.
+    """
+    names = ranked(rows.select(F.col(name).alias("__name")).distinct(), [F.col("__name").asc_nulls_first()])
+    names = names.select("__name", F.expr(f"__rank * {1 << bits} div __all").cast("long").alias(place))
+    return rows.join(small(cut(names)), F.col(name).eqNullSafe(F.col("__name"))).drop("__name")
+
+
+def curve_shards(rows: DataFrame, dims: list[Column], ties: list[Column], shards: int = SHARDS, bits: int = BITS) -> DataFrame:
+    """rows with curve, shard and slot: sorted by curve index and ties, cut into runs of equal row counts.
+
+    Ties spread points that share an index, so a hot point is cut across partitions. Runs differ by one row at most; the
+    first ones are the longer. Nulls in a dimension count as 0. Equal rows get different slots; columns named curve, shard
+    and slot are replaced; an empty table gives an empty result.
+    """
+    kept = [c for c in rows.columns if c not in ("curve", "shard", "slot")]
+    placed = ranked(rows.withColumn("__curve", hilbert(dims, bits)), ["__curve", *ties])
     each = F.expr(f"__all div {shards}")
     long_ones = F.col("__all") % shards
     edge = long_ones * (each + 1)
@@ -124,11 +139,22 @@ def curve_shards(rows: DataFrame, dims: list[Column], ties: list[Column], shards
     slot = F.when(in_long, F.col("__rank") % (each + 1)).otherwise(
         (F.col("__rank") - edge) % F.greatest(each, F.lit(1))
     )
-    return ranked.select(*rows.columns, "curve", shard.cast("int").alias("shard"), slot.cast("long").alias("slot"))
+    return placed.select(
+        *[F.col(f"`{c}`") for c in kept], F.col("__curve").alias("curve"), shard.cast("int").alias("shard"), slot.cast("long").alias("slot")
+    )
+
+
+def ranges(sharded: DataFrame, columns: list[str]) -> DataFrame:
+    """What file statistics would hold: a row per shard with the least and the greatest value of each column."""
+    ends = [f(c).alias(f"{c}_{n}") for c in columns for n, f in (("min", F.min), ("max", F.max))]
+    return sharded.groupBy("shard").agg(F.count(F.lit(1)).alias("rows"), *ends)
 
 
 def op7_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dimensions: size, source and language; equal texts of one source and language lie side by side."""
+    """Dimensions: size, source and language; equal texts of one source and language lie side by side.
+
+    Null texts have 16 bytes; null sources and languages have their own place. Every row gets a slot, repeated ones too.
+    """
     docs = table(spark, sf_dir, "documents")
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     rows = docs.select(
@@ -140,7 +166,8 @@ def op7_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("lang").alias("__lang"),
         F.xxhash64(text).alias("__content"),
     )
-    dims = [log_steps(F.col("size")), name_code(F.col("__source")), name_code(F.col("__lang"))]
+    rows = with_place(with_place(rows, "__source", "__s"), "__lang", "__l")
+    dims = [log_steps(F.col("size")), F.col("__s"), F.col("__l")]
     out = curve_shards(rows, dims, [F.col("__content"), F.xxhash64("doc_id"), F.col("doc_id")])
     return out.select(
         "doc_id", "size", "text_crc32", "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve"
