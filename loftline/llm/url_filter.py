@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import HOT, cut, small, table
 
 #: Seconds of a time bucket; both sides of the join carry (domain, bucket), so a hot domain is spread over time.
 BUCKET = 30 * 86_400
@@ -70,7 +70,16 @@ def active_entries(captures: DataFrame, intervals: DataFrame) -> DataFrame:
     spans = spans.where(end >= F.col("valid_from")).select(
         "domain", "category", "valid_from", "valid_to", F.explode(F.sequence(bucket(F.col("valid_from")), bucket(end))).alias("b")
     )
-    active = keys.join(spans, ["domain", "b"]).where(
+    spans = cut(spans)
+    # Most domains above a host have no entry; of the others some are above very many hosts and are dealt out.
+    keys = cut(keys.join(small(spans.select("domain").distinct()), "domain", "left_semi"))
+    ways = F.least(F.lit(HOT), F.col("keys"), F.ceil(F.col("keys") * HOT / F.col("all"))).cast("int").alias("ways")
+    counts = keys.groupBy("domain").agg(F.count(F.lit(1)).alias("keys")).crossJoin(F.broadcast(keys.agg(F.count(F.lit(1)).alias("all"))))
+    # A host has few domains above it, so fewer than HOT of them are as frequent as this.
+    hot = F.broadcast(counts.where(F.col("keys") * HOT > F.col("all")).select("domain", ways))
+    keys = keys.join(hot, "domain", "left").withColumn("salt", F.pmod(F.xxhash64("host", "fetched_at"), F.coalesce("ways", F.lit(1))).cast("int"))
+    spans = spans.join(hot, "domain", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("ways", F.lit(1)) - 1)))
+    active = keys.drop("ways").join(spans.drop("ways"), ["domain", "b", "salt"]).where(
         (F.col("valid_from") <= F.col("fetched_at")) & (F.col("valid_to").isNull() | (F.col("fetched_at") < F.col("valid_to")))
     )
     order = F.struct(F.length("domain"), (F.col("category") == "allow"), "valid_from", "category")
@@ -94,7 +103,8 @@ def _digits(text: Column, at: int, n: int) -> Column:
 def dated_list(hosts: DataFrame) -> DataFrame:
     """A list history for the hosts of a crawl and the domains above them, by a fixed rule on their names.
 
-    A name has up to four entries, adds and removals in turn, at times that its md5 gives.
+    A name has up to four entries, adds and removals in turn, at times that its md5 gives. Null hosts have none; repeated
+    ones count once; no hosts give no entries.
     """
     names = hosts.where("host is not null").select(F.explode(suffixes(F.col("host"))).alias("domain")).distinct()
     rows = names.select("domain", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k"))
