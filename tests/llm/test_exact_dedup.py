@@ -53,3 +53,17 @@ def test_one_row_of_each_group_stays(spark):
     assert sorted([(r.doc_id, lower(r.text)) for r in got.collect()], key=str) == sorted(
         [(5, "aa"), (3, "ÄÖ"), (4, "äö"), (8, ""), (9, "b" * 200_000), (6, "solo")], key=str)
     assert sorted(r.doc_id for r in drop_copies(df, keep="min").collect()) == [1, 2, 3, 4, 6, 7]
+
+
+def test_hot_texts_and_odd_columns(spark):
+    rows = [(i, "same" if i % 3 == 0 else None if i % 3 == 1 else f"text {i}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    assert result(exact_groups(df, keep="max")) == brute(rows, max)
+    odd = df.limit(6).selectExpr("doc_id", "'a' as text", "map('k', 1) as m", "1 as __t", "2 as __h", "3 as __row", "array(map(1, 2)) as n")
+    got = drop_copies(odd, keep="max").collect()
+    assert len(got) == 1 and got[0].m == {"k": 1} and (got[0]["__t"], got[0]["__h"], got[0]["__row"]) == (1, 2, 3)
+
+
+def test_string_ids(spark):
+    df = spark.createDataFrame([("b", "x"), ("a", "X"), ("c", "y")], "doc_id string, text string")
+    assert sorted((r.doc_id, r.keep_id) for r in exact_groups(df, keep="max").collect()) == [("a", "b"), ("b", "b"), ("c", "c")]

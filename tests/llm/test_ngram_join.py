@@ -75,3 +75,23 @@ def test_near_copies_go(spark):
     want = {d for d, (n, c) in brute(rows, 5, 80, 100).items() if d == c}
     got = drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string"))
     assert got.columns == ["doc_id", "text"] and {r.doc_id for r in got.collect()} == want
+
+
+def test_string_ids_and_one_hot_class(spark):
+    rows = [(f"d{i:04d}", "a b c d e f g" if i % 2 else f"w{i} x{i} y{i} z{i} v{i}") for i in range(600)]
+    got = jaccard_components(spark.createDataFrame(rows, "doc_id string, text string").repartition(5), 4, 85, 100).collect()
+    assert {r.doc_id: r.component_id for r in got} == {d: "d0001" if int(d[1:]) % 2 else d for d, _ in rows}
+
+
+def test_unlinked_members_of_a_large_token_group(spark):
+    """Many texts share most of a passage, but only some are linked: the result is that of brute force."""
+    rng = random.Random(9)
+    base = [f"b{i}" for i in range(120)]
+    rows = []
+    for i in range(90):
+        copy = list(base)
+        for _ in range(rng.choice([1, 2, 4, 6])):
+            copy[rng.randrange(len(copy))] = f"u{rng.randrange(10**9)}"
+        rows.append((i, " ".join(copy)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85, 100, hubs=3).collect()}
+    assert got == brute(rows, 4, 85, 100)

@@ -46,3 +46,18 @@ def test_stages(spark):
 def test_run(spark):
     got = corpus_pipeline.run(spark, FOLDER)
     assert got.columns == [*COLUMNS, "ids"] and got.count() > 0
+
+
+def test_odd_rows_pass_all_stages(spark):
+    """Nulls, empty and very long texts, repeated rows and a column named ids; then no rows at all."""
+    rows = [(1, "a b c d e f", "en", "s", 1), (1, "a b c d e f", "en", "s", 1), (2, None, None, None, None), (3, "", "en", "s", 0),
+            (None, "no id here at all today", "en", "t", 5), (4, "long text " * 20_000, "en", None, 9)]
+    for some in (rows, []):
+        docs = spark.createDataFrame(some, "doc_id long, text string, lang string, source string, n_chars long")
+        for name, stage in corpus_pipeline.STAGES:
+            docs = stage(spark, docs, FOLDER)
+            assert docs.columns == (COLUMNS if name != "byte_bpe" else [*COLUMNS, "ids"])
+        got = docs.collect()
+        assert bool(got) == bool(some) and all(r.text for r in got)
+    named = spark.createDataFrame([(1, "a b", "x")], "doc_id long, text string, ids string")
+    assert dict(corpus_pipeline.STAGES)["byte_bpe"](spark, named, FOLDER).columns == ["doc_id", "text", "ids"]

@@ -3,7 +3,7 @@ import zlib
 
 from pyspark.sql import functions as F
 
-from loftline.llm.sharding import curve_shards, hilbert, op7_hilbert_sharding
+from loftline.llm.sharding import curve_shards, hilbert, op7_hilbert_sharding, ranges, with_place
 
 
 def test_curve_visits_neighbours(spark):
@@ -39,3 +39,31 @@ def test_query(spark):
     got = op7_hilbert_sharding(spark, folder).collect()
     assert sorted(r.doc_id for r in got) == sorted(docs)
     assert all(r.size == len(docs[r.doc_id]) + 16 and r.text_crc32 == zlib.crc32(docs[r.doc_id]) for r in got)
+
+
+def test_query_law_and_slots(spark):
+    """Law rows: counts are at most one apart, and slots have no gap."""
+    got = op7_hilbert_sharding(spark, "/root/testdata/sf0.001").collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.shard, []).append(r.slot)
+        assert r.law == "rows" and r.grown_shard is None
+    assert max(map(len, by.values())) - min(map(len, by.values())) <= 1 and set(by) <= set(range(40))
+    assert all(sorted(v) == list(range(len(v))) for v in by.values())
+
+
+def test_ranges_prune_by_every_dimension(spark):
+    rows = spark.createDataFrame([(i, f"s{i * 7919 % 64:02d}", f"l{i * 104729 % 61 % 32:02d}", i) for i in range(4096)], "doc_id long, source string, lang string, shard long")
+    placed = with_place(with_place(rows, "source", "s"), "lang", "l")
+    got = curve_shards(placed, [F.col("s"), F.col("l")], [F.col("doc_id")])
+    assert got.columns.count("shard") == 1
+    for column, value in (("source", "s20"), ("lang", "l10")):
+        read = ranges(got, [column]).where(f"{column}_min <= '{value}' and {column}_max >= '{value}'").count()
+        assert read <= 16
+
+
+def test_places_follow_names(spark):
+    rows = spark.createDataFrame([("b",), ("a",), (None,), ("c",), ("b",)], "n string")
+    got = {r.n: r.p for r in with_place(rows, "n", "p", bits=2).collect()}
+    assert got == {None: 0, "a": 1, "b": 2, "c": 3}
+    assert with_place(rows.limit(0), "n", "p").collect() == []
