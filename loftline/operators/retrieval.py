@@ -54,19 +54,35 @@ def ranked(scored: DataFrame, k: int | None = None, by: str = "query_id") -> Dat
 def topk(queries: DataFrame, refs: DataFrame, k: int, negatives: bool = True) -> DataFrame:
     """(query_id, ref_id, score, rank): the k references of highest cosine for each stated query.
 
-    queries has (query_id, vector), refs (ref_id, vector). Each pass sends a block of queries to all partitions
-    of the references; a partition answers with k rows per query and batch, so what is shuffled does not depend on
-    the number of references. Null, empty and zero vectors are not compared.
+    queries has (query_id, vector), refs (ref_id, vector). Queries of one block are sent to all partitions of the
+    references; a partition answers with k rows per query and batch. More queries meet the references in a grid: blocks
+    of either side, each pair of blocks in one task, with k rows per query and pair. What is shuffled last does
+    not depend on the number of references but on that of blocks. Null, empty and zero vectors are not compared.
     """
     valid = F.col("vector").isNotNull() & (vectors.norm(F.col("vector")) > 0)
     queries, refs = queries.where(valid).select("query_id", "vector"), refs.where(valid).select("ref_id", "vector")
-    parts = max(1, -(-queries.count() // QUERY_BLOCK))
-    found = None
-    for i in range(parts):
-        block = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i).toPandas()
-        part = refs.mapInPandas(_scores(block, k, negatives), "query_id bigint, ref_id bigint, score double")
-        found = part if found is None else found.unionByName(part)
-    return ranked(found, k)
+    block = queries.limit(QUERY_BLOCK + 1).toPandas()
+    if len(block) <= QUERY_BLOCK:
+        return ranked(refs.mapInPandas(_scores(block, k, negatives), _SCORED), k)
+    return ranked(_grid(queries, refs, k, negatives), k)
+
+
+_SCORED = "query_id bigint, ref_id bigint, score double"
+
+
+def _grid(queries: DataFrame, refs: DataFrame, k: int, negatives: bool) -> DataFrame:
+    """Scores of the best k references of each block for each query: all pairs of blocks of about QUERY_BLOCK rows."""
+    n, m = (-(-rows.count() // QUERY_BLOCK) for rows in (queries, refs))
+    block = lambda rows, key, count: rows.withColumn(key[0], F.pmod(F.xxhash64(key), F.lit(count)).cast("int"))
+    meet = lambda name, count: F.explode(F.sequence(F.lit(0), F.lit(max(count, 1) - 1))).alias(name)
+    left = block(queries, "query_id", max(n, 1)).select("*", meet("r", m))
+    right = block(refs, "ref_id", max(m, 1)).select("*", meet("q", n))
+
+    def both(asked: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        parts = list(_scores(asked, k, negatives)([found])) if len(asked) and len(found) else []
+        return parts[0] if parts else pd.DataFrame({"query_id": pd.Series(dtype="int64"), "ref_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
+
+    return left.groupBy("q", "r").cogroup(right.groupBy("q", "r")).applyInPandas(both, _SCORED)
 
 
 def truth_ranks(queries: DataFrame, refs: DataFrame) -> DataFrame:

@@ -250,9 +250,68 @@ def kalman_fold(rows: pd.DataFrame, process: float = 2.0, noise: float = 5.0) ->
     return rows.assign(fx=fx, fy=fy, d2=pd.Series(d2, dtype="float64"))
 
 
+#: Columns of the state of a track: fixes seen, position, velocity, first fix, covariance of one axis (both are alike), time.
+_STATE = ["seen", "x", "y", "vx", "vy", "x0", "y0", "p00", "p01", "p11", "t"]
+
+
+def _kalman_step(s: dict, x: np.ndarray, y: np.ndarray, t: np.ndarray, process: float, noise: float) -> tuple[np.ndarray, ...]:
+    """One fix of many tracks at once: changes the state and gives positions and squared distances before the update."""
+    new = s["seen"] == 0
+    raw = np.where(new, 1.0, t - s["t"])
+    dt = np.minimum(np.maximum(raw, LEAST_DT), 5.0)
+    p00 = s["p00"] + 2 * dt * s["p01"] + dt**2 * s["p11"] + process * dt**4 / 4
+    p01 = s["p01"] + dt * s["p11"] + process * dt**3 / 2
+    p11 = s["p11"] + process * dt**2
+    total = p00 + noise
+    d2 = ((x - s["x"] - dt * s["vx"]) ** 2 + (y - s["y"] - dt * s["vy"]) ** 2) / total
+    second = s["seen"] == 1
+    for v, z, first in (("vx", x, "x0"), ("vy", y, "y0")):
+        s[v] = np.where(second, (z - s[first]) / np.maximum(raw, LEAST_DT), s[v])
+    k0, k1 = p00 / total, p01 / total
+    for c, v, z in (("x", "vx", x), ("y", "vy", y)):
+        off = z - s[c] - dt * s[v]
+        s[c], s[v] = np.where(new, z, s[c] + dt * s[v] + k0 * off), np.where(new, 0.0, s[v] + k1 * off)
+    keep = 1.0 - k0
+    s["p00"] = np.where(new, s["p00"], keep**2 * p00 + k0**2 * noise)
+    s["p01"] = np.where(new, s["p01"], keep * (p01 - k1 * p00) + k0 * k1 * noise)
+    s["p11"] = np.where(new, s["p11"], p11 - 2 * k1 * p01 + k1**2 * p00 + k1**2 * noise)
+    s["x0"], s["y0"] = np.where(new, x, s["x0"]), np.where(new, y, s["y0"])
+    s["seen"], s["t"] = s["seen"] + 1, t
+    return s["x"], s["y"], np.where(new, np.nan, d2)
+
+
 def kalman(track: DataFrame, process: float = 2.0, noise: float = 5.0) -> DataFrame:
-    """track with the filtered position fx, fy and the squared Mahalanobis distance before the update."""
-    return _per_track(track, lambda rows: kalman_fold(rows, process, noise), "fx double, fy double, d2 double")
+    """track with the filtered position fx, fy and the squared Mahalanobis distance before the update.
+
+    Rows come sorted by track, in batches; all tracks of a batch take their steps together, and the state of the
+    last one goes on into the next batch, so that a track of any length is never held whole.
+    """
+
+    def run(batches):
+        held: dict[str, float] | None = None
+        last = None
+        for rows in batches:
+            ids, x, y, t = (rows[c].to_numpy() for c in ("track_id", "x", "y", "t"))
+            starts = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]][: len(ids)])
+            sizes = np.diff(np.r_[starts, len(ids)])
+            state = {c: np.full(len(starts), 1000.0 if c in ("p00", "p11") else 0.0) for c in _STATE}
+            if held is not None and len(ids) and ids[0] == last:
+                for c in _STATE:
+                    state[c][0] = held[c]
+            out = np.zeros((3, len(ids)))
+            for step in range(sizes.max(initial=0)):
+                on = np.flatnonzero(sizes > step)
+                at = starts[on] + step
+                part = {c: v[on] for c, v in state.items()}
+                out[:, at] = _kalman_step(part, x[at].astype(float), y[at].astype(float), t[at].astype(float), process, noise)
+                for c in _STATE:
+                    state[c][on] = part[c]
+            if len(ids):
+                held, last = {c: state[c][-1] for c in _STATE}, ids[-1]
+            yield rows.assign(fx=out[0], fy=out[1], d2=out[2])
+
+    schema = track.selectExpr("*", *[f"cast(null as double) as {c}" for c in ("fx", "fy", "d2")]).schema
+    return track.repartition("track_id").sortWithinPartitions("track_id", "seq").mapInPandas(run, schema)
 
 
 def smooth_fold(rows: pd.DataFrame, size: int = 60, huber: float = 3.0, stiffness: float = 1.0, rounds: int = 5) -> pd.DataFrame:

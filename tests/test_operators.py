@@ -198,3 +198,29 @@ def test_failure_lines_match_the_first_key_as_written(spark):
     assert got == [("Outlier filtered", 2, 1), ("Not enough valid inliers", 1, 2), ("out_of_coverage", 1, 3)]
     assert [(r.lat, r.lon, r.frame, r.inliers, r.confidence) for r in logs.parse(df).collect()] == [(50.1, -3.25, 7, 12, 0.5)]
     assert logs.temporal_prior(df.withColumn("n", F.lit(1)), "n").collect() == []
+
+
+def test_kalman_steps_many_tracks_as_one_by_one(spark):
+    """Batches cut tracks anywhere; each row is that of the filter run over its track alone."""
+    rng = np.random.default_rng(3)
+    rows = [(i, s, float(s + rng.random()), *map(float, rng.normal(s, 2, 2))) for i in range(9) for s in range(1, 4 + i * 5)]
+    frame = pd.DataFrame(rows, columns=["track_id", "seq", "t", "x", "y"])
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = T.kalman(spark.createDataFrame(frame).repartition(3)).toPandas().sort_values(["track_id", "seq"]).reset_index(drop=True)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    want = pd.concat([T.kalman_fold(g.reset_index(drop=True)) for _, g in frame.groupby("track_id")], ignore_index=True)
+    for c in ("fx", "fy", "d2"):
+        np.testing.assert_allclose(got[c].to_numpy(float), want[c].to_numpy(float), rtol=1e-9, atol=1e-9)
+    assert T.kalman(spark.createDataFrame(frame).limit(0)).collect() == []
+
+
+def test_grid_of_blocks_finds_what_one_block_finds(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    refs = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(120, 8)))], "ref_id long, vector array<double>")
+    asked = refs.select(F.col("ref_id").alias("query_id"), "vector")
+    want = {(r.query_id, r.rank): (r.ref_id, r.score) for r in retrieval.topk(asked, refs, 4).collect()}
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 25)
+    assert {(r.query_id, r.rank): (r.ref_id, r.score) for r in retrieval.topk(asked, refs, 4).collect()} == want and len(want) == 480
