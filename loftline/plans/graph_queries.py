@@ -147,6 +147,15 @@ SQL = {
  select e.edge_id, b.edge_id is not null as pruned from edges e left join b on b.edge_id = e.edge_id and b.r <= (select floor(n * 0.2) from d)""",
     "reachability": f"""with {SQL_EDGES}, l as (select track_id, max(seq) as n from poses group by 1)
  select node, case when ((seq - 1) // 10) * 10 + 11 <= n then least((seq - 1) % 10, 10 - (seq - 1) % 10) else (seq - 1) % 10 end as hop from poses join l on l.track_id = poses.track_id""",
+    "bfs_propagation": f"""with recursive {SQL_EDGES}, t as (select * from edges where edge_type = 'temporal'),
+ a as (select node, node as parent, 0 as hop, x, y, log_sx, log_sy, theta from poses where seq % 10 = 1),
+ fw as (select * from a union all select t.to_id, t.from_id, hop + 1, x + cos(theta) * exp(log_sx) * dx - sin(theta) * exp(log_sy) * dy,
+   y + sin(theta) * exp(log_sx) * dx + cos(theta) * exp(log_sy) * dy, log_sx + log_dsx, log_sy + log_dsy, theta + dtheta from fw join t on t.from_id = fw.node where hop < 10),
+ iv as (select from_id, to_id, exp(-log_dsx) * (-(cos(dtheta) * dx + sin(dtheta) * dy)) as dx, exp(-log_dsy) * (sin(dtheta) * dx - cos(dtheta) * dy) as dy, log_dsx, log_dsy, dtheta from t),
+ bw as (select * from a union all select iv.from_id, iv.to_id, hop + 1, x + cos(theta) * exp(log_sx) * dx - sin(theta) * exp(log_sy) * dy,
+   y + sin(theta) * exp(log_sx) * dx + cos(theta) * exp(log_sy) * dy, log_sx - log_dsx, log_sy - log_dsy, theta - dtheta from bw join iv on iv.to_id = bw.node where hop < 10),
+ r as (select *, row_number() over (partition by node order by hop, parent) as r from (select * from fw union all select * from bw))
+ select node, hop, round(x, 4) as x, round(y, 4) as y, round(log_sx, 4) as log_sx, round(log_sy, 4) as log_sy, round(theta, 4) as theta from r where r = 1""",
     "anchor_gap_check": f"""with {SQL_EDGES}, s as (select track_id, seq, dx * 10 as dx, dy * 10 + case when to_id % 19 = 0 then 50.0::double else 0 end as dy from edges where edge_type = 'temporal'),
  a as (select track_id, seq, x, y, lead(seq) over w as nxt, lead(x) over w as tx, lead(y) over w as ty from poses where seq % 10 = 1 window w as (partition by track_id order by seq)),
  g as (select a.track_id, a.seq, a.nxt, any_value(tx - x) as ex, any_value(ty - y) as ey, count(s.seq) as steps, sum(dx) as sx, sum(dy) as sy from a left join s on s.track_id = a.track_id and s.seq > a.seq and s.seq <= a.nxt where a.nxt is not null group by 1, 2, 3)

@@ -90,9 +90,9 @@ def loop_closure_candidates(spark, sf_dir):
 
 
 def _descriptor_pairs(spark, sf_dir) -> DataFrame:
-    """Frames are runs of eight vectors, descriptors their first sixteen numbers; a frame meets the next one."""
+    """Frames are runs of eight vectors, which are their descriptors; a frame meets the next one."""
     d = vectors(spark, sf_dir).select(
-        F.floor(F.col("ref_id") / 8).alias("frame"), F.col("ref_id"), F.slice("vector", 1, 16).alias("v")
+        F.floor(F.col("ref_id") / 8).alias("frame"), F.col("ref_id"), F.col("vector").alias("v")
     )
     a = d.select(F.col("frame").alias("pair_id"), F.col("ref_id").alias("q"), F.col("v").alias("qv"))
     b = d.select((F.col("frame") - 1).alias("pair_id"), F.col("ref_id").alias("r"), F.col("v").alias("rv"))
@@ -131,7 +131,7 @@ NAMES = [
 ]
 QUERIES = {f.__name__: f for f in NAMES}
 
-_MATCH = """d as (select vec_id // 8 as frame, vec_id, embedding[1:16]::double[] as v from embeddings),
+_MATCH = """d as (select vec_id // 8 as frame, vec_id, embedding::double[] as v from embeddings),
  u as (select frame, vec_id, list_transform(v, lambda x: x / (sqrt(list_inner_product(v, v)) + 1e-8)) as v from d),
  s as (select a.frame as pair_id, a.vec_id as q, b.vec_id as r, round(list_inner_product(a.v, b.v), 9) as score from u a join u b on b.frame = a.frame + 1),
  w as (select *, sqrt(greatest(0, 2 - 2 * score)) as l2, row_number() over fq as rq, row_number() over (partition by pair_id, r order by score desc, q) as rr,
