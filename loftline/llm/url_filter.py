@@ -6,10 +6,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import HOT, cut, small, table
+from .common import cut, small, table
 
 #: Seconds of a time bucket; both sides of the join carry (domain, bucket), so a hot domain is spread over time.
 BUCKET = 30 * 86_400
+#: A domain above more than one in so many hosts and times is dealt out in parts of that size.
+SALTS = 512
 # Fixed values of the query's list: first second of fetches, their span, and how long before it entries begin.
 START, SPAN, BEFORE = 1_704_067_200, 31_622_400, 10_000_000
 
@@ -73,10 +75,10 @@ def active_entries(captures: DataFrame, intervals: DataFrame) -> DataFrame:
     spans = cut(spans)
     # Most domains above a host have no entry; of the others some are above very many hosts and are dealt out.
     keys = cut(keys.join(small(spans.select("domain").distinct()), "domain", "left_semi"))
-    ways = F.least(F.lit(HOT), F.col("keys"), F.ceil(F.col("keys") * HOT / F.col("all"))).cast("int").alias("ways")
+    ways = F.least(F.lit(SALTS), F.col("keys"), F.ceil(F.col("keys") * SALTS / F.col("all"))).cast("int").alias("ways")
     counts = keys.groupBy("domain").agg(F.count(F.lit(1)).alias("keys")).crossJoin(F.broadcast(keys.agg(F.count(F.lit(1)).alias("all"))))
-    # A host has few domains above it, so fewer than HOT of them are as frequent as this.
-    hot = F.broadcast(counts.where(F.col("keys") * HOT > F.col("all")).select("domain", ways))
+    # A host has few domains above it, so few times SALTS of them at most are as frequent as this.
+    hot = F.broadcast(counts.where(F.col("keys") * SALTS > F.col("all")).select("domain", ways))
     keys = keys.join(hot, "domain", "left").withColumn("salt", F.pmod(F.xxhash64("host", "fetched_at"), F.coalesce("ways", F.lit(1))).cast("int"))
     spans = spans.join(hot, "domain", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("ways", F.lit(1)) - 1)))
     active = keys.drop("ways").join(spans.drop("ways"), ["domain", "b", "salt"]).where(
