@@ -210,6 +210,32 @@ def prune(rows: DataFrame, anchors: DataFrame, k: float = 5.0, most: float = 0.2
     return out.select(*rows.columns, (F.col("bad") & ~held_back).alias("pruned"))
 
 
+def odometry_factors(
+    rows: DataFrame, poses: DataFrame, steps: Column, per_step: float, width: float, height: float,
+    margin: float = 1.5, drift: float = 0.25, factor: float = 0.3, sign: float = 1.0,
+) -> DataFrame:
+    """edges with factor: low where the edge leads further from the pose that the chain gives its end than is allowed.
+
+    Allowed is `margin` times the frame's diagonal at the start's scale, and `drift` of the usual way for each step of the chain.
+    An edge without both poses keeps its weight.
+    """
+    i = poses.select(F.col("node").alias("from_id"), *[F.col(n).alias(f"i_{n}") for n in POSE])
+    j = poses.select(F.col("node").alias("to_id"), F.col("x").alias("j_x"), F.col("y").alias("j_y"))
+    both = rows.join(i, "from_id", "left").join(j, "to_id", "left")
+    ahead = predict_forward(pose("i_"), pose(names=STEP), sign)
+    off = F.sqrt((ahead.x - F.col("j_x")) ** 2 + (ahead.y - F.col("j_y")) ** 2)
+    allowed = F.exp("i_log_sx") * math.hypot(width, height) * margin + F.abs(steps) * (per_step * drift)
+    return both.select(*rows.columns, F.when(off > allowed, factor).otherwise(1.0).alias("factor"))
+
+
+def usual_step(poses: DataFrame, group: str, at: str, most: int = 3) -> float:
+    """Median way per slot between neighbouring poses that are no more than `most` slots apart; 0 without any."""
+    w = W.partitionBy(group).orderBy(at)
+    slots = F.col(at) - F.lag(at).over(w)
+    way = F.sqrt((F.col("x") - F.lag("x").over(w)) ** 2 + (F.col("y") - F.lag("y").over(w)) ** 2) / F.greatest(slots, F.lit(1))
+    return poses.select(way.alias("way"), slots.alias("slots")).where(F.col("slots") <= most).agg(F.percentile("way", 0.5)).first()[0] or 0.0
+
+
 def chain_gaps(edges: DataFrame, anchors: DataFrame, tolerance: float) -> DataFrame:
     """Per pair of neighbouring anchors of a track: ok, inconsistent or broken.
 

@@ -76,6 +76,14 @@ def prune_spatial(spark, sf_dir):
     return G.prune(_residuals(spark, sf_dir), poses(spark, sf_dir).where("seq % 10 = 1")).select("edge_id", "pruned")
 
 
+def odometry_factors(spark, sf_dir):
+    """Spatial edges, some of them stretched, against the chain; frames are small, so that some are off."""
+    nodes = poses(spark, sf_dir)
+    rows = edges(spark, sf_dir).where("edge_type = 'spatial'").withColumn("dx", F.col("dx") * F.when(F.col("to_id") % 5 == 0, 40.0).otherwise(8.0))
+    found = G.odometry_factors(rows, nodes, F.lit(3), G.usual_step(nodes, "track_id", "seq"), 64.0, 48.0)
+    return found.select("edge_id", "factor")
+
+
 def reachability(spark, sf_dir):
     """Hops along temporal edges from the nearest anchor, every tenth row of a track."""
     links = edges(spark, sf_dir).where("edge_type = 'temporal'")
@@ -108,7 +116,7 @@ def pose_graph_solve(spark, sf_dir):
 
 NAMES = [
     edge_residuals, edge_residual_stats, worst_edges, anchor_stress, edge_gates, edge_weights, cluster_support, gap_downweight,
-    frame_qa, frame_disagreement, prune_spatial, reachability, bfs_propagation, anchor_gap_check, pose_graph_solve,
+    frame_qa, frame_disagreement, prune_spatial, odometry_factors, reachability, bfs_propagation, anchor_gap_check, pose_graph_solve,
 ]
 QUERIES = {f.__name__: f for f in NAMES}
 
@@ -145,6 +153,11 @@ SQL = {
  m as (select median(residual) as m, count(*) as n from k), d as (select median(abs(residual - m)) as d, any_value(m) as m, any_value(n) as n from k, m),
  b as (select edge_id, row_number() over (order by residual desc, edge_id) as r from k, d where residual > m + d * (5.0 * 1.4826))
  select e.edge_id, b.edge_id is not null as pruned from edges e left join b on b.edge_id = e.edge_id and b.r <= (select floor(n * 0.2) from d)""",
+    "odometry_factors": f"""with {SQL_EDGES}, l as (select sqrt((x - lag(x) over w) ** 2 + (y - lag(y) over w) ** 2) as way from poses window w as (partition by track_id order by seq)),
+ s as (select edge_id, from_id, to_id, dx * case when to_id % 5 = 0 then 40.0::double else 8.0::double end as dx, dy from edges where edge_type = 'spatial'),
+ o as (select edge_id, i.log_sx, sqrt((i.x + cos(i.theta) * exp(i.log_sx) * dx - sin(i.theta) * exp(i.log_sy) * dy - j.x) ** 2 + (i.y + sin(i.theta) * exp(i.log_sx) * dx + cos(i.theta) * exp(i.log_sy) * dy - j.y) ** 2) as away
+   from s join poses i on i.node = s.from_id join poses j on j.node = s.to_id)
+ select edge_id, case when away > exp(log_sx) * 80 * 1.5 + 3 * 0.25 * (select coalesce(median(way), 0) from l) then 0.3::double else 1.0::double end as factor from o""",
     "reachability": f"""with {SQL_EDGES}, l as (select track_id, max(seq) as n from poses group by 1)
  select node, case when ((seq - 1) // 10) * 10 + 11 <= n then least((seq - 1) % 10, 10 - (seq - 1) % 10) else (seq - 1) % 10 end as hop from poses join l on l.track_id = poses.track_id""",
     "bfs_propagation": f"""with recursive {SQL_EDGES}, t as (select * from edges where edge_type = 'temporal'),
