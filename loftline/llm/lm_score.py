@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, small, table
 from .shingles import mix, word_hashes
 
 #: Pseudo-counts that equal shares of the vocabulary get, for each first word.
@@ -259,9 +259,9 @@ def word_scores(docs: DataFrame, is_target, id_col: str = "doc_id", text_col: st
 def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target: texts labelled of good quality. Background: all texts. One row per document, those with nulls or repeated too."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    good = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max(F.col("quality") == 1).alias("good"))
-    # Labels grow with the documents: the same join whatever their size.
-    return word_scores(docs.join(good.hint("merge"), "doc_id", "left"), F.col("good"))
+    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id", F.lit(True).alias("good")).distinct()
+    # Each pass over the texts joins them: without a shuffle of the texts as long as the good labels are few.
+    return word_scores(docs.join(small(good), "doc_id", "left"), F.col("good"))
 
 
 SQL: dict[str, str] = {}
