@@ -294,7 +294,8 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str
     An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    words = frequent_words(docs, pattern, text_col, n)
+    # A fold takes n * n steps: long words, however frequent, are left to the heap.
+    words = frequent_words(docs, pattern, text_col, n).where(F.octet_length("word") < LONG)
     rows = words.select("word", encode_word(F.col("word"), rank_map(ranks)).alias("ids")).toArrow()
     known: dict[str, bytes] = {}
     for batch in rows.to_batches():
