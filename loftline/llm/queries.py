@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, lm_score, mixing, ngram_join, sharding, tiff, toxicity, url_filter, warc
+from . import bpe, exact_dedup, lm_score, merkle, minhash, mixing, ngram_join, periodic, sharding, tiff, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -15,7 +15,10 @@ QUERIES = {
     "op8_lm_score": lm_score.op8_lm_score,
     "op9_ngram_jaccard_join": ngram_join.op9_ngram_jaccard_join,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+    "op11_merkle_manifest": merkle.op11_merkle_manifest,
+    "op12_periodic_runs": periodic.op12_periodic_runs,
+    "op13_bbit_minhash": minhash.op13_bbit_minhash,
 }
 
-MODULES = (bpe, exact_dedup, lm_score, mixing, ngram_join, sharding, tiff, toxicity, url_filter, warc)
+MODULES = (bpe, exact_dedup, lm_score, merkle, minhash, mixing, ngram_join, periodic, sharding, tiff, toxicity, url_filter, warc)
 SQL = {name: sql for module in MODULES for name, sql in module.SQL.items()}
