@@ -3,11 +3,12 @@
 Of each set the minima of BANDS * ROWS hash functions are taken. Band keys, hashes of ROWS minima, make the candidates; only the
 BITS low bits of each minimum are kept, as BITS planes of one bit a lane, so that the lanes in which two signatures agree are
 counted by xor, or and bit_count. Two lanes agree by chance in one of 2 ** BITS cases, and the estimate is corrected for that.
-Candidates whose estimate is high enough are confirmed on their full sets.
+Candidates whose estimate is high enough, and whose parity bitmaps do not prove that they differ in too many tokens, are
+confirmed on their full sets.
 
 Equal sets form a class and take part once. Only connections matter: each class is first compared with a few hubs of each of
-its bands and confirmed with the nearest; the links make components, and the pairs of a band that lie in
-different components follow. So a group of any number of copies is never expanded into its pairs.
+its bands, those that meet most others, and confirmed with the nearest; the links make components, and other pairs with hubs, then
+those of a band, follow where they lie in different components. So a group of any number of copies is never expanded into its pairs.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, join_hot, small, table
 from .components import components
-from .ngram_join import _batches, _between, _class_keys, _live_filter, _nearest, _Seen
+from .ngram_join import PARITY_WORDS, _batches, _between, _class_keys, _live_filter, _nearest, _parity, _Seen
 from .shingles import mix
 
 #: A pair of similarity 0.8 shares no band with a probability of (1 - 0.8 ** 4) ** 32 = 5e-8.
@@ -91,10 +92,16 @@ def similarity(equal: Column) -> Column:
 
 
 SIGNATURE = [f"s{k}" for k in range(BITS * WORDS)]
+PARITY = [f"f{k}" for k in range(PARITY_WORDS // 2)]
+
+
+def _fewest_differing(a: str, b: str) -> Column:
+    """Tokens that only one of two sets has, at least: an odd number of them lies behind each bit in which the parities differ."""
+    return reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{a}.{w}").bitwiseXOR(F.col(f"{b}.{w}"))) for w in PARITY])
 
 
 def _classes(k: int):
-    """id, n and node (128 bits of the set; null for empty ones) and, where its task meets a class first, signature and band keys."""
+    """id, n and node (128 bits of the set; null for empty ones) and, where its task meets a class first, signature with parities and band keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = _Seen()
@@ -105,8 +112,9 @@ def _classes(k: int):
             bands = list(sign)
             if new:
                 own = np.concatenate([values[offsets[i] : offsets[i + 1]] for i in new])
-                least = minima(own, sizes[new])
-                for i, s, b in zip(new, planes(least), band_keys(least).view(np.int64), strict=True):
+                least, parity = minima(own, sizes[new]), _parity(own, sizes[new])
+                both = np.concatenate([planes(least), parity[:, : len(PARITY)] ^ parity[:, len(PARITY) :]], 1)
+                for i, s, b in zip(new, both, band_keys(least).view(np.int64), strict=True):
                     sign[i], bands[i] = s, b
             columns = [rows.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary())]
             columns += [pa.array(x, pa.list_(pa.int64())) for x in (sign, bands)]
@@ -146,10 +154,11 @@ def _confirmed(texts: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -
 
 
 def _candidates(a: DataFrame, b: DataFrame, which: Column, num: int, den: int) -> DataFrame:
-    """Distinct (a, b, far) of band postings that share a key, with lengths and estimates that allow a link."""
+    """Distinct (a, b, far) of band postings that share a key, with lengths, estimates and parities that allow a link."""
     near = (F.col("a.band") == F.col("b.band")) & which
     near &= F.greatest("a.n", "b.n") * num <= F.least("a.n", "b.n") * den
     near &= equal_lanes("a", "b") >= fewest_equal(num, den)
+    near &= _fewest_differing("a", "b") * (den + num) <= (F.col("a.n") + F.col("b.n")) * (den - num)
     found = a.alias("a").join(b.alias("b"), near)
     far = 1.0 - similarity(equal_lanes("a", "b"))
     return found.select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b"), far.alias("far")).distinct()
@@ -181,29 +190,36 @@ def near_duplicates(
     classes = rows.where("node is not null").groupBy("node").agg(
         F.min("doc_id").alias("least"), F.first("n").alias("n"), F.count(F.lit(1)).alias("copies"), F.first("sign", ignorenulls=True).alias("sign")
     )
-    words = [F.get("sign", F.lit(i)).alias(c) for i, c in enumerate(SIGNATURE)]
+    words = [F.get("sign", F.lit(i)).alias(c) for i, c in enumerate(SIGNATURE + PARITY)]
     classes = cut(classes.select("node", "least", "n", "copies", *words).withColumn("id", F.monotonically_increasing_id()))
 
     # Postings of keys that several classes have, with what the estimate needs.
     posts = rows.where("bands is not null").select(F.explode("bands").alias("band"), _number("node").alias("short"))
     posts = posts.repartition("band").dropDuplicates(["band", "short"])
-    live = posts.withColumn("group", F.count(F.lit(1)).over(W.partitionBy("band"))).where("group > 1").drop("group")
-    posts = cut(live.join(classes.select(_number("node").alias("short"), "id", "n", *SIGNATURE), "short").drop("short"))
+    live = cut(posts.withColumn("group", F.count(F.lit(1)).over(W.partitionBy("band"))).where("group > 1"))
+    # A class that meets many others lies in the middle of its cluster.
+    met = live.groupBy("short").agg(F.sum("group").alias("met"))
+    known = classes.select(_number("node").alias("short"), "id", "n", *SIGNATURE, *PARITY).join(met, "short")
+    posts = cut(live.drop("group").join(known, "short").drop("short"))
 
     # Each class with its nearest hub first: sets are sent for no more pairs than classes, and most links are found.
-    order = W.partitionBy("band").orderBy(F.xxhash64("id"), "id")
+    order = W.partitionBy("band").orderBy(F.col("met").desc(), "id")
     chosen = posts.withColumn("r", F.row_number().over(order)).where(F.col("r") <= hubs).drop("r")
     pairs = cut(_named(_candidates(posts, chosen, F.col("a.id") != F.col("b.id"), num, den), classes))
     nearest = cut(_nearest(pairs))
     links = _confirmed(texts, nearest, k, num, den)
     roots = cut(components(links))
+    # Then the other pairs with hubs whose ends lie in different components.
+    others = cut(_between(pairs.join(nearest, ["u", "v"], "left_anti"), roots))
+    if not others.isEmpty():
+        links = cut(links.unionByName(_confirmed(texts, others, k, num, den)))
+        roots = cut(components(links))
 
-    # What is left: pairs with hubs, and pairs of a band, whose ends lie in different components.
+    # What is left: all pairs of a band whose ends lie in different components.
     numbers = classes.select("id", "node")
     numbered = roots.join(numbers, "node").select("id", F.col("root").alias("node")).join(numbers.withColumnRenamed("id", "of_root"), "node")
-    rest = _cross(posts, cut(numbered.select("id", F.col("of_root").alias("root"))), num, den)
-    rest = _named(rest, classes).select("u", "v").unionByName(_between(pairs, roots)).distinct()
-    rest = cut(rest.join(nearest, ["u", "v"], "left_anti"))
+    rest = _named(_cross(posts, cut(numbered.select("id", F.col("of_root").alias("root"))), num, den), classes)
+    rest = cut(rest.select("u", "v").join(nearest.unionByName(others), ["u", "v"], "left_anti"))
     if not rest.isEmpty():
         links = links.unionByName(_confirmed(texts, rest, k, num, den))
         roots = cut(components(links))
