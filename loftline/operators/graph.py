@@ -15,8 +15,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.affine import Pose, edge_residual, predict_forward, predict_inverse
-from ..session import cut
+from ..session import cut, stored
 from .components import components
+from .scans import quantiles, running
 
 POSE = ["x", "y", "log_sx", "log_sy", "theta"]
 STEP = ["dx", "dy", "log_dsx", "log_dsy", "dtheta"]
@@ -367,13 +368,16 @@ def _costs(nodes: DataFrame, links: DataFrame, cx: float, sign: float, robust: f
 def solve(nodes: DataFrame, edges: DataFrame, cx: float, sign: float = 1.0, robust: float | None = None, block: int = BLOCK, rounds: int = 200) -> DataFrame:
     """Poses of all nodes and cost of their component (column `component`) by least squares over edges and anchors.
 
+    Anchors are drawn to their poses, or to those of the columns START where nodes have them and the poses are a first guess.
+
     A component of at most `block` nodes is one task. Larger ones are solved in blocks of so many nodes in the order of
     their ids: each block moves its own nodes while those at the other ends of its edges stand still, then all move by
     the part of the way that costs least. Blocks begin half a block further on in every other round. A component is
     done when neither of two rounds gains, or after `rounds` rounds.
     """
     place = F.row_number().over(W.partitionBy("component").orderBy("node")) - 1
-    here = nodes.select("component", "node", *POSE, *[F.col(n).alias(s) for n, s in zip(POSE, START, strict=True)], "is_anchor", place.alias("place"))
+    starts = [F.col(s if s in nodes.columns else n).alias(s) for n, s in zip(POSE, START, strict=True)]
+    here = nodes.select("component", "node", *POSE, *starts, "is_anchor", place.alias("place"))
     many = nodes.groupBy("component").agg((F.count(F.lit(1)) > block).alias("many"))
     here, links = cut(here.join(many, "component")), cut(edges.select("component", "edge_id", "from_id", "to_id", *STEP, "weight"))
     result = ["component", "node", *POSE, "cost"]
@@ -425,3 +429,91 @@ def solve(nodes: DataFrame, edges: DataFrame, cx: float, sign: float = 1.0, robu
 def least_gap(width: float, height: float, k: float, displacement: Column) -> Column:
     """How many frames apart loop closures must be: k diagonals in median steps; null for a standing track."""
     return F.when(displacement >= 1e-6, F.ceil(F.lit(k * math.hypot(width, height)) / displacement))
+
+
+def anchor_checks(nodes: DataFrame, steps: DataFrame, most: float, sign: float = 1.0) -> DataFrame:
+    """Anchors (track_id, seq, node) held against the chain from the anchor before and from the one behind.
+
+    nodes: track_id, seq, node, POSE, is_anchor; steps: track_id, seq and the relative pose (STEP) that leads to seq from seq - 1. The
+    chain of steps between two anchors is followed from both ends; disagreement is the smaller distance of an
+    anchor from where a side puts it, so an anchor that conflicts with both sides stands out and the good neighbour of a bad one does not.
+    Adds reachable (a side without a missing step), disagreement and flag (warning above `most`, else normal; null if unreachable).
+
+    Angles and log scales along a leg are running sums, and what the steps add to the position is linear in four sums for each
+    leg, so a leg of any length takes the same few jobs. A lone anchor of a track is not reachable.
+    """
+    rows = nodes.join(steps.select("track_id", "seq", *STEP), ["track_id", "seq"], "left")
+    rows = rows.withColumn("anchor", F.when(F.col("is_anchor"), F.col("seq")))
+    rows = running(rows, ["track_id"], "seq", lasts={"leg": "anchor"})
+    rows = running(rows, ["track_id"], "seq", lasts={"to": "anchor"}, ahead=True, own=True)
+    legs = rows.where("leg is not null and to is not null").select("track_id", "seq", "leg", "to", *STEP)
+    turn = {"x": "log_dsx", "y": "log_dsy", "t": "dtheta"}
+    legs = running(legs, ["track_id", "leg"], "seq", sums={f"f{n}": c for n, c in turn.items()})
+    legs = running(legs, ["track_id", "leg"], "seq", sums={f"b{n}": c for n, c in turn.items()}, ahead=True)
+    back = predict_inverse(Pose(*[F.lit(0.0)] * 5), pose(names=STEP), 1.0)  # the step the other way
+    sides = {"f": (F.col("ft") * sign, F.col("fx"), F.col("fy"), F.col("dx"), F.col("dy")), "b": (-F.col("bt") * sign, -F.col("bx"), -F.col("by"), back.x, back.y)}
+    sums = []
+    for side, (t, sx, sy, dx, dy) in sides.items():
+        terms = {"a": F.cos(t) * F.exp(sx) * dx, "b": F.sin(t) * F.exp(sx) * dx, "c": F.cos(t) * F.exp(sy) * dy, "d": F.sin(t) * F.exp(sy) * dy}
+        sums += [F.sum(v).alias(f"{side}_{n}") for n, v in terms.items()]
+    legs = legs.groupBy("track_id", "leg", "to").agg(F.count("dx").alias("steps"), *sums).where(F.col("steps") == F.col("to") - F.col("leg"))
+    anchors = nodes.where("is_anchor")
+    for side, end in (("i", "leg"), ("j", "to")):
+        legs = legs.join(anchors.select("track_id", F.col("seq").alias(end), *[F.col(n).alias(f"{side}_{n}") for n in POSE]), ["track_id", end])
+
+    def off(side: str, start: str, end: str) -> Column:
+        p, (a, b, c, d) = pose(f"{start}_"), (F.col(f"{side}_{n}") for n in "abcd")
+        u, v = F.exp(p.log_sx), F.exp(p.log_sy) * sign
+        x = p.x + u * (F.cos(p.theta) * a - F.sin(p.theta) * b) - v * (F.sin(p.theta) * c + F.cos(p.theta) * d)
+        y = p.y + u * (F.sin(p.theta) * a + F.cos(p.theta) * b) + v * (F.cos(p.theta) * c - F.sin(p.theta) * d)
+        return F.sqrt((x - F.col(f"{end}_x")) ** 2 + (y - F.col(f"{end}_y")) ** 2)
+
+    found = legs.select("track_id", F.col("to").alias("seq"), off("f", "i", "j").alias("off"))
+    found = found.unionByName(legs.select("track_id", F.col("leg").alias("seq"), off("b", "j", "i").alias("off")))
+    found = found.groupBy("track_id", "seq").agg(F.min("off").alias("disagreement"))
+    out = anchors.select("track_id", "seq", "node").join(found, ["track_id", "seq"], "left")
+    flag = F.when(F.col("disagreement") > most, "warning").when(F.col("disagreement").isNotNull(), "normal")
+    return out.select("track_id", "seq", "node", F.col("disagreement").isNotNull().alias("reachable"), "disagreement", flag.alias("flag"))
+
+
+def anneal(
+    nodes: DataFrame, edges: DataFrame, cx: float, rounds: int = 12, k: float = 5.0, fall: float = 1.4, sign: float = 1.0, **how
+) -> tuple[DataFrame, DataFrame]:
+    """Poses (as solve) and edges with factor, after spatial edges were weighed anew in rounds by how far they are off.
+
+    The first solution gives a bound, median + k * 1.4826 * MAD of the residuals of spatial edges by unit of weight. If none lies above, or there are
+    fewer than three, all stays as it is (factor 1). Else each round weighs spatial edges by s^2 / (s^2 + r^2), where s is mu
+    times the bound, and solves again from the poses it has; mu begins with the largest residual over the bound, falls by `fall` and the round with mu = 1 is
+    the last one. Median and MAD come from ranks by ranges. nodes: component, node, POSE, is_anchor; edges: component too.
+    """
+    spatial = edges.where("edge_type = 'spatial'").select("edge_id").limit(3).count()
+
+    def off(poses: DataFrame, edges: DataFrame) -> DataFrame:
+        rows = residuals(edges, poses, cx, sign).where("edge_type = 'spatial' and residual is not null and weight > 1e-12")
+        return stored(rows.select("edge_id", (F.col("residual") / F.col("weight")).alias("r")))
+
+    solved = stored(solve(nodes, edges, cx, sign, **how))
+    one = edges.withColumn("factor", F.lit(1.0))
+    rows = off(solved, edges) if spatial >= 3 else None
+    middle = rows and quantiles(rows, [], "r", {"m": 0.5}).first()
+    if not middle or middle["n"] < 3:
+        return solved, one
+    spread = quantiles(rows.select(F.abs(F.col("r") - middle["m"]).alias("d")), [], "d", {"d": 0.5}).first()["d"]
+    bound, most = middle["m"] + k * 1.4826 * spread, rows.agg(F.max("r")).first()[0]
+    if most <= bound * (1 + 1e-9):
+        return solved, one
+    mu, weighed = max(1.0, most / max(bound, 1e-9)), edges
+    factors = edges.select("edge_id", F.lit(1.0).alias("factor"))
+    for _ in range(max(1, rounds)):
+        s2 = (mu * bound) ** 2
+        new = rows.select("edge_id", (F.lit(s2) / (F.col("r") * F.col("r") + s2)).alias("new"))
+        factors = stored(factors.join(new, "edge_id", "left").select("edge_id", F.coalesce("new", "factor").alias("factor")))
+        weighed = stored(edges.join(factors, "edge_id").withColumn("weight", F.col("weight") * F.col("factor")).select(*edges.columns))
+        starts = nodes.drop(*POSE, *START).join(solved.select("node", *POSE), "node")
+        starts = starts.join(nodes.select("node", *[F.col(n).alias(s) for n, s in zip(POSE, START, strict=True)]), "node")
+        solved = stored(solve(starts, weighed, cx, sign, **how))
+        if mu <= 1.0:
+            break
+        mu = max(1.0, mu / fall)
+        rows = off(solved, weighed)
+    return solved, edges.join(factors, "edge_id")
