@@ -1,4 +1,5 @@
-"""Queries of keyframes: cumulative poses, overlaps, selection, edges past bad frames; checks of anchors, annealed weights."""
+"""Queries of keyframes: cumulative poses, overlaps, selection, edges past bad frames; checks of anchors, annealed weights;
+descriptors from tokens, searches in stages, flow between fixes."""
 
 from __future__ import annotations
 
@@ -11,8 +12,12 @@ from ..functions import affine
 from ..functions.affine import Affine
 from ..operators import graph as G
 from ..operators import keyframes as K
+from ..operators.flow import extrapolate
 from ..operators.scans import cumulative_products
-from .views import FRAME_H, FRAME_W, SQL_EDGES, SQL_MATRICES, SQL_TRACK, edges, matrices, matrix, poses, r6, track
+from ..operators.search import staged_search
+from ..operators.vlad import aggregate_tokens, centroids_of
+from ..session import table
+from .views import FRAME_H, FRAME_W, SQL_EDGES, SQL_MATRICES, SQL_TRACK, edges, matrices, matrix, poses, r6, track, vectors
 
 #: Frame of the chain, and how many frames there may be without a keyframe.
 WIDTH, HEIGHT, GAP = 192.0, 108.0, 12
@@ -96,7 +101,48 @@ def annealed_weights(spark, sf_dir):
     return found.select("edge_id", "edge_type", r6("factor", 4).alias("factor"))
 
 
-NAMES = [pose_chain, frame_overlap, keyframe_selection, temporal_bridges, anchor_loo, annealed_weights]
+def vlad_descriptors(spark, sf_dir):
+    """Descriptors of frames of ten tokens each, by ten centroids (the means of the labels); a row for each number."""
+    e = F.col("vec_id")
+    rows = table(spark, sf_dir, "embeddings")
+    scale = e * 37 % 101 / 50.0 + 1.0
+    tokens = rows.select(F.floor(e / 10).cast("long").alias("frame_id"), F.transform(F.col("embedding").cast("array<double>"), lambda x: x * scale).alias("v"))
+    found = aggregate_tokens(tokens, centroids_of(rows, "label", "embedding"), 0.2)
+    return found.select("frame_id", "n_tokens", F.posexplode("vlad").alias("i", "value")).withColumn("value", r6("value"))
+
+
+def staged_retrieval(spark, sf_dir):
+    """Best of four turns and two scales of each query: a turn that is known first, then all turns at the first scale, then the rest."""
+    refs = vectors(spark, sf_dir)
+    v = F.col("vector").cast("array<double>")
+    turned = lambda v, k: F.concat(F.slice(v, k * 16 + 1, F.lit(64)), F.slice(v, F.lit(1), k * 16))
+    asked = refs.where("ref_id % 20 = 0").select(F.col("ref_id").alias("query_id"), turned(v, (F.floor(F.col("ref_id") / 20) % 4).cast("int")).alias("v"))
+    turn, scale = (F.explode(F.sequence(F.lit(0), F.lit(n))).alias(c) for n, c in ((3, "turn"), (1, "scale")))
+    combos = asked.select("*", turn).select("*", scale)
+    dim = F.transform(F.col("v"), lambda x, i: x * F.when((F.col("scale") == 1) & (i % 2 == 1), 0.5).otherwise(1.0))
+    combos = combos.select("query_id", "turn", "scale", turned(dim, (4 - F.col("turn")) % 4).alias("vector"), (F.col("turn") * 2 + F.col("scale")).alias("place"))
+    prior = combos.where(F.expr("scale = 0 and turn = query_id % 3")).withColumn("stage", F.lit(0))
+    found = staged_search(prior.unionByName(combos.withColumn("stage", F.col("scale") + 1)), refs.select("ref_id", "vector"))
+    return found.select("query_id", "stage", "place", "ref_id", "tried", r6("score").alias("score"))
+
+
+def measurements(spark, sf_dir):
+    """Track rows as flow samples (views, clicks), fixes (purchases) and other frames, a tenth of a second apart."""
+    e, kind = F.col("event_id"), F.col("event_type")
+    return track(spark, sf_dir).select(
+        "track_id", "seq", (F.col("seq") * 0.1 + e % 7 * 0.01).alias("t"),
+        F.when(kind.isin("view", "click"), "flow").when(kind == "purchase", "fix").otherwise("frame").alias("kind"),
+        "x", "y", (e % 100 / 100.0).alias("quality"), (e % 3 != 0).alias("accepted"), F.concat(F.lit("s"), F.floor(F.col("seq") / 17) % 3).alias("source_id"), "event_id",
+    )
+
+
+def flow_extrapolation(spark, sf_dir):
+    """Where the flow since the last accepted fix puts each row of a track."""
+    found = extrapolate(measurements(spark, sf_dir))
+    return found.select("event_id", "flow_n", *[r6(f"flow_{c}").alias(f"flow_{c}") for c in ("x", "y", "quality")])
+
+
+NAMES = [pose_chain, frame_overlap, keyframe_selection, temporal_bridges, anchor_loo, annealed_weights, vlad_descriptors, staged_retrieval, flow_extrapolation]
 QUERIES = {f.__name__: f for f in NAMES}
 
 _H = range(9)
@@ -175,4 +221,46 @@ SQL = {
  from track left join n on n.node = track.event_id left join g on g.node = n.node and g.depth = n.depth""",
     "anchor_loo": f"""with recursive {SQL_EDGES}, {_LEGS}
  select a.node, o.d is not null as reachable, round(o.d, 4) as disagreement, case when o.d > 250 then 'warning' when o.d is not null then 'normal' end as flag from a left join o on o.node = a.node""",
+    "vlad_descriptors": """with e as (select vec_id, label, embedding::double[] as v from embeddings),
+ c as (select label, list(x order by i) as c from (select label, i, avg(v[i]) as x from e, range(1, 65) r(i) group by 1, 2) group by 1),
+ t as (select vec_id // 10 as frame_id, vec_id, list_transform(v, lambda x: x * ((vec_id * 37) % 101 / 50.0::double + 1.0)) as v from e),
+ n as (select *, sqrt(list_inner_product(v, v)) as norm from t), q as (select frame_id, quantile_cont(norm, 0.2) as q, count(*) as n from n group by 1),
+ k as (select n.*, q.n, norm > q.q as above, count(*) filter (norm > q.q) over (partition by n.frame_id) as left_over from n join q on q.frame_id = n.frame_id),
+ kept as (select * from k where n < 8 or left_over < 4 or above),
+ near as (select kept.frame_id, vec_id, any_value(kept.v) as v, arg_max(c.label, list_inner_product(kept.v, c.c) - list_inner_product(c.c, c.c) / 2) as label from kept, c group by 1, 2),
+ res as (select near.frame_id, near.label, i, sum(near.v[i] - c.c[i]) as s from near join c on c.label = near.label, range(1, 65) r(i) group by 1, 2, 3),
+ intra as (select frame_id, label, i, s, sqrt(sum(s * s) over (partition by frame_id, label)) as l from res),
+ unit as (select frame_id, label, i, case when l > 1e-12 then s / l else 0 end as u from intra),
+ whole as (select frame_id, sqrt(sum(u * u)) as l from unit group by 1), cnt as (select frame_id, count(*) as n_tokens from kept group by 1),
+ places as (select label, row_number() over (order by label) - 1 as p from c)
+ select f.frame_id, f.n_tokens, (p.p * 64 + r.i - 1)::int as i, round(coalesce(case when w.l > 1e-12 then u.u / w.l else 0 end, 0), 6) as value
+ from cnt f cross join places p cross join range(1, 65) r(i) join whole w on w.frame_id = f.frame_id left join unit u on u.frame_id = f.frame_id and u.label = p.label and u.i = r.i""",
+    "staged_retrieval": """with r as (select vec_id as ref_id, embedding::double[] as v from embeddings),
+ q as (select ref_id as query_id, v[((ref_id // 20) % 4) * 16 + 1 :] || v[: ((ref_id // 20) % 4) * 16] as v from r where ref_id % 20 = 0),
+ d as (select query_id, turn, scale, list_transform(v, lambda x, i: x * case when scale = 1 and (i - 1) % 2 = 1 then 0.5::double else 1.0::double end) as v from q, range(4) t(turn), range(2) s(scale)),
+ c as (select query_id, turn, scale, turn * 2 + scale as place, v[((4 - turn) % 4) * 16 + 1 :] || v[: ((4 - turn) % 4) * 16] as v from d),
+ u as (select query_id, turn, scale, place, list_transform(v, lambda x: x / (sqrt(list_inner_product(v, v)) + 1e-8)) as v from c),
+ ru as (select ref_id, list_transform(v, lambda x: x / (sqrt(list_inner_product(v, v)) + 1e-8)) as v from r),
+ sc as (select query_id, turn, scale, place, ref_id, round(list_inner_product(u.v, ru.v), 9) as score from u, ru),
+ best as (select * from sc qualify row_number() over (partition by query_id, place order by score desc, ref_id) = 1),
+ p as (select query_id, 0 as stage, place, ref_id, score from best where scale = 0 and turn = query_id % 3),
+ s1 as (select query_id, 1 as stage, place, ref_id, score from best where scale = 0 qualify row_number() over (partition by query_id order by score desc, place) = 1),
+ s2 as (select query_id, 2 as stage, place, ref_id, score from best where scale = 1 qualify row_number() over (partition by query_id order by score desc, place) = 1)
+ select q.query_id, case when p.score >= 0.65 then 0 when s1.score >= 0.7 or s1.score >= s2.score then 1 else 2 end as stage,
+  case when p.score >= 0.65 then p.place when s1.score >= 0.7 or s1.score >= s2.score then s1.place else s2.place end::int as place,
+  case when p.score >= 0.65 then p.ref_id when s1.score >= 0.7 or s1.score >= s2.score then s1.ref_id else s2.ref_id end as ref_id,
+  case when p.score >= 0.65 then 1 when s1.score >= 0.7 then 5 else 9 end::bigint as tried,
+  round(case when p.score >= 0.65 then p.score when s1.score >= 0.7 or s1.score >= s2.score then s1.score else s2.score end, 6) as score
+ from q join p on p.query_id = q.query_id join s1 on s1.query_id = q.query_id join s2 on s2.query_id = q.query_id""",
+    "flow_extrapolation": f"""with {SQL_TRACK}, m as (select event_id, track_id, seq, seq * 0.1::double + event_id % 7 * 0.01::double as t, event_type in ('view', 'click') as flow, x, y, event_id % 100 / 100.0::double as quality,
+   (event_type = 'purchase' and event_id % 3 <> 0)::int as taken, (seq // 17) % 3 as source from track),
+ n as (select *, (seq > 1 and source is distinct from lag(source) over w)::int as changed from m window w as (partition by track_id order by seq)),
+ g as (select *, coalesce(sum(taken) over (partition by track_id order by seq rows between unbounded preceding and 1 preceding), 0) as fixes, sum(changed) over (partition by track_id order by seq) as runs from n),
+ k as (select *, count(*) filter (flow) over b as n, least(1.0, coalesce(min(quality) filter (flow) over b, 1.0)) as low from g window b as (partition by track_id, fixes, runs order by seq rows between unbounded preceding and 1 preceding)),
+ f as (select *, n + 1 as k from k where flow)
+ select r.event_id, r.n as flow_n, round(r.low, 6) as flow_quality,
+   round(case when r.t - a.t <= 0.5 then case when a.t - b.t > 1e-6 then a.x + (a.x - b.x) / (a.t - b.t) * (r.t - a.t) else a.x end end, 6) as flow_x,
+   round(case when r.t - a.t <= 0.5 then case when a.t - b.t > 1e-6 then a.y + (a.y - b.y) / (a.t - b.t) * (r.t - a.t) else a.y end end, 6) as flow_y
+ from k r left join f a on a.track_id = r.track_id and a.fixes = r.fixes and a.runs = r.runs and a.k = r.n
+   left join f b on b.track_id = r.track_id and b.fixes = r.fixes and b.runs = r.runs and b.k = r.n - 1""",
 }
