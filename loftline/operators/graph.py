@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.affine import Pose, edge_residual, predict_forward, predict_inverse
 from ..session import cut, stored
 from .components import components
-from .scans import quantiles, running
+from .scans import quantiles, ranked, running
 
 POSE = ["x", "y", "log_sx", "log_sy", "theta"]
 STEP = ["dx", "dy", "log_dsx", "log_dsy", "dtheta"]
@@ -83,18 +83,12 @@ def residuals(edges: DataFrame, poses: DataFrame, cx: float, sign: float = 1.0)
 
 def residual_stats(rows: DataFrame) -> DataFrame:
     """Count, median, 95th percentile and maximum of residuals by edge type."""
-    known = rows.where("residual is not null")
-    return known.groupBy("edge_type").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.percentile("residual", 0.5).alias("median"),
-        F.percentile("residual", 0.95).alias("p95"),
-        F.max("residual").alias("max"),
-    )
+    return quantiles(rows, ["edge_type"], "residual", {"median": 0.5, "p95": 0.95}, {"max": F.max})
 
 
 def anchor_stress(rows: DataFrame, anchors: DataFrame) -> DataFrame:
     """Mean residual of an anchor's edges over the median of all."""
-    middle = rows.agg(F.percentile("residual", 0.5).alias("middle"))
+    middle = quantiles(rows, [], "residual", {"middle": 0.5}).select("middle")
     ends = neighbours(rows.select("from_id", "to_id", "residual")).where("residual is not null")
     mean = ends.join(anchors.select("node"), "node", "left_semi").groupBy("node").agg(F.avg("residual").alias("mean"))
     return mean.crossJoin(F.broadcast(middle)).select("node", F.try_divide("mean", "middle").alias("stress"))  # one row
@@ -187,13 +181,13 @@ def prune(rows: DataFrame, anchors: DataFrame, k: float = 5.0, most: float = 0.2
     reach would lose them. That is what a spanning forest leaves out: the parts that good edges and anchors hold
     together are contracted, and of the bad edges between parts the least bad that join them stay.
     """
-    known = rows.where("edge_type = 'spatial' and residual is not null")
-    middle = known.agg(F.percentile("residual", 0.5).alias("m"))
-    mad = known.crossJoin(F.broadcast(middle)).agg(F.percentile(F.abs(F.col("residual") - F.col("m")), 0.5).alias("d"), F.first("m").alias("m"), F.count(F.lit(1)).alias("n")).first()
+    known = cut(rows.where("edge_type = 'spatial' and residual is not null").select("edge_id", "residual"))
+    middle = quantiles(known, [], "residual", {"m": 0.5}).first()
     bad = rows.select("edge_id").limit(0)
-    if mad["n"] >= least:
-        bad = known.where(F.col("residual") > mad["m"] + k * 1.4826 * mad["d"])
-        bad = bad.orderBy(F.col("residual").desc(), "edge_id").limit(int(mad["n"] * most)).select("edge_id")
+    if middle and middle["n"] >= least:
+        spread = quantiles(known.select(F.abs(F.col("residual") - middle["m"]).alias("d")), [], "d", {"d": 0.5}).first()["d"]
+        bad = known.where(F.col("residual") > middle["m"] + k * 1.4826 * spread).withColumn("worst", -F.col("residual"))
+        bad = ranked(bad, [], ["worst", "edge_id"]).where(F.col("place") < int(middle["n"] * most)).select("edge_id")
     bad = cut(bad.withColumn("bad", F.lit(True)))
     marked = rows.join(bad, "edge_id", "left").withColumn("bad", F.coalesce("bad", F.lit(False)))
     first = anchors.agg(F.min("node")).first()[0]
@@ -234,7 +228,9 @@ def usual_step(poses: DataFrame, group: str, at: str, most: int = 3) -> float:
     w = W.partitionBy(group).orderBy(at)
     slots = F.col(at) - F.lag(at).over(w)
     way = F.sqrt((F.col("x") - F.lag("x").over(w)) ** 2 + (F.col("y") - F.lag("y").over(w)) ** 2) / F.greatest(slots, F.lit(1))
-    return poses.select(way.alias("way"), slots.alias("slots")).where(F.col("slots") <= most).agg(F.percentile("way", 0.5)).first()[0] or 0.0
+    ways = poses.select(way.alias("way"), slots.alias("slots")).where(F.col("slots") <= most)
+    middle = quantiles(ways, [], "way", {"m": 0.5}).first()
+    return middle["m"] if middle else 0.0
 
 
 def chain_gaps(edges: DataFrame, anchors: DataFrame, tolerance: float) -> DataFrame:

@@ -7,6 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scores import distance_ratio, pdm_score
+from ..session import cut
+from .scans import beside, quantiles, ranked
 
 
 def retrieval_metrics(candidates: DataFrame, queries: DataFrame, k: int, radius: float, decay: float) -> DataFrame:
@@ -34,14 +36,7 @@ def macro(rows: DataFrame, columns: list[str]) -> DataFrame:
 
 def summarize(rows: DataFrame, value: str, keys: list[str]) -> DataFrame:
     """n, median, p95 (linear), max and mean of the values that are not null or NaN."""
-    known = rows.where(F.col(value).isNotNull() & ~F.isnan(value))
-    return known.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.percentile(value, 0.5).alias("median"),
-        F.percentile(value, 0.95).alias("p95"),
-        F.max(value).alias("max"),
-        F.avg(value).alias("mean"),
-    )
+    return quantiles(rows, keys, value, {"median": 0.5, "p95": 0.95}, {"max": F.max, "mean": F.avg})
 
 
 def cut_report(rows: DataFrame, value: str, cuts: dict[str, Column]) -> DataFrame:
@@ -50,30 +45,30 @@ def cut_report(rows: DataFrame, value: str, cuts: dict[str, Column]) -> DataFram
     return summarize(rows.withColumn("cut", F.explode(labels)), value, ["cut"])
 
 
-def nearest_rank(value: str, p: float) -> Column:
-    """Percentile by nearest rank."""
-    return F.expr(f"percentile_disc({p}) within group (order by {value})")
+def nearest_ranks(rows: DataFrame, value: str, shares: dict[str, float], keys: list[str]) -> DataFrame:
+    """keys, n, the percentiles by nearest rank (name: share) and max of the known values; values are ranked by ranges."""
+    placed = ranked(rows.where(F.col(value).isNotNull()).select(*keys, value), keys, [value])
+    at = {name: F.greatest(F.ceil(F.col("n") * p) - 1, F.lit(0)) for name, p in shares.items()}
+    found = [F.max(F.when(F.col("place") == i, F.col(value))).alias(name) for name, i in at.items()]
+    return placed.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *found, F.max(value).alias("max"))
 
 
 def floor_index(rows: DataFrame, value: str, p: float, keys: list[str]) -> DataFrame:
     """The value at index min(n - 1, int(p n)) of the ordered values of each key."""
-    w = W.partitionBy(*keys)
-    rows = rows.where(F.col(value).isNotNull()).withColumns(
-        {"__n": F.count(F.lit(1)).over(w), "__i": F.row_number().over(w.orderBy(value)) - 1}
-    )
-    at = F.least(F.col("__n") - 1, F.floor(F.col("__n") * p))
-    return rows.where(F.col("__i") == at).select(*keys, F.col(value).alias("value"))
+    placed = ranked(rows.where(F.col(value).isNotNull()).select(*keys, value), keys, [value])
+    at = F.least(F.col("n") - 1, F.floor(F.col("n") * p))
+    return placed.where(F.col("place") == at).select(*keys, F.col(value).alias("value"))
 
 
 def mad_outliers(rows: DataFrame, value: str, keys: list[str], k: float = 3.0, floor: float = 1.0, least: int = 4) -> DataFrame:
     """With keep: not above median + k * 1.4826 * MAD (at least `floor`); all stay where fewer than `least` would."""
-    w = W.partitionBy(*keys)
-    middle = rows.groupBy(*keys).agg(F.percentile(value, 0.5).alias("__m"))
-    rows = rows.join(middle, keys)
-    spread = rows.groupBy(*keys).agg(F.percentile(F.abs(F.col(value) - F.col("__m")), 0.5).alias("__d"))
-    rows = rows.join(spread, keys).withColumn("limit", F.greatest(F.col("__m") + F.col("__d") * (k * 1.4826), F.lit(floor)))
-    kept = (F.col(value) <= F.col("limit")).cast("int")
-    return rows.withColumn("keep", (kept == 1) | (F.sum(kept).over(w) < least)).drop("__m", "__d")
+    middle = cut(quantiles(rows, keys, value, {"__m": 0.5}).drop("n"))
+    off = beside(rows.select(*keys, value), middle, keys).select(*keys, F.abs(F.col(value) - F.col("__m")).alias("__o"))
+    limits = beside(middle, quantiles(off, keys, "__o", {"__d": 0.5}).drop("n"), keys)
+    limits = cut(limits.select(*keys, F.greatest(F.col("__m") + F.col("__d") * (k * 1.4826), F.lit(floor)).alias("limit")))
+    near = beside(rows, limits, keys)
+    kept = near.groupBy(*keys).agg(F.count_if(F.col(value) <= F.col("limit")).alias("__kept"))
+    return beside(near, kept, keys).withColumn("keep", (F.col(value) <= F.col("limit")) | (F.col("__kept") < least)).drop("__kept")
 
 
 def inlier_spread(x: str, y: str, width: float, height: float) -> Column:

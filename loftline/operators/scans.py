@@ -138,24 +138,29 @@ def ranked(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return found.drop("__at", "__part", "__p", "__shift", *[f"__k{i}" for i in range(len(keys))])
 
 
-def quantiles(rows: DataFrame, keys: list[str], column: str, shares: dict[str, float]) -> DataFrame:
+def beside(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """left with the other columns of right, joined on keys that may be null; one row without any keys."""
+    if not keys:
+        return left.crossJoin(F.broadcast(right))  # one row
+    renamed = right.select(*[F.col(k).alias(f"__r{i}") for i, k in enumerate(keys)], *[c for c in right.columns if c not in keys])
+    return left.join(renamed, [F.col(k).eqNullSafe(F.col(f"__r{i}")) for i, k in enumerate(keys)]).drop(*[f"__r{i}" for i in range(len(keys))])
+
+
+def quantiles(rows: DataFrame, keys: list[str], column: str, shares: dict[str, float], others: dict | None = None) -> DataFrame:
     """keys, n and the quantiles (name: share) of the known values, on the line between the two nearest ranks.
 
-    Values are ranked by ranges, and only those at the asked ranks are gathered; a group may be as large as the table.
-    NaN counts as unknown. Groups without known values have no row.
+    others: further aggregates of the values (name: function). Values are ranked by ranges, and each task answers with a row for each of its
+    groups; a group may be as large as the table. NaN counts as unknown. Groups without known values have no row.
     """
     known = rows.select(*keys, F.col(column).cast("double").alias("__v")).where("__v is not null and not isnan(__v)")
     placed = ranked(known, keys, ["__v"])
     spots = {name: (F.col("n") - 1) * share for name, share in shares.items()}
-    near = F.lit(False)
-    for s in spots.values():
-        near = near | (F.col("place") == F.floor(s)) | (F.col("place") == F.ceil(s))
-    asked = placed.where(near)
     parts = []
     for name, s in spots.items():
         parts += [F.max(F.when(F.col("place") == f(s), F.col("__v"))).alias(f"__{side}_{name}") for side, f in (("low", F.floor), ("high", F.ceil))]
-    found = asked.groupBy(*keys).agg(F.max("n").alias("n"), *parts).where("n is not null")
+    parts += [f("__v").alias(name) for name, f in (others or {}).items()]
+    found = placed.groupBy(*keys).agg(F.max("n").alias("n"), *parts).where("n is not null")
     line = [
         (F.col(f"__low_{n}") + (F.col(f"__high_{n}") - F.col(f"__low_{n}")) * (s - F.floor(s))).alias(n) for n, s in spots.items()
     ]
-    return found.select(*keys, "n", *line)
+    return found.select(*keys, "n", *line, *(others or {}))

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.affine import Affine, apply, apply_homography, det, isotropic_scale
+from .scans import beside, quantiles, ranked
 
 # Frame size where nothing tells it, limits of scale ratios, coordinate from which a projection has exploded.
 DEFAULT_SIZE = (1080, 1920)
@@ -48,15 +49,18 @@ def center_errors(pred: DataFrame, truth: DataFrame, key: str, width: float, hei
 
 def scene_metrics(errors: DataFrame, truths: Column | int, keys: list[str]) -> DataFrame:
     """Coverage, median, p95 and largest error, share of equal determinant signs and median scale drift."""
-    return errors.groupBy(*keys).agg(
+    whole = errors.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"),
         (F.count(F.lit(1)) / truths).alias("coverage"),
-        F.percentile("error", 0.5).alias("median"),
-        F.percentile("error", 0.95).alias("p95"),
         F.max("error").alias("max"),
         F.avg(F.col("same_sign").cast("int")).alias("det_sign_ok"),
-        F.coalesce(F.percentile("scale_error", 0.5), F.lit(0.0)).alias("scale_drift"),
     )
+    spread = quantiles(errors, keys, "error", {"median": 0.5, "p95": 0.95}).drop("n")
+    drift = quantiles(errors.withColumn("known", F.coalesce("scale_error", F.lit(float("nan")))), keys, "known", {"drift": 0.5}).drop("n")
+    named = drift.select(*[F.col(k).alias(f"__d{i}") for i, k in enumerate(keys)], "drift")
+    same = [F.col(k).eqNullSafe(F.col(f"__d{i}")) for i, k in enumerate(keys)]
+    out = beside(whole, spread, keys).join(named, same, "left").drop(*[f"__d{i}" for i in range(len(keys))])
+    return out.withColumn("scale_drift", F.coalesce("drift", F.lit(0.0))).drop("drift")
 
 
 def relative_angle(a: Affine, b: Affine) -> Column:
@@ -247,12 +251,12 @@ def run_verdict(runs: DataFrame, frame: str, inliers: str) -> DataFrame:
 
 def timings(samples: DataFrame, stage: str, value: str) -> DataFrame:
     """Calls, total, mean, least and most of each stage, with the median and the p95 by floor index."""
-    w = W.partitionBy(stage).orderBy(value)
-    placed = samples.withColumns({"__i": F.row_number().over(w) - 1, "__n": F.count(F.lit(1)).over(W.partitionBy(stage))})
-    at = F.least(F.col("__n") - 1, F.floor(F.col("__n") * 0.95))
+    placed = ranked(samples.select(stage, value), [stage], [value])
+    at, middle = F.least(F.col("n") - 1, F.floor(F.col("n") * 0.95)), (F.col("n") - 1) / 2
+    spot = lambda i: F.max(F.when(F.col("place") == i, F.col(value)))
     return placed.groupBy(stage).agg(
         F.count(F.lit(1)).alias("calls"), F.sum(value).alias("total"), F.avg(value).alias("mean"), F.min(value).alias("least"),
-        F.max(value).alias("most"), F.percentile(value, 0.5).alias("median"), F.max(F.when(F.col("__i") == at, F.col(value))).alias("p95"),
+        F.max(value).alias("most"), ((spot(F.floor(middle)) + spot(F.ceil(middle))) / 2).alias("median"), spot(at).alias("p95"),
     )
 
 

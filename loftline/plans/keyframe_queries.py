@@ -95,7 +95,7 @@ def annealed_weights(spark, sf_dir):
     links = links.select(
         "component", "edge_id", "from_id", "to_id", "weight", "edge_type",
         ((F.cos(p.theta) * ux + F.sin(p.theta) * uy) / F.exp(p.log_sx) + off).alias("dx"), ((F.cos(p.theta) * uy - F.sin(p.theta) * ux) / F.exp(p.log_sy)).alias("dy"),
-        *[(F.col(f"to_{n}") - F.col(f"from_{n}")).alias(f"d{n}") for n in G.POSE[2:]],
+        *[(F.col(f"to_{n}") - F.col(f"from_{n}")).alias(d) for n, d in zip(G.POSE[2:], G.STEP[2:], strict=True)],
     )
     _, found = G.anneal(nodes, links, 960.0, rounds=4)
     return found.select("edge_id", "edge_type", r6("factor", 4).alias("factor"))
@@ -112,15 +112,16 @@ def vlad_descriptors(spark, sf_dir):
 
 
 def staged_retrieval(spark, sf_dir):
-    """Best of four turns and two scales of each query: a turn that is known first, then all turns at the first scale, then the rest."""
+    """Best of four turns and two scales (the second turns the sign of each other number) of each query: a turn that is known first, then all turns at the first scale, then the rest."""
     refs = vectors(spark, sf_dir)
     v = F.col("vector").cast("array<double>")
     turned = lambda v, k: F.concat(F.slice(v, k * 16 + 1, F.lit(64)), F.slice(v, F.lit(1), k * 16))
     asked = refs.where("ref_id % 20 = 0").select(F.col("ref_id").alias("query_id"), turned(v, (F.floor(F.col("ref_id") / 20) % 4).cast("int")).alias("v"))
+    flip = lambda v, which: F.transform(v, lambda x, i: x * F.when(which & (i % 2 == 1), -1.0).otherwise(1.0))
+    asked = asked.withColumn("v", flip(F.col("v"), F.floor(F.col("query_id") / 20) % 3 == 0))
     turn, scale = (F.explode(F.sequence(F.lit(0), F.lit(n))).alias(c) for n, c in ((3, "turn"), (1, "scale")))
     combos = asked.select("*", turn).select("*", scale)
-    dim = F.transform(F.col("v"), lambda x, i: x * F.when((F.col("scale") == 1) & (i % 2 == 1), 0.5).otherwise(1.0))
-    combos = combos.select("query_id", "turn", "scale", turned(dim, (4 - F.col("turn")) % 4).alias("vector"), (F.col("turn") * 2 + F.col("scale")).alias("place"))
+    combos = combos.select("query_id", "turn", "scale", turned(flip(F.col("v"), F.col("scale") == 1), (4 - F.col("turn")) % 4).alias("vector"), (F.col("turn") * 2 + F.col("scale")).alias("place"))
     prior = combos.where(F.expr("scale = 0 and turn = query_id % 3")).withColumn("stage", F.lit(0))
     found = staged_search(prior.unionByName(combos.withColumn("stage", F.col("scale") + 1)), refs.select("ref_id", "vector"))
     return found.select("query_id", "stage", "place", "ref_id", "tried", r6("score").alias("score"))
@@ -236,8 +237,8 @@ SQL = {
  select f.frame_id, f.n_tokens, (p.p * 64 + r.i - 1)::int as i, round(coalesce(case when w.l > 1e-12 then u.u / w.l else 0 end, 0), 6) as value
  from cnt f cross join places p cross join range(1, 65) r(i) join whole w on w.frame_id = f.frame_id left join unit u on u.frame_id = f.frame_id and u.label = p.label and u.i = r.i""",
     "staged_retrieval": """with r as (select vec_id as ref_id, embedding::double[] as v from embeddings),
- q as (select ref_id as query_id, v[((ref_id // 20) % 4) * 16 + 1 :] || v[: ((ref_id // 20) % 4) * 16] as v from r where ref_id % 20 = 0),
- d as (select query_id, turn, scale, list_transform(v, lambda x, i: x * case when scale = 1 and (i - 1) % 2 = 1 then 0.5::double else 1.0::double end) as v from q, range(4) t(turn), range(2) s(scale)),
+ q as (select ref_id as query_id, list_transform(v[((ref_id // 20) % 4) * 16 + 1 :] || v[: ((ref_id // 20) % 4) * 16], lambda x, i: case when (ref_id // 20) % 3 = 0 and i % 2 = 0 then -x else x end) as v from r where ref_id % 20 = 0),
+ d as (select query_id, turn, scale, list_transform(v, lambda x, i: case when scale = 1 and i % 2 = 0 then -x else x end) as v from q, range(4) t(turn), range(2) s(scale)),
  c as (select query_id, turn, scale, turn * 2 + scale as place, v[((4 - turn) % 4) * 16 + 1 :] || v[: ((4 - turn) % 4) * 16] as v from d),
  u as (select query_id, turn, scale, place, list_transform(v, lambda x: x / (sqrt(list_inner_product(v, v)) + 1e-8)) as v from c),
  ru as (select ref_id, list_transform(v, lambda x: x / (sqrt(list_inner_product(v, v)) + 1e-8)) as v from r),

@@ -13,9 +13,7 @@ from .views import FRAME_H, FRAME_W, SQL_FIXES, SQL_TRACK, fixes, r6, track
 
 
 def latency_nearest_rank(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(
-        F.count(F.lit(1)).alias("n"), *[metrics.nearest_rank("value", p).alias(f"p{int(p * 100)}") for p in (0.5, 0.95, 0.99)], F.max("value").alias("max")
-    )
+    return metrics.nearest_ranks(table(spark, sf_dir, "events"), "value", {"p50": 0.5, "p95": 0.95, "p99": 0.99}, ["event_type"])
 
 
 def percentile_floor_index(spark, sf_dir):
