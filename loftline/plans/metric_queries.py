@@ -182,5 +182,6 @@ SQL = {
     "log_parse_roundtrip": f"with {SQL_FIXES} select event_id, round(lat, 6) as lat, round(lon, 6) as lon, seq as frame, (event_id % 90)::bigint as inliers, round(confidence, 6) as confidence from fixes",
     "failure_counts": """with c as (select case event_type when 'error' then 'Outlier filtered' when 'view' then 'Not enough valid inliers' else 'No candidates found' end as failure, count(*) as n from events where event_type in ('error', 'view', 'click') group by 1)
  select failure, n, row_number() over (order by n desc, case failure when 'Not enough valid inliers' then 1 when 'Outlier filtered' then 3 else 5 end) as place from c""",
+    "export_geojson": f"""with {SQL_FIXES} select event_id, '{{"type":"Feature","geometry":{{"type":"Point","coordinates":[' || lon || ',' || lat || ']}},"properties":{{"seq":' || seq || '}}}}' as feature from fixes""",
     "history_tail": f"with {SQL_TRACK}, r as (select track_id, event_id, row_number() over (partition by track_id order by seq desc) as age from track) select * from r where age <= 5",
 }

@@ -56,8 +56,9 @@ def gap_fill_linear(spark, sf_dir):
 
 
 def gap_fill_pchip(spark, sf_dir):
+    """To eight digits, as values at quarters of a gap have so many."""
     found = T.fill_pchip(_gappy(spark, sf_dir), ["x", "y"])
-    return found.select("event_id", r6("x").alias("x"), r6("y").alias("y"))
+    return found.select("event_id", r6("x", 8).alias("x"), r6("y", 8).alias("y"))
 
 
 def asof_interpolate(spark, sf_dir):
@@ -131,6 +132,46 @@ NAMES = [
 QUERIES = {f.__name__: f for f in NAMES}
 
 _T = "(partition by track_id order by seq)"
+_KALMAN = f"""{SQL_TRACK}, s as materialized (select track_id, seq, event_id, seq::double as t, x as zx, y as zy from track),
+ k as (select track_id, seq, event_id, t, 1 as seen, zx as x, zy as y, 0.0::double as vx, 0.0::double as vy, zx as x0, zy as y0, 1000.0::double as p00, 0.0::double as p01, 1000.0::double as p11, null::double as d2 from s where seq = 1
+ union all select track_id, seq, event_id, t, seen + 1, x + dt * ux + k0 * (zx - x - dt * ux), y + dt * uy + k0 * (zy - y - dt * uy), ux + k1 * (zx - x - dt * ux), uy + k1 * (zy - y - dt * uy), x0, y0,
+   (1 - k0) ** 2 * q00 + k0 ** 2 * 5, (1 - k0) * (q01 - k1 * q00) + k0 * k1 * 5, q11 - 2 * k1 * q01 + k1 ** 2 * q00 + k1 ** 2 * 5, d2
+ from (select *, q00 / (q00 + 5) as k0, q01 / (q00 + 5) as k1, ((zx - x - dt * vx) ** 2 + (zy - y - dt * vy) ** 2) / (q00 + 5) as d2,
+     case when seen = 1 then (zx - x0) / greatest(raw, 0.01) else vx end as ux, case when seen = 1 then (zy - y0) / greatest(raw, 0.01) else vy end as uy
+   from (select *, p00 + 2 * dt * p01 + dt ** 2 * p11 + 2 * dt ** 4 / 4 as q00, p01 + dt * p11 + 2 * dt ** 3 / 2 as q01, p11 + 2 * dt ** 2 as q11
+     from (select s.track_id, s.seq, s.event_id, s.t, s.zx, s.zy, s.t - k.t as raw, least(greatest(s.t - k.t, 0.01), 5.0)::double as dt, k.* exclude (track_id, seq, event_id, t, d2)
+       from k join s on s.track_id = k.track_id and s.seq = k.seq + 1))))"""
+_GATE = f"""{SQL_TRACK}, s as materialized (select track_id, seq, event_id, x, y from track),
+ g as (select track_id, seq, event_id, [{{'x': x, 'y': y}}] as win, 0 as misses, false as rejected from s where seq = 1
+ union all select track_id, seq, event_id, case when rejected then win when bad then [{{'x': x, 'y': y}}] else list_append(win, {{'x': x, 'y': y}})[-10:] end,
+   case when bad and m >= 5 then 0 else m end, rejected
+ from (select *, bad and m < 5 as rejected from (select *, case when bad then misses + 1 when len(win) >= 3 then 0 else misses end as m
+   from (select *, len(win) >= 3 and (speed > 300 or (abs(speed - list_avg(past)) / greatest(list_stddev_pop(past), 1.0) > 2 and abs(speed - list_avg(past)) > 15)) as bad
+     from (select s.track_id, s.seq, s.event_id, s.x, s.y, g.win, g.misses, sqrt((s.x - g.win[-1].x) ** 2 + (s.y - g.win[-1].y) ** 2) as speed,
+         list_transform(range(2, len(g.win) + 1), lambda i: sqrt((g.win[i].x - g.win[i - 1].x) ** 2 + (g.win[i].y - g.win[i - 1].y) ** 2)) as past
+       from g join s on s.track_id = g.track_id and s.seq = g.seq + 1)))))"""
+
+
+def _end(h0: str, h1: str, d0: str, d1: str) -> str:
+    """Slope at an end of the shape-preserving cubic."""
+    e = f"(((2 * {h0} + {h1}) * {d0} - {h0} * {d1}) / ({h0} + {h1}))"
+    return f"case when sign({e}) <> sign({d0}) then 0.0 when sign({d0}) <> sign({d1}) and abs({e}) > 3 * abs({d0}) then 3 * {d0} else {e} end"
+
+
+def _pchip_sql(c: str) -> str:
+    """CTEs that give f_{c} (event_id, v) for gappy (track_id, seq, event_id, {c})."""
+    return f"""k1_{c} as (select track_id, seq::double as t, {c} as v, count(*) over (partition by track_id) as n, seq - lag(seq) over w as h0, lead(seq) over w - seq as h1,
+   ({c} - lag({c}) over w) / (seq - lag(seq) over w) as d0, (lead({c}) over w - {c}) / (lead(seq) over w - seq) as d1 from gappy where {c} is not null window w as (partition by track_id order by seq)),
+ k2_{c} as (select *, lead(h1) over w as h2, lead(d1) over w as d2, lag(h0) over w as hb, lag(d0) over w as db from k1_{c} window w as (partition by track_id order by t)),
+ k_{c} as (select track_id, t, v, case when n <= 2 then coalesce(d0, d1) when d0 is null then {_end("h1", "h2", "d1", "d2")} when d1 is null then {_end("h0", "hb", "d0", "db")}
+   when d0 * d1 > 0 then (3 * h1 + 3 * h0) / ((2 * h1 + h0) / d0 + (h1 + 2 * h0) / d1) else 0.0 end as m from k2_{c}),
+ a_{c} as (select g.track_id, g.seq::double as t, g.event_id, g.{c} as v, case when k.t is not null then struct_pack(t := k.t, v := k.v, m := k.m) end as p from gappy g left join k_{c} k on k.track_id = g.track_id and k.t = g.seq),
+ b_{c} as (select *, last_value(p ignore nulls) over (partition by track_id order by t) as l, first_value(p ignore nulls) over (partition by track_id order by t rows between current row and unbounded following) as r from a_{c}),
+ c_{c} as (select *, (t - l.t) / (r.t - l.t) as s, r.t - l.t as h from b_{c}),
+ f_{c} as (select event_id, case when v is not null then v when l is null then r.v when r is null then l.v
+   else (1 + 2 * s) * (1 - s) ** 2 * l.v + s * (1 - s) ** 2 * h * l.m + s ** 2 * (3 - 2 * s) * r.v + s ** 2 * (s - 1) * h * r.m end as v from c_{c})"""
+
+
 _STATES = f"""{SQL_TRACK}, s as (select *, case event_type when 'error' then 'LOST' when 'signup' then 'DEGRADED' else 'TRACKING' end as state from track),
  c as (select *, case when lag(state) over (partition by track_id order by t, event_id) is not distinct from state then 0 else 1 end as nw from s),
  g as (select *, sum(nw) over (partition by track_id order by t, event_id rows unbounded preceding) as run from c),
@@ -173,4 +214,8 @@ SQL = {
  select event_id, n::bigint as failures, f = 1 and n = 3 as out_of_coverage from n""",
     "operating_states": f"""with {SQL_TRACK}, f as (select *, (t - last_value(case when event_type = 'purchase' then t end ignore nulls) over (partition by track_id order by seq rows between unbounded preceding and current row)) / 3600.0::double as age from track)
  select event_id, case when event_type = 'signup' then 'IDLE' when age is null then 'ACQUIRING' when age > 24 then 'LOST' when event_id % 60 < 10 or x / 500.0::double < 0.1 then 'DEGRADED' else 'TRACKING' end as state from f""",
+    "track_kalman": f"with recursive {_KALMAN} select event_id, round(x, 4) as fx, round(y, 4) as fy, round(d2, 4) as d2 from k",
+    "track_outlier_gate": f"with recursive {_GATE} select event_id, rejected from g",
+    "gap_fill_pchip": f"""with {SQL_TRACK}, gappy as (select track_id, seq, event_id, case when event_type in ('click', 'purchase') then x end as x, case when event_type in ('click', 'purchase') then y end as y from track),
+ {_pchip_sql("x")}, {_pchip_sql("y")} select x.event_id, round(x.v, 8) as x, round(y.v, 8) as y from f_x x join f_y y on y.event_id = x.event_id""",
 }
