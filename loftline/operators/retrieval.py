@@ -16,8 +16,27 @@ QUERY_BLOCK = 8192
 DIGITS = 9
 
 
+#: Queries of a tile: with a batch of references it makes a matrix of at most some 40 MB.
+TILE = 512
+
+
+def _best(sim: np.ndarray, of: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, reference and rounded score of the k best of each row; of equal rounded scores the smallest references.
+
+    The k-th score is found by partition; only what is not below it by rounding is sorted.
+    """
+    kth = sim.max(1) if k == 1 else np.partition(sim, sim.shape[1] - k, axis=1)[:, sim.shape[1] - k] if sim.shape[1] > k else sim.min(1)
+    row, at = np.nonzero(sim >= kth[:, None] - 2 * 10.0**-DIGITS)
+    score = np.round(sim[row, at], DIGITS)
+    order = np.lexsort((of[at], -score, row))
+    row, at, score = row[order], at[order], score[order]
+    first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+    kept = np.arange(len(row)) - np.repeat(first, np.diff(np.r_[first, len(row)])) < k
+    return row[kept], of[at[kept]], score[kept]
+
+
 def _scores(block: pd.DataFrame, k: int, negatives: bool):
-    """Best k references of each partition's batches for each query of a block."""
+    """Best k references of each batch for each query of a block, tile by tile."""
     ids = block["query_id"].to_numpy()
     matrix = np.stack([np.asarray(v, np.float64) for v in block["vector"]]) if len(block) else np.zeros((0, 1))
     matrix = matrix / (np.linalg.norm(matrix, axis=1, keepdims=True) + vectors.EPSILON)
@@ -27,19 +46,12 @@ def _scores(block: pd.DataFrame, k: int, negatives: bool):
             if not len(refs) or not len(ids):
                 continue
             other = np.stack([np.asarray(v, np.float64) for v in refs["vector"]])
-            other = other / (np.linalg.norm(other, axis=1, keepdims=True) + vectors.EPSILON)
-            sim = np.round(matrix @ other.T, DIGITS)
-            if not negatives:
-                sim = np.maximum(sim, 0.0)
+            other = (other / (np.linalg.norm(other, axis=1, keepdims=True) + vectors.EPSILON)).T
             of = refs["ref_id"].to_numpy()
-            order = np.lexsort((np.broadcast_to(of, sim.shape), -sim), axis=1)[:, :k]
-            yield pd.DataFrame(
-                {
-                    "query_id": np.repeat(ids, order.shape[1]),
-                    "ref_id": of[order].ravel(),
-                    "score": np.take_along_axis(sim, order, 1).ravel(),
-                }
-            )
+            for a in range(0, len(ids), TILE):
+                sim = matrix[a : a + TILE] @ other
+                row, ref, score = _best(sim if negatives else np.maximum(sim, 0.0), of, k)
+                yield pd.DataFrame({"query_id": ids[a + row], "ref_id": ref, "score": score})
 
     return run
 
@@ -80,7 +92,7 @@ def _grid(queries: DataFrame, refs: DataFrame, k: int, negatives: bool) -> DataF
 
     def both(asked: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         parts = list(_scores(asked, k, negatives)([found])) if len(asked) and len(found) else []
-        return parts[0] if parts else pd.DataFrame({"query_id": pd.Series(dtype="int64"), "ref_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
+        return pd.concat(parts) if parts else pd.DataFrame({"query_id": pd.Series(dtype="int64"), "ref_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
 
     return left.groupBy("q", "r").cogroup(right.groupBy("q", "r")).applyInPandas(both, _SCORED)
 
