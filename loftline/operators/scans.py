@@ -34,7 +34,7 @@ def running(
     sums, lasts = sums or {}, lasts or {}
     name = "__block"
     order = F.col(at).desc() if ahead else F.col(at).asc_nulls_first()
-    rows = rows.withColumn(name, F.floor(F.col(at) / block).cast("long"))
+    rows = cut(rows.withColumn(name, F.floor(F.col(at) / block).cast("long")))  # read twice below, so nested scans would double each time
     inner = W.partitionBy(*keys, name).orderBy(order).rowsBetween(W.unboundedPreceding, 0 if own else -1)
     each = [F.sum(c).alias(f"__{n}") for n, c in sums.items()]
     pick = F.min_by if ahead else F.max_by
