@@ -103,8 +103,10 @@ def gap_fallback(spark, sf_dir):
 
 
 def kinematic_triples(spark, sf_dir):
-    nodes = track(spark, sf_dir).where("seq % 7 <> 0").withColumn("fixed", F.col("seq") % 10 < 4)
-    found = scenes.kinematic_triples(nodes, "track_id", "seq", "fixed", 0.8)
+    """All rows of a track as nodes, in slots of which every eighth is empty."""
+    slot = F.col("seq") + F.floor(F.col("seq") / 7).cast("long")
+    nodes = track(spark, sf_dir).withColumns({"slot": slot, "fixed": F.col("seq") % 10 < 4})
+    found = scenes.kinematic_triples(nodes, "track_id", "slot", "fixed", 0.8)
     return found.select("track_id", "a", "b", "c", r6("alpha").alias("alpha"), r6("weight").alias("weight"))
 
 
@@ -166,7 +168,7 @@ def stage_timings(spark, sf_dir):
 
 def benchmark_ratio(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").select("l_linenumber", "l_returnflag", "l_quantity")
-    a, b = (scenes.timings(rows.where(c), "l_linenumber", "l_quantity") for c in ("l_returnflag = 'N'", "l_returnflag = 'R'"))
+    a, b = (scenes.timings(rows.where(c), "l_linenumber", "l_quantity") for c in ("l_returnflag = 'N'", "l_returnflag <> 'N'"))
     found = scenes.compare_timings(a, b, "l_linenumber", 1.0)
     return found.select("l_linenumber", "a", "b", r6("ratio").alias("ratio"), "slower")
 
@@ -266,8 +268,9 @@ SQL = {
     "gap_fallback": f"""with {SQL_TRACK}, g as (select a.track_id, a.seq as lo, b.seq as hi, a.x as x0, a.y as y0, b.x as x1, b.y as y1 from track a join track b on b.track_id = a.track_id and b.seq = a.seq + 10 where a.seq % 20 = 1),
  o as (select t.track_id, t.seq, sqrt((t.x - (x0 + (t.seq - lo) / 10.0::double * (x1 - x0))) ** 2 + (t.y - (y0 + (t.seq - lo) / 10.0::double * (y1 - y0))) ** 2) as off from track t join g on g.track_id = t.track_id and t.seq > lo and t.seq < hi)
  select track_id, seq, round(off, 4) as off from o where o.off > 150""",
-    "kinematic_triples": f"""with {SQL_TRACK}, n as (select track_id, seq as a, lead(seq, 1) over w as b, lead(seq, 2) over w as c, seq % 10 < 4 as f from track where seq % 7 <> 0 window w as (partition by track_id order by seq))
- select track_id, a, b, c, round((c - b) / (c - a)::double, 6) as alpha, round(1.6::double / (c - a), 6) as weight from n where c is not null and not (f and b % 10 < 4 and c % 10 < 4)""",
+    "kinematic_triples": f"""with {SQL_TRACK}, s as (select track_id, seq, seq + seq // 7 as slot, seq % 10 < 4 as fixed from track),
+ n as (select track_id, slot as a, lead(slot, 1) over w as b, lead(slot, 2) over w as c, fixed and lead(fixed, 1) over w and lead(fixed, 2) over w as f from s window w as (partition by track_id order by seq))
+ select track_id, a, b, c, round((c - b) / (c - a)::double, 6) as alpha, round(1.6::double / (c - a), 6) as weight from n where c is not null and not f""",
     "anchor_quality": f"""with {SQL_TRACK}, p as (select track_id, (seq - 1) // 8 as block, event_id, x, y, x * 2 - y * 0.5 + event_id % 5 + case when seq % 8 = 3 and seq % 3 = 0 then 400 else 0 end as u, x * 0.5 + y * 2 + event_id % 3 as v from track),
  o as (select event_id as left_out, track_id, block from p union all select null, track_id, block from (select distinct track_id, block from p)),
  q as (select o.left_out, p.* from o join p on p.track_id = o.track_id and p.block = o.block and p.event_id is distinct from o.left_out),
@@ -299,7 +302,7 @@ SQL = {
     "stage_timings": f"""with r as (select event_type, value, row_number() over (partition by event_type order by value) - 1 as i, count(*) over (partition by event_type) as n from events where value is not null),
  s as (select event_type, {_TIMES.format(v="value")}, max(case when i = least(n - 1, floor(n * 0.95::double)) then value end) as p95 from r group by 1)
  select event_type, calls, round(total, 4) as total, round(mean, 4) as mean, round(least, 4) as least, round(most, 4) as most, round(median, 4) as median, round(p95, 4) as p95 from s""",
-    "benchmark_ratio": """with m as (select l_linenumber, median(case when l_returnflag = 'N' then l_quantity end) as a, median(case when l_returnflag = 'R' then l_quantity end) as b from lineitem group by 1)
+    "benchmark_ratio": """with m as (select l_linenumber, median(case when l_returnflag = 'N' then l_quantity end) as a, median(case when l_returnflag <> 'N' then l_quantity end) as b from lineitem group by 1)
  select l_linenumber, a, b, round(b / a, 6) as ratio, b / a > 1.0 as slower from m where a <> 0 and b is not null""",
     "spread_statistics": f"""with {SQL_TRACK}, s as (select case when count(*) >= 2 then least(stddev_pop(x), stddev_pop(y)) / 1080.0 end as s from track group by track_id)
  select count(s) as n, round(avg(s), 6) as mean, round(min(s), 6) as least, round(count(case when s < 0.02 then 1 end) * 100.0::double / count(s), 4) as low from s""",

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from loftline.functions import affine
 from loftline.operators import graph as G
 from loftline.operators import keyframes as K
-from loftline.operators import scans
+from loftline.operators import scans, scenes
 
 
 def step_matrix(rng):
@@ -290,3 +290,11 @@ def test_annealing_leaves_a_clean_graph_alone(spark):
     assert {r.node for r in solved.collect()} == set(range(20))
     few = b.where("edge_type = 'temporal' or edge_id < 8")
     assert {r.factor for r in G.anneal(a, few, 10.0)[1].collect()} == {1.0}
+
+
+def test_kinematic_triples_over_gaps(spark):
+    rows = [(1, 0, True), (1, 1, True), (1, 5, True), (1, 6, False), (1, 9, True), (2, 3, False), (2, 4, False)]
+    df = spark.createDataFrame(rows, "track_id long, slot long, fixed boolean")
+    got = sorted((r.a, r.b, r.c, r.alpha, r.weight) for r in scenes.kinematic_triples(df, "track_id", "slot", "fixed", 2.0).collect())
+    assert got == [(1, 5, 6, 0.2, 0.8), (5, 6, 9, 0.75, 1.0)]
+    assert scenes.kinematic_triples(df, "track_id", "slot", "fixed", 0.0).collect() == []
