@@ -31,13 +31,15 @@ from .shingles import mix, word_hashes
 #: Pseudo-counts that go by single words, for each first word.
 ALPHA = 8.0
 #: Classes of words, a power of two, by which single words are counted.
-CELLS = 1 << 20
+CELLS = 1 << 18
 #: Bytes of text and number of texts of a batch.
 BATCH, BATCH_TEXTS = 4 << 20, 1 << 15
 #: Distinct words or pairs that a task merges at once.
 HELD = 1 << 20
 #: Words that are more than this part of all words are hot, so fewer than so many; and pairs of hot words.
 HOT_WORDS, HOT_PAIRS = 1 << 12, 1 << 16
+#: Pairs of a bucket that are scored at once.
+SCORED = 1 << 17
 #: Words of the corpus for each bucket.
 BUCKET_WORDS = 1 << 20
 #: Losses are summed as whole numbers of this part of a nat, so that their order does not matter.
@@ -218,7 +220,7 @@ def _meet(shared, single) -> Callable:
 
     def run(rows: pa.Table) -> pa.Table:
         hot_words, *hot_first = shared.value[0]
-        code, owner, times, own, mine, role = (_flat(rows.column(c)).astype(np.int64) for c in ENTRY)
+        code, owner, times, own, mine, role = (_flat(rows.column(c)) for c in ENTRY)
         of_row = np.repeat(np.arange(rows.num_rows), rows.column("code").combine_chunks().value_lengths().to_numpy())
         values, place = np.unique(code, return_inverse=True)
         pair = [np.bincount(place, times * of, len(values)) for of in _parts(role)]
@@ -227,7 +229,12 @@ def _meet(shared, single) -> Callable:
         at, is_hot = _index(hot_words, context)
         for f, known in zip(first, hot_first, strict=True):
             f[is_hot] = known[at[is_hot]]
-        found = _scored(code, times, own, mine, role, [p[place] for p in pair], [f[inside][place] for f in first], single.value)
+        found = [np.zeros(len(code), np.int64) for _ in MODELS]
+        for a in range(0, len(code), SCORED):
+            some = slice(a, a + SCORED)
+            at, entry = place[some], [x[some] for x in (code, times, own, mine, role)]
+            for out, x in zip(found, _scored(*entry, [p[at] for p in pair], [f[inside[at]] for f in first], single.value), strict=True):
+                out[some] = x
         starts = np.flatnonzero(np.r_[True, (of_row[1:] != of_row[:-1]) | (owner[1:] != owner[:-1])][: len(code)])
         offsets = pa.array(np.searchsorted(of_row[starts], np.arange(rows.num_rows + 1)).astype(np.int32))
         lists = [pa.array(owner[starts].astype(np.int32)), *(pa.array(_sums(x, times, starts)) for x in found)]
@@ -264,9 +271,11 @@ def _singles(words: DataFrame, size: int) -> list:
     found = by.agg(F.sum("b").alias("b"), F.sum("t").alias("t"), F.count(F.lit(1)).alias("size")).toArrow()
     at, out = found.column("cell").to_numpy(), []
     for name in ("b", "t", "size"):
-        values = np.zeros(CELLS, np.int64)
-        values[at] = found.column(name).to_numpy()
-        out.append((values, int(values.sum())))
+        values = found.column(name).to_numpy()
+        total = int(values.sum())
+        held = np.zeros(CELLS, np.int64 if total >= 1 << 31 else np.int32)
+        held[at] = values
+        out.append((held, total))
     return [*out[:2], (out[2][0], size)]
 
 
