@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import vectors
-from ..session import small
+from ..session import cut, small
 
 #: Queries that are held against the references at once; more are split into as many passes.
 QUERY_BLOCK = 8192
@@ -97,58 +97,88 @@ def _grid(queries: DataFrame, refs: DataFrame, k: int, negatives: bool) -> DataF
     return left.groupBy("q", "r").cogroup(right.groupBy("q", "r")).applyInPandas(both, _SCORED)
 
 
+def _usable(rows: DataFrame) -> DataFrame:
+    """Rows with a vector that has a direction; null, empty and zero vectors are compared with nothing."""
+    return rows.where(F.col("vector").isNotNull() & (vectors.norm(F.col("vector")) > 0))
+
+
+def _units(rows: pd.Series) -> np.ndarray:
+    m = np.stack([np.asarray(v, np.float64) for v in rows])
+    return m / (np.linalg.norm(m, axis=1, keepdims=True) + vectors.EPSILON)
+
+
 def truth_ranks(queries: DataFrame, refs: DataFrame) -> DataFrame:
     """(query_id, truth_rank): one more than the references that score above the one of the query's own id.
 
-    Truth scores come first; then each batch of references answers with one count per query, so there is no cap.
-    Queries are held in blocks as in topk; a query without its own reference has no row. Ids are unique.
+    Queries and references meet in a grid of blocks; a pair of blocks answers with one count per query, so there is no cap and
+    nothing passes through the driver. A query without its own reference has no row. Ids are unique; null, empty and zero
+    vectors are not compared.
     """
-    valid = F.col("vector").isNotNull() & (vectors.norm(F.col("vector")) > 0)
-    queries, refs = queries.where(valid).select("query_id", "vector"), refs.where(valid).select("ref_id", "vector")
+    queries, refs = _usable(queries).select("query_id", "vector"), _usable(refs).select("ref_id", "vector")
     asked = queries.join(refs.select(F.col("ref_id").alias("query_id"), F.col("vector").alias("own")), "query_id")
-    parts = max(1, -(-queries.count() // QUERY_BLOCK))
-    unit = lambda rows: (m := np.stack([np.asarray(v, np.float64) for v in rows])) / (np.linalg.norm(m, axis=1, keepdims=True) + vectors.EPSILON)
+    n, m = (max(1, -(-rows.count() // QUERY_BLOCK)) for rows in (asked, refs))
+    deal = lambda key, count: F.pmod(F.xxhash64(key), F.lit(count)).cast("int")
+    meet = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+    left = asked.select(*[F.col(c).alias(c) for c in asked.columns], deal("query_id", n).alias("q"), meet(m).alias("r"))
+    right = refs.withColumns({"r": deal("ref_id", m), "q": meet(n)})
 
-    def counts(block: pd.DataFrame):
+    def both(block: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         ids = block["query_id"].to_numpy()
-        matrix = unit(block["vector"]) if len(ids) else None
-        truth = np.round((matrix * unit(block["own"])).sum(1), DIGITS) if len(ids) else None
-
-        def run(batches):
-            for batch in batches:
-                if len(batch) and len(ids):
-                    above = np.round(matrix @ unit(batch["vector"]).T, DIGITS) > truth[:, None]
-                    above &= batch["ref_id"].to_numpy() != ids[:, None]
-                    yield pd.DataFrame({"query_id": ids, "beaten": above.sum(1)})
-
-        return run
-
-    found = None
-    for i in range(parts):
-        block = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i).toPandas()
-        part = refs.mapInPandas(counts(block), "query_id bigint, beaten bigint")
-        found = part if found is None else found.unionByName(part)
+        beaten = np.zeros(len(ids), np.int64)
+        if len(ids) and len(found):
+            other, of = _units(found["vector"]).T, found["ref_id"].to_numpy()
+            for a in range(0, len(ids), TILE):
+                part = block.iloc[a : a + TILE]
+                matrix = _units(part["vector"])
+                truth = np.round((matrix * _units(part["own"])).sum(1), DIGITS)
+                above = np.round(matrix @ other, DIGITS) > truth[:, None]
+                beaten[a : a + TILE] = (above & (of != ids[a : a + TILE, None])).sum(1)
+        return pd.DataFrame({"query_id": ids, "beaten": beaten})
+
+    found = left.groupBy("q", "r").cogroup(right.groupBy("q", "r")).applyInPandas(both, "query_id bigint, beaten bigint")
     return found.groupBy("query_id").agg((F.sum("beaten") + 1).alias("truth_rank"))
 
 
-def cells(refs: DataFrame, centroids: np.ndarray) -> DataFrame:
-    """refs with the cell of their nearest centroid (by cosine): the index of the approximate search."""
+def bucket_topk(asked: DataFrame, refs: DataFrame, buckets: list[str], k: int, negatives: bool = True) -> DataFrame:
+    """(query_id, ref_id, score, rank): the k references of highest cosine among those that share a bucket with the query.
 
-    def run(batches):
-        for batch in batches:
-            if len(batch):
-                v = np.stack([np.asarray(x, np.float64) for x in batch["vector"]])
-                batch["cell"] = np.argmax(v @ centroids.T, axis=1).astype(np.int32)
-                yield batch
+    asked (query_id, vector, buckets) has a row for each bucket of a query, refs (ref_id, vector, buckets) for each of a
+    reference; several common buckets count once. A bucket is dealt out in blocks of about QUERY_BLOCK rows of either side, so a
+    hot one is no single task; a pair of blocks answers with k rows per query. A null bucket is none. Null, empty and zero vectors are not compared.
+    """
+    asked, refs = _usable(asked).select("query_id", "vector", *buckets), _usable(refs).select("ref_id", "vector", *buckets)
+    count = lambda rows, name: rows.groupBy(*buckets).agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).cast("int").alias(name))
+    sizes = small(cut(count(asked, "__n").join(count(refs, "__m"), buckets)))
+    deal = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
+    meet = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = asked.join(sizes, buckets).withColumns({"__q": deal("query_id", "__n"), "__r": meet("__m")}).drop("__n", "__m")
+    right = refs.join(sizes, buckets).withColumns({"__r": deal("ref_id", "__m"), "__q": meet("__n")}).drop("__n", "__m")
+
+    def both(block: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        parts = list(_scores(block, k, negatives)([found])) if len(block) and len(found) else []
+        return pd.concat(parts) if parts else pd.DataFrame({"query_id": pd.Series(dtype="int64"), "ref_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
 
-    return refs.mapInPandas(run, refs.withColumn("cell", F.lit(0)).schema)
+    keys = [*buckets, "__q", "__r"]
+    left = left.select(*[F.col(c).alias(c) for c in left.columns])  # sides of one table would share their columns' ids
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(both, _SCORED)
+    return ranked(found.groupBy("query_id", "ref_id").agg(F.max("score").alias("score")), k)
 
 
-def fit_centroids(refs: DataFrame, n: int, sample: int = 20_000, rounds: int = 10) -> np.ndarray:
-    """Spherical k-means on a sample of at most so many rows (the smallest hashes of their ids)."""
-    rows = refs.orderBy(F.xxhash64("ref_id"), "ref_id").limit(sample).toPandas()
-    v = np.stack([np.asarray(x, np.float64) for x in rows["vector"]])
-    v /= np.linalg.norm(v, axis=1, keepdims=True) + vectors.EPSILON
+#: Rows that centroids are fitted on at most, and the fewest of them per cell.
+SAMPLE, SAMPLE_PER_CELL = 20_000, 16
+
+
+def cell_count(rows: int) -> int:
+    """Cells of an index over so many rows: the square root, as far as the sample can fit that many."""
+    return max(1, min(int(rows**0.5), SAMPLE // SAMPLE_PER_CELL))
+
+
+def fit_centroids(refs: DataFrame, n: int, sample: int = SAMPLE, rounds: int = 10) -> np.ndarray:
+    """Spherical k-means on a sample of at most so many usable rows (the smallest hashes of their ids); without rows none."""
+    rows = _usable(refs).orderBy(F.xxhash64("ref_id"), "ref_id").limit(sample).toPandas()
+    if not len(rows):
+        return np.zeros((0, 1))
+    v = _units(rows["vector"])
     centers = v[:: max(1, len(v) // n)][:n].copy()
     for _ in range(rounds):
         nearest = np.argmax(v @ centers.T, axis=1)
@@ -158,22 +188,22 @@ def fit_centroids(refs: DataFrame, n: int, sample: int = 20_000, rounds: int = 1
     return centers
 
 
-def topk_cells(queries: DataFrame, indexed: DataFrame, centroids: np.ndarray, k: int, probes: int) -> DataFrame:
-    """Approximate top-k: queries meet the references of their nearest cells; negative scores become 0."""
+def cells(rows: DataFrame, centroids: np.ndarray, nearest: int = 1) -> DataFrame:
+    """rows once for each cell of their `nearest` centroids (by cosine). Null, empty and zero vectors are in no cell."""
 
     def run(batches):
         for batch in batches:
-            if len(batch):
+            if len(batch) and len(centroids):
                 v = np.stack([np.asarray(x, np.float64) for x in batch["vector"]])
-                near = np.argsort(-(v @ centroids.T), axis=1)[:, :probes].astype(np.int32)
-                batch["cell"] = list(near)
-                yield batch
-
-    asked = queries.mapInPandas(run, queries.withColumn("cell", F.array(F.lit(0))).schema)
-    asked = asked.withColumn("cell", F.explode("cell")).withColumnRenamed("vector", "asked")
-    score = vectors.clamped_similarity(F.round(vectors.cosine(F.col("asked"), F.col("vector")), DIGITS))
-    found = asked.join(indexed, "cell").select("query_id", "ref_id", score.alias("score"))
-    return ranked(found, k)
+                yield batch.assign(cell=list(np.argsort(-(v @ centroids.T), axis=1, kind="stable")[:, :nearest].astype(np.int32)))
+
+    found = _usable(rows).mapInPandas(run, rows.withColumn("cell", F.array(F.lit(0))).schema)
+    return found.withColumn("cell", F.explode("cell"))
+
+
+def topk_cells(queries: DataFrame, indexed: DataFrame, centroids: np.ndarray, k: int, probes: int) -> DataFrame:
+    """Approximate top-k: queries meet the references of their nearest cells; negative scores become 0."""
+    return bucket_topk(cells(queries, centroids, probes), indexed, ["cell"], k, negatives=False)
 
 
 def best_source(found: DataFrame, sources: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import TILE_DEG, in_bounds, tile
 from ..session import small
+from .retrieval import bucket_topk
 
 
 def tile_neighbours(asked: DataFrame, points: DataFrame, reach: int, deg: float = TILE_DEG) -> DataFrame:
@@ -24,6 +25,21 @@ def tile_neighbours(asked: DataFrame, points: DataFrame, reach: int, deg: float
     return left.join(right, ["__ta", "__tb"]).drop("__a", "__b", "__ta", "__tb")
 
 
+def scoped_topk(asked: DataFrame, frames: DataFrame, reach: int, k: int, deg: float = TILE_DEG) -> DataFrame:
+    """(query_id, ref_id, score, rank): the k frames of highest cosine in the square of tiles around a query's place.
+
+    asked (query_id, vector, lat, lon), frames (ref_id, vector, lat, lon). A query stands in all tiles around it, so both sides
+    meet on equal tiles, dealt out in blocks where a tile is hot. A row without a place or with NaN for one is found by nothing and finds nothing.
+    """
+    span = F.sequence(F.lit(-reach), F.lit(reach))
+    placed = lambda rows: rows.where(F.col("lat").isNotNull() & F.col("lon").isNotNull() & ~F.isnan("lat") & ~F.isnan("lon"))
+    at = lambda c: tile(F.col(c), deg)
+    left = placed(asked).withColumn("__a", F.explode(span)).withColumn("__b", F.explode(span))
+    left = left.select("query_id", "vector", (at("lat") + F.col("__a")).alias("tile_lat"), (at("lon") + F.col("__b")).alias("tile_lon"))
+    right = placed(frames).select("ref_id", "vector", at("lat").alias("tile_lat"), at("lon").alias("tile_lon"))
+    return bucket_topk(left, right, ["tile_lat", "tile_lon"], k)
+
+
 def active_sources(points: DataFrame, boxes: DataFrame) -> DataFrame:
     """points with each source whose box holds them; a source without a box holds all.
 

@@ -7,8 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from ..operators import metrics, retrieval
-from .views import SQL_KNN, r6, vectors
+from ..operators import metrics, retrieval, spatial
+from .views import SQL_FIXES, SQL_KNN, fixes, r6, vectors
 
 
 def _found(spark, sf_dir, k: int) -> DataFrame:
@@ -117,17 +117,35 @@ def verify_early_stop(spark, sf_dir):
     return retrieval.first_good(found).select("query_id", "ref_id", "inliers", "rank", "tried")
 
 
+#: Each row is indexed in so many of its nearest cells, and each query probes this share of all cells.
+COPIES, PROBED = 4, 0.25
+
+
 def knn_cells_approximate(spark, sf_dir):
-    """Approximate search; the index is fitted on a sample and holds every row."""
+    """Approximate search; the index is fitted on a sample and holds every row. Cells grow as the root of the rows."""
     refs = vectors(spark, sf_dir).select("ref_id", "vector")
-    centroids = retrieval.fit_centroids(refs, 16)
+    centroids = retrieval.fit_centroids(refs, retrieval.cell_count(refs.count()))
     asked = refs.where("ref_id % 20 = 0").select(F.col("ref_id").alias("query_id"), "vector")
-    return retrieval.topk_cells(asked, retrieval.cells(refs, centroids), centroids, 10, probes=10)
+    probes = max(1, int(len(centroids) * PROBED))
+    return retrieval.topk_cells(asked, retrieval.cells(refs, centroids, COPIES), centroids, 10, probes)
+
+
+def _frames(spark, sf_dir) -> DataFrame:
+    """Vectors with the place of the fix of the same id."""
+    places = fixes(spark, sf_dir).select(F.col("event_id").alias("ref_id"), "lat", "lon")
+    return vectors(spark, sf_dir).select("ref_id", "vector").join(places, "ref_id")
+
+
+def knn_geo_descriptors(spark, sf_dir):
+    """For every 20th frame the three frames of highest cosine in the tiles around it, itself included."""
+    frames = _frames(spark, sf_dir)
+    asked = frames.where("ref_id % 20 = 0").withColumnRenamed("ref_id", "query_id")
+    return spatial.scoped_topk(asked, frames, 2, 3).select("query_id", "ref_id", "rank", r6("score").alias("score"))
 
 
 NAMES = [
     knn_exact_topk, retrieval_metrics_at_k, retrieval_pdm, retrieval_rank_of_truth, knn_multi_source_best, knn_patch_aggregate,
-    fuse_ranked_lists, loop_closure_candidates, mutual_nn_match, mnn_counts, verify_early_stop, knn_cells_approximate,
+    fuse_ranked_lists, loop_closure_candidates, mutual_nn_match, mnn_counts, verify_early_stop, knn_cells_approximate, knn_geo_descriptors,
 ]
 QUERIES = {f.__name__: f for f in NAMES}
 
@@ -164,6 +182,12 @@ SQL = {
  s as (select q.vec_id as query_id, r.vec_id as ref_id, q.p, round(list_inner_product(q.v, r.v), 9) as score from u q join u r on q.p = r.p where q.vec_id % 20 = 0),
  t as (select *, row_number() over (partition by query_id, p order by score desc, ref_id) as k from s)
  select query_id, ref_id, count(*) as hits, round((count(*) / 4.0::double) * (sum(score) / count(*)), 6) as score from t where k <= 9 group by 1, 2""",
+    "knn_geo_descriptors": f"""with {SQL_FIXES},
+ f as (select vec_id, cast(trunc(lat / 0.005::double) as int) as ta, cast(trunc(lon / 0.005::double) as int) as tb,
+   list_transform(embedding::double[], lambda x: x / (sqrt(list_inner_product(embedding::double[], embedding::double[])) + 1e-8)) as v from embeddings join fixes on vec_id = event_id),
+ s as (select a.vec_id as query_id, b.vec_id as ref_id, round(list_inner_product(a.v, b.v), 9) as score from f a join f b on abs(a.ta - b.ta) <= 2 and abs(a.tb - b.tb) <= 2 where a.vec_id % 20 = 0),
+ r as (select *, row_number() over (partition by query_id order by score desc, ref_id) as rank from s)
+ select query_id, ref_id, rank, round(score, 6) as score from r where rank <= 3""",
     "fuse_ranked_lists": f"""with {SQL_KNN}, a as (select query_id, ref_id, score from ranked where rank <= 5),
  b as (select query_id, ref_id, score * 0.9::double as score from ranked where rank <= 10 and rank % 2 = 1)
  select coalesce(a.query_id, b.query_id) as query_id, coalesce(a.ref_id, b.ref_id) as ref_id,
