@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from .frames import MATRIX, matrix_of
 
 VERSION = "3.0"
-_QUALITY = "rmse_m double, median_err_m double, max_err_m double, inliers_count int"
-_ANCHOR = f"struct<frame_id: bigint, affine_matrix: array<array<double>>, qa_data: struct<{_QUALITY.replace(' ', ': ', 1).replace(', ', ', ')}>>"
 _ANCHOR = (
     "struct<frame_id: bigint, affine_matrix: array<array<double>>, rmse_m: double, max_err_m: double, "
     "qa_data: struct<rmse_m: double, median_err_m: double, max_err_m: double, inliers_count: int>>"
@@ -109,7 +107,7 @@ def read_sources(sources: DataFrame, path: str) -> DataFrame:
     spark = sources.sparkSession
     files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").text(path, wholetext=True)
     files = files.select("value", F.col("_metadata.file_path").alias("__path"))
-    root = F.lit("/" + path.split("://")[-1].strip("/") + "/")
+    root = "/" + path.split("://")[-1].strip("/") + "/"
     files = files.withColumn("calibration_file", F.substring_index("__path", root, -1)).drop("__path")
     wanted = sources.where(F.coalesce(F.col("enabled"), F.lit(True))).select("source_id", "calibration_file")
     return anchors(wanted.join(files, "calibration_file"), "value", ["source_id"])
