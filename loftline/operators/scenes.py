@@ -249,6 +249,20 @@ def run_verdict(runs: DataFrame, frame: str, inliers: str) -> DataFrame:
     return one.select("n_a", "n_b", "median_a", "median_b", jaccard.alias("jaccard"), F.array_join(F.array_compact(names), ",").alias("worse"))
 
 
+def pair_runs(runs: DataFrame, keys: list[str], side: str, order: list[str], values: list[str]) -> DataFrame:
+    """(keys, place, a_*, b_*) of the values of runs `a` and `b`, paired by their places, for keys where both have equally many rows.
+
+    Unequal counts have no pairs, as a place then tells nothing. `order` makes the rows of a side distinct. Rows are
+    ranked by ranges, so a run may be longer than a task can hold; keys may be null.
+    """
+    placed = ranked(runs.select(*keys, side, *dict.fromkeys([*order, *values])), [*keys, side], order)
+    left, right = placed.where(F.col(side) == "a"), placed.where(F.col(side) == "b")
+    left = left.select(*keys, "place", F.col("n").alias("__n"), *[F.col(v).alias(f"a_{v}") for v in values])
+    right = right.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("place").alias("__place"), F.col("n").alias("__m"), *[F.col(v).alias(f"b_{v}") for v in values])
+    same = [F.col("place") == F.col("__place"), F.col("__n") == F.col("__m"), *[F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)]]
+    return left.join(right, same).select(*keys, "place", *[f"a_{v}" for v in values], *[f"b_{v}" for v in values])
+
+
 def timings(samples: DataFrame, stage: str, value: str) -> DataFrame:
     """Calls, total, mean, least and most of each stage, with the median and the p95 by floor index."""
     placed = ranked(samples.select(stage, value), [stage], [value])

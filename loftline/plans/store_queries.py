@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import affine
-from ..operators import calibrated
-from ..sources import calibrations, frames
-from .views import FRAME_H, FRAME_W, SQL_EDGES, SQL_MATRICES, SQL_TRACK, edges, matrices, matrix, r6, track, vectors
+from ..functions import affine, geo
+from ..operators import calibrated, graph, scenes
+from ..sources import calibrations, exports, frames, schema
+from .graph_queries import _RES
+from .views import FRAME_H, FRAME_W, SQL_EDGES, SQL_FIXES, SQL_MATRICES, SQL_TRACK, edges, fixes, matrices, matrix, poses, r6, track, vectors
 
 #: Keypoints that a stored frame has room for.
 ROOM = 12
@@ -62,7 +63,38 @@ def calibration_saved(spark, sf_dir):
     )
 
 
-NAMES = [frame_features, calibration_versions, calibration_saved]
+def graph_geojson(spark, sf_dir):
+    """Points and lines of the pose graph, read back from their GeoJSON; every tenth row of a track is an anchor."""
+    places = fixes(spark, sf_dir).select(F.col("event_id").alias("node"), "lat", "lon", (F.col("seq") % 10 == 1).alias("anchor"))
+    found = exports.graph_features(places, graph.residuals(edges(spark, sf_dir), poses(spark, sf_dir), FRAME_W / 2))
+    of = lambda path: F.get_json_object("feature", f"$.{path}")
+    number = lambda path, name, digits=6: F.round(of(path).cast("double"), digits).alias(name)
+    start = lambda i: F.round(F.coalesce(of(f"geometry.coordinates[0][{i}]"), of(f"geometry.coordinates[{i}]")).cast("double"), 6)
+    return found.select(
+        "kind", "id", of("geometry.type").alias("shape"), start(0).alias("lon"), start(1).alias("lat"), number("geometry.coordinates[1][0]", "to_lon"),
+        number("geometry.coordinates[1][1]", "to_lat"), number("properties.weight", "weight"), number("properties.residual", "residual", 4),
+    )
+
+
+def paired_runs(spark, sf_dir):
+    """Rows of type `click` of a track are one run and those of type `view` another; equally long ones are paired by position."""
+    side = F.when(F.col("event_type") == "click", "a").when(F.col("event_type") == "view", "b")
+    runs = fixes(spark, sf_dir).select("track_id", side.alias("side"), "seq", "event_id", "lat", "lon").where("side is not null")
+    pairs = scenes.pair_runs(runs, ["track_id"], "side", ["seq"], ["event_id", "lat", "lon"])
+    metres = geo.haversine(F.col("a_lat"), F.col("a_lon"), F.col("b_lat"), F.col("b_lon"))
+    return pairs.select("track_id", "place", F.col("a_event_id").alias("a"), F.col("b_event_id").alias("b"), r6(metres, 3).alias("metres"))
+
+
+def schema_gate(spark, sf_dir):
+    """Each row is a source with three components, of which its type may differ from the first row's; some know nothing."""
+    e = F.col("event_id")
+    known = lambda v: F.when(e % 11 != 7, v)
+    rows = track(spark, sf_dir).select(e.alias("source_id"), known(F.col("event_type")).alias("kind"), known((e % 3).cast("string")).alias("step"), known((e % 2).cast("string")).alias("dim"))
+    base = rows.join(F.broadcast(rows.agg(F.min("source_id").alias("source_id"))), "source_id")  # one row
+    return schema.gate(rows, base, {"kind"})
+
+
+NAMES = [frame_features, calibration_versions, calibration_saved, graph_geojson, paired_runs, schema_gate]
 QUERIES = {f.__name__: f for f in NAMES}
 
 _LINE = "(l.{0} * (1 - z) + r.{0} * z)"
@@ -88,6 +120,20 @@ SQL = {
  q as (select a.vec_id + 5 as frame_id, p.n, p.v from embeddings a left join p on p.vec_id = a.vec_id + 5)
  select frame_id, coalesce(n, 0) as kp_count, case when n is null then 'unknown frame' when n = 0 then 'no keypoints' else 'ok' end as status,
  case when n > 0 then round(list_sum(v[1 : n * 4]), 5) end as total, 1080 as height, 1280 as width from q""",
+    "graph_geojson": f"""with {_RES}, p as (select event_id, seq, x / 1000.0::double + 48.0 as lat, y / 1000.0::double + 25.0 as lon from track)
+ select case when seq % 10 = 1 then 'anchor' else 'frame' end as kind, event_id as id, 'Point' as shape, round(lon, 6) as lon, round(lat, 6) as lat,
+   null::double as to_lon, null::double as to_lat, null::double as weight, null::double as residual from p
+ union all select 'edge', edge_id, 'LineString', round(i.lon, 6), round(i.lat, 6), round(j.lon, 6), round(j.lat, 6), round(weight, 6), round(residual, 4)
+ from res join p i on i.event_id = from_id join p j on j.event_id = to_id""",
+    "paired_runs": f"""with {SQL_FIXES}, s as (select *, case event_type when 'click' then 'a' else 'b' end as side from fixes where event_type in ('click', 'view')),
+ n as (select *, row_number() over (partition by track_id, side order by seq) - 1 as place, count(*) over (partition by track_id, side) as n from s),
+ q as (select a.track_id, a.place, a.event_id as a, b.event_id as b, sin(radians(b.lat - a.lat) / 2) ** 2 + cos(radians(a.lat)) * cos(radians(b.lat)) * sin(radians(b.lon - a.lon) / 2) ** 2 as h
+   from n a join n b on a.track_id = b.track_id and a.place = b.place and a.n = b.n and a.side = 'a' and b.side = 'b')
+ select track_id, place, a, b, round(2 * 6371000.0 * atan2(sqrt(h), sqrt(greatest(0, 1 - h))), 3) as metres from q""",
+    "schema_gate": """with c as (select event_id as i, event_id % 11 <> 7 as known, case when event_id % 11 <> 7 then event_type end as k, case when event_id % 11 <> 7 then event_id % 3 end as s, case when event_id % 11 <> 7 then event_id % 2 end as d from events),
+ b as (select known as bknown, k as bk, s as bs, d as bd from c where i = (select min(event_id) from events)),
+ t as (select *, (s is distinct from bs)::int + (d is distinct from bd)::int as confounders, (k is distinct from bk)::int as kd from c, b)
+ select i as source_id, kd + confounders as differing, confounders, case when not (known and bknown) then 'incomparable' when kd + confounders = 0 then 'identical' when confounders > 0 then 'confounded' else 'valid' end as verdict from t""",
     "calibration_versions": f"""with {SQL_MATRICES}, m as (select event_id, event_id % 5 as k, x, round(a * d - b * c, 6) as det, round((event_id % 13) / 10.0::double, 6) as rmse from matrices)
  select event_id, event_id + j as frame_id, case when k in (1, 2) then 'UTM' else 'WEB_MERCATOR' end as mode, case when k in (1, 2) then round(x, 6) end as ref_lat,
  case when k = 1 then 1920 end as width, det, case when k in (1, 2) then rmse end as rmse_m from m, range(0, 2) t(j) where k <> 3 and (j = 0 or k = 1)""",

@@ -6,8 +6,8 @@ import math
 import numpy as np
 import pytest
 
-from loftline.operators import calibrated
-from loftline.sources import calibrations, frames
+from loftline.operators import calibrated, scenes
+from loftline.sources import calibrations, exports, frames, schema
 
 M = "a double, b double, tx double, c double, d double, ty double"
 
@@ -135,3 +135,34 @@ def test_lines_and_sources(spark, tmp_path):
     table = [("s1", True, "old.json"), ("s2", None, "deep/new.json"), ("s3", True, "bad.json"), ("s4", True, "gone.json"), ("s5", False, "old.json")]
     got = calibrations.read_sources(spark.createDataFrame(table, "source_id string, enabled boolean, calibration_file string"), str(folder))
     assert sorted((r.source_id, r.frame_id, r.mode, r.ref_lat, r.tx) for r in got.collect()) == [("s1", 3, "UTM", 48.0, 2.0), ("s2", 1, "WEB_MERCATOR", None, 2.0), ("s2", 5, "WEB_MERCATOR", None, 2.0)]
+
+
+def test_graph_features(spark):
+    nodes = spark.createDataFrame([(1, 48.0, 25.0, True), (2, 48.5, 25.5, None), (3, None, 25.0, False)], "node bigint, lat double, lon double, anchor boolean")
+    edges = spark.createDataFrame([(7, 1, 2, "temporal", 1.5, None), (8, 2, 3, "spatial", 1.0, 2.0), (9, 1, 99, "spatial", 1.0, 2.0)], "edge_id bigint, from_id bigint, to_id bigint, edge_type string, weight double, residual double")
+    got = {(r.kind, r.id): json.loads(r.feature) for r in exports.graph_features(nodes, edges).collect()}
+    assert set(got) == {("anchor", 1), ("frame", 2), ("edge", 7)}
+    assert got["anchor", 1] == {"type": "Feature", "geometry": {"type": "Point", "coordinates": [25.0, 48.0]}, "properties": {"frame_id": 1, "type": "anchor"}}
+    assert got["edge", 7]["geometry"] == {"type": "LineString", "coordinates": [[25.0, 48.0], [25.5, 48.5]]}
+    assert got["edge", 7]["properties"] == {"from_id": 1, "to_id": 2, "edge_type": "temporal", "residual": None, "weight": 1.5}
+
+
+def test_slot_errors(spark):
+    rows = spark.createDataFrame([(1, 2.34567, 0.5, 0.01), (2, 0.0, None, None)], "slot bigint, error double, angle_error double, scale_error double")
+    got = exports.slot_errors(rows, "slot", exports.F.col("slot") == 1).orderBy("slot").collect()
+    assert list(map(tuple, got)) == [(1, 1, "2.346", "0.5000", "1.0000"), (2, 0, "0.000", None, None)]
+
+
+def test_runs_of_unequal_length_are_not_paired(spark):
+    rows = [("k", "a", 5, 1), ("k", "a", 2, 2), ("k", "b", 9, 3), ("k", "b", 1, 4), ("u", "a", 1, 5), (None, "a", 1, 6), (None, "b", 1, 7), ("v", "b", 1, 8), ("w", "a", 1, 9), ("w", "b", 1, 10), ("w", "b", 2, 11)]
+    runs = spark.createDataFrame(rows, "scene string, side string, at bigint, frame bigint")
+    got = scenes.pair_runs(runs, ["scene"], "side", ["at"], ["frame"]).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([("k", 0, 2, 4), ("k", 1, 1, 3), (None, 0, 6, 7)], key=str)
+    assert scenes.pair_runs(runs.limit(0), ["scene"], "side", ["at"], ["frame"]).count() == 0
+
+
+def test_schema_gate(spark):
+    rows = spark.createDataFrame([(1, "x", "p", None), (2, "y", "p", None), (3, "y", "q", None), (4, None, None, None), (5, "x", "p", "r")], "source_id bigint, kind string, step string, dim string")
+    got = lambda base: {r.source_id: (r.differing, r.confounders, r.verdict) for r in schema.gate(rows, rows.where(f"source_id = {base}"), {"kind"}).collect()}
+    assert got(1) == {1: (0, 0, "identical"), 2: (1, 0, "valid"), 3: (2, 1, "confounded"), 4: (2, 1, "incomparable"), 5: (1, 1, "confounded")}
+    assert {v[2] for v in got(4).values()} == {"incomparable"}
