@@ -130,7 +130,8 @@ def depth_hints(spark, sf_dir):
     stored = rows.where("depth > 0").groupBy("event_type").agg(F.percentile("depth", 0.5).alias("stored"))
     both = rows.join(stored, "event_type").withColumn("hint", scenes.depth_hint(F.col("depth"), F.col("stored")))
     levels = scenes.scale_candidates(F.when(F.col("event_id") % 4 == 0, F.lit(0.9)), F.col("hint"), (1.0, 0.7, 1.4, 0.5, 2.0))
-    return both.select("event_id", r6("hint", 5).alias("hint"), F.get(levels, F.lit(0)).alias("first"), F.size(levels).cast("long").alias("n"))
+    both = both.withColumn("levels", levels)  # beside the rounded hint, the lambdas would take that one by its name
+    return both.select("event_id", r6("hint", 5).alias("hint"), F.get("levels", F.lit(0)).alias("first"), F.size("levels").cast("long").alias("n"))
 
 
 def sign_majority(spark, sf_dir):
