@@ -5,6 +5,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.parquet as pq
 
+from loftline.operators import spatial
 from loftline.plans import registry
 
 from .test_queries import normal
@@ -37,3 +38,21 @@ def test_depth_hints_that_are_ties_only_when_rounded(spark, tmp_path):
     folder = events(tmp_path, [1] * 8, [35.1, 35.1, 35.1, 21.06, 35.1, 21.06, 35.1, 42.12], kinds=["error"] * 8)
     got = assert_equals_sql(spark, folder, "depth_hints").set_index("event_id")
     assert got.loc[3, "first"] == 0.5
+
+
+def test_tiles_that_hold_most_rows_are_counted_without_pairs(spark):
+    """200,000 rows in two tiles: 10,000 of them ask, which would be 2 * 10^9 pairs."""
+    rows = spark.range(200_000).selectExpr("id as event_id", "48.0011 + id % 2 * 0.006 as lat", "25.0011 + id % 50 * 0.00001 as lon")
+    found = spatial.tile_counts(rows.where("event_id % 20 = 0"), rows, 1)
+    assert [tuple(r) for r in found.groupBy("n").count().collect()] == [(200_000, 10_000)]
+    near = spatial.nearest_points(rows.where("event_id % 20 = 0"), rows, 1, 3)
+    assert near.count() == 30_000
+    assert [tuple(r) for r in near.where("event_id = 199900").orderBy("rank").collect()] == [(199_900, 0, 0.0, 1), (199_900, 50, 0.0, 2), (199_900, 100, 0.0, 3)]
+
+
+def test_nearest_points_equal_sql_in_dense_and_sparse_places(spark, tmp_path):
+    """A cluster of points some centimetres apart, copies, and points alone in their tiles or with one other in the tile beside."""
+    values = [10 + i * 37 % 101 * 1e-4 for i in range(400)] + [20.0] * 50 + [31.3, 35.2, 900.0, 77.7, 79.9, 84.99] * 20
+    folder = events(tmp_path, [1] * len(values), values, ks=[50 if i < 450 else i * 7 % 100 for i in range(len(values))])
+    assert_equals_sql(spark, folder, "knn_geo_scoped")
+    assert_equals_sql(spark, folder, "geo_tile_neighbours")
