@@ -22,8 +22,8 @@ from .scans import quantiles, ranked, running
 POSE = ["x", "y", "log_sx", "log_sy", "theta"]
 STEP = ["dx", "dy", "log_dsx", "log_dsy", "dtheta"]
 START, TRIAL = ([f"{prefix}_{n}" for n in POSE] for prefix in ("start", "to"))
-#: Nodes that a task solves at once.
-BLOCK = 256
+#: Nodes that are solved at once, about how many of such parts a call of a task gets together, and how far apart linked nodes may stand for the banded solver.
+BLOCK, BUNDLE, BAND = 256, 8192, 12
 #: Parts of a step that are tried.
 STEPS = (1.0, 0.5, 0.25, 0.1, 0.03, 0.01)
 
@@ -257,6 +257,42 @@ def chain_gaps(edges: DataFrame, anchors: DataFrame, tolerance: float) -> DataFr
     return found.select("track_id", "seq", "to", F.coalesce("steps", F.lit(0)).alias("steps"), state.alias("state"))
 
 
+def _turned(a: np.ndarray, sign: float) -> tuple[np.ndarray, ...]:
+    return np.exp(-a[:, 2]), np.exp(-a[:, 3]), np.exp(a[:, 3] - a[:, 2]), np.cos(a[:, 4]), sign * np.sin(a[:, 4])
+
+
+def _edge_rows(a: np.ndarray, b: np.ndarray, e: np.ndarray, sign: float) -> np.ndarray:
+    """Rows (edges, 5) of steps e from poses a to poses b, not scaled yet."""
+    ux, uy, ratio, c, s = _turned(a, sign)
+    turn = b[:, 4] - a[:, 4] - sign * e[:, 4]
+    return np.stack(
+        [
+            (b[:, 0] - a[:, 0]) * ux - c * e[:, 0] + s * ratio * e[:, 1],
+            (b[:, 1] - a[:, 1]) * uy - sign * s / ratio * e[:, 0] - sign * c * e[:, 1],
+            b[:, 2] - a[:, 2] - e[:, 2],
+            b[:, 3] - a[:, 3] - e[:, 3],
+            np.arctan2(np.sin(turn), np.cos(turn)),
+        ],
+        1,
+    )
+
+
+def _edge_slopes(a: np.ndarray, b: np.ndarray, e: np.ndarray, sign: float) -> tuple[np.ndarray, np.ndarray]:
+    """Derivatives of the rows of each edge by the pose of its start and of its end."""
+    ux, uy, ratio, c, s = _turned(a, sign)
+    by_a, by_b = np.zeros((2, len(e), 5, 5))
+    by_a[:, 0, 0], by_b[:, 0, 0], by_a[:, 1, 1], by_b[:, 1, 1] = -ux, ux, -uy, uy
+    by_a[:, 0, 3] = s * ratio * e[:, 1]
+    by_a[:, 0, 2] = -(b[:, 0] - a[:, 0]) * ux - by_a[:, 0, 3]
+    by_a[:, 0, 4] = sign * s * e[:, 0] + sign * c * ratio * e[:, 1]
+    by_a[:, 1, 2] = -sign * s / ratio * e[:, 0]
+    by_a[:, 1, 3] = -(b[:, 1] - a[:, 1]) * uy - by_a[:, 1, 2]
+    by_a[:, 1, 4] = -c / ratio * e[:, 0] + s * e[:, 1]
+    for k in (2, 3, 4):
+        by_a[:, k, k], by_b[:, k, k] = -1.0, 1.0
+    return by_a, by_b
+
+
 def solve_component(nodes: pd.DataFrame, edges: pd.DataFrame, cx: float, sign: float = 1.0, anchor_weight: float = 100.0, rounds: int = 20, robust: float | None = None) -> pd.DataFrame:
     """Damped least squares of one component; robust: scale of Geman-McClure weights. Returns poses and cost.
 
@@ -272,40 +308,11 @@ def solve_component(nodes: pd.DataFrame, edges: pd.DataFrame, cx: float, sign: f
     scale = np.array([1.0, 1.0, cx, cx, cx])
     pull = np.where(fixed[:, None], (scale * anchor_weight) ** 2, 0.0)
 
-    def parts(p):
-        a, b = p[i], p[j]
-        ratio, c, s = np.exp(a[:, 3] - a[:, 2]), np.cos(a[:, 4]), sign * np.sin(a[:, 4])
-        return a, b, np.exp(-a[:, 2]), np.exp(-a[:, 3]), ratio, c, s
-
     def edge_rows(p):
-        a, b, ux, uy, ratio, c, s = parts(p)
-        turn = b[:, 4] - a[:, 4] - sign * e[:, 4]
-        r = np.stack(
-            [
-                (b[:, 0] - a[:, 0]) * ux - c * e[:, 0] + s * ratio * e[:, 1],
-                (b[:, 1] - a[:, 1]) * uy - sign * s / ratio * e[:, 0] - sign * c * e[:, 1],
-                b[:, 2] - a[:, 2] - e[:, 2],
-                b[:, 3] - a[:, 3] - e[:, 3],
-                np.arctan2(np.sin(turn), np.cos(turn)),
-            ],
-            1,
-        )
-        return r * scale
+        return _edge_rows(p[i], p[j], e, sign) * scale
 
     def slopes(p):
-        """Derivatives of the rows of each edge by the pose of its start and of its end."""
-        a, b, ux, uy, ratio, c, s = parts(p)
-        by_a, by_b = np.zeros((2, len(e), 5, 5))
-        by_a[:, 0, 0], by_b[:, 0, 0], by_a[:, 1, 1], by_b[:, 1, 1] = -ux, ux, -uy, uy
-        by_a[:, 0, 3] = s * ratio * e[:, 1]
-        by_a[:, 0, 2] = -(b[:, 0] - a[:, 0]) * ux - by_a[:, 0, 3]
-        by_a[:, 0, 4] = sign * s * e[:, 0] + sign * c * ratio * e[:, 1]
-        by_a[:, 1, 2] = -sign * s / ratio * e[:, 0]
-        by_a[:, 1, 3] = -(b[:, 1] - a[:, 1]) * uy - by_a[:, 1, 2]
-        by_a[:, 1, 4] = -c / ratio * e[:, 0] + s * e[:, 1]
-        for k in (2, 3, 4):
-            by_a[:, k, k], by_b[:, k, k] = -1.0, 1.0
-        return by_a * scale[:, None], by_b * scale[:, None]
+        return [x * scale[:, None] for x in _edge_slopes(p[i], p[j], e, sign)]
 
     def cost(p, weight):
         return ((edge_rows(p) * weight[:, None]) ** 2).sum() + (pull * (p - start) ** 2).sum()
@@ -342,6 +349,172 @@ def solve_component(nodes: pd.DataFrame, edges: pd.DataFrame, cx: float, sign: f
     return out.assign(cost=float(cost(p, weight)))[free]
 
 
+def _banded(blocks: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Solutions (parts, nodes, 5) of symmetric systems of 5 x 5 blocks, all parts together, a node at a time.
+
+    blocks (parts, nodes, band + 1, 5, 5): at [:, c, k] the block of row c + k and column c. right: (parts, nodes, 5).
+    """
+    parts, n, wide = blocks.shape[:3]
+    q, front = 5 * wide, np.zeros((parts, 5 * wide, 5 * wide))
+    held = np.zeros((parts, n + wide, 5))
+    held[:, :n] = right
+    ways = np.zeros((n, parts, 5, q - 5))
+    for c in range(n):
+        for k in range(wide):
+            rows = slice(5 * k, 5 * k + 5)
+            front[:, rows, :5] += blocks[:, c, k]
+            if k:
+                front[:, :5, rows] += blocks[:, c, k].transpose(0, 2, 1)
+        below = front[:, 5:, :5]
+        got = np.linalg.solve(front[:, :5, :5], np.concatenate([front[:, :5, 5:], held[:, c, :, None]], 2))
+        ways[c], held[:, c] = got[:, :, :-1], got[:, :, -1]
+        if q > 5:
+            held[:, c + 1 : c + wide] -= (below @ held[:, c, :, None]).reshape(parts, wide - 1, 5)
+            rest = front[:, 5:, 5:] - below @ ways[c]
+            front = np.zeros_like(front)
+            front[:, : q - 5, : q - 5] = rest
+        else:
+            front = np.zeros_like(front)
+    for c in range(n - 1, -1, -1) if q > 5 else ():
+        held[:, c] -= (ways[c] @ held[:, c + 1 : c + wide].reshape(parts, q - 5, 1))[:, :, 0]
+    return held[:, :n]
+
+
+def solve_parts(nodes: pd.DataFrame, edges: pd.DataFrame, cx: float, sign: float = 1.0, anchor_weight: float = 100.0, rounds: int = 20, robust: float | None = None) -> pd.DataFrame:
+    """solve_component for many parts (column `part`) together, each with its own damping and its own end.
+
+    Parts whose linked nodes stand near each other in the order of the ids take their steps together by a banded solver; others are solved
+    one by one. nodes: part, component, node, POSE, START, is_anchor, is_free; edges: part, edge_id, from_id, to_id, STEP, weight.
+    """
+    nodes = nodes.sort_values(["part", "node"]).reset_index(drop=True)
+    edges = edges.sort_values(["part", "edge_id"]).reset_index(drop=True)
+    part, free = nodes["part"].to_numpy(), nodes["is_free"].to_numpy(bool)
+    ids = np.unique(nodes["node"].to_numpy())
+    key = part.astype(np.int64) * len(ids) + np.searchsorted(ids, nodes["node"].to_numpy())
+    of = edges["part"].to_numpy()
+    i, j = (np.searchsorted(key, of.astype(np.int64) * len(ids) + np.searchsorted(ids, edges[c].to_numpy())) for c in ("from_id", "to_id"))
+    count = int(part.max()) + 1
+    size = np.bincount(part[free], minlength=count)
+    place = np.where(free, np.cumsum(free) - 1 - np.repeat(np.r_[0, np.cumsum(size)[:-1]], np.bincount(part, minlength=count)), -1)
+    apart = np.zeros(count, int)
+    both = free[i] & free[j]
+    np.maximum.at(apart, of[both], np.abs(place[i] - place[j])[both])
+    out = []
+    for wide in np.flatnonzero(apart > BAND):
+        out.append(solve_component(nodes[part == wide].reset_index(drop=True), edges[of == wide].reset_index(drop=True), cx, sign, anchor_weight, rounds, robust))
+    # Parts of about one size go together, so that little is padded.
+    order = np.flatnonzero(apart <= BAND)
+    order = order[np.argsort(size[order], kind="stable")]
+    step = max(1, BUNDLE // max(1, int(size.max())))
+    for a in range(0, len(order), step):
+        some = np.zeros(count, int) - 1
+        some[order[a : a + step]] = np.arange(len(order[a : a + step]))
+        at, link = np.flatnonzero(some[part] >= 0), np.flatnonzero(some[of] >= 0)
+        local = np.zeros(len(part), int)
+        local[at] = np.arange(len(at))
+        got, cost = _solve_together(
+            nodes.iloc[at], edges.iloc[link], some[part[at]], place[at], some[of[link]], local[i[link]], local[j[link]], cx, sign, anchor_weight, rounds, robust
+        )
+        found = nodes.iloc[at][["component", "node"]].copy()
+        found[POSE] = got
+        out.append(found.assign(cost=cost[some[part[at]]])[free[at]])
+    return pd.concat(out)
+
+
+def _solve_together(nodes, edges, part, place, of, i, j, cx, sign, anchor_weight, rounds, robust) -> tuple[np.ndarray, np.ndarray]:
+    """Poses of all nodes and cost of each part; the steps of solve_component, in all parts that go on."""
+    p, start, e = nodes[POSE].to_numpy(float), nodes[START].to_numpy(float), edges[STEP].to_numpy(float)
+    base, free = edges["weight"].to_numpy(float), place >= 0
+    parts, n = int(part.max()) + 1, int(place.max(initial=-1)) + 1
+    scale = np.array([1.0, 1.0, cx, cx, cx])
+    pull = np.where(nodes["is_anchor"].to_numpy(bool)[:, None], (scale * anchor_weight) ** 2, 0.0)
+    wide = int(np.abs(place[i] - place[j])[free[i] & free[j]].max(initial=0)) + 1
+
+    def rows(p):
+        return _edge_rows(p[i], p[j], e, sign) * scale
+
+    def cost(p, r, weight):
+        return np.bincount(of, (r**2).sum(1) * weight**2, parts) + np.bincount(part, (pull * (p - start) ** 2).sum(1), parts)
+
+    def system(p, r, weight, on):
+        """Blocks and right sides of the parts `on` (their numbers in turn)."""
+        number = np.full(parts, -1)
+        number[on] = np.arange(len(on))
+        take = np.flatnonzero(number[of] >= 0)
+        w, home, u, v = weight[take, None], number[of[take]], i[take], j[take]
+        slopes = np.concatenate(_edge_slopes(p[u], p[v], e[take], sign), 2) * (scale * w)[:, :, None]
+        across = slopes.transpose(0, 2, 1)
+        square, drawn = across @ slopes, (across @ (r[take] * w)[:, :, None])[:, :, 0]
+        own = np.flatnonzero(free & (number[part] >= 0))
+        spot = number[part] * n + place
+        right = np.zeros((len(on) * n, 5))
+        right[spot[own]] = pull[own] * (p - start)[own]
+        off = square[:, :5, 5:]
+        turned, loop = place[u] < place[v], u == v
+        off = np.where(turned[:, None, None], off.transpose(0, 2, 1), off)
+        off[loop] += off[loop].transpose(0, 2, 1)
+        at, value = [], []
+        for x, mine, part_of in ((u, square[:, :5, :5], drawn[:, :5]), (v, square[:, 5:, 5:], drawn[:, 5:])):
+            m = free[x]
+            at.append((home * n + place[x])[m] * wide)
+            value.append(mine[m].reshape(-1, 25))
+            for k in range(5):
+                right[:, k] += np.bincount((home * n + place[x])[m], part_of[m, k], len(right))
+        m = free[u] & free[v]
+        at.append(((home * n + np.minimum(place[u], place[v])) * wide + np.abs(place[u] - place[v]))[m])
+        value.append(off[m].reshape(-1, 25))
+        at, value = np.concatenate(at), np.concatenate(value)
+        turn = np.argsort(at, kind="stable")
+        spots, first = np.unique(at[turn], return_index=True)
+        blocks = np.zeros((len(on) * n * wide, 25))
+        if len(spots):
+            blocks[spots] = np.add.reduceat(value[turn], first, axis=0)
+        blocks, right = blocks.reshape(len(on), n, wide, 5, 5), right.reshape(len(on), n, 5)
+        blocks[number[part[own]], place[own], 0] += pull[own][:, :, None] * np.eye(5)
+        return blocks, right, own
+
+    damp, weight, on = np.full(parts, 1e-3), base.copy(), np.arange(parts)
+    for _ in range(rounds if free.any() else 0):
+        r = rows(p)
+        if robust:
+            live = np.zeros(parts, bool)
+            live[on] = True
+            weight = np.where(live[of], base * (robust**2 / (robust**2 + (r**2).sum(1))), weight)
+        blocks, right, own = system(p, r, weight, on)
+        before = cost(p, r, weight)
+        number = np.full(parts, -1)
+        number[on] = np.arange(len(on))
+        gain, waits = np.full(parts, -1.0), np.arange(len(on))
+        for _ in range(8):
+            damped = blocks[waits]
+            for k in range(5):
+                damped[:, :, 0, k, k] += damp[on[waits], None] * (damped[:, :, 0, k, k] + 1e-9)
+            # Behind the last node of a shorter part the system is that of nothing.
+            empty = np.ones((len(waits), n), bool)
+            slot = np.full(len(on), -1)
+            slot[waits] = np.arange(len(waits))
+            mine = own[slot[number[part[own]]] >= 0]
+            home = slot[number[part[mine]]]
+            empty[home, place[mine]] = False
+            damped[:, :, 0][empty] = np.eye(5)
+            trial = p.copy()
+            trial[mine] -= _banded(damped, right[waits])[home, place[mine]]
+            after = cost(trial, rows(trial), weight)
+            good = on[waits][after[on[waits]] <= before[on[waits]]]
+            took = np.isin(part[mine], good)
+            p = p.copy()
+            p[mine[took]] = trial[mine[took]]
+            gain[good], damp[good] = (before - after)[good], damp[good] / 3
+            waits = waits[~np.isin(on[waits], good)]
+            damp[on[waits]] *= 4
+            if not len(waits):
+                break
+        on = on[gain[on] >= 1e-9 * (1 + before[on])]
+        if not len(on):
+            break
+    return p, cost(p, rows(p), weight)
+
+
 def _costs(nodes: DataFrame, links: DataFrame, cx: float, sign: float, robust: float | None, anchor_weight: float = 100.0) -> DataFrame:
     """Cost of each component at each part (STEPS) of the way from its poses to the trial ones."""
     way = lambda side, t: Pose(*[F.col(f"{side}{n}") + (F.col(f"{side}to_{n}") - F.col(f"{side}{n}")) * t for n in POSE])
@@ -366,10 +539,11 @@ def solve(nodes: DataFrame, edges: DataFrame, cx: float, sign: float = 1.0, robu
 
     Anchors are drawn to their poses, or to those of the columns START where nodes have them and the poses are a first guess.
 
-    A component of at most `block` nodes is one task. Larger ones are solved in blocks of so many nodes in the order of
+    A component of at most `block` nodes is solved at once. Larger ones are solved in blocks of so many nodes in the order of
     their ids: each block moves its own nodes while those at the other ends of its edges stand still, then all move by
     the part of the way that costs least. Blocks begin half a block further on in every other round. A component is
-    done when neither of two rounds gains, or after `rounds` rounds.
+    done when neither of two rounds gains, or after `rounds` rounds. Components and blocks go in bundles of about BUNDLE nodes, those of a
+    bundle take their steps together.
     """
     place = F.row_number().over(W.partitionBy("component").orderBy("node")) - 1
     starts = [F.col(s if s in nodes.columns else n).alias(s) for n, s in zip(POSE, START, strict=True)]
@@ -380,15 +554,16 @@ def solve(nodes: DataFrame, edges: DataFrame, cx: float, sign: float = 1.0, robu
     schema = "component bigint, node bigint, " + ", ".join(f"{n} double" for n in POSE) + ", cost double"
 
     def step(own: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
-        own = own.sort_values("node").assign(is_free=True)
+        """All parts (component, block) of a bundle; the other ends of a part's edges stand still."""
+        keys = ["component", "block"]
+        parts = pd.MultiIndex.from_frame(own[keys]).unique()
+        own, links = (rows.assign(part=parts.get_indexer(pd.MultiIndex.from_frame(rows[keys]))) for rows in (own, links))
         far = [
-            links[["component", f"{x}_id", *[f"{x}_{n}" for n in POSE]]].set_axis(["component", "node", *POSE], axis=1) for x in ("from", "to")
+            links[["part", "component", f"{x}_id", *[f"{x}_{n}" for n in POSE]]].set_axis(["part", "component", "node", *POSE], axis=1) for x in ("from", "to")
         ]
-        far = pd.concat(far).drop_duplicates("node")
-        far = far[~far["node"].isin(own["node"])].assign(is_free=False, is_anchor=False, **dict.fromkeys(START, 0.0))
-        columns = ["component", "node", *POSE, *START, "is_anchor", "is_free"]
-        every = pd.concat([own[columns], far[columns]]) if len(far) else own[columns]
-        return solve_component(every.reset_index(drop=True), links.sort_values("edge_id").reset_index(drop=True), cx, sign, robust=robust)
+        every = pd.concat([own.assign(is_free=True), pd.concat(far).assign(is_free=False, is_anchor=False, **dict.fromkeys(START, 0.0))])
+        every = every[["part", "component", "node", *POSE, *START, "is_anchor", "is_free"]].drop_duplicates(["part", "node"])
+        return solve_parts(every.astype({"is_anchor": bool, "is_free": bool}), links, cx, sign, robust=robust)
 
     def moved(here: DataFrame, links: DataFrame, shift: int) -> DataFrame:
         """Nodes with where a round of blocks would take them."""
@@ -396,9 +571,9 @@ def solve(nodes: DataFrame, edges: DataFrame, cx: float, sign: float = 1.0, robu
         ends = [here.select(F.col("node").alias(f"{x}_id"), F.col("block").alias(f"{x}_block"), *[F.col(n).alias(f"{x}_{n}") for n in POSE]) for x in ("from", "to")]
         links = links.join(ends[0], "from_id").join(ends[1], "to_id")
         links = links.withColumn("block", F.explode(F.array_distinct(F.array("from_block", "to_block"))))
-        return here.groupBy("component", "block").cogroup(links.groupBy("component", "block")).applyInPandas(
-            lambda key, a, b: step(a, b) if len(a) else pd.DataFrame(columns=result), schema
-        )
+        bundle = F.pmod(F.xxhash64("component", "block"), F.lit(here.count() // BUNDLE + 1)).alias("bundle")
+        here, links = here.select("*", bundle), links.select("*", bundle)
+        return here.groupBy("bundle").cogroup(links.groupBy("bundle")).applyInPandas(lambda key, a, b: step(a, b) if len(a) else pd.DataFrame(columns=result), schema)
 
     done = moved(here.where("not many"), links.join(many.where("not many").select("component"), "component"), 0)
     links = cut(links.join(many.where("many").select("component"), "component"))

@@ -1,11 +1,12 @@
 """Queries on tables that the smallest ones do not resemble: ties by the last bit, copies of rows, long and many tracks."""
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.parquet as pq
 
-from loftline.operators import spatial
+from loftline.operators import graph, spatial, trajectory
 from loftline.plans import registry
 
 from .test_queries import normal
@@ -56,3 +57,47 @@ def test_nearest_points_equal_sql_in_dense_and_sparse_places(spark, tmp_path):
     folder = events(tmp_path, [1] * len(values), values, ks=[50 if i < 450 else i * 7 % 100 for i in range(len(values))])
     assert_equals_sql(spark, folder, "knn_geo_scoped")
     assert_equals_sql(spark, folder, "geo_tile_neighbours")
+
+
+def test_parts_solved_together_equal_those_solved_one_by_one():
+    """Parts of several sizes, with ends that stand still, a loop, a far link, and with robust weights."""
+    r = np.random.default_rng(5)
+    nodes, edges = [], []
+    for part, n in enumerate((30, 7, 1, 40, 30)):
+        ids = np.arange(n) * 3 + part * 1000
+        nodes.append(pd.DataFrame({"part": part, "component": part, "node": ids, "is_anchor": np.arange(n) % 9 == 0, "is_free": np.arange(n) % 11 != 5}))
+        pairs = [(k, k + b) for b in (1, 3) for k in range(n - b)] + ([(3, 3)] if n > 3 else []) + ([(0, 39)] if n == 40 else [])
+        a, b = np.array(pairs or np.zeros((0, 2)), int).T
+        edges.append(pd.DataFrame({"part": part, "edge_id": np.arange(len(a)), "from_id": ids[a], "to_id": ids[b], "weight": r.uniform(1, 4, len(a)), **{c: r.normal(0, 0.3, len(a)) for c in graph.STEP}}))
+    nodes, edges = pd.concat(nodes), pd.concat(edges)
+    nodes = nodes.assign(**{c: r.normal(0, 0.3, len(nodes)) for c in graph.POSE})
+    nodes = nodes.assign(**{s: nodes[c] for s, c in zip(graph.START, graph.POSE, strict=True)})
+    for robust in (None, 5.0):
+        got = graph.solve_parts(nodes, edges, 10.0, robust=robust).set_index("node").sort_index()
+        want = [graph.solve_component(nodes[nodes["part"] == p].reset_index(drop=True), edges[edges["part"] == p].reset_index(drop=True), 10.0, robust=robust) for p in range(5)]
+        np.testing.assert_allclose(got, pd.concat(want).set_index("node").sort_index()[got.columns], rtol=1e-6, atol=1e-7)
+    assert len(got) == nodes["is_free"].sum()
+
+
+def test_smoother_fits_all_windows_of_a_batch_together(spark):
+    """Against a plain fit of each window; tracks shorter and longer than a batch of 40 rows, one of a single row."""
+    r = np.random.default_rng(1)
+    rows = pd.concat([pd.DataFrame({"track_id": k, "seq": np.arange(n) + 1, "x": r.normal(0, 20, n), "y": r.normal(0, 20, n)}) for k, n in enumerate((130, 1, 7, 2, 25))])
+    held = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "40")
+    try:
+        got = trajectory.smoother(spark.createDataFrame(rows), size=12).toPandas().sort_values(["track_id", "seq"])
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", held)
+    want = []
+    for _, own in rows.groupby("track_id"):
+        z = own[["x", "y"]].to_numpy()
+        for end in range(1, len(z) + 1):
+            w = z[max(0, end - 12) : end]
+            n, weight = len(w), np.ones(len(w))
+            bend = np.diff(np.eye(n), n=2, axis=0) if n > 2 else np.zeros((0, n))
+            for _ in range(5):
+                fit = np.linalg.solve(np.diag(weight) + bend.T @ bend, weight[:, None] * w)
+                weight = np.minimum(1.0, 3.0 / np.maximum(np.linalg.norm(w - fit, axis=1), 1e-9))
+            want.append(fit[-1])
+    np.testing.assert_allclose(got[["sx", "sy"]], want, rtol=1e-9, atol=1e-9)
