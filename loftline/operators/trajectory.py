@@ -314,24 +314,79 @@ def kalman(track: DataFrame, process: float = 2.0, noise: float = 5.0) -> DataFr
     return track.repartition("track_id").sortWithinPartitions("track_id", "seq").mapInPandas(run, schema)
 
 
+def _window_ends(z: np.ndarray, before: np.ndarray, size: int, huber: float, stiffness: float, rounds: int) -> np.ndarray:
+    """Last position of the fit to the window that ends at each row; before: rows of the same track ahead of it.
+
+    All windows take their steps together: the system has five diagonals, and a short window is that of full length whose first places
+    are tied to nothing.
+    """
+    at = np.arange(len(z)) + np.arange(1 - size, 1)[:, None]
+    live = at >= np.arange(len(z)) - before
+    w = np.where(live[:, :, None], z[np.maximum(at, 0)], 0.0)
+    tied = live[: max(size - 2, 0)] * float(stiffness)  # the bend of a place and the two behind it
+    diagonal, one, two = np.zeros((3, size, len(z)))
+    diagonal[: len(tied)] += tied
+    diagonal[1 : len(tied) + 1] += 4 * tied
+    diagonal[2 : len(tied) + 2] += tied
+    one[: len(tied)] -= 2 * tied
+    one[1 : len(tied) + 1] -= 2 * tied
+    two[: len(tied)] += tied
+    weight, fit = np.ones(w.shape[:2]), w
+    for _ in range(rounds):
+        fit = weight[:, :, None] * w
+        d, l1, l2 = np.zeros((3, size, len(z)))
+        for k in range(size):
+            d[k] = diagonal[k] + weight[k]
+            next_ = one[k].copy()
+            if k:
+                d[k] -= l1[k - 1] ** 2 * d[k - 1]
+                next_ -= l1[k - 1] * l2[k - 1] * d[k - 1]
+                fit[k] -= l1[k - 1, :, None] * fit[k - 1]
+            if k > 1:
+                d[k] -= l2[k - 2] ** 2 * d[k - 2]
+                fit[k] -= l2[k - 2, :, None] * fit[k - 2]
+            l1[k], l2[k] = next_ / d[k], two[k] / d[k]
+        fit /= d[:, :, None]
+        for k in range(size - 2, -1, -1):
+            fit[k] -= l1[k, :, None] * fit[k + 1]
+            if k + 2 < size:
+                fit[k] -= l2[k, :, None] * fit[k + 2]
+        weight = np.minimum(1.0, huber / np.maximum(np.hypot(*np.moveaxis(w - fit, 2, 0)), 1e-9))
+    return fit[-1]
+
+
 def smooth_fold(rows: pd.DataFrame, size: int = 60, huber: float = 3.0, stiffness: float = 1.0, rounds: int = 5) -> pd.DataFrame:
     """For each row the last position of a robust least-squares fit to the window that ends there."""
-    z, out = rows[["x", "y"]].to_numpy(float), np.zeros((len(rows), 2))
-    for end in range(1, len(z) + 1):
-        w = z[max(0, end - size) : end]
-        n, weight, fit = len(w), np.ones(len(w)), w
-        bend = np.diff(np.eye(n), n=2, axis=0) if n > 2 else np.zeros((0, n))
-        for _ in range(rounds):
-            fit = np.linalg.solve(np.diag(weight) + stiffness * bend.T @ bend, weight[:, None] * w)
-            off = np.linalg.norm(w - fit, axis=1)
-            weight = np.minimum(1.0, huber / np.maximum(off, 1e-9))
-        out[end - 1] = fit[-1]
+    z = rows[["x", "y"]].to_numpy(float)
+    out = _window_ends(z, np.minimum(np.arange(len(z)), size - 1), size, huber, stiffness, rounds)
     return rows.assign(sx=out[:, 0], sy=out[:, 1])
 
 
 def smoother(track: DataFrame, size: int = 60, huber: float = 3.0) -> DataFrame:
-    """track with sx, sy: iteratively reweighted (Huber) smoothing over a sliding window."""
-    return _per_track(track, lambda rows: smooth_fold(rows, size, huber), "sx double, sy double")
+    """track with sx, sy: iteratively reweighted (Huber) smoothing over a sliding window.
+
+    Rows come sorted by track, in batches; all windows of a batch are fitted together, and the last rows of a track that goes on are
+    kept for the next batch, so a track may be of any length.
+    """
+
+    def run(batches):
+        tail, last = np.zeros((0, 2)), None
+        for rows in batches:
+            if not len(rows):
+                continue
+            ids, z = rows["track_id"].to_numpy(), rows[["x", "y"]].to_numpy(float)
+            kept = tail if ids[0] == last else tail[:0]
+            starts = np.r_[True, ids[1:] != ids[:-1]]
+            since = np.arange(len(ids)) - np.maximum.accumulate(np.where(starts, np.arange(len(ids)), 0))
+            first = np.logical_and.accumulate(ids == ids[0])
+            before = np.r_[np.zeros(len(kept), int), np.minimum(since + len(kept) * first, size - 1)]
+            both = np.r_[kept, z]
+            out = _window_ends(both, before, size, huber, 1.0, 5)[len(kept) :]
+            tail, last = both[len(both) - min(before[-1] + 1, size - 1) :], ids[-1]
+            yield rows.assign(sx=out[:, 0], sy=out[:, 1])
+
+    schema = track.selectExpr("*", *[f"cast(null as double) as {c}" for c in ("sx", "sy")]).schema
+    return track.repartition("track_id").sortWithinPartitions("track_id", "seq").mapInPandas(run, schema)
 
 
 def pchip_slopes(t: np.ndarray, v: np.ndarray) -> np.ndarray:
