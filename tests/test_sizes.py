@@ -101,3 +101,16 @@ def test_smoother_fits_all_windows_of_a_batch_together(spark):
                 weight = np.minimum(1.0, 3.0 / np.maximum(np.linalg.norm(w - fit, axis=1), 1e-9))
             want.append(fit[-1])
     np.testing.assert_allclose(got[["sx", "sy"]], want, rtol=1e-9, atol=1e-9)
+
+
+def test_anchor_stress_makes_its_residuals_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for rows in batches:
+            made.add(len(rows))
+            yield rows
+
+    rows = spark.range(100).selectExpr("id as from_id", "id + 1 as to_id", "cast(id % 7 as double) as residual")
+    found = graph.anchor_stress(rows.mapInPandas(count, rows.schema), spark.range(5).toDF("node")).orderBy("node").collect()
+    assert made.value == 100 and [r["stress"] for r in found] == [0.0, 0.5 / 3, 0.5, 2.5 / 3, 3.5 / 3]
