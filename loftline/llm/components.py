@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import BROADCAST_ROWS, cut
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -29,6 +29,11 @@ def _not_stars(edges: DataFrame) -> int:
     return counts.where("under > 1 or under = 1 and over = 1").count()
 
 
+def _few(edges: DataFrame) -> DataFrame:
+    """edges (checkpointed) in no more partitions than their rows need: a task for each BROADCAST_ROWS. What fits one is not shuffled in the rounds."""
+    return edges.coalesce(max(1, -(-edges.count() // BROADCAST_ROWS)))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Rows (node, root) of every node of edges (u, v): root is the smallest node it can reach.
 
@@ -36,7 +41,7 @@ def components(edges: DataFrame) -> DataFrame:
     Minima are combined on the map side, so a node with very many edges does not burden one task. Loops and
     repeated edges change nothing; no edges give no rows.
     """
-    stars = cut(edges.where("u != v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+    stars = _few(cut(edges.where("u != v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()))
     while _not_stars(stars):
         stars = cut(_small_star(_large_star(stars)))
     roots = stars.select(F.col("u").alias("node"), F.col("u").alias("root")).distinct()

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, join_hot, small, table
+from .common import cut, join_hot, released, small, table
 from .components import components
 from .ngram_join import PARITY_WORDS, _batches, _between, _class_keys, _live_filter, _nearest, _parity, _Seen
 from .shingles import mix
@@ -170,20 +170,8 @@ def _named(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return pairs.join(u, "a").join(v, "b").select("u", "v", "far")
 
 
-def near_duplicates(
-    docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", hubs: int = HUBS
-) -> DataFrame:
-    """One row per document: id, n_shingles, component_id, kept.
-
-    Two documents link when den * |intersection| >= num * |union| of their sets of distinct k-word shingles; every link
-    returned is confirmed on full sets. A pair at the bound is missed by bands and estimate together with a probability below
-    1e-7 at 0.8, less above it; equal sets always meet. component_id is the smallest id reachable, kept whether it is the row's own.
-    Ids may be of any type that has an order. Null and empty texts and texts of white space have no shingles and link with
-    nothing. A null id loses against any other of its component and is kept only where all of it are null. Texts of any
-    length are taken whole; repeated rows belong together and are marked alike. Other columns are not looked at. No rows
-    give no rows. Shingles are compared by 64-bit and classes by 128-bit hashes.
-    """
-    named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+def _placed(named: DataFrame, k: int, num: int, den: int, hubs: int) -> tuple[DataFrame, DataFrame]:
+    """Of rows (doc_id, text): doc_id, n and node of each, and of each node its copies and component_id; both are checkpointed."""
     texts = named.select("text")
     kind = named.schema["doc_id"].dataType.simpleString()
     rows = cut(named.mapInArrow(_classes(k), f"doc_id {kind}, n bigint, node binary, sign array<bigint>, bands array<bigint>"))
@@ -228,7 +216,26 @@ def near_duplicates(
     least = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
     linked = grouped.join(least, "root").select("node", F.col("component_id").alias("joined"))
     placed = classes.join(linked, "node", "left").select("node", "copies", F.coalesce("joined", "least").alias("component_id"))
-    found = join_hot(rows.select("doc_id", "n", "node"), cut(placed), "node", "copies", ["component_id"])
+    return rows.select("doc_id", "n", "node"), cut(placed)
+
+
+def near_duplicates(
+    docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", hubs: int = HUBS
+) -> DataFrame:
+    """One row per document: id, n_shingles, component_id, kept.
+
+    Two documents link when den * |intersection| >= num * |union| of their sets of distinct k-word shingles; every link
+    returned is confirmed on full sets. A pair at the bound is missed by bands and estimate together with a probability below
+    1e-7 at 0.8, less above it; equal sets always meet. component_id is the smallest id reachable, kept whether it is the row's own.
+    Ids may be of any type that has an order. Null and empty texts and texts of white space have no shingles and link with
+    nothing. A null id loses against any other of its component and is kept only where all of it are null. Texts of any
+    length are taken whole; repeated rows belong together and are marked alike. Other columns are not looked at. No rows
+    give no rows. Shingles are compared by 64-bit and classes by 128-bit hashes.
+    """
+    named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    with released(docs.sparkSession):
+        rows, placed = _placed(named, k, num, den, hubs)
+    found = join_hot(rows, placed, "node", "copies", ["component_id"])
     component = F.coalesce("component_id", "doc_id")
     return found.select(
         F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept")

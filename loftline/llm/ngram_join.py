@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, join_hot, small, table
+from .common import cut, join_hot, released, small, table
 from .components import components
 from .shingles import chunks, mix, shingle_sets
 
@@ -335,20 +335,8 @@ def _pairs(a: DataFrame, b: DataFrame, which: Column, num: int, den: int) -> Dat
     return found.select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b")).distinct()
 
 
-def jaccard_components(
-    docs: DataFrame, k: int, num: int, den: int, id_col: str = "doc_id", text_col: str = "text", hubs: int = HUBS
-) -> DataFrame:
-    """One row per document: id, n_shingles, component_id.
-
-    Two documents link when den * |intersection| >= num * |union| of their sets of distinct k-word shingles;
-    component_id is the smallest id reachable by links. Ids may be of any type that has an order. Null and empty
-    texts and texts of white space have no shingles and link with nothing, each its own component (rows that
-    repeat such an id share it). A null id loses against any other of its component. Texts of any length are
-    taken whole; repeated rows belong together. Shingles are compared by 64-bit and classes by 128-bit hashes.
-    Columns other than the two are not looked at. An empty table gives an empty result.
-    """
-    spark = docs.sparkSession
-    named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+def _placed(named: DataFrame, k: int, num: int, den: int, hubs: int) -> tuple[DataFrame, DataFrame]:
+    """Of rows (doc_id, text): doc_id, n and node of each, and of each node its copies and component_id; both are checkpointed."""
     texts = named.select("text")
     kind = named.schema["doc_id"].dataType.simpleString()
     rows = cut(
@@ -362,7 +350,7 @@ def jaccard_components(
         F.first("parity", ignorenulls=True).alias("parity"),
     )
     classes = cut(classes.withColumn("id", F.monotonically_increasing_id()))
-    posts = _live_postings(texts, k, num, den, spark.sparkContext.broadcast(levels), heavy)
+    posts = _live_postings(texts, k, num, den, named.sparkSession.sparkContext.broadcast(levels), heavy)
     short = F.conv(F.hex(F.substring("node", 1, 8)), 16, -10).cast("long").alias("short")
     posts = cut(posts.join(classes.select(short, "id", "n", *_folded()), "short").drop("short"))
 
@@ -386,7 +374,25 @@ def jaccard_components(
     least = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
     linked = grouped.join(least, "root").select("node", F.col("component_id").alias("joined"))
     placed = classes.join(linked, "node", "left").select("node", "copies", F.coalesce("joined", "least").alias("component_id"))
-    found = join_hot(rows.select("doc_id", "n", "node"), cut(placed), "node", "copies", ["component_id"])
+    return rows.select("doc_id", "n", "node"), cut(placed)
+
+
+def jaccard_components(
+    docs: DataFrame, k: int, num: int, den: int, id_col: str = "doc_id", text_col: str = "text", hubs: int = HUBS
+) -> DataFrame:
+    """One row per document: id, n_shingles, component_id.
+
+    Two documents link when den * |intersection| >= num * |union| of their sets of distinct k-word shingles;
+    component_id is the smallest id reachable by links. Ids may be of any type that has an order. Null and empty
+    texts and texts of white space have no shingles and link with nothing, each its own component (rows that
+    repeat such an id share it). A null id loses against any other of its component. Texts of any length are
+    taken whole; repeated rows belong together. Shingles are compared by 64-bit and classes by 128-bit hashes.
+    Columns other than the two are not looked at. An empty table gives an empty result.
+    """
+    named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    with released(docs.sparkSession):
+        rows, placed = _placed(named, k, num, den, hubs)
+    found = join_hot(rows, placed, "node", "copies", ["component_id"])
     return found.select(
         F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")
     )

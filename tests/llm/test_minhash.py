@@ -1,12 +1,15 @@
 """b-bit MinHash against brute force."""
 
 import random
+import re
+import time
 
 import numpy as np
 import pyarrow.parquet as pq
 import pytest
 
 from loftline.llm import minhash, queries
+from loftline.llm.ngram_join import jaccard_components
 from tests.llm.test_ngram_join import brute, corpus
 
 FOLDER = "/root/testdata/sf0.001"
@@ -79,3 +82,20 @@ def test_signature_columns_estimate_the_same(spark):
     a, b = np.array(x).reshape(4, 2), np.array(y).reshape(4, 2)
     want = 128 - sum(int(v).bit_count() for v in np.bitwise_or.reduce(a ^ b, axis=0).view(np.uint64))
     assert row.e == want and row.s == pytest.approx(max(0, (want / 128 - 1 / 16) * 16 / 15))
+
+
+@pytest.mark.parametrize("group", [minhash.near_duplicates, jaccard_components])
+def test_steps_leave_no_shuffle_files(spark, group):
+    """Those of some 100 shuffles stayed before, until the driver happened to collect its garbage."""
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    held = lambda: set(re.findall(r"shuffle_\d+", files.getAllFiles().mkString(" ")))
+    before = held()
+    df = spark.createDataFrame(corpus(), "doc_id long, text string").repartition(3)
+    got = group(df, 4, 85, 100)
+    for _ in range(50):  # files go behind the step
+        if len(left := held() - before) < 10:
+            break
+        time.sleep(0.2)
+    assert len(left) < 10
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == brute(corpus(), 4, 85, 100)
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == "false"
