@@ -181,7 +181,9 @@ def prune(rows: DataFrame, anchors: DataFrame, k: float = 5.0, most: float = 0.2
     with a residual; with fewer than `least` of these none is. Taken worst first, an edge stays if without it a node that anchors
     reach would lose them. That is what a spanning forest leaves out: the parts that good edges and anchors hold
     together are contracted, and of the bad edges between parts the least bad that join them stay.
+    What is read several times is stored once.
     """
+    rows, anchors = stored(rows), stored(anchors.select("node"))
     known = cut(rows.where("edge_type = 'spatial' and residual is not null").select("edge_id", "residual"))
     middle = quantiles(known, [], "residual", {"m": 0.5}).first()
     bad = rows.select("edge_id").limit(0)
@@ -191,19 +193,26 @@ def prune(rows: DataFrame, anchors: DataFrame, k: float = 5.0, most: float = 0.2
         bad = ranked(bad, [], ["worst", "edge_id"]).where(F.col("place") < int(middle["n"] * most)).select("edge_id")
     bad = cut(bad.withColumn("bad", F.lit(True)))
     marked = rows.join(bad, "edge_id", "left").withColumn("bad", F.coalesce("bad", F.lit(False)))
-    first = anchors.agg(F.min("node")).first()[0]
+    first = anchors.agg(F.min("node").cast("long")).first()[0]
     # All anchors are one part.
     held = anchors.select(F.lit(first).cast("long").alias("u"), F.col("node").cast("long").alias("v"))
     ends = marked.select("edge_id", F.col("from_id").cast("long").alias("a"), F.col("to_id").cast("long").alias("b"), "residual", "bad")
-    good = held.unionByName(ends.where("not bad").select(F.col("a").alias("u"), F.col("b").alias("v")))
-    loose = cut(_contracted(ends.where("bad"), components(good)))
+    parts = components(held.unionByName(ends.where("not bad").select(F.col("a").alias("u"), F.col("b").alias("v"))))
+    loose = cut(_contracted(ends.where("bad"), parts))
     kept = _forest(loose.select("edge_id", "a", "b", F.struct(F.col("residual"), -F.col("edge_id")).alias("keep")))
-    # What no anchor reaches at all need not be kept.
-    reached = components(held.unionByName(ends.select(F.col("a").alias("u"), F.col("b").alias("v"))))
-    reached = reached.join(reached.where(F.col("node") == first).select("root"), "root").select(F.col("node").alias("from_id"), F.lit(True).alias("reached"))
-    out = marked.join(kept.withColumn("kept", F.lit(True)), "edge_id", "left").join(reached, "from_id", "left")
-    held_back = F.coalesce("kept", F.lit(False)) & F.coalesce("reached", F.lit(False))
-    return out.select(*rows.columns, (F.col("bad") & ~held_back).alias("pruned"))
+    # What no anchor reaches at all need not be kept. Bad edges join parts, so the parts that anchors reach follow from these edges alone.
+    joined = components(loose.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    home = _root(joined, _root(parts, first))
+    reached = loose.select("edge_id", F.col("a").alias("node")).join(joined.where(F.col("root") == F.lit(home).cast("long")), "node").select("edge_id")
+    held_back = kept.join(reached, "edge_id", "left_semi").withColumn("kept", F.lit(True))
+    out = marked.join(held_back, "edge_id", "left")
+    return out.select(*rows.columns, (F.col("bad") & F.col("kept").isNull()).alias("pruned"))
+
+
+def _root(roots: DataFrame, node: int | None) -> int | None:
+    """The root of a node, which is the node itself where no edge has it; null for none."""
+    found = None if node is None else roots.where(F.col("node") == node).select("root").first()
+    return found[0] if found else node
 
 
 def odometry_factors(

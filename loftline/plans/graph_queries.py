@@ -73,7 +73,8 @@ def frame_disagreement(spark, sf_dir):
 
 
 def prune_spatial(spark, sf_dir):
-    return G.prune(_residuals(spark, sf_dir), poses(spark, sf_dir).where("seq % 10 = 1")).select("edge_id", "pruned")
+    rows = _residuals(spark, sf_dir).select("edge_id", "from_id", "to_id", "edge_type", "residual")
+    return G.prune(rows, poses(spark, sf_dir).where("seq % 10 = 1")).select("edge_id", "pruned")
 
 
 def odometry_factors(spark, sf_dir):

@@ -114,3 +114,22 @@ def test_anchor_stress_makes_its_residuals_once(spark):
     rows = spark.range(100).selectExpr("id as from_id", "id + 1 as to_id", "cast(id % 7 as double) as residual")
     found = graph.anchor_stress(rows.mapInPandas(count, rows.schema), spark.range(5).toDF("node")).orderBy("node").collect()
     assert made.value == 100 and [r["stress"] for r in found] == [0.0, 0.5 / 3, 0.5, 2.5 / 3, 3.5 / 3]
+
+
+def counted(spark, rows):
+    """rows, and how many of them were made in all."""
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for part in batches:
+            made.add(len(part))
+            yield part
+
+    return rows.mapInPandas(count, rows.schema), made
+
+
+def test_prune_makes_its_residuals_once(spark):
+    rows = spark.range(60).selectExpr("id as edge_id", "id % 20 as from_id", "id % 20 + 1 as to_id", "'spatial' as edge_type", "cast(id % 20 + if(id >= 57, 99, 0) as double) as residual")
+    rows, made = counted(spark, rows)
+    got = graph.prune(rows, spark.range(1).toDF("node")).where("pruned").collect()
+    assert made.value == 60 and {r.edge_id for r in got} == {57, 58, 59}
