@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..functions.affine import Affine, angle, apply, compose, det, scales
+from ..session import stored
 from .scans import running
 
 MATRIX = ("a", "b", "tx", "c", "d", "ty")
@@ -33,8 +34,7 @@ def fill_poses(rows: DataFrame, keys: list[str], at: str, log_scale: bool = Fals
     known = ~F.exists(F.array(*MATRIX), lambda v: v.isNull())
     point = F.when(known, F.struct(F.col(at).cast("double").alias("at"), *MATRIX))
     marked = rows.withColumn("__known", point)
-    both = running(marked, keys, at, lasts={"__left": "__known"}, own=True)
-    both = running(both, keys, at, lasts={"__right": "__known"}, ahead=True, own=True)
+    both = running(marked, keys, at, lasts={"__left": "__known"}, nexts={"__right": "__known"}, own=True)
     left, right = _matrix("__left."), _matrix("__right.")
     share = (F.col(at) - F.col("__left.at")) / (F.col("__right.at") - F.col("__left.at"))
     line = lambda a, b: a * (1.0 - share) + b * share
@@ -83,7 +83,10 @@ def solution_table(
 
     results: (node, matrix) of what the graph reached; edges as in edge_quality. Slots without a result are filled; what no
     edge touches has zeros, and so has what is not valid. The place is that of the frame's centre in web Mercator, null where not valid.
+    Results and edges, which are read twice each, are stored once.
     """
+    results = stored(results.select("node", *MATRIX))
+    edges = stored(edges.select("edge_id", "from_id", "to_id", "inliers", "rmse"))
     rows = slots.select(*keys, at, "node").join(results.select("node", *MATRIX), "node", "left")
     quality = edge_quality(edges, results)
     out = fill_poses(rows, keys, at, log_scale).join(quality, "node", "left")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import cut, small
+from ..session import cut, small, stored
 
 #: Rows of a block: of one that windows scan, and of one that is folded as an array.
 WINDOW_BLOCK, FOLD_BLOCK = 4096, 256
@@ -24,32 +24,34 @@ def let(value: Column, body) -> Column:
 
 def running(
     rows: DataFrame, keys: list[str], at: str, sums: dict[str, str] | None = None, lasts: dict[str, str] | None = None,
-    ahead: bool = False, own: bool = False, block: int = WINDOW_BLOCK,
+    ahead: bool = False, own: bool = False, block: int = WINDOW_BLOCK, nexts: dict[str, str] | None = None,
 ) -> DataFrame:
     """rows with running sums and last known values (new name: column) of the rows before, in the order of `at`, by keys.
 
-    ahead: of the rows behind instead; own: with the row's own. A null adds nothing to a sum and is no known value. `at` is
-    a whole number that is unique within the keys; rows of a null `at` come first.
+    ahead: of the rows behind instead; nexts: nearest known values on the other side; own: with the row's own. A null adds nothing to a
+    sum and is no known value. `at` is a whole number that is unique within the keys; rows of a null `at` come first.
     """
-    sums, lasts = sums or {}, lasts or {}
+    sums, lasts, nexts = sums or {}, lasts or {}, nexts or {}
     name = "__block"
-    order = F.col(at).desc() if ahead else F.col(at).asc_nulls_first()
-    rows = cut(rows.withColumn(name, F.floor(F.col(at) / block).cast("long")))  # read twice below, so nested scans would double each time
-    inner = W.partitionBy(*keys, name).orderBy(order).rowsBetween(W.unboundedPreceding, 0 if own else -1)
+    order = lambda c, back: F.col(c).desc() if back else F.col(c).asc_nulls_first()
+    rows = stored(rows.withColumn(name, F.floor(F.col(at) / block).cast("long")))  # read twice below; a checkpoint would make them twice
+    inner, outer = (W.partitionBy(*keys, name).orderBy(order(at, back)).rowsBetween(W.unboundedPreceding, 0 if own else -1) for back in (ahead, not ahead))
     each = [F.sum(c).alias(f"__{n}") for n, c in sums.items()]
-    pick = F.min_by if ahead else F.max_by
-    each += [pick(F.when(F.col(c).isNotNull(), F.struct(F.col(c).alias("v"))), F.when(F.col(c).isNotNull(), F.col(at))).alias(f"__{n}") for n, c in lasts.items()]
-    before = W.partitionBy(*keys).orderBy(F.col(name).desc() if ahead else F.col(name).asc_nulls_first()).rowsBetween(W.unboundedPreceding, -1)
+    for side, pick in ((lasts, F.min_by if ahead else F.max_by), (nexts, F.max_by if ahead else F.min_by)):
+        each += [pick(F.when(F.col(c).isNotNull(), F.struct(F.col(c).alias("v"))), F.when(F.col(c).isNotNull(), F.col(at))).alias(f"__{n}") for n, c in side.items()]
+    before, behind = (W.partitionBy(*keys).orderBy(order(name, back)).rowsBetween(W.unboundedPreceding, -1) for back in (ahead, not ahead))
     starts = rows.groupBy(*keys, name).agg(*each)
     starts = starts.select(
-        *keys, name, *[F.sum(f"__{n}").over(before).alias(f"__{n}") for n in sums], *[F.last(f"__{n}", True).over(before).alias(f"__{n}") for n in lasts]
-    )
-    starts = starts.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate([*keys, name])], *[f"__{n}" for n in (*sums, *lasts)])
+        *keys, name, *[F.sum(f"__{n}").over(before).alias(f"__{n}") for n in sums],
+        *[F.last(f"__{n}", True).over(w).alias(f"__{n}") for side, w in ((lasts, before), (nexts, behind)) for n in side],
+    )
+    starts = starts.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate([*keys, name])], *[f"__{n}" for n in (*sums, *lasts, *nexts)])
     same = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate([*keys, name])]
-    found = {n: F.coalesce(F.sum(c).over(inner), F.lit(0)) for n, c in sums.items()} | {n: F.last(c, True).over(inner) for n, c in lasts.items()}
+    found = {n: F.coalesce(F.sum(c).over(inner), F.lit(0)) for n, c in sums.items()}
+    found |= {n: F.last(c, True).over(w) for side, w in ((lasts, inner), (nexts, outer)) for n, c in side.items()}
     inside = rows.withColumns({f"__in_{n}": v for n, v in found.items()}).join(starts, same)
     out = {n: F.col(f"__in_{n}") + F.coalesce(F.col(f"__{n}"), F.lit(0)) for n in sums}
-    out |= {n: F.coalesce(F.col(f"__in_{n}"), F.col(f"__{n}.v")) for n in lasts}
+    out |= {n: F.coalesce(F.col(f"__in_{n}"), F.col(f"__{n}.v")) for n in (*lasts, *nexts)}
     return inside.select(*[c for c in rows.columns if c != name], *[v.alias(n) for n, v in out.items()])
 
 

@@ -6,7 +6,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.parquet as pq
 
-from loftline.operators import graph, spatial, trajectory
+from loftline.operators import calibrated, graph, scans, spatial, trajectory
 from loftline.plans import registry
 
 from .test_queries import normal
@@ -133,3 +133,20 @@ def test_prune_makes_its_residuals_once(spark):
     rows, made = counted(spark, rows)
     got = graph.prune(rows, spark.range(1).toDF("node")).where("pruned").collect()
     assert made.value == 60 and {r.edge_id for r in got} == {57, 58, 59}
+
+
+def test_scans_make_their_rows_once(spark):
+    rows, made = counted(spark, spark.range(100).selectExpr("id % 3 as g", "id as at", "if(id % 7 = 0, id, null) as v"))
+    got = scans.running(rows, ["g"], "at", lasts={"before": "v"}, nexts={"after": "v"}, block=10).collect()
+    assert made.value == 100 and len(got) == 100
+    for r in got:
+        own = [v for v in range(0, 100, 7) if v % 3 == r.g]
+        assert r.before == max((v for v in own if v < r["at"]), default=None) and r.after == min((v for v in own if v > r["at"]), default=None)
+
+
+def test_solution_makes_results_and_edges_once(spark):
+    results, made = counted(spark, spark.range(0, 40, 2).selectExpr("id as node", *[f"1.5D as {n}" for n in calibrated.MATRIX]))
+    edges, drawn = counted(spark, spark.range(39).selectExpr("id as edge_id", "id as from_id", "id + 1 as to_id", "7 as inliers", "0.5D as rmse"))
+    slots = spark.range(40).selectExpr("id % 2 as g", "id as at", "id as node")
+    got = calibrated.solution_table(slots, results, edges, ["g"], "at", 10.0, 10.0).collect()
+    assert (made.value, drawn.value, len(got), sum(r.valid for r in got)) == (20, 39, 40, 20)
