@@ -16,8 +16,8 @@ QUERY_BLOCK = 8192
 DIGITS = 9
 
 
-#: Queries of a tile: with a batch of references it makes a matrix of at most some 40 MB.
-TILE = 512
+#: Queries of a tile: with a batch of references it makes a matrix of at most some 10 MB, of which a task holds a few copies.
+TILE = 128
 
 
 def _best(sim: np.ndarray, of: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -1,12 +1,14 @@
 """Queries on tables that the smallest ones do not resemble: ties by the last bit, copies of rows, long and many tracks."""
 
+import tracemalloc
+
 import duckdb
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.parquet as pq
 
-from loftline.operators import calibrated, graph, scans, spatial, trajectory
+from loftline.operators import calibrated, graph, retrieval, scans, spatial, trajectory
 from loftline.plans import registry
 
 from .test_queries import normal
@@ -150,3 +152,15 @@ def test_solution_makes_results_and_edges_once(spark):
     slots = spark.range(40).selectExpr("id % 2 as g", "id as at", "id as node")
     got = calibrated.solution_table(slots, results, edges, ["g"], "at", 10.0, 10.0).collect()
     assert (made.value, drawn.value, len(got), sum(r.valid for r in got)) == (20, 39, 40, 20)
+
+
+def test_search_holds_small_tiles():
+    """A batch of 10,000 references against 1,024 queries: the largest matrix has 128 rows, where 512 took above 80 MB."""
+    r = np.random.default_rng(4)
+    block = pd.DataFrame({"query_id": np.arange(1024), "vector": list(r.normal(size=(1024, 64)).astype(np.float32))})
+    refs = pd.DataFrame({"ref_id": np.arange(10_000), "vector": list(r.normal(size=(10_000, 64)).astype(np.float32))})
+    tracemalloc.start()
+    held = [len(found) for found in retrieval._scores(block, 6, True)([refs])]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(held) == 6 * 1024 and peak < 60e6
