@@ -17,16 +17,17 @@ out by themselves; so are pairs that are hot, which are scored inside the batch.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import WORD, cut, small, table
-from .shingles import mix, word_hashes
+from .shingles import chunks, mix, word_hashes
 
 #: Pseudo-counts that go by single words, for each first word.
 ALPHA = 8.0
@@ -51,15 +52,21 @@ MODELS = (BACKGROUND, TARGET)
 ENTRY = ["code", "owner", "times", "own", "mine", "role"]
 
 
+def _words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """What word_hashes finds, a chunk at a time: it takes some 50 bytes for each byte of text meanwhile."""
+    found = [(*word_hashes(texts[a:b]), a) for a, b in chunks(texts)]
+    return np.concatenate([word for word, _, _ in found]), np.concatenate([doc + a for _, doc, a in found])
+
+
 def _batches(batch: pa.RecordBatch, role: int, text: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, tuple[np.ndarray, ...]]]:
     """Parts of a batch: their rows, the role of each, and of each word its first word, itself and its text."""
-    texts = [t or b"" for t in batch.column(text).cast(pa.binary()).to_pylist()]
+    texts = batch.column(text).cast(pa.binary())
     roles = np.array(batch.column(role).to_pylist(), np.int8)
     start = size = 0
-    for i, t in enumerate(texts):
-        size += len(t)
+    for i, n in enumerate(pc.binary_length(texts).to_pylist()):
+        size += n or 0
         if size >= BATCH or i + 1 - start >= BATCH_TEXTS or i + 1 == len(texts):
-            word, doc = word_hashes(texts[start : i + 1])
+            word, doc = _words([t or b"" for t in texts.slice(start, i + 1 - start).to_pylist()])
             word = np.maximum((word >> np.uint64(32)).astype(np.int64), 1)
             before = np.zeros_like(word)  # 0: the start of a text
             before[1:] = np.where(doc[1:] == doc[:-1], word[:-1], 0)
@@ -73,23 +80,24 @@ class _Counts:
     def __init__(self, names: list[str]):
         self.names, self.held = names, []
 
-    def add(self, keys: np.ndarray, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
-        self.held.append(self._merge([(keys, *columns)]))
+    def add(self, keys: np.ndarray, columns: Iterable[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        """columns may be made one by one; each is that of a batch, so its sums fit 32 bits."""
+        self.held.append(self._merge(keys, columns, np.int32))
         if sum(len(h[0]) for h in self.held) > HELD:
             yield from self.drain()
 
     @staticmethod
-    def _merge(parts: list[tuple]) -> tuple:
-        keys, *columns = (np.concatenate(x) for x in zip(*parts, strict=True))
+    def _merge(keys: np.ndarray, columns: Iterable[np.ndarray], kind: type) -> tuple:
         values, place = np.unique(keys, return_inverse=True)
-        return values, *(np.bincount(place, c, len(values)) for c in columns)
+        return values, *(np.bincount(place, c, len(values)).astype(kind) for c in columns)
 
     def drain(self) -> Iterator[pa.RecordBatch]:
         if self.held:
-            merged = self._merge(self.held)
+            keys, *columns = zip(*self.held, strict=True)
+            merged = self._merge(np.concatenate(keys), map(np.concatenate, columns), np.int64)
             self.held.clear()
             for at in range(0, len(merged[0]), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 100_000].astype(np.int64)) for x in merged], self.names)
+                yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 100_000]) for x in merged], self.names)
 
 
 def _parts(role: np.ndarray) -> list[np.ndarray]:
@@ -101,10 +109,10 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = _Counts(["word", "n", "first", "b", "t", "b_first", "t_first"])
     for batch in batches:
         for _, role, (before, word, doc) in _batches(batch, 0, 1):
-            one, none = np.ones(len(word)), np.zeros(len(word))
-            of = _parts(role[doc])
+            one, none = np.ones(len(word), bool), np.zeros(len(word), bool)
+            of = [role[doc] == m for m in MODELS]
             as_word, as_first = [one, none, *of, none, none], [none, one, none, none, *of]
-            yield from counts.add(np.r_[word, before], *(np.r_[a, b] for a, b in zip(as_word, as_first, strict=True)))
+            yield from counts.add(np.r_[word, before], (np.r_[a, b] for a, b in zip(as_word, as_first, strict=True)))
     yield from counts.drain()
 
 
@@ -130,7 +138,7 @@ def _count_hot_pairs(hot) -> Callable:
         for batch in batches:
             for _, role, (before, word, doc) in _batches(batch, 0, 1):
                 both = _index(hot.value[0], before)[1] & _index(hot.value[0], word)[1]
-                yield from counts.add(_code(before, word)[both], np.ones(both.sum()), *_parts(role[doc][both]))
+                yield from counts.add(_code(before, word)[both], [np.ones(both.sum()), *_parts(role[doc][both])])
         yield from counts.drain()
 
     return run
@@ -221,9 +229,10 @@ def _meet(shared, single) -> Callable:
     def run(rows: pa.Table) -> pa.Table:
         hot_words, *hot_first = shared.value[0]
         code, owner, times, own, mine, role = (_flat(rows.column(c)) for c in ENTRY)
-        of_row = np.repeat(np.arange(rows.num_rows), rows.column("code").combine_chunks().value_lengths().to_numpy())
+        of_row = np.repeat(np.arange(rows.num_rows, dtype=np.int32), rows.column("code").combine_chunks().value_lengths().to_numpy())
         values, place = np.unique(code, return_inverse=True)
-        pair = [np.bincount(place, times * of, len(values)) for of in _parts(role)]
+        place = place.astype(np.int32)
+        pair = [np.bincount(place, times * (role == m), len(values)) for m in MODELS]
         context, inside = np.unique(_first_of(values), return_inverse=True)
         first = [np.bincount(inside, p, len(context)) for p in pair]
         at, is_hot = _index(hot_words, context)

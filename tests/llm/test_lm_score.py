@@ -1,9 +1,11 @@
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -121,3 +123,24 @@ def test_query(spark):
     docs = spark.read.parquet(f"{folder}/documents.parquet").collect()
     good = {r.doc_id for r in spark.read.parquet(f"{folder}/labels.parquet").collect() if r.quality == 1}
     compare(L.op8_lm_score(spark, folder).collect(), word_brute(spark, [(r.doc_id, r.text, r.doc_id in good) for r in docs]))
+
+
+def test_memory_of_a_batch_stays_bounded():
+    """Beside its texts, counting holds some 30 bytes for each byte of a batch; hashing a batch at once took far more."""
+    texts = [b" ".join(b"w%d" % ((i * 7919 + j * j) % 300_000) for j in range(2_000)) for i in range(700)]
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(700) % 3, pa.int8()), pa.array(texts)], ["role", "text"])
+    tracemalloc.start()
+    try:
+        rows = sum(b.column("n").to_numpy().sum() for b in L._count_words(iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert rows == 1_400_000
+    assert peak < 32 * L.BATCH
+
+
+def test_words_do_not_depend_on_chunks():
+    texts = [b"", b"a B c", b"x" * 300_000 + b" y", b" ", b"a b", *[b"w%d w" % i for i in range(5_000)]]
+    for got, want in zip(L._words(texts), word_hashes(texts), strict=True):
+        assert got.tolist() == want.tolist()
+    assert not len(L._words([b"", b" "])[0])
