@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 
 from ..functions.affine import Pose, edge_residual, predict_forward, predict_inverse
 from ..session import cut, stored
+from .bands import GRID
 from .components import components
+from .packs import pack, unpack
 from .scans import quantiles, ranked, running
 
 POSE = ["x", "y", "log_sx", "log_sy", "theta"]
@@ -666,35 +668,73 @@ def anneal(
     fewer than three, all stays as it is (factor 1). Else each round weighs spatial edges by s^2 / (s^2 + r^2), where s is mu
     times the bound, and solves again from the poses it has; mu begins with the largest residual over the bound, falls by `fall` and the round with mu = 1 is
     the last one. Median and MAD come from ranks by ranges. nodes: component, node, POSE, is_anchor; edges: component too.
+
+    As the bound and the largest residual of the first solution settle all rounds, components know nothing of each other after it: those that fit a task (at most
+    `block` nodes, or BLOCK if linked nodes stand far apart) are solved once, packed in a row each, and take all rounds in one pass over these rows. Larger ones
+    are solved in rounds of jobs.
     """
-    spatial = edges.where("edge_type = 'spatial'").select("edge_id").limit(3).count()
+    robust, here = how.get("robust"), [s if s in nodes.columns else n for n, s in zip(POSE, START, strict=True)]
+    most = how.get("block", GRID)
+
+    def alone(p, start, anchored, i, j, step, weight):
+        part = pd.DataFrame(p, columns=POSE).assign(component=0, node=np.arange(len(p)), is_anchor=anchored, **dict(zip(START, start.T, strict=True)))
+        links = pd.DataFrame(step, columns=STEP).assign(from_id=i, to_id=j, weight=weight)
+        got = solve_component(part, links, cx, sign, robust=robust)
+        return got[POSE].to_numpy(), got["cost"].iloc[0]
 
     def off(poses: DataFrame, edges: DataFrame) -> DataFrame:
         rows = residuals(edges, poses, cx, sign).where("edge_type = 'spatial' and residual is not null and weight > 1e-12")
         return stored(rows.select("edge_id", (F.col("residual") / F.col("weight")).alias("r")))
 
-    solved = stored(solve(nodes, edges, cx, sign, **how))
-    one = edges.withColumn("factor", F.lit(1.0))
-    rows = off(solved, edges) if spatial >= 3 else None
-    middle = rows and quantiles(rows, [], "r", {"m": 0.5}).first()
+    sizes = nodes.where("component is not null").groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+    total, largest = sizes.agg(F.sum("n"), F.max("n")).first()
+    many = stored(sizes.where(F.col("n") > most).select("component")) if largest and largest > most else None
+    few = (lambda rows: rows.join(many, "component", "left_anti")) if many else (lambda rows: rows)
+    packed = stored(pack(few(nodes), few(edges), total or 0, POSE, here, STEP, min(most, BLOCK), alone, cx, sign, robust))
+    open_ = packed.where("open").select("component")
+    if not open_.isEmpty():
+        many = many.unionByName(open_) if many else open_
+    known = packed.where("not open").select(F.explode("off").alias("r"))
+    if many:
+        large, links = (rows.join(many, "component", "left_semi") for rows in (nodes, edges))
+        large, links = stored(large), stored(links)
+        solved = stored(solve(large, links, cx, sign, **how))
+        rows = off(solved, links)
+        known = known.unionByName(rows.select("r"))
+    bounds = _bounds(known, rounds, k, fall)
+    flat = stored(unpack(packed.where("not open"), POSE, STEP, bounds, alone, cx, sign, robust))
+    poses, found = flat.where("not is_edge").select("component", "node", *POSE, "cost"), flat.where("is_edge")
+    if set(edges.columns) <= set(found.columns):
+        found = found.select(*[F.col(f.name).cast(f.dataType) for f in edges.schema], "factor")
+    else:
+        found = edges.join(found.select("edge_id", "factor"), "edge_id").select(*edges.columns, "factor")
+    if not many:
+        return poses, found
+    factors, weighed = links.select("edge_id", F.lit(1.0).alias("factor")), links
+    for n, s in enumerate(bounds):
+        rows = off(solved, weighed) if n else rows
+        new = F.when(F.col("r") > 0, F.lit(s * s) / (F.col("r") * F.col("r") + s * s)).otherwise(1.0)
+        factors = stored(factors.join(rows.select("edge_id", new.alias("new")), "edge_id", "left").select("edge_id", F.coalesce("new", "factor").alias("factor")))
+        weighed = stored(links.join(factors, "edge_id").withColumn("weight", F.col("weight") * F.col("factor")).select(*links.columns))
+        starts = large.drop(*POSE, *START).join(solved.select("node", *POSE), "node")
+        starts = starts.join(large.select("node", *[F.col(c).alias(s) for c, s in zip(here, START, strict=True)]), "node")
+        solved = stored(solve(starts, weighed, cx, sign, **how))
+    return poses.unionByName(solved), found.unionByName(links.join(factors, "edge_id").select(*edges.columns, "factor"))
+
+
+def _bounds(known: DataFrame, rounds: int, k: float, fall: float) -> list[float]:
+    """mu times the bound, for each round, from residuals r; none if there are fewer than three or no one lies above the bound."""
+    middle = quantiles(known, [], "r", {"m": 0.5}, {"most": F.max}).first()
     if not middle or middle["n"] < 3:
-        return solved, one
-    spread = quantiles(rows.select(F.abs(F.col("r") - middle["m"]).alias("d")), [], "d", {"d": 0.5}).first()["d"]
-    bound, most = middle["m"] + k * 1.4826 * spread, rows.agg(F.max("r")).first()[0]
-    if most <= bound * (1 + 1e-9):
-        return solved, one
-    mu, weighed = max(1.0, most / max(bound, 1e-9)), edges
-    factors = edges.select("edge_id", F.lit(1.0).alias("factor"))
+        return []
+    spread = quantiles(known.select(F.abs(F.col("r") - middle["m"]).alias("d")), [], "d", {"d": 0.5}).first()["d"]
+    bound = middle["m"] + k * 1.4826 * spread
+    if middle["most"] <= bound * (1 + 1e-9):
+        return []
+    mu, out = max(1.0, middle["most"] / max(bound, 1e-9)), []
     for _ in range(max(1, rounds)):
-        s2 = (mu * bound) ** 2
-        new = rows.select("edge_id", (F.lit(s2) / (F.col("r") * F.col("r") + s2)).alias("new"))
-        factors = stored(factors.join(new, "edge_id", "left").select("edge_id", F.coalesce("new", "factor").alias("factor")))
-        weighed = stored(edges.join(factors, "edge_id").withColumn("weight", F.col("weight") * F.col("factor")).select(*edges.columns))
-        starts = nodes.drop(*POSE, *START).join(solved.select("node", *POSE), "node")
-        starts = starts.join(nodes.select("node", *[F.col(n).alias(s) for n, s in zip(POSE, START, strict=True)]), "node")
-        solved = stored(solve(starts, weighed, cx, sign, **how))
+        out.append(mu * bound)
         if mu <= 1.0:
             break
         mu = max(1.0, mu / fall)
-        rows = off(solved, weighed)
-    return solved, edges.join(factors, "edge_id")
+    return out
