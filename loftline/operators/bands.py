@@ -13,7 +13,7 @@ from collections.abc import Callable
 import numpy as np
 
 #: Nodes of a grid, how far apart linked nodes may stand on it, and how many edges may lie side by side.
-GRID, BAND, BESIDE = 16384, 12, 4
+GRID, BAND, BESIDE = 32768, 12, 4
 #: Steps of a solution, and trials of a step.
 ROUNDS, TRIALS = 20, 8
 

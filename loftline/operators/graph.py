@@ -16,9 +16,8 @@ from pyspark.sql import functions as F
 
 from ..functions.affine import Pose, edge_residual, predict_forward, predict_inverse
 from ..session import cut, stored
-from .bands import GRID
 from .components import components
-from .packs import pack, unpack
+from .packs import WHOLE, pack, unpack
 from .scans import quantiles, ranked, running
 
 POSE = ["x", "y", "log_sx", "log_sy", "theta"]
@@ -660,21 +659,21 @@ def anchor_checks(nodes: DataFrame, steps: DataFrame, most: float, sign: float =
 
 
 def anneal(
-    nodes: DataFrame, edges: DataFrame, cx: float, rounds: int = 12, k: float = 5.0, fall: float = 1.4, sign: float = 1.0, **how
+    nodes: DataFrame, edges: DataFrame, cx: float, rounds: int | None = None, k: float = 5.0, fall: float = 1.4, sign: float = 1.0, **how
 ) -> tuple[DataFrame, DataFrame]:
     """Poses (as solve) and edges with factor, after spatial edges were weighed anew in rounds by how far they are off.
 
     The first solution gives a bound, median + k * 1.4826 * MAD of the residuals of spatial edges by unit of weight. If none lies above, or there are
     fewer than three, all stays as it is (factor 1). Else each round weighs spatial edges by s^2 / (s^2 + r^2), where s is mu
     times the bound, and solves again from the poses it has; mu begins with the largest residual over the bound, falls by `fall` and the round with mu = 1 is
-    the last one. Median and MAD come from ranks by ranges. nodes: component, node, POSE, is_anchor; edges: component too.
+    the last one, or the one of number `rounds` if that is given. Median and MAD come from ranks by ranges. nodes: component, node, POSE, is_anchor; edges: component too.
 
     As the bound and the largest residual of the first solution settle all rounds, components know nothing of each other after it: those that fit a task (at most
     `block` nodes, or BLOCK if linked nodes stand far apart) are solved once, packed in a row each, and take all rounds in one pass over these rows. Larger ones
     are solved in rounds of jobs.
     """
     robust, here = how.get("robust"), [s if s in nodes.columns else n for n, s in zip(POSE, START, strict=True)]
-    most = how.get("block", GRID)
+    most = how.get("block", WHOLE)
 
     def alone(p, start, anchored, i, j, step, weight):
         part = pd.DataFrame(p, columns=POSE).assign(component=0, node=np.arange(len(p)), is_anchor=anchored, **dict(zip(START, start.T, strict=True)))
@@ -702,7 +701,7 @@ def anneal(
         rows = off(solved, links)
         known = known.unionByName(rows.select("r"))
     bounds = _bounds(known, rounds, k, fall)
-    flat = stored(unpack(packed.where("not open"), POSE, STEP, bounds, alone, cx, sign, robust))
+    flat = stored(unpack(packed.where("not open"), total or 0, POSE, STEP, bounds, alone, cx, sign, robust))
     poses, found = flat.where("not is_edge").select("component", "node", *POSE, "cost"), flat.where("is_edge")
     if set(edges.columns) <= set(found.columns):
         found = found.select(*[F.col(f.name).cast(f.dataType) for f in edges.schema], "factor")
@@ -722,7 +721,7 @@ def anneal(
     return poses.unionByName(solved), found.unionByName(links.join(factors, "edge_id").select(*edges.columns, "factor"))
 
 
-def _bounds(known: DataFrame, rounds: int, k: float, fall: float) -> list[float]:
+def _bounds(known: DataFrame, rounds: int | None, k: float, fall: float) -> list[float]:
     """mu times the bound, for each round, from residuals r; none if there are fewer than three or no one lies above the bound."""
     middle = quantiles(known, [], "r", {"m": 0.5}, {"most": F.max}).first()
     if not middle or middle["n"] < 3:
@@ -732,9 +731,7 @@ def _bounds(known: DataFrame, rounds: int, k: float, fall: float) -> list[float]
     if middle["most"] <= bound * (1 + 1e-9):
         return []
     mu, out = max(1.0, middle["most"] / max(bound, 1e-9)), []
-    for _ in range(max(1, rounds)):
+    while not out or mu < last and (rounds is None or len(out) < rounds):
         out.append(mu * bound)
-        if mu <= 1.0:
-            break
-        mu = max(1.0, mu / fall)
+        last, mu = mu, max(1.0, mu / fall)
     return out

@@ -10,13 +10,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bands import GRID, anneal_parts
+from .bands import anneal_parts
 
 #: What a packed row has by node and by edge, numbers of a pose or a step one after the other; off: residuals of its spatial edges by unit of weight.
 NODE = {"node": "bigint", "pose": "double", "start": "double", "is_anchor": "boolean"}
 EDGE = {"edge_id": "bigint", "from_id": "bigint", "to_id": "bigint", "step": "double", "weight": "double", "edge_type": "string"}
 PACKED = "component bigint, open boolean, cost double, " + ", ".join(f"{n} array<{t}>" for n, t in (NODE | EDGE | {"off": "double"}).items())
 NOBODY = np.iinfo(np.int64).min
+#: About how many nodes a call of a task packs, and the most of a component that is packed.
+WHOLE = 16384
 
 
 def _whole(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -91,17 +93,23 @@ def _solved(part, node, poses, starts, anchored, of, edges, steps, bounds, count
     return found, cost, factor, off, left
 
 
+def _tasks(rows: DataFrame, total: int) -> int:
+    """By nodes, as a task's work is that much more than its bytes tell."""
+    return min(total // WHOLE + 1, total // (4 * WHOLE) + rows.sparkSession.sparkContext.defaultParallelism)
+
+
 def pack(
     nodes: DataFrame, edges: DataFrame, total: int, pose: list[str], start: list[str], step: list[str], most: int, alone: Callable, cx: float, sign: float, robust: float | None
 ) -> DataFrame:
     """Rows (PACKED) of all components with their first solution; `open` are those of more than `most` nodes that fit no grid. total: about how many nodes there are."""
-    bundle = F.pmod(F.xxhash64("component"), F.lit(total // GRID + 1)).alias("bundle")
+    bundle = F.pmod(F.xxhash64("component"), F.lit(total // WHOLE + 1)).alias("bundle")
     own = nodes.where("component is not null and node is not null").select("component", "node", *dict.fromkeys([*pose, *start]), "is_anchor", bundle)
     links = edges.select("component", *[c for n in EDGE for c in (step if n == "step" else [n])], bundle)
+    own, links = (rows.repartition(_tasks(rows, total), "bundle") for rows in (own, links))
     return own.groupBy("bundle").cogroup(links.groupBy("bundle")).applyInArrow(_packer(pose, start, step, most, alone, cx, sign, robust), PACKED)
 
 
-def unpack(packed: DataFrame, pose: list[str], step: list[str], bounds: list[float], alone: Callable, cx: float, sign: float, robust: float | None) -> DataFrame:
+def unpack(packed: DataFrame, total: int, pose: list[str], step: list[str], bounds: list[float], alone: Callable, cx: float, sign: float, robust: float | None) -> DataFrame:
     """A row for each node (component, node, pose, cost) and each edge (is_edge; component, what it has, factor) after a solution for each of `bounds`."""
     names = {"is_edge": "boolean", "component": "bigint", "node": "bigint", **dict.fromkeys(pose, "double"), "cost": "double"}
     names |= {c: t for n, t in EDGE.items() for c in (step if n == "step" else [n])} | {"factor": "double"}
@@ -117,7 +125,7 @@ def unpack(packed: DataFrame, pose: list[str], step: list[str], bounds: list[flo
             node, cost, factor = _whole(table["node"]), batch["cost"].to_numpy(zero_copy_only=False), np.ones(len(of))
             if bounds:
                 anchored = table["is_anchor"].to_numpy(zero_copy_only=False)
-                poses, cost, factor, _, _ = _solved(part, node, poses, starts, anchored, of, table, steps, bounds, batch.num_rows, GRID, alone, cx, sign, robust)
+                poses, cost, factor, _, _ = _solved(part, node, poses, starts, anchored, of, table, steps, bounds, batch.num_rows, WHOLE, alone, cx, sign, robust)
             component = batch["component"]
             here = {"is_edge": pa.array(np.zeros(len(part), bool)), "component": component.take(pa.array(part)), "node": table["node"], "cost": pa.array(cost[part], from_pandas=True)}
             here |= {n: pa.array(poses[:, k], from_pandas=True) for k, n in enumerate(pose)}
@@ -126,7 +134,7 @@ def unpack(packed: DataFrame, pose: list[str], step: list[str], bounds: list[flo
             there |= {n: table[n] for n in EDGE if n != "step"} | {n: pa.array(steps[:, k], from_pandas=True) for k, n in enumerate(step)}
             yield _filled(there, names, len(of))
 
-    return packed.mapInArrow(rows, ", ".join(f"{n} {t}" for n, t in names.items()))
+    return packed.repartition(_tasks(packed, total), "component").mapInArrow(rows, ", ".join(f"{n} {t}" for n, t in names.items()))
 
 
 def _filled(columns: dict, names: dict[str, str], n: int) -> pa.RecordBatch:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loftline.operators import bands
 from loftline.operators import graph as G
+from loftline.plans import keyframe_queries
 
 from .test_keyframes import EDGES, NODES, chain
 
@@ -117,3 +118,47 @@ def test_large_and_small_components_anneal_alike(spark, monkeypatch):
     p, q = (x[0].toPandas().sort_values("node") for x in (small, large))
     assert p.node.tolist() == q.node.tolist() == sorted(r[1] for r in nodes)
     np.testing.assert_allclose(p[[*G.POSE, "cost"]], q[[*G.POSE, "cost"]], rtol=1e-5, atol=1e-3)
+
+
+def test_rounds_go_on_until_the_bound_is_reached(spark):
+    """Also where the largest residual is far more than twelve rounds above it."""
+    r = [1.0, 1.1, 1.2, 0.9, 1.0, 1e6]
+    got = G._bounds(spark.createDataFrame([(x,) for x in r], "r double"), None, 5.0, 1.4)
+    bound = 1.05 + 5.0 * 1.4826 * np.median(np.abs(np.array(r) - 1.05))
+    assert got[0] == pytest.approx(1e6) and got[-1] == pytest.approx(bound) and len(got) > 12
+    np.testing.assert_allclose(np.array(got[:-2]) / got[1:-1], 1.4)
+    assert 1.0 < got[-2] / got[-1] <= 1.4 + 1e-9
+    assert G._bounds(spark.createDataFrame([(x,) for x in r[:5]], "r double"), None, 5.0, 1.4) == []
+
+
+def test_the_query_takes_all_rounds(spark, monkeypatch):
+    """Its factors are those of a plain loop over its tracks that ends where mu is 1."""
+    given, anneal = [], G.anneal
+    monkeypatch.setattr(G, "anneal", lambda nodes, edges, *a, **how: given.append((nodes.toPandas(), edges.toPandas())) or anneal(nodes, edges, *a, **how))
+    found = keyframe_queries.annealed_weights(spark, "/root/testdata/sf0.001").toPandas().set_index("edge_id").sort_index()
+    nodes, edges = given[0]
+    nodes, edges = nodes.sort_values("node").reset_index(drop=True), edges.sort_values("edge_id").reset_index(drop=True)
+    at = pd.Series(nodes.index, nodes.node)
+    i, j, step, spatial = at[edges.from_id].to_numpy(), at[edges.to_id].to_numpy(), edges[G.STEP].to_numpy(), (edges.edge_type == "spatial").to_numpy()
+    nodes = nodes.assign(**{s: nodes[n] for s, n in zip(G.START, G.POSE, strict=True)})
+
+    def solved(p, factor):
+        here, links = nodes.assign(**dict(zip(G.POSE, p.T, strict=True))), edges.assign(weight=edges.weight * factor)
+        rows = [G.solve_component(here[here.component == c].reset_index(drop=True), links[links.component == c], 960.0) for c in here.component.unique()]
+        p = pd.concat(rows).sort_values("node")[G.POSE].to_numpy()
+        return p, np.sqrt(bands._squares(p, i, j, step, 960.0, 1.0))
+
+    factor = np.ones(len(edges))
+    p, r = solved(nodes[G.POSE].to_numpy(), factor)
+    middle = np.median(r[spatial])
+    bound = middle + 5.0 * 1.4826 * np.median(np.abs(r[spatial] - middle))
+    mu, rounds = r[spatial].max() / bound, 0
+    while True:
+        factor[spatial] = ((mu * bound) ** 2 / ((mu * bound) ** 2 + r**2))[spatial]
+        p, r = solved(p, factor)
+        rounds += 1
+        if mu <= 1:
+            break
+        mu = max(1.0, mu / 1.4)
+    assert rounds > 4
+    np.testing.assert_allclose(found.factor, factor, atol=2e-4)
